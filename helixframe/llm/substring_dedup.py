@@ -86,7 +86,7 @@ def shared_anchors(docs: DataFrame, length: int, buckets: int):
 
 
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
-    """(id, row_key, at): the windows, by their first word, that also start in a document with a smaller id.  Several rows for a document."""
+    """(id, row_key, at): the windows, by their first word, that also start in a document with a smaller id; `at` packs them as uint32."""
     spark = prepare(docs.sparkSession)
     buckets = shuffle_parts(spark)
     seeds = spark.sparkContext.broadcast(shared_anchors(docs, length, buckets))
@@ -141,36 +141,42 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
             yield from flush()
 
     def settle(table):
-        outs = {"id": [], "row_key": [], "at": []}
-
-        def put(i, k, p):
-            order = np.lexsort((p, i, k))
-            i, k, p = i[order], k[order], p[order]
-            at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])]))
-            for a, b in zip(at, np.concatenate([at[1:], [len(k)]])):
-                outs["id"].append(int(i[a]))
-                outs["row_key"].append(int(k[a]))
-                outs["at"].append(p[a:b].tobytes())
-
-        ws, is_, ks, ps = [], [], [], []
+        """Windows that start in a smaller document, packed by the bucket of the row they belong to."""
+        ws, is_, ks, ps, done = [], [], [], [], []
         for win, row, at, ids, keys in zip(*(table.column(c).to_pylist() for c in ("win", "row", "at", "ids", "keys"))):
             win, row, at, ids, keys = (np.frombuffer(x or b"", t) for x, t in ((win, np.uint64), (row, np.uint32), (at, np.uint32), (ids, np.int64), (keys, np.int64)))
             if len(win):
                 ws.append(win), is_.append(ids[row]), ks.append(keys[row]), ps.append(at)
             else:
-                put(ids[row], keys[row], at)
+                done.append((ids[row], keys[row], at))
         if ws:
             w, i, k, p = map(np.concatenate, (ws, is_, ks, ps))
             order = np.lexsort((i, w))
             w, i, k, p = w[order], i[order], k[order], p[order]
             at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            least = np.repeat(i[at], np.diff(np.concatenate([at, [len(w)]])))
-            if (late := i > least).any():
-                put(i[late], k[late], p[late])
-        return pa.table({"id": pa.array(outs["id"], pa.int64()), "row_key": pa.array(outs["row_key"], pa.int64()), "at": pa.array(outs["at"], pa.binary())})
+            late = i > np.repeat(i[at], np.diff(np.concatenate([at, [len(w)]])))
+            done.append((i[late], k[late], p[late]))
+        out = {"to": [], "id": [], "row_key": [], "at": []}
+        if done:
+            i, k, p = map(np.concatenate, zip(*done))
+            order = np.lexsort((p, k))
+            i, k, p = i[order], k[order], p[order]
+            for b, x in blob_rows(bucket_of(mix(k.view(np.uint64), 21), buckets), buckets, i=i, k=k, p=p):
+                out["to"].append(b), out["id"].append(x["i"].tobytes()), out["row_key"].append(x["k"].tobytes()), out["at"].append(x["p"].tobytes())
+        return pa.table({"to": pa.array(out["to"], pa.int32())} | {c: pa.array(out[c], pa.binary()) for c in ("id", "row_key", "at")})
+
+    def by_row(table):
+        """One row for each input row that loses a word."""
+        i, k, p = joined(table, "id", np.int64), joined(table, "row_key", np.int64), joined(table, "at", np.uint32)
+        order = np.lexsort((p, i, k))
+        i, k, p = i[order], k[order], p[order]
+        at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])])) if len(k) else np.zeros(0, np.int64)
+        cuts = [x.tobytes() for x in np.split(p, at[1:])] if len(at) else []
+        return pa.table({"id": pa.array(i[at]), "row_key": pa.array(k[at]), "at": pa.array(cuts, pa.binary())})
 
     dealt = docs.where("id IS NOT NULL").select("id", "row_key", "text").mapInArrow(deal, cols)
-    return dealt.groupBy("bucket").applyInArrow(settle, "id long, row_key long, at binary")
+    settled = dealt.groupBy("bucket").applyInArrow(settle, "to int, id binary, row_key binary, at binary")
+    return settled.groupBy("to").applyInArrow(by_row, "id long, row_key long, at binary")
 
 
 def _covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
@@ -192,7 +198,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     rows = columns_of(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("binary").alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64("id", "text"))
-    found = repeated_windows(rows, length).groupBy("id", "row_key").agg(F.collect_list("at").alias("at"))
+    found = repeated_windows(rows, length)
     out = rows.join(found, ["id", "row_key"], "left").select("id", "text", "at")
 
     def cut(batches):
@@ -202,7 +208,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 w = (text or b"").split()
                 gone, where = 0, []
                 if at:
-                    bad = _covered(len(w), np.frombuffer(b"".join(at), np.uint32).astype(np.int64), length)
+                    bad = _covered(len(w), np.frombuffer(at, np.uint32).astype(np.int64), length)
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], bad.astype(np.int8), [0]])))
                     where = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
                     gone = int(bad.sum())
