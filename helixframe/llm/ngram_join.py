@@ -1,76 +1,87 @@
 """Exact Jaccard self-join of documents on word shingles, with prefix filters under several global token orders.
 
-Two sets that overlap enough share a token among the first n - ceil(t n) + 1 tokens of each, under any order of all tokens.  The first
-order puts shingles that many documents have last (by a bounded list of the most frequent ones; a hint that cannot change the result)
-and deals the prefix tokens out to find candidates.  A candidate pair must then also share prefix tokens under every other order before
-the overlap itself is counted.
+Two sets that overlap enough share a token among the first n - ceil(t n) + 1 tokens of each, under any order of all tokens.  So a pair is
+a candidate only if it shares a prefix token under each of ORDERS orders: the pairs found under each are intersected, and only what is
+left is verified.  (Before that, pairs go whose sizes, or whose odd sketches, show that they cannot be similar; both tests are exact.)  All orders put shingles of a single set first, then those that sets share, then those that many share; inside these
+classes each order has its own hash.  A set with enough shingles of its own then has a prefix that nobody shares, and is done.
 
-Groups of copies: equal sets are one class.  A first round links each class to one pivot for each of its min-hashes; that joins almost
-all of a group, however large, by about one pair a member.  The exact round then needs only pairs between different components so far,
+The classes come from a first pass over all shingles, kept as two Bloom filters of bounded size.  They are the same for all documents, so
+a false positive, or a filter that has reached its bound, makes another order and more candidates, but loses no pair.
+
+Groups of copies: equal sets are one class.  A first round links each class to one pivot for each of its min-hashes, the one with the
+smallest id, most often the original; that joins almost all of a group, however large, by about one pair a member.  The exact round then needs only pairs between different components so far,
 so it does not emit the pairs within a group.  No link is lost: every pair of classes that passes the filters is either verified or
 already connected.
 
 Cases: null and empty texts have an empty set, are linked with nothing and are their own component.  Texts with fewer words than a
-shingle are one shingle.  Rows with equal texts are linked.  A component's id is its smallest doc_id; a null doc_id stays null unless a
-linked row has one.  Extra columns are ignored.
+shingle are one shingle.  Rows with equal texts are linked.  A component's id is its smallest doc_id; it is null only if all its rows
+have none.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import blob_rows, bucket_of, columns_of, gather_bloom, id_bloom, joined, mix, prepare, save, segment, shuffle_parts, slices
+from helixframe.llm.common import Bloom, blob_rows, bucket_of, columns_of, gather_bloom, id_bloom, joined, mix, prepare, save, segment, shuffle_parts, slices
 from helixframe.llm.components import components
 from helixframe.llm.wordhash import runs, words
 
-SKETCHES = 6
-#: So many of the most frequent shingles are known to come last.
-FREQUENT = 1 << 17
-#: A shingle counts as frequent from so many classes in one task.
-FREQUENT_FROM = 4
+SKETCHES = 4
 ORDERS = 3
+#: A shingle counts as common from so many postings of the first pass (one or two for each task that has it).
+COMMON_FROM = 6
+#: Bits of a set's odd sketch: the parity of its shingles by hash.  Two sketches differ in no more bits than their sets in shingles.
+SKETCH_BITS = 512
+#: Bytes of prefix tokens that one block of the candidate search holds on average.
+BLOCK_BYTES = 16 << 20
 #: Classes that one task compares with one pivot.
 PIVOT_ROWS = 256
+#: Shingles that a task holds before it ships them.
+FLUSH = 4_000_000
 
 
 def shingle_sets(data, offsets, k):
-    """The sorted distinct shingle hashes of each row."""
+    """The sorted distinct shingle hashes of all rows, one after the other, and where each row's begin (one more entry closes the last)."""
     h, row, first = words(data, offsets, fold=True)
-    s = runs(h, k)
-    for r in range(len(offsets) - 1):
+    whole, n = runs(h, k), len(offsets) - 1
+    parts, count = [], np.zeros(n, np.int64)
+    for r in range(n):
         a, b = first[r], first[r + 1]
         if b - a >= k:
-            yield np.unique(s[a : b - k + 1])
+            x = whole[a : b - k + 1].copy()
+            x.sort()
         elif b > a:
-            yield mix(runs(h[a:b], int(b - a)), 1000 + int(b - a))
+            x = mix(runs(h[a:b], int(b - a)), 1000 + int(b - a))
         else:
-            yield np.zeros(0, np.uint64)
-
-
-def set_key(x: np.ndarray) -> int:
-    """One hash of a sorted set."""
-    return int((mix(x, 3).sum(dtype=np.uint64) ^ np.uint64(len(x))).view(np.int64))
+            continue
+        parts.append(x)
+        count[r] = len(x)
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+    x, row = np.concatenate(parts), np.repeat(np.arange(n), count)
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (row[1:] != row[:-1])])
+    return x[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=n))])
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+def _by_set(reduce, values, at, empty):
+    """reduceat over sets, some of them empty."""
+    out, some = np.full(len(at) - 1, empty, np.uint64), np.diff(at) > 0
+    if some.any():
+        out[some] = reduce.reduceat(values, at[:-1][some])
+    return out
 
 
-def order_keys(x: np.ndarray, order: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Sort keys of tokens under one of the global orders: rare ones by hash, then the frequent ones from the less to the more frequent."""
-    key = mix(x, 100 + order) >> np.uint64(4)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)
-        key |= np.where(frequent[at] == x, rank[at], np.uint64(0)) << np.uint64(60)
-    return key
+def set_keys(x, at):
+    """One hash of each set."""
+    return (_by_set(np.add, mix(x, 3), at, 0) ^ mix(np.diff(at).astype(np.uint64), 4)).view(np.int64)
 
 
-def prefix(x: np.ndarray, order: int, percent: int, frequent, rank) -> np.ndarray:
-    key, p = order_keys(x, order, frequent, rank), prefix_length(len(x), percent)
-    return np.partition(key, p - 1)[:p] if p < len(key) else key
+def prefix_length(n, percent: int):
+    return n - -(-percent * n // 100) + 1
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -79,180 +90,313 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _describe(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each document (id, n, set_key, sketches), and rows (token, count) of locally frequent shingles with n = -1."""
+def _binary(*arrays):
+    return [pa.array([x.tobytes()], pa.binary()) for x in arrays]
 
-    def scan(batches):
-        seen, held, size = set(), [], 0
 
-        def frequent():
-            x, c = np.unique(np.concatenate(held), return_counts=True)
-            many = c >= FREQUENT_FROM
-            return _rows(np.zeros(many.sum(), np.int64), np.full(many.sum(), -1, np.int32), x[many].view(np.int64), c[many].astype(np.int64), None)
+def _describe(docs: DataFrame, k: int) -> DataFrame:
+    """(id, n, set_key, sketch) of each document."""
 
+    def scan(batches):
         for batch in batches:
             n, key, sketch = [], [], []
             for _, _, data, off in slices(batch, "text"):
-                for x in shingle_sets(data, off, k):
-                    n.append(len(x))
-                    key.append(set_key(x))
-                    sketch.append([int(mix(x, 200 + j).min().view(np.int64)) for j in range(SKETCHES)] if len(x) else None)
-                    if len(x) and key[-1] not in seen:
-                        seen.add(key[-1])
-                        held.append(x)
-                        size += len(x)
-            yield _rows(batch.column("id"), np.array(n, np.int32), np.array(key, np.int64), np.zeros(len(n), np.int64), sketch)
-            if size >= 8_000_000:
-                yield frequent()
-                held, size = [], 0
-        if held:
-            yield frequent()
-
-    return docs.select("id", "text").mapInArrow(scan, "id long, n int, set_key long, count long, sketch array<long>")
+                x, at = shingle_sets(data, off, k)
+                n.append(np.diff(at).astype(np.int32))
+                key.append(set_keys(x, at))
+                sketch.append(np.stack([_by_set(np.minimum, mix(x, 200 + j), at, 0) for j in range(SKETCHES)], 1).view(np.int64))
+            if n:
+                flat = pa.array(np.concatenate(sketch).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SKETCHES, dtype=np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(n)), pa.array(np.concatenate(key)), lists], ["id", "n", "set_key", "sketch"])
 
+    return docs.select("id", "text").mapInArrow(scan, "id long, n int, set_key long, sketch array<long>")
 
-def _rows(id_, n, key, count, sketch) -> pa.RecordBatch:
-    n = np.asarray(n)
-    sketch = pa.array(sketch if sketch is not None else [None] * len(n), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_pydict({"id": id_ if isinstance(id_, pa.Array) else pa.array(id_), "n": pa.array(n), "set_key": pa.array(key), "count": pa.array(count), "sketch": sketch})
 
-
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """Those of the pairs (a, b) of ids that are similar.  Each pivot a meets its partners in groups of PIVOT_ROWS."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of set keys that are similar.  Each pivot a meets its partners in groups of PIVOT_ROWS."""
     spark = pairs.sparkSession
-    few = frequent
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_ROWS).cast("int").alias("parts"))
-    partner = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("id"))
-    pivot = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("id"))
-    need = save(pivot.unionByName(partner), "pairs")
+    partner = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("set_key"))
+    pivot = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("set_key"))
+    need = save(pivot.unionByName(partner).join(classes.select("set_key", "id"), "set_key"), "pairs")
     wanted = spark.sparkContext.broadcast(id_bloom(need.select("id").distinct(), "id"))
 
     def pick(batches):
         for batch in batches:
-            x = mix(np.asarray(batch.column("id")).astype(np.int64).view(np.uint64))
-            yield batch.filter(pa.array(wanted.value.has(x)))
+            ids = np.asarray(batch.column("id")).astype(np.int64).view(np.uint64)
+            batch = batch.filter(pa.array(wanted.value.has(mix(ids))))
+            keys = [set_keys(*shingle_sets(data, off, k)) for _, _, data, off in slices(batch, "text")]
+            if keys:
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(keys)), batch.column("text")], ["id", "set_key", "text"])
 
-    texts = docs.where("id IS NOT NULL").select("id", "text").mapInArrow(pick, "id long, text binary").dropDuplicates(["id"])
-    laid = need.join(texts, "id").repartition(shuffle_parts(spark), "a", "part").sortWithinPartitions("a", "part", "role").select("a", "part", "role", "id", "text")
+    texts = docs.where("id IS NOT NULL").select("id", "text").mapInArrow(pick, "id long, set_key long, text binary")
+    laid = need.join(texts, ["id", "set_key"]).select("a", "part", "role", "set_key", "text")
+    laid = laid.repartition(shuffle_parts(spark), "a", "part").sortWithinPartitions("a", "part", "role")
 
     def compare(batches):
-        frequent, rank = few.value
-        last, pivot, firsts = None, None, None
+        last, pivot = None, None
         for batch in batches:
-            a, part, role, ids = (batch.column(c).to_pylist() for c in ("a", "part", "role", "id"))
-            oks, i = [], 0
+            a, part, role, keys = (batch.column(c).to_pylist() for c in ("a", "part", "role", "set_key"))
+            good, i = [], 0
             for _, _, data, off in slices(batch, "text"):
-                for x in shingle_sets(data, off, k):
+                x, at = shingle_sets(data, off, k)
+                for j in range(len(at) - 1):
+                    one = x[at[j] : at[j + 1]]
                     if role[i] == 0:
-                        last, pivot = (a[i], part[i]), x
-                        firsts = [prefix(x, o, percent, frequent, rank) for o in range(ORDERS)]
-                    elif last == (a[i], part[i]) and 100 * min(len(x), len(pivot)) >= percent * max(len(x), len(pivot)):
-                        if all(np.isin(prefix(x, o, percent, frequent, rank), firsts[o]).any() for o in range(ORDERS)) and similar(pivot, x, percent):
-                            oks.append(i)
+                        last, pivot = (a[i], part[i]), one.copy()
+                    elif last == (a[i], part[i]) and 100 * min(len(one), len(pivot)) >= percent * max(len(one), len(pivot)) and similar(pivot, one, percent):
+                        good.append(i)
                     i += 1
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in oks], pa.int64()), "b": pa.array([ids[i] for i in oks], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in good], pa.int64()), "b": pa.array([keys[i] for i in good], pa.int64())})
 
     return laid.mapInArrow(compare, "a long, b long")
 
 
-def _cross_pairs(docs: DataFrame, reps: DataFrame, k: int, percent: int, frequent, buckets: int) -> DataFrame:
-    """Distinct pairs of representatives from different components that share a prefix token under the first order and may be similar by size."""
-    spark = docs.sparkSession
+def _pack(t: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """Sorted 32-bit values as differences, by bytes: those seldom set compress away."""
+    d = np.diff(t, prepend=t[:1])
+    return t[:1].tobytes(), (d & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), (d >> np.uint64(16) & np.uint64(0xFF)).astype(np.uint8).tobytes(), (d >> np.uint64(24)).astype(np.uint16).tobytes()
+
+
+def _unpack(first, low, mid, high) -> np.ndarray:
+    d = np.frombuffer(low, np.uint16).astype(np.uint64) | np.frombuffer(mid, np.uint8).astype(np.uint64) << np.uint64(16) | np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(24)
+    return np.cumsum(d) + np.frombuffer(first, np.uint64)[0]
+
+
+class Classes:
+    """Class of a shingle: 0 if only one set has it, 1 if several do, 2 if many do."""
+
+    def __init__(self, shared: Bloom, common: Bloom):
+        self.shared, self.common = shared, common
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        x = reduced(mix(x, 6), self.shared.buckets)
+        out = self.shared.has(x).astype(np.uint64)
+        some = np.flatnonzero(out)
+        out[some] += self.common.has(x[some]).astype(np.uint64)
+        return out
+
+
+def reduced(x: np.ndarray, buckets: int) -> np.ndarray:
+    """A spread hash as (bucket, 32 more bits) in one value that bucket_of() gives the same bucket."""
+    bucket = bucket_of(x, buckets).astype(np.uint64)
+    top = ((bucket << np.uint64(32)) + np.uint64(buckets - 1)) // np.uint64(buckets)  # the least high half with this bucket
+    return top << np.uint64(32) | (mix(x, 7) & np.uint64(0xFFFFFFFF))
+
 
-    def prefixes(batch):
-        frequent_, rank = frequent.value
-        for _, _, data, off in slices(batch, "text"):
-            for x in shingle_sets(data, off, k):
-                yield x, (mix(prefix(x, 0, percent, frequent_, rank), 9) if len(x) else x)
+def _classes(docs: DataFrame, k: int, buckets: int) -> Classes:
+    """First pass: which shingles distinct sets share."""
 
     def deal(batches):
-        toks, owners, held, seen = [], [], 0, set()
+        parts, held, seen = [], 0, set()
 
         def flush():
-            t, o = np.concatenate(toks), np.concatenate(owners)
-            order = np.lexsort((o, t))
-            t, o = t[order], o[order]
+            t = np.sort(np.concatenate(parts))
             at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            end = np.concatenate([at[1:], [len(t)]]) - 1
-            many = o[at] != o[end]
-            t = np.concatenate([t[at], t[at][many]])
-            for b, x in blob_rows(bucket_of(t, buckets), buckets, t=t):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "t": pa.array([x["t"].tobytes()], pa.binary())})
+            many = np.diff(np.concatenate([at, [len(t)]])) > 1
+            t = np.sort(np.concatenate([t[at], t[at][many]]))
+            for b, x in blob_rows(bucket_of(t, buckets), buckets, t=t & np.uint64(0xFFFFFFFF)):
+                first, low, mid, high = ([y] for y in _pack(x["t"]))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32())} | {c: pa.array(v, pa.binary()) for c, v in (("first", first), ("low", low), ("mid", mid), ("high", high))})
 
         for batch in batches:
-            for x, p in prefixes(batch):
-                if len(x) and (key := set_key(x)) not in seen:
-                    seen.add(key)
-                    toks.append(p)
-                    owners.append(np.full(len(p), key, np.int64))
-                    held += len(p)
-            if held >= 4_000_000:
+            for _, _, data, off in slices(batch, "text"):
+                x, at = shingle_sets(data, off, k)
+                keys = set_keys(x, at)
+                new = np.zeros(len(keys), bool)
+                for i, key in enumerate(keys.tolist()):
+                    if at[i] < at[i + 1] and key not in seen:
+                        seen.add(key)
+                        new[i] = True
+                t = x if new.all() else x[np.repeat(new, np.diff(at))]
+                parts.append(reduced(mix(t, 6), buckets))
+                held += len(t)
+            if held >= FLUSH:
                 yield from flush()
-                toks, owners, held, seen = [], [], 0, set()
+                parts, held, seen = [], 0, set()
         if held:
             yield from flush()
 
-    # A set that several tasks hold counts once for each of them: its tokens pass as shared, which only costs work.
     def build(key, table):
-        t = np.sort(joined(table, "t", np.uint64))
-        same = np.concatenate([t[1:] == t[:-1], [False]])
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "segment": pa.array([segment(np.unique(t[same]), buckets)], pa.binary())})
-
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, t binary")
-    shared = spark.sparkContext.broadcast(gather_bloom(dealt.groupBy("bucket").applyInArrow(build, "bucket int, segment binary"), buckets))
+        blobs = zip(*(table.column(c).to_pylist() for c in ("first", "low", "mid", "high")))
+        t = np.sort(np.concatenate([_unpack(*x) for x in blobs]))
+        at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        count = np.diff(np.concatenate([at, [len(t)]]))
+        b = key[0].as_py()
+        top = np.uint64(-(-(b << 32) // buckets) << 32)
+        t = t[at] | top
+        return pa.table({"bucket": pa.array([b], pa.int32()), "shared": pa.array([segment(t[count > 1], buckets)], pa.binary()), "common": pa.array([segment(t[count >= COMMON_FROM], buckets)], pa.binary())})
+
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, first binary, low binary, mid binary, high binary")
+    rows = dealt.groupBy("bucket").applyInArrow(build, "bucket int, shared binary, common binary").collect()  # twice BLOOM_BYTES at most
+    return Classes(Bloom({r["bucket"]: bytes(r["shared"]) for r in rows}, buckets), Bloom({r["bucket"]: bytes(r["common"]) for r in rows}, buckets))
+
+
+def _cross_pairs(docs: DataFrame, known: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
+    """Pairs (a, b) of set keys from different components that share a prefix token under each order and may be similar by size."""
+    spark = docs.sparkSession
+    classes = spark.sparkContext.broadcast(_classes(docs, k, buckets))
 
     def pick(batches):
+        """The shared part of the prefixes of each set, one order after the other."""
         for batch in batches:
-            ids, n, keys, toks, i = batch.column("id").to_pylist(), [], [], [], 0
-            rows = []
-            for x, p in prefixes(batch):
-                if len(x) and ids[i] is not None:
-                    p = p[shared.value.has(p)]
-                    if len(p):
-                        rows.append(ids[i])
-                        n.append(len(x))
-                        keys.append(set_key(x))
-                        toks.append(p.tobytes())
-                i += 1
-            yield pa.RecordBatch.from_pydict({"id": pa.array(rows, pa.int64()), "n": pa.array(n, pa.int32()), "set_key": pa.array(keys, pa.int64()), "toks": pa.array(toks, pa.binary())})
-
-    picked = docs.select("id", "text").mapInArrow(pick, "id long, n int, set_key long, toks binary")
-    picked = picked.join(reps, ["id", "set_key"]).dropDuplicates(["id"]).select("id", "n", "comp", "toks")
+            ids, keys, n, toks, sketches, i = [], [], [], [], [], 0
+            all_ids = batch.column("id").to_pylist()
+            for _, _, data, off in slices(batch, "text"):
+                x, at = shingle_sets(data, off, k)
+                if not len(x):
+                    i += len(at) - 1
+                    continue
+                kind, sizes = classes.value(x), np.diff(at)
+                alone = _by_set(np.add, (kind == 0).astype(np.uint64), at, 0).astype(np.int64)
+                set_key = set_keys(x, at)
+                for j in np.flatnonzero((sizes > 0) & (alone < prefix_length(sizes, percent))):
+                    a, b = at[j], at[j + 1]
+                    shared = kind[a:b] > 0
+                    one, first, take = x[a:b][shared], kind[a:b][shared] << np.uint64(61), prefix_length(int(sizes[j]), percent) - int(alone[j])
+                    found = []
+                    for order in range(ORDERS):
+                        key = first | mix(one, 100 + order) >> np.uint64(3)
+                        found.append(np.partition(key, take - 1)[:take] if take < len(key) else key)
+                    odd = np.bincount((mix(x[a:b], 50) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                    sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                    ids.append(all_ids[i + j])
+                    keys.append(int(set_key[j]))
+                    n.append(int(sizes[j]))
+                    toks.append(np.stack(found).tobytes())
+                i += len(at) - 1
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int32()), "set_key": pa.array(keys, pa.int64()), "toks": pa.array(toks, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
+
+    picked = docs.where("id IS NOT NULL").select("id", "text").mapInArrow(pick, "id long, n int, set_key long, toks binary, sketch binary")
+    picked = save(picked.join(known, ["id", "set_key"]).select("set_key", "n", "comp", "toks", "sketch"), "prefixes")
+    size = picked.agg(F.sum(F.length("toks"))).first()[0] or 0
+    crossing = spark.sparkContext.broadcast(_crossing(picked, buckets))
+    blocks = max(8, -(-size // BLOCK_BYTES))
 
     def spread(batches):
+        """Postings of the tokens that may lead to another component, for sets that have one under each order."""
         for batch in batches:
-            toks = [np.frombuffer(x, np.uint64) for x in batch.column("toks").to_pylist()]
-            if not toks:
+            per_set = [np.frombuffer(x, np.uint64) for x in batch.column("toks").to_pylist()]
+            if not per_set:
                 continue
-            size = [len(x) for x in toks]
-            t = np.concatenate(toks)
-            cols = {c: np.repeat(np.asarray(batch.column(c)).astype(np.int64), size) for c in ("id", "n", "comp")}
-            for b, x in blob_rows(bucket_of(t, buckets), buckets, t=t, **cols):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32())} | {c: pa.array([x[c].tobytes()], pa.binary()) for c in ("t", "id", "n", "comp")})
+            width = np.array([len(x) // ORDERS for x in per_set])
+            t, order, row = _postings(per_set, width)
+            some = crossing.value.has(t)
+            t, order, row = t[some], order[some], row[some]
+            orders = np.zeros((len(per_set), ORDERS), bool)
+            orders[row, order] = True
+            some = orders.all(1)[row]
+            t, order, row = t[some], order[some], row[some]
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(len(per_set), -1)
+            cols = {c: np.asarray(batch.column(c)).astype(np.int64) for c in ("set_key", "n", "comp")}
+            for b, x in blob_rows(order * blocks + bucket_of(mix(t, 31), blocks), ORDERS * blocks, t=t, row=row):
+                used, inside = np.unique(x["row"], return_inverse=True)
+                blobs = _binary(x["t"], inside.astype(np.uint32), *(v[used] for v in cols.values()), sketch[used])
+                yield pa.RecordBatch.from_arrays([pa.array([b // blocks], pa.int32()), pa.array([b % blocks], pa.int32()), *blobs], ["order", "block", "t", "row", "set_key", "n", "comp", "sketch"])
 
     def pairs(key, table):
-        t, i, n, c = joined(table, "t", np.uint64), *(joined(table, x, np.int64) for x in ("id", "n", "comp"))
-        order = np.lexsort((i, n, t))
-        t, i, n, c = t[order], i[order], n[order], c[order]
+        """Pairs of a block under one order, each once, packed by the bucket of a."""
+        t, row, i, n, c, sketch, base = [], [], [], [], [], [], 0
+        for blob in zip(*(table.column(x).to_pylist() for x in ("t", "row", "set_key", "n", "comp", "sketch"))):
+            t.append(np.frombuffer(blob[0], np.uint64))
+            row.append(np.frombuffer(blob[1], np.uint32).astype(np.int64) + base)
+            for to, x in zip((i, n, c), blob[2:5]):
+                to.append(np.frombuffer(x, np.int64))
+            sketch.append(np.frombuffer(blob[5], np.uint64).reshape(len(i[-1]), -1))
+            base += len(i[-1])
+        t, row, i, n, c, sketch = map(np.concatenate, (t, row, i, n, c, sketch))
+        by = np.lexsort((i[row], n[row], t))
+        t, row = t[by], row[by]
         at = np.concatenate([np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])), [len(t)]])
+        lo, hi = np.minimum.reduceat(c[row], at[:-1]), np.maximum.reduceat(c[row], at[:-1])
         found, held = [], 0
-        lo, hi = np.minimum.reduceat(c, at[:-1]), np.maximum.reduceat(c, at[:-1])
         for g in np.flatnonzero(lo != hi):
-            a, b = at[g], at[g + 1]
-            top = np.searchsorted(n[a:b], n[a:b] * 100 // percent, "right") + a  # sizes that may still match
-            for x in range(a, b - 1):
-                other = np.arange(x + 1, top[x - a])
-                other = other[c[other] != c[x]]
+            r = row[at[g] : at[g + 1]]
+            size, comp, top = n[r], c[r], np.searchsorted(n[r], n[r] * 100 // percent, "right")  # sizes that may still match
+            for x in range(len(r) - 1):
+                other = np.arange(x + 1, top[x])
+                other = other[comp[other] != comp[x]]
                 if len(other):
-                    found.append(np.stack([np.minimum(i[x], i[other]), np.maximum(i[x], i[other])], 1))
-                    held += len(other)
-            if held > 2_000_000:
+                    both = size[x] + size[other]
+                    apart = np.bitwise_count(sketch[r[other]] ^ sketch[r[x]]).sum(1, dtype=np.int64)
+                    other = other[(100 + percent) * apart <= (100 - percent) * both]
+                    if len(other):
+                        found.append(np.stack([np.minimum(i[r[x]], i[r[other]]), np.maximum(i[r[x]], i[r[other]])], 1))
+                        held += len(other)
+            if held > 500_000:
                 found, held = [np.unique(np.concatenate(found), axis=0)], 0
         out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        rows = list(blob_rows(bucket_of(mix(out[:, 0].copy().view(np.uint64), 32), buckets), buckets, a=out[:, 0], b=out[:, 1]))
+        packed = [pa.array([x[1][c].tobytes() for x in rows], pa.binary()) for c in "ab"]
+        return pa.table([pa.array([x[0] for x in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), *packed], ["to", "order", "a", "b"])
+
+    def intersect(table):
+        """The pairs that every order has."""
+        every = []
+        for order in range(ORDERS):
+            part = table.filter(pa.compute.equal(table.column("order"), order))
+            every.append(np.unique(np.stack([joined(part, "a", np.int64), joined(part, "b", np.int64)], 1), axis=0))
+        out, n = np.unique(np.concatenate(every), axis=0, return_counts=True)
+        out = out[n == ORDERS]
         return pa.table({"a": pa.array(out[:, 0].copy()), "b": pa.array(out[:, 1].copy())})
 
-    laid = picked.mapInArrow(spread, "bucket int, t binary, id binary, n binary, comp binary")
-    return laid.groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
+    laid = picked.mapInArrow(spread, "order int, block int, t binary, row binary, set_key binary, n binary, comp binary, sketch binary")
+    found = laid.groupBy("order", "block").applyInArrow(pairs, "to int, order int, a binary, b binary")
+    return found.groupBy("to").applyInArrow(intersect, "a long, b long")
+
+
+def _postings(per_set, width):
+    """Token (salted by its order), order and row of each posting."""
+    order = np.concatenate([np.repeat(np.arange(ORDERS), w) for w in width])
+    row = np.repeat(np.arange(len(per_set)), width * ORDERS)
+    flat = np.concatenate(per_set)
+    out = np.empty_like(flat)
+    for o in range(ORDERS):
+        out[order == o] = mix(flat[order == o], 40 + o)
+    return out, order, row
+
+
+def _crossing(picked: DataFrame, buckets: int) -> Bloom:
+    """The prefix tokens that sets of different components have.  A task ships two postings for a token at most."""
+
+    def deal(batches):
+        ts, cs, held = [], [], 0
+
+        def flush():
+            t, c = np.concatenate(ts), np.concatenate(cs)
+            by = np.lexsort((c, t))
+            t, c = t[by], c[by]
+            at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            end = np.concatenate([at[1:], [len(t)]]) - 1
+            end = end[c[end] != c[at]]
+            t, c = np.concatenate([t[at], t[end]]), np.concatenate([c[at], c[end]])
+            for b, x in blob_rows(bucket_of(t, buckets), buckets, t=t, c=c):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *_binary(x["t"], x["c"])], ["bucket", "t", "c"])
+
+        for batch in batches:
+            per_set = [np.frombuffer(x, np.uint64) for x in batch.column("toks").to_pylist()]
+            if per_set:
+                t, _, row = _postings(per_set, np.array([len(x) // ORDERS for x in per_set]))
+                ts.append(t)
+                cs.append(np.asarray(batch.column("comp")).astype(np.int64)[row])
+                held += len(t)
+                if held >= FLUSH:
+                    yield from flush()
+                    ts, cs, held = [], [], 0
+        if held:
+            yield from flush()
+
+    def build(key, table):
+        t, c = joined(table, "t", np.uint64), joined(table, "c", np.int64)
+        by = np.argsort(t)
+        t, c = t[by], c[by]
+        at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        many = np.minimum.reduceat(c, at) != np.maximum.reduceat(c, at)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "segment": pa.array([segment(t[at][many], buckets)], pa.binary())})
+
+    dealt = picked.select("toks", "comp").mapInArrow(deal, "bucket int, t binary, c binary")
+    return gather_bloom(dealt.groupBy("bucket").applyInArrow(build, "bucket int, segment binary"), buckets)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -261,29 +405,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1..100")
     rows = columns_of(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("binary").alias("text"))
-    described = save(_describe(rows, k), "described")
-    sets = described.where("n >= 0")
-    top = described.where("n = -1").groupBy("set_key").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "set_key").limit(FREQUENT).toPandas()
-    token, count = top["set_key"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
-    order = np.argsort(token)
-    frequent = spark.sparkContext.broadcast((token[order], np.clip(np.log2(np.maximum(count[order], 2)).astype(np.uint64), 1, 15)))
-
-    # Equal sets are one class, which its smallest id stands for.
-    reps = save(sets.where("n > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "classes")
-    hashed = reps.select("id", F.posexplode("sketch").alias("j", "h"))
-    least = hashed.groupBy("j", "h").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = hashed.join(least, ["j", "h"]).where("a != id").select("a", F.col("id").alias("b")).distinct()
-    near = save(_verified(star, rows, k, percent, frequent), "near")
-    comp = components(near)
-
-    known = save(reps.join(comp, reps["id"] == comp["node"], "left").select("id", "set_key", F.coalesce("root", "id").alias("comp")), "known")
-    cross = _cross_pairs(rows, known, k, percent, frequent, shuffle_parts(spark))
-    links = near.unionByName(_verified(cross, rows, k, percent, frequent))
-    final = components(links)
-    final = known.join(final, known["id"] == final["node"], "left").select("set_key", F.coalesce("root", "id").alias("root"))
+    sets = save(_describe(rows, k), "sets")
+
+    # Equal sets are one class, and the text of its smallest id is read for it.
+    classes = save(sets.where("n > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "classes")
+    hashed = classes.select("set_key", "id", F.posexplode("sketch").alias("j", "h"))
+    least = hashed.groupBy("j", "h").agg(F.min_by("set_key", F.struct("id", "set_key")).alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
+    star = hashed.join(least, ["j", "h"]).where("a != set_key").select("a", F.col("set_key").alias("b")).distinct()
+    comp = components(_verified(star, classes, rows, k, percent))
+    known = save(classes.join(comp, classes["set_key"] == comp["node"], "left").select("set_key", "id", F.coalesce("root", "set_key").alias("comp")), "known")
+
+    cross = _cross_pairs(rows, known, k, percent, shuffle_parts(spark))
+    links = known.select(F.col("set_key").alias("a"), F.col("comp").alias("b")).where("a != b").unionByName(_verified(cross, classes, rows, k, percent))
+    comp = components(links)
+    final = known.join(comp, known["set_key"] == comp["node"], "left").select("set_key", "id", F.coalesce("root", "set_key").alias("root"))
+    final = final.join(final.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("set_key", "component_id")
     out = sets.select("id", "n", "set_key").join(final, "set_key", "left")
-    root = F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), root.alias("component_id"))
+    found = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), found.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
