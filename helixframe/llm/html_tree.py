@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from html import unescape
 
+#: Possessive, and no tag runs over a `<` outside quotes: markup without an end costs no backtracking.
 _TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/><]*+)((?:[^><\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/><]*+)([^><]*+)>",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label|name)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
