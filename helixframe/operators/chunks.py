@@ -10,10 +10,12 @@ from helixframe.functions.strand import hex_to_strand
 
 def chunks(table: DataFrame, id_col: str, data_col: str, size: int) -> DataFrame:
     """(id_col, chunk_idx, chunk_hex): all bytes of a column in chunks of `size`; the last may be shorter, and no bytes give no chunk."""
-    digits = F.lower(F.hex(F.col(data_col).cast("binary")))
-    rows = table.select(id_col, digits.alias("h")).where("length(h) > 0")
-    rows = rows.withColumn("chunk_idx", F.explode(F.sequence(F.lit(0), F.ceil(F.length("h") / (2 * size)).cast("int") - 1)))
-    return rows.select(id_col, F.col("chunk_idx").cast("long").alias("chunk_idx"), F.substring("h", F.col("chunk_idx") * 2 * size + 1, F.lit(2 * size)).alias("chunk_hex"))
+    data = F.col("data")  # binary: a slice costs its own length, wherever it is
+    last = F.ceil(F.octet_length(data) / size).cast("int") - 1
+    rows = table.select(id_col, F.col(data_col).cast("binary").alias("data")).where("octet_length(data) > 0")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(data, i * size + 1, F.lit(size)))
+    rows = rows.select(id_col, F.posexplode(cut).alias("chunk_idx", "chunk"))
+    return rows.select(id_col, F.col("chunk_idx").cast("long").alias("chunk_idx"), F.lower(F.hex("chunk")).alias("chunk_hex"))
 
 
 def strands(table: DataFrame, id_col: str, data_col: str, size: int = 47) -> DataFrame:
