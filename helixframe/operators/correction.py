@@ -6,6 +6,8 @@ import struct
 import zlib
 from functools import lru_cache
 
+import numpy as np
+
 # Polynomials of CRC-8/LTE, CRC-16/XMODEM and CRC-64/ECMA by struct letter, with their widths.
 POLYNOMIALS = {"B": (0x9B, 8), "H": (0x1021, 16), "Q": (0x42F0E1EBA9EA3693, 64)}
 # Fixed value: the field polynomial of the Reed-Solomon code.
@@ -149,14 +151,53 @@ def rs_decode(data: bytes, parity: int = 2) -> bytes | None:
     return bytes(out)
 
 
+_TIMES = np.array([[_mul(a, b) for b in range(256)] for a in range(256)], np.uint8)
+
+
+def _alike(rows: list[bytes | None], most: int) -> np.ndarray | None:
+    """Rows as a matrix, if all are there, of one length and one code word each."""
+    n = len(rows[0]) if rows and rows[0] is not None else 0
+    if not 0 < n <= most or any(r is None or len(r) != n for r in rows):
+        return None
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), n)
+
+
+def rs_encode_all(rows: list[bytes], parity: int = 2) -> list[bytes]:
+    """rs_encode of many rows, a byte of all of them at a time where they are alike."""
+    m = _alike(rows, 255 - parity)
+    if m is None:
+        return [rs_encode(r, parity) for r in rows]
+    gen, rest = _generator(parity), np.zeros((len(m), parity), np.uint8)
+    for j in range(m.shape[1]):
+        lead = m[:, j] ^ rest[:, 0]
+        rest = np.hstack([rest[:, 1:], np.zeros((len(m), 1), np.uint8)])
+        for i, g in enumerate(gen[1:]):
+            rest[:, i] ^= _TIMES[lead, g]
+    return [r + p.tobytes() for r, p in zip(rows, rest)]
+
+
+def rs_decode_all(rows: list[bytes | None], parity: int = 2) -> list[bytes | None]:
+    """rs_decode of many rows; only those with an error are looked at one by one."""
+    m = _alike(rows, 255)
+    if m is None or m.shape[1] <= parity:
+        return [None if r is None else rs_decode(r, parity) for r in rows]
+    wrong = np.zeros(len(m), bool)
+    for i in range(parity):
+        value = np.zeros(len(m), np.uint8)
+        for j in range(m.shape[1]):
+            value = _TIMES[value, EXP[i]] ^ m[:, j]
+        wrong |= value != 0
+    return [rs_decode(r, parity) if w else r[:-parity] for r, w in zip(rows, wrong)]
+
+
 def encoder(name: str, **options):
-    """Functions (encode, decode) by name: none, crc or rs."""
+    """Functions (encode, decode) over lists of bytes by name: none, crc or rs.  What can't be decoded becomes None."""
     if name == "none":
-        return (lambda d: d), (lambda d: d)
+        return (lambda rows: rows), (lambda rows: rows)
     if name == "crc":
         letter = options.get("letter", "B")
-        return (lambda d: crc_encode(d, letter)), (lambda d: crc_decode(d, letter))
+        return (lambda rows: [crc_encode(r, letter) for r in rows]), (lambda rows: [None if r is None else crc_decode(r, letter) for r in rows])
     if name == "rs":
         parity = options.get("parity", 2)
-        return (lambda d: rs_encode(d, parity)), (lambda d: rs_decode(d, parity))
+        return (lambda rows: rs_encode_all(rows, parity)), (lambda rows: rs_decode_all(rows, parity))
     raise ValueError(f"no error correction is called {name!r}")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.strand import from_strand, to_strand
-from helixframe.operators.codes import bits, code, solve
+from helixframe.operators.codes import code, solve, used_chunks
 from helixframe.operators.correction import encoder
 
 # Masks over header integers by struct letter.
@@ -58,16 +58,17 @@ def encode(table: DataFrame, id_col: str, data_col: str, size: int = 47, block:
                 k = max(-(-len(data) // size), 4)
                 padded = bytes(data).ljust(k * size, b"\0")
                 chunk = [int.from_bytes(padded[i * size : (i + 1) * size], "big") for i in range(k)]
-                rows, how = [], code(name, k, **options)
+                rows, plain, how = [], [], code(name, k, **options)
                 for seed in _block_seeds(at, int(k * (1 + overhead)) + 8, sequential):
-                    used = bits(how.sources(seed))
+                    used = used_chunks(how, seed)
                     value = 0
                     for i in used:
                         value ^= chunk[i]
                     payload = value.to_bytes(size, "big")
                     payload = seed_stream(payload, seed) if scramble else payload
-                    rows.append((file_id, at, k, len(data), seed, used, len(used), protect(struct.pack("<I", masked(seed)) + payload)))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PACKETS.split(", ")])
+                    rows.append((file_id, at, k, len(data), seed, used, len(used)))
+                    plain.append(struct.pack("<I", masked(seed)) + payload)
+                yield pd.DataFrame([(*r, p) for r, p in zip(rows, protect(plain))], columns=[c.split()[0] for c in PACKETS.split(", ")])
 
     return source_blocks(table, id_col, data_col, size, block).mapInPandas(run, PACKETS)
 
@@ -83,8 +84,7 @@ def parse(rows: DataFrame, strand: str = "strand", correction: str = "rs", scram
     @F.pandas_udf("seed long, payload binary")
     def unpack(packed: pd.Series) -> pd.DataFrame:
         out = []
-        for p in packed:
-            body = None if p is None else repair(bytes(p))
+        for body in repair([None if p is None else bytes(p) for p in packed]):
             if body is None or len(body) < 5:
                 out.append((None, None))
                 continue

@@ -7,9 +7,7 @@ import heapq
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-from helixframe.functions.strand import reverse_complement
+from pyspark.sql.types import LongType, StringType, StructType
 
 BASES = "ACGT"
 WINDOW, STRIDE = 100, 25
@@ -64,9 +62,10 @@ def from_trits(trits: Column, codes: dict[int, str]) -> Column:
     return run(trits)
 
 
-def rotate(trits: Column, start: str = "A") -> Column:
+def rotate(trits: Column, start: str | Column = "A") -> Column:
     """Bases of trits: each trit picks one of the three bases that differ from the base before."""
-    first = F.struct(F.lit(BASES.index(start)).alias("at"), F.lit("").alias("s"))
+    start = F.lit(start) if isinstance(start, str) else start
+    first = F.struct((F.instr(F.lit(BASES), start) - 1).alias("at"), F.lit("").alias("s"))
 
     def step(acc, t):
         at = F.pmod(acc["at"] + t.cast("int") + 1, F.lit(4)).cast("int")
@@ -75,13 +74,14 @@ def rotate(trits: Column, start: str = "A") -> Column:
     return F.aggregate(F.filter(F.split(trits, ""), lambda c: c != ""), first, step)["s"]
 
 
-def unrotate(strand: Column, start: str = "A") -> Column:
+def unrotate(strand: Column, start: str | Column = "A") -> Column:
     """Trits of bases, each from the base and the one before; null where a base comes twice in a row or is none."""
-    whole = F.translate(F.concat(F.lit(start), strand), BASES, "0123")
-    at = F.when(F.length(strand) > 0, F.sequence(F.lit(1), F.length(strand))).otherwise(F.array().cast("array<int>"))
-    digit = lambda i: F.substring(whole, i, F.lit(1)).cast("int")
-    trits = F.array_join(F.transform(at, lambda i: F.pmod(digit(i + 1) - digit(i) - 1, F.lit(4)).cast("string")), "")
-    legal = ~F.concat(F.lit(start), strand).rlike("AA|CC|GG|TT|[^ACGT]")
+    start = F.lit(start) if isinstance(start, str) else start
+    letters = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+    before, after = letters(F.concat(start, F.left(strand, F.length(strand) - 1))), letters(strand)
+    step = lambda x, y: F.pmod(F.instr(F.lit(BASES), y) - F.instr(F.lit(BASES), x) - 1, F.lit(4)).cast("string")
+    trits = F.when(F.length(strand) > 0, F.array_join(F.zip_with(before, after, step), "")).otherwise(F.lit(""))
+    legal = ~F.concat(start, strand).rlike("AA|CC|GG|TT|[^ACGT]")
     return F.when(legal, trits)
 
 
@@ -100,42 +100,63 @@ def unframed(trits: Column) -> Column:
     return F.left(trits, F.conv(F.right(trits, F.lit(20)), 3, 10).cast("int"))
 
 
+_TURN = str.maketrans("ACGT", "TGCA")
+_READ = StructType().add("idx", LongType()).add("piece", StringType())
+
+
+def _index_trits(idx: int, file_trits: str) -> str:
+    digits = "".join(str(idx // 3**i % 3) for i in reversed(range(12)))
+    return file_trits + digits + str((int(file_trits[1]) + sum(int(digits[i]) for i in (1, 3, 5, 7, 9, 11))) % 3)
+
+
+def make_oligo(piece: str, idx: int, file_trits: str = "00") -> str:
+    """100 bases, turned if idx is odd, 15 index trits, and a base at either end that tells the direction.
+
+    Where two bases would do for an end, the first in order is taken.
+    """
+    body = piece[::-1].translate(_TURN) if idx % 2 else piece
+    for trit in _index_trits(idx, file_trits):
+        body += BASES[(BASES.index(body[-1]) + int(trit) + 1) % 4]
+    return ("T" if body[0] == "A" else "A") + body + ("G" if body[-1] == "C" else "C")
+
+
+def parse_oligo(oligo: str | None) -> tuple[int | None, str | None]:
+    """(idx, piece) of an oligo in either direction; nulls if its length, ends, trits or parity are wrong."""
+    if not oligo or len(oligo) != WINDOW + 17 or set(oligo) - set(BASES):
+        return None, None
+    o = oligo if oligo[0] in "AT" and oligo[-1] in "CG" else oligo[::-1].translate(_TURN)
+    tail = o[WINDOW : WINDOW + 16]
+    trits = [(BASES.index(y) - BASES.index(x) - 1) % 4 for x, y in zip(tail, tail[1:])]
+    idx = sum(t * 3**i for i, t in enumerate(reversed(trits[2:14])))
+    if 3 in trits or "".join(map(str, trits)) != _index_trits(idx, f"{trits[0]}{trits[1]}"):
+        return None, None
+    piece = o[1 : WINDOW + 1]
+    return idx, piece[::-1].translate(_TURN) if idx % 2 else piece
+
+
 def oligos(rows: DataFrame, key: str, strand: str = "strand", file_trits: str = "00") -> DataFrame:
-    """(key, idx, oligo): windows of 100 bases at every 25th, odd ones turned, with 15 index trits and a base at either end that tells
-    the direction.  Where two bases would do for an end, the first in order is taken."""
+    """(key, idx, oligo): windows of 100 bases at every 25th."""
     s = F.col(strand)
-    cut = rows.where(F.length(s) >= WINDOW).select(key, s.alias("s"), F.explode(F.sequence(F.lit(0), F.floor((F.length(s) - WINDOW) / STRIDE))).alias("idx"))
-    piece = F.substring(F.col("s"), (F.col("idx") * STRIDE + 1).cast("int"), F.lit(WINDOW))
-    cut = cut.select(key, "idx", F.when(F.col("idx") % 2 == 1, reverse_complement(piece)).otherwise(piece).alias("m"), _ternary(F.col("idx"), 12).alias("i3"))
-    parity = sum((F.substring("i3", i, 1).cast("int") for i in (2, 4, 6, 8, 10, 12)), F.lit(int(file_trits[1]))) % 3
-    cut = cut.withColumn("ix", F.concat(F.lit(file_trits), "i3", parity.cast("string")))
-    turned = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.pmod(F.instr(F.lit(BASES), F.right("m", F.lit(1))) - 1 + i + _running(F.col("ix"), i), F.lit(4)).cast("string")), "")
-    body = F.concat("m", F.translate(turned, "0123", BASES))
-    left, right = F.when(body.startswith("A"), "T").otherwise("A"), F.when(body.endswith("C"), "G").otherwise("C")
-    return cut.select(key, F.col("idx").cast("long").alias("idx"), F.concat(left, body, right).alias("oligo"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - WINDOW) / STRIDE).cast("int")), lambda i: F.substring(s, i * STRIDE + 1, F.lit(WINDOW)))
 
+    @F.pandas_udf(StringType())
+    def make(piece: pd.Series, idx: pd.Series) -> pd.Series:
+        return pd.Series([make_oligo(p, int(i), file_trits) for p, i in zip(piece, idx)], dtype=object)
 
-def _running(digits: Column, upto: Column) -> Column:
-    """Sum of the first digits."""
-    return F.aggregate(F.transform(F.sequence(F.lit(1), upto), lambda j: F.substring(digits, j, F.lit(1)).cast("int")), F.lit(0), lambda a, b: a + b)
+    pieces = rows.where(F.length(s) >= WINDOW).select(key, F.posexplode(cut).alias("idx", "piece"))
+    return pieces.select(key, F.col("idx").cast("long").alias("idx"), make("piece", "idx").alias("oligo"))
 
 
 def read_oligos(rows: DataFrame, oligo: str = "oligo") -> DataFrame:
-    """(idx, piece) of oligos in either direction whose parity holds; others are left out.  Other columns stay."""
-    o = F.col(oligo)
-    forward = o.rlike("^[AT].*[CG]$")
-    rows = rows.where(F.length(o) == WINDOW + 17).withColumn("_o", F.when(forward, o).otherwise(reverse_complement(o)))
-    body = F.substring("_o", 2, WINDOW)
-    rows = rows.withColumn("_m", body).withColumn("_tail", F.substring("_o", 1 + WINDOW, 16))
-    first = F.translate(F.col("_tail"), BASES, "0123")
-    digit = lambda i: F.substring(first, i, F.lit(1)).cast("int")
-    trits = F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.pmod(digit(i + 1) - digit(i) - 1, F.lit(4)))
-    rows = rows.withColumn("_t", trits)
-    parity = (F.col("_t")[1] + sum((F.col("_t")[2 + i] for i in (1, 3, 5, 7, 9, 11)), F.lit(0))) % 3
-    rows = rows.where(~F.exists("_t", lambda t: t == 3)).where(parity == F.col("_t")[14])
-    idx = F.conv(F.array_join(F.transform(F.slice("_t", 3, 12), lambda t: t.cast("string")), ""), 3, 10).cast("long")
-    rows = rows.withColumn("idx", idx)
-    return rows.withColumn("piece", F.when(F.col("idx") % 2 == 1, reverse_complement(F.col("_m"))).otherwise(F.col("_m"))).drop("_o", "_m", "_t", "_tail", oligo)
+    """(idx, piece) of oligos; those that can't be read are left out.  Other columns stay."""
+
+    @F.pandas_udf(_READ)
+    def read(texts: pd.Series) -> pd.DataFrame:
+        got = [parse_oligo(t) for t in texts]
+        return pd.DataFrame({"idx": pd.array([i for i, _ in got], "Int64"), "piece": [p for _, p in got]})
+
+    rows = rows.withColumn("_r", read(oligo)).drop(oligo)
+    return rows.select(*[c for c in rows.columns if c not in ("_r", "idx", "piece")], "_r.idx", "_r.piece").where("idx IS NOT NULL")
 
 
 def overlay(pieces: DataFrame, key: str) -> DataFrame:

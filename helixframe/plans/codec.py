@@ -69,12 +69,11 @@ def rs_roundtrip(spark, sf_dir):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for data in frame["data"]:
-                word = bytearray(correction.rs_encode(bytes(data), 4))
-                word[0] ^= 0x55
-                word[-1] ^= 0x0F
-                out.append((correction.rs_decode(bytes(word), 4) or b"").hex())
+            words = [bytearray(w) for w in correction.rs_encode_all([bytes(d) for d in frame["data"]], 4)]
+            for w in words:
+                w[0] ^= 0x55
+                w[-1] ^= 0x0F
+            out = [(d or b"").hex() for d in correction.rs_decode_all([bytes(w) for w in words], 4)]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "chunk_idx": frame["chunk_idx"], "chunk_hex": out})
 
     rows = chunks(_table(spark, sf_dir, "documents"), "doc_id", "text", CHUNK).select("doc_id", "chunk_idx", F.unhex("chunk_hex").alias("data"))
@@ -191,8 +190,8 @@ def log_histogram(spark, sf_dir):
 _TRITS = "SELECT o_orderkey, list_transform(generate_series(19, 0, -1), lambda i: CAST(o_orderkey // CAST(3 ** i AS BIGINT) % 3 AS BIGINT)) AS t FROM orders"
 
 
-@query(f"""WITH t AS ({_TRITS}), u AS (SELECT o_orderkey, unnest(t) AS trit, generate_subscripts(t, 1) AS i FROM t), w AS (SELECT o_orderkey, i, trit, sum(trit + 1) OVER (PARTITION BY o_orderkey ORDER BY i) % 4 AS at FROM u)
-SELECT o_orderkey, string_agg(substr('ACGT', CAST(at + 1 AS BIGINT), 1), '' ORDER BY i) AS strand, string_agg(CAST(trit AS VARCHAR), '' ORDER BY i) AS trits FROM w GROUP BY 1""")
+@query(f"""WITH t AS ({_TRITS}), u AS (SELECT o_orderkey, unnest(t) AS trit, generate_subscripts(t, 1) AS i FROM t), w AS (SELECT o_orderkey, i, trit, sum(trit + 1) OVER (PARTITION BY o_orderkey ORDER BY i) % 4 AS base FROM u)
+SELECT o_orderkey, string_agg(substr('ACGT', CAST(base + 1 AS BIGINT), 1), '' ORDER BY i) AS strand, string_agg(CAST(trit AS VARCHAR), '' ORDER BY i) AS trits FROM w GROUP BY 1""")
 def ternary_rotate(spark, sf_dir):
     """Order numbers as twenty trits, as bases without runs, and back."""
     trits = F.lpad(F.conv(F.col("o_orderkey").cast("string"), 10, 3), 20, "0")
@@ -202,10 +201,10 @@ def ternary_rotate(spark, sf_dir):
 
 @query("SELECT doc_id, md5(encode(text)) AS digest FROM documents WHERE length(text) > 0")
 def ternary_roundtrip(spark, sf_dir):
-    """All documents through the ternary Huffman code and back; texts in slices, so that folds stay short."""
+    """All documents through the ternary Huffman code and back; in slices of 50 bytes, so that folds stay short."""
     docs = _table(spark, sf_dir, "documents").where("length(text) > 0")
     codes = ternary.huffman_codes(ternary.byte_frequencies(docs, "text"))
-    rows = packets.source_blocks(docs, "doc_id", "text", 100, 20)
+    rows = packets.source_blocks(docs, "doc_id", "text", 50, 1)
     rows = rows.withColumn("strand", ternary.rotate(ternary.to_trits(F.col("data"), codes)))
     back = rows.select("file_id", "block", ternary.from_trits(ternary.unrotate(F.col("strand")), codes).alias("h"))
     whole = back.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("block", "h"))).alias("p"))
