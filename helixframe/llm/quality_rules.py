@@ -1,13 +1,16 @@
 """Quality rules: counts of words, symbols and repeats, and how far a text's histograms are from those of a language.
 
 A text's character classes and its most common words of each language are compared with reference histograms by Jensen-Shannon
-divergence (base 2: from 0 to 1).  The references are sums over all documents of a language that pass the base rules, gathered as one
-short row for each task and language.  A text is judged by the language it is nearest to, so its own lang value does not matter.
+divergence (base 2: from 0 to 1).  The references are fixed and shipped (quality_references), so a verdict depends on the document
+alone and not on the table it lies in.  A text of a language with a reference, or of none that is named, is judged by the reference it
+is nearest to.
 
-Guards: texts under `min_words` are not compared (the base rule judges them), nor is a language with fewer than `min_reference_words`.
-Few words make the divergence larger by chance; the limit for words is `max_words + slack / sqrt(n_words)`.
+Guards: texts under `min_words` are not compared (the base rule judges them), nor is a text whose lang names a language without a
+reference.  Where lang names none and the words fit no reference, only signs, digits and spaces are compared, letters of any script as
+one class.  Few words make the divergence larger by chance; the limit for words is `max_words + slack / sqrt(n_words)`.
 
-Cases: a null or empty text has no words and fails the base rule.  Null or other lang values add to no reference.  Extra columns are kept
+Cases: a null or empty text has no words and fails the base rule.  A lang of null, '' or 'und' names no language; case and what
+follows - or _ in it don't matter.  Extra columns are kept
 by `keep` and ignored by `judge`.
 """
 
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import columns_of, prepare
+from helixframe.llm.quality_references import REFERENCES
 
 # Common words by language.
 COMMON_WORDS = {
@@ -30,6 +34,8 @@ COMMON_WORDS = {
     "es": "de la que el en y a los del se las por un para con no una su al lo como más es esta".split(),
 }
 SYMBOLS = b"#*$%&|<>"
+#: Share of a reference's common words that is dealt evenly.  On 5,329 documents of sf0.01 and sf0.1, 0 to 0.3 give the same verdicts.
+EVEN = 0.2
 CLASSES = ("lower", "upper", "digit", "space", "line", "mark", "symbol", "other")
 _VOCAB = sorted({w.encode() for ws in COMMON_WORDS.values() for w in ws})
 
@@ -91,28 +97,29 @@ def divergence(p: np.ndarray, q: np.ndarray) -> float:
     return max(0.0, (part(p) + part(q)) / 2)
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_reference_words: int = 1000) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Class and common-word counts of each known language, over all documents that pass the base rules."""
-    prepare(docs.sparkSession)
+def references() -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Class and common-word counts of each language that has a reference.
 
-    def gather(batches):
-        sums = {}
-        for b in batches:
-            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
-                if lang in COMMON_WORDS:
-                    base, classes, common = features(text or b"")
-                    if not base_failed(base[0], base[4]):
-                        have = np.concatenate([classes, common])
-                        sums[lang] = sums.get(lang, 0) + have
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "counts": pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))})
-
-    rows = columns_of(docs, text=text_col, lang=lang_col).select(F.col("text").cast("binary").alias("text"), "lang")
-    parts = rows.mapInArrow(gather, "lang string, counts array<long>").select("lang", F.posexplode("counts").alias("i", "n"))
+    A share of a language's common words is dealt evenly among them: tables whose words are mixed otherwise have to fit too.
+    """
     out = {}
-    for r in parts.groupBy("lang", "i").agg(F.sum("n").alias("n")).collect():  # languages x bins
-        out.setdefault(r["lang"], np.zeros(len(CLASSES) + len(_VOCAB) + 1, np.int64))[r["i"]] = r["n"]
-    cut = len(CLASSES)
-    return {k: (v[:cut], v[cut:]) for k, v in sorted(out.items()) if v[cut:].sum() >= min_reference_words}
+    for lang, r in REFERENCES.items():
+        words = np.array([r["words"].get(w.decode(), 0) for w in _VOCAB] + [r["others"]], np.float64)
+        own = np.array([w.decode() in COMMON_WORDS[lang] for w in _VOCAB] + [False])
+        words[own] = (1 - EVEN) * words[own] + EVEN * words[own].mean()
+        out[lang] = (np.array(r["classes"], np.float64), words)
+    return out
+
+
+def language_of(lang: str | None) -> str | None:
+    """The primary part of a language tag, or null if it names none."""
+    out = (lang or "").strip().lower().replace("_", "-").split("-")[0]
+    return None if out in ("", "und") else out
+
+
+def scriptless(classes: np.ndarray) -> np.ndarray:
+    """Counts of the classes with letters of all kinds as one."""
+    return np.concatenate([[classes[0] + classes[1] + classes[7]], classes[2:7]])
 
 
 class Judge:
@@ -124,38 +131,46 @@ class Judge:
         found = [(divergence(classes, c), divergence(common, w), lang) for lang, (c, w) in self.known.items()]
         return (lambda x: (x[2], x[0], x[1]))(min(found, key=lambda x: x[0] + x[1])) if found else (None, 0.0, 0.0)
 
-    def __call__(self, text: bytes) -> tuple[list[int], bool, bool, str | None, float, float]:
+    def __call__(self, text: bytes, lang: str | None) -> tuple[list[int], bool, bool, str | None, float, float]:
         base, classes, common = features(text)
-        failed, lang, a, b = base_failed(base[0], base[4]), None, 0.0, 0.0
-        if base[0] >= self.min_words:
-            lang, a, b = self.nearest(classes, common)
-        most = self.max_words + self.slack / max(base[0], 1) ** 0.5
-        return base, failed, not failed and a <= self.max_classes and b <= most, lang, a, b
+        failed, named, near, a, b = base_failed(base[0], base[4]), language_of(lang), None, 0.0, 0.0
+        if base[0] >= self.min_words and (named is None or named in self.known):
+            near, a, b = self.nearest(classes, common)
+            if named is None and b > self.most_words(base[0]):  # a language without a reference, or none
+                near, a, b = None, min(divergence(scriptless(classes), scriptless(c)) for c, _ in self.known.values()), 0.0
+        return base, failed, not failed and a <= self.max_classes and b <= self.most_words(base[0]), near, a, b
+
+    def most_words(self, n_words: int) -> float:
+        return self.max_words + self.slack / max(n_words, 1) ** 0.5
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
     """Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, nearest, class_divergence and word_divergence."""
-    see = Judge(references(docs, text_col, lang_col), **limits)
+    prepare(docs.sparkSession)
+    see = Judge(references(), **limits)
 
     def work(batches):
         for b in batches:
-            out = [(*base, failed, kept, lang, x, y) for base, failed, kept, lang, x, y in (see(t or b"") for t in b.column("text").to_pylist())]
+            seen = (see(t or b"", lang) for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()))
+            out = [(*base, failed, kept, near, x, y) for base, failed, kept, near, x, y in seen]
             cols = list(zip(*out)) or [()] * 10
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()] + [pa.float64()] * 2
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
     names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest", "class_divergence", "word_divergence"]
-    rows = columns_of(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("binary").alias("text"))
+    rows = columns_of(docs, id=id_col, text=text_col, lang=lang_col).select(F.col("id").cast("long"), F.col("text").cast("binary").alias("text"), "lang")
     schema = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, nearest string, class_divergence double, word_divergence double"
     return rows.mapInArrow(work, schema).withColumnRenamed("id", id_col)
 
 
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
     """The documents that pass, with all their columns."""
-    see = Judge(references(docs, text_col, lang_col), **limits)
+    prepare(docs.sparkSession)
+    see = Judge(references(), **limits)
 
     def work(batches):
         for b in batches:
-            yield b.filter(pa.array([see((t or "").encode())[2] for t in b.column(text_col).to_pylist()], pa.bool_()))
+            kept = [see((t or "").encode(), lang)[2] for t, lang in zip(b.column(text_col).to_pylist(), b.column(lang_col).to_pylist())]
+            yield b.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

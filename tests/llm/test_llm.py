@@ -233,6 +233,21 @@ def test_divergence_rejects_junk(spark):
     assert got == {i: i < 30 for i in range(32)}
 
 
+def test_verdict_does_not_depend_on_the_table(spark):
+    """A document alone, in a rare language, without lang or in a language that has no reference is judged as in any table."""
+    r = random.Random(5)
+    spell = {"en": "aeinrst", "de": "aeinrstßü", "fr": "aeinrsté", "es": "aeinrstó"}
+    clean = lambda k, more: " ".join(r.choice(quality_rules.COMMON_WORDS[k]) if r.random() < 0.4 else "".join(r.choice(more) for _ in range(6)) for _ in range(300)) + "."
+    russian = " ".join("".join(r.choice("абвгдеиклмнорст") for _ in range(6)) for _ in range(300)) + "."
+    junk = " ".join(x.upper() + "***" for x in clean("en", "aeinrst").split())
+    rows = [(1, clean("de", spell["de"]), "de"), (2, clean("fr", spell["fr"]), None), (3, clean("es", spell["es"]), "ES-mx"), (4, russian, "ru"), (5, russian, None), (6, junk, "de"), (7, junk, None)]
+    rows += [(i, clean("en", spell["en"]), "en") for i in range(10, 40)]
+    schema = "doc_id long, text string, lang string"
+    got = {x["doc_id"]: x["kept"] for x in quality_rules.judge(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {i: i not in (6, 7) for i, *_ in rows}
+    assert [quality_rules.keep(spark.createDataFrame([x], schema)).count() == 1 for x in rows[:7]] == [got[i] for i in range(1, 8)]
+
+
 def test_secrets(spark, empty):
     r = random.Random(9)
     key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
