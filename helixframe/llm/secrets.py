@@ -1,9 +1,11 @@
 """Secret scans: three kinds of pattern, and a token-efficiency test for random strings.
 
 A byte-pair vocabulary has long tokens for what people write, so random strings need more tokens for their length.  Candidates are runs of
-letters, digits and a few marks that have at least `min_length` characters and both letters and digits; one whose characters per token
-are fewer than `max_ratio` is a `random` span.  Known digests (hexadecimal with a digest's length), UUIDs, numbers with separators and
-identifiers (words joined by marks or capitals, with a short number at most) are excluded first, and so is what a pattern found.
+letters, digits and a few marks that have at least `min_length` characters; one whose characters per token are fewer than `max_ratio` is
+a `random` span.  A run that is not is cut at its marks, and its parts, and stretches of parts that people would not write, are tested
+each by itself: a readable name or path before a key does not hide it.  Known digests (hexadecimal with a digest's length), UUIDs,
+numbers with separators and identifiers (words joined by marks or capitals, with a short number at most; so any word in one case) are
+excluded first, and so is what a pattern found.
 
 Spans count code points, end exclusive.  Cases: a null text counts as empty.  A null doc_id stays null.  Extra columns are kept by
 `redact` and ignored by `scan`.
@@ -24,6 +26,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_PART = re.compile(r"[A-Za-z0-9]+")
 _EXCLUDED = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})"
     r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
@@ -49,15 +52,35 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, str]]:
 def random_spans(text: str, raw: bytes, coder: Codec, taken: list[tuple[int, int, str]], min_length: int, max_ratio: float) -> list[tuple[int, int, str]]:
     if b"\1" * min_length not in raw.translate(_RUN_MARK):
         return []
+    is_free = lambda a, b: not any(x < b and a < y for x, y, _ in taken)
+
+    def is_random(a, b):
+        x = text[a:b]
+        return len(x) >= min_length and is_free(a, b) and not _EXCLUDED.fullmatch(x) and len(x) / len(coder.encode(x)) < max_ratio
+
     out = []
     for m in _CANDIDATE.finditer(text):
-        x = m[0]
-        if len(x) < min_length or not re.search("[0-9]", x) or not re.search("[A-Za-z]", x) or _EXCLUDED.fullmatch(x):
-            continue
-        if any(a < m.end() and m.start() < b for a, b, _ in taken):
+        if len(m[0]) < min_length or _EXCLUDED.fullmatch(m[0]):
             continue
-        if len(x) / len(coder.encode(x)) < max_ratio:
-            out.append((m.start(), m.end(), "random"))
+        if is_random(*m.span()):
+            out.append((*m.span(), "random"))
+        else:
+            out += [(a, b, "random") for a, b in stretches(text, *m.span(), coder, max_ratio) if is_random(a, b)]
+    return out
+
+
+def stretches(text: str, start: int, end: int, coder: Codec, max_ratio: float) -> list[tuple[int, int]]:
+    """Longest stretches of a run, from part to part, without a part that people would write: words and digests, or with long tokens."""
+    out, last = [], None
+    for m in _PART.finditer(text, start, end):
+        x = m[0]
+        if len(x) >= 4 and (not x.isdecimal() and _EXCLUDED.fullmatch(x) or len(x) / len(coder.encode(x)) >= max_ratio):
+            last = None
+        elif last is None:
+            out.append(m.span())
+            last = out
+        else:
+            out[-1] = (out[-1][0], m.end())
     return out
 
 

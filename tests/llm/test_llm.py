@@ -266,6 +266,22 @@ def test_secrets(spark, empty):
     assert secrets.scan(empty, RANKS, PATTERN).count() == 0
 
 
+def test_secrets_without_digits_or_behind_names(spark):
+    r = random.Random(10)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    coder = bpe.codec(RANKS, PATTERN)
+    found = lambda x: secrets.spans(x, coder)[1]
+    keys = [["".join(r.choice(abc) for _ in range(n)) for _ in range(200)] for abc in (letters, letters + "0123456789") for n in (16, 20, 24, 32)]
+    for some in keys:
+        for name in ("", "private_key_production=", "/account/settings/integrations/webhooks/", "session-"):
+            assert sum(found(f"so {name}{k} it") == [(3 + len(name), 3 + len(name) + len(k), "random")] or bool(found(name + k)) for k in some) >= 190
+    path = "/account/settings/integrations/webhooks/4eC39HqLyjWDarjtT1zdp7dc"
+    assert found(path) == [(40, 64, "random")] and found(path + "/edit/profile-page") == [(40, 64, "random")]
+    assert found("/storage/backups/wJalrXUtnFEMI/K7MDENG/archive")  # a key with a mark of its own
+    for x in ("/files/of/people/550e8400-e29b-41d4-a716-446655440000/internationalization/description", "Rechtsschutzversicherungsgesellschaften", "internationalization/responsibilities/documentation/commit/da39a3ee5e6b4b0d3255BFEF95601890AFD80709", "/static/images/header-logo-small-v2"):
+        assert found(x) == [], x
+
+
 def test_classifier(spark, empty):
     r = random.Random(6)
     good = lambda: " ".join("".join(r.choice("aeinrst") for _ in range(r.randint(2, 6))) for _ in range(r.randint(40, 200)))
