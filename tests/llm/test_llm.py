@@ -357,6 +357,23 @@ def test_html_cases(spark):
     assert all(r["text"] == "" for r in got if r["page_id"] in (2, 3, 5))
 
 
+def test_html_drops_nothing_else():
+    trees = html_extract.model()
+    text = " ".join(["A long enough sentence, with commas, that says something of its own."] * 4)
+    page = lambda head, extra="": f"<html><body><header>{head}</header><article><h1>Head of it</h1><p>{text}</p>{extra}<p>{text}</p></article><footer>foot</footer></body></html>"
+    want = f"Head of it\n\n{text}\n\n{text}"
+    icon, menu = '<svg><path d="M0"/><text>no</text></svg>', "<select><option>one</option></select>"
+    for head in ('<svg class="i"/>', "<math/>", "<svg/>" + icon, "<svg><svg><text>no</text></svg><text>no</text></svg>", icon, menu, "<select><option>one", "<object>", "<noscript>", "<iframe>", "<svg><path>", "<svg><title/></svg>", "<select><option>one" * 3):
+        for extra in ("", icon, menu):
+            got = html_extract.extract_text(page(head, extra), trees)
+            assert got == want, (head, extra)
+    for extra in (f"<noscript><p>{text} More.</p></noscript>", f"<object><p>{text} More.</p></object>", f"<p>{text} Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be. More.</p>"):
+        got = html_extract.extract_text(page("", extra), trees)
+        assert got.count(text) == 3 and "More." in got and ("math" not in extra or "Let x=2 be." in got)
+    deep = parse("<article>" + "<div>" * 500 + "in</article><footer>out</footer>")
+    assert [k.tag for k in deep.kids] == ["article", "footer"]
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
