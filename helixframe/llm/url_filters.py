@@ -2,7 +2,8 @@
 
 Personalised PageRank from trusted hosts follows links; distrust from blocked hosts follows them backwards, to those that link to blocked
 hosts.  Both start from seeds: a host that fits a block rule for whole hosts, and a host with an allowed page that is no such host.  What
-reaches a host without links on goes back to the seeds.  A host is blocked if its distrust is at least `threshold` of a seed's own share
+reaches a host without links on goes back to the seeds.  Rounds go on until what is still to come is under `tolerance` shares of a
+seed in all, at any distance from the seeds.  A host is blocked if its distrust is at least `threshold` of a seed's own share
 and more than its trust, both measured in such shares.
 
 DataFrame functions only.  Links are counted for each pair of hosts before any shuffle joins them; joins on a host are plain ones that
@@ -14,6 +15,7 @@ html has no links.  Repeated rows are judged each by itself; extra columns are i
 
 from __future__ import annotations
 
+import math
 import string
 from functools import reduce
 
@@ -55,22 +57,33 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> C
     return out
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, cut_every: int = 4) -> DataFrame:
-    """(host, kind, x): PageRank of each kind in shares of a seed's teleport.  links (kind, src, dst, n) and seeds (kind, host) are distinct."""
+def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, look_every: int = 4) -> DataFrame:
+    """(host, kind, x): PageRank of each kind in shares of a seed's teleport.  links (kind, src, dst, n) and seeds (kind, host) are distinct.
+
+    Each round shrinks the sum of all changes to `damping` of it at most, so what is to come after a change c is under c * damping /
+    (1 - damping), and the number of rounds is bounded by the logarithm of the number of seeds.
+    """
+    sizes = {r["kind"]: r["size"] for r in seeds.groupBy("kind").agg(F.count("*").alias("size")).collect()}  # a row for each kind
+    of_kind = lambda values: reduce(lambda out, k: F.when(F.col("kind") == k, F.lit(float(values[k]))).otherwise(out), sorted(values), F.lit(1.0))
     out_of = links.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     flow = save(links.join(out_of, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("w")), "flow")
-    size = seeds.groupBy("kind").agg(F.count("*").alias("size"))  # a row for each kind
-    seeds = save(seeds.join(F.broadcast(size), "kind").select("kind", "host", (1 / F.col("size")).alias("seed")), "seeds")
+    seeds = save(seeds.select("kind", "host", (1 / of_kind(sizes)).alias("seed")), "seeds")
+    share = {k: n / (1 - damping) for k, n in sizes.items()}
+    most = math.ceil(math.log(tolerance * (1 - damping) / (2 * max(share.values(), default=1.0))) / math.log(damping)) + 1
     now = seeds.withColumnRenamed("seed", "x")
-    for i in range(rounds):
+    for i in range(1, most + 1):
         got = now.withColumnRenamed("host", "src").join(flow, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((damping * F.sum(F.col("x") * F.col("w"))).alias("got"))
-        part = got.select("kind", "host", "got", F.lit(0.0).alias("seed")).unionByName(seeds.select("kind", "host", F.lit(0.0).alias("got"), "seed"))
-        part = part.groupBy("kind", "host").agg(F.sum("got").alias("got"), F.sum("seed").alias("seed"))
-        if i % cut_every == cut_every - 1:
-            part = save(part, "ranks")
-        rest = part.groupBy("kind").agg((1 - F.sum("got")).alias("rest"))  # a row for each kind
-        now = part.join(F.broadcast(rest), "kind").select("kind", "host", (F.col("got") + F.col("rest") * F.col("seed")).alias("x"))
-    return now.join(F.broadcast(size), "kind").select("host", "kind", (F.col("x") * F.col("size") / (1 - damping)).alias("x"))
+        parts = [got.select("kind", "host", "got", F.lit(0.0).alias("seed"), F.lit(0.0).alias("was")), seeds.select("kind", "host", F.lit(0.0), "seed", F.lit(0.0)), now.select("kind", "host", F.lit(0.0), F.lit(0.0), "x")]
+        part = reduce(DataFrame.unionAll, parts).groupBy("kind", "host").agg(*[F.sum(c).alias(c) for c in ("got", "seed", "was")])
+        part = save(part, "ranks")
+        rest = {r["kind"]: r["rest"] for r in part.groupBy("kind").agg((1 - F.sum("got")).alias("rest")).collect()}  # a row for each kind
+        new = part.select("kind", "host", (F.col("got") + of_kind(rest) * F.col("seed")).alias("x"), "was")
+        now = new.drop("was")
+        if i == 1 or i % look_every == 0:
+            change = new.groupBy("kind").agg(F.sum(F.abs(F.col("x") - F.col("was"))).alias("change")).collect()  # a row for each kind
+            if all(r["change"] * share[r["kind"]] * damping / (1 - damping) < tolerance for r in change):
+                break
+    return now.select("host", "kind", (F.col("x") * of_kind(share)).alias("x"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.5, **options) -> DataFrame:

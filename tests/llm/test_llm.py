@@ -334,6 +334,19 @@ def test_url_links(spark):
     assert want["farm.com"] and want["fan.com"] and not want["fine.com"] and not want["lone.com"]
 
 
+def test_url_links_far_from_seeds(spark):
+    """A chain to a blocked seed against ranks of 400 rounds: no host has a large share because the rounds end on it."""
+    names = ["bad.net"] + [f"h{i}.com" for i in range(1, 21)]
+    links = [("distrust", a, b, 1) for a, b in zip(names, names[1:])]
+    x = [1.0] + [0.0] * 20
+    for _ in range(400):
+        x = [0.0] + [0.85 * v for v in x[:-1]]
+        x[0] = 1 - sum(x)
+    found = url_filters.spread(spark.createDataFrame(links, "kind string, src string, dst string, n long"), spark.createDataFrame([("distrust", "bad.net")], "kind string, host string"))
+    got = {r["host"]: r["x"] for r in found.collect()}
+    assert all(abs(got.get(h, 0.0) - v / 0.15) < 1e-4 for h, v in zip(names, x))
+
+
 def test_html_held_out_accuracy():
     trees, hit, out, truth = html_extract.model(), 0, 0, 0
     for i in range(60):
