@@ -1,15 +1,20 @@
 """Quality by compression: a text is like the labelled texts whose dictionary makes it smaller.
 
 Two zstandard dictionaries are built, from labelled good and bad text.  A text is compressed in blocks, so that a long one does not come to
-describe itself, under each dictionary; the difference of the two sizes, normalised by the text's, goes through a logistic curve fitted on
-labelled texts that are in neither dictionary.
+describe itself, under each dictionary.  The difference of the two sizes is normalised by the text's size and PRIOR more bytes, and goes
+through a logistic curve.  The curve also regards the share that PRIOR is of that sum: a short text shows little difference whatever it is,
+while a long one without any is one that neither kind of text helps to describe, such as a few words over and over.
+
+The curve is fitted across halves: each half of the labelled texts is scored under dictionaries of the other half; the dictionaries of the
+model are then built from both.
 
 Bounds of the fit: at most `per_label` labelled rows of each label (smallest hash of doc_id first) whose text has at most `max_chars`
 characters.  Scoring reads every text whole.
 
-Cases: null and empty texts have difference 0, so their score is the curve's value there.  Labels other than 0 and 1, and labels without a
-document, are ignored; of several labels of a document the larger counts.  With no labels of one kind, every score is the share of label 1
-(0.5 without any).  Repeated rows are scored each by itself; extra columns are ignored.
+Cases: null and empty texts have difference 0, so their score is the curve's value there; all of them have the same.  Labels other than 0
+and 1, and labels without a document, are ignored; of several labels of a document the larger counts.  With no labels of one kind, every
+score is the share of label 1 (0.5 without any).  Rows with a null doc_id are scored and never learned from.  Repeated rows are scored each
+by itself, ties have equal scores; an empty table gives none.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +30,15 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import columns_of, prepare
 
 BLOCK, LEVEL, DICTIONARY = 512, 3, 65536
+#: Bytes that every text counts as longer than it is.
+PRIOR = 50
 
 
 @dataclass
 class Model:
     good: bytes
     bad: bytes
-    slope: float
-    bias: float
+    curve: tuple[float, float, float]  # of the difference, of the share of PRIOR, and the level
 
     def scorer(self):
         return Scorer(self)
@@ -49,15 +55,16 @@ class Scorer:
                 known.precompute_compress(level=LEVEL)
                 self.packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False))
 
-    def difference(self, text: bytes) -> float:
-        if not text or len(self.packers) < 2:
-            return 0.0
-        blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
-        good, bad = (sum(len(p.compress(x)) for x in blocks) for p in self.packers)
-        return (bad - good) / len(text)
+    def features(self, text: bytes) -> tuple[float, float, float]:
+        size, difference = len(text) + PRIOR, 0
+        if text and len(self.packers) == 2:
+            blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
+            good, bad = (sum(len(p.compress(x)) for x in blocks) for p in self.packers)
+            difference = bad - good
+        return difference / size, PRIOR / size, 1.0
 
     def __call__(self, text: bytes) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.model.slope * self.difference(text) + self.model.bias, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(np.dot(self.model.curve, self.features(text)), -30, 30))))
 
 
 def dictionary(texts: list[bytes]) -> bytes:
@@ -69,16 +76,15 @@ def dictionary(texts: list[bytes]) -> bytes:
         return b" ".join(samples)[:DICTIONARY]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and bias by Newton steps with a slight ridge."""
-    a = np.stack([x, np.ones_like(x)], 1)
-    t = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, ...]:
+    """The weights of the columns of x, by Newton steps with a slight ridge."""
+    t = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ t, -30, 30)))
-        g = a.T @ (weight * (y - p)) - 1e-3 * t
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
+        p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
+        g = x.T @ (weight * (y - p)) - 1e-3 * t
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(t))
         t = t + np.linalg.solve(h, g)
-    return float(t[0]), float(t[1])
+    return tuple(map(float, t))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 5, per_label: int = 1500, max_chars: int = 20000) -> Model:
@@ -97,14 +103,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for r in rows:
         texts.get(r["label"], []).append(r["text"].encode("utf-8", "replace"))
     if not texts[0] or not texts[1]:
-        return Model(b"", b"", 0.0, float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))))
-    part = {y: (t[::2], t[1::2] or t) for y, t in texts.items()}
-    model = Model(dictionary(part[1][0]), dictionary(part[0][0]), 0.0, 0.0)
-    see = model.scorer()
-    x = [(see.difference(t), y, (share if y else 1 - share) / len(part[y][1])) for y in (0, 1) for t in part[y][1]]
-    d, y, w = map(np.array, zip(*x))
-    model.slope, model.bias = logistic(d, y.astype(float), w * len(w))
-    return model
+        return Model(b"", b"", (0.0, 0.0, float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))))
+    halves = [{y: t[i::2] or t for y, t in texts.items()} for i in (0, 1)]
+    seen = []
+    for learned, judged in (halves, halves[::-1]):
+        see = Model(dictionary(learned[1]), dictionary(learned[0]), (0.0, 0.0, 0.0)).scorer()
+        seen += [(see.features(t), y) for y in (0, 1) for t in judged[y]]
+    x, y = np.array([f for f, _ in seen]), np.array([y for _, y in seen], float)
+    weight = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum()) * len(y)
+    return Model(dictionary(texts[1]), dictionary(texts[0]), logistic(x, y, weight))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ def op2_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = compression_classifier.fit(docs, _read(spark, sf_dir, "labels"))
     out = compression_classifier.score(docs, model)
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))  # no doc_id: not in the held-out part
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -55,7 +55,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(_read(spark, sf_dir, "documents")).drop("nearest", "class_divergence", "word_divergence")
+    return quality_rules.judge(_read(spark, sf_dir, "documents")).drop("nearest", "class_distance", "word_distance")
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
