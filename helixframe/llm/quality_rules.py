@@ -1,17 +1,19 @@
 """Quality rules: counts of words, symbols and repeats, and how far a text's histograms are from those of a language.
 
 A text's character classes and its most common words of each language are compared with reference histograms by Jensen-Shannon
-divergence (base 2: from 0 to 1).  The references are fixed and shipped (quality_references), so a verdict depends on the document
+distance (the root of the divergence, base 2: from 0 to 1).  The references are fixed and shipped (quality_references), so a verdict depends on the document
 alone and not on the table it lies in.  A text of a language with a reference, or of none that is named, is judged by the reference it
 is nearest to.
 
 Guards: texts under `min_words` are not compared (the base rule judges them), nor is a text whose lang names a language without a
 reference.  Where lang names none and the words fit no reference, only signs, digits and spaces are compared, letters of any script as
-one class.  Few words make the divergence larger by chance; the limit for words is `max_words + slack / sqrt(n_words)`.
+one class.  Few words make the distance larger by chance: the divergence of a sample falls with its size, so the limit for the distance
+of words is the root of `max_words ** 2 + slack / sqrt(n_words)`.
 
 Cases: a null or empty text has no words and fails the base rule.  A lang of null, '' or 'und' names no language; case and what
-follows - or _ in it don't matter.  Extra columns are kept
-by `keep` and ignored by `judge`.
+follows - or _ in it don't matter.  A null doc_id stays null.  Repeated rows are judged each by itself, a distance at its limit passes, of
+references that are equally near the first by name counts, and an empty table gives no rows.  Texts of any length are read whole.  Extra
+columns are kept by `keep` and ignored by `judge`.
 """
 
 from __future__ import annotations
@@ -87,14 +89,14 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 50 or 100 * n_repeat_words > 50 * n_words
 
 
-def divergence(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon divergence of two histograms of counts, base 2."""
+def distance(p: np.ndarray, q: np.ndarray) -> float:
+    """Jensen-Shannon distance of two histograms of counts, base 2."""
     if not p.sum() or not q.sum():
         return 0.0 if p.sum() == q.sum() else 1.0
     p, q = p / p.sum(), q / q.sum()
     m = (p + q) / 2
     part = lambda x: float(np.sum(x[x > 0] * np.log2(x[x > 0] / m[x > 0])))
-    return max(0.0, (part(p) + part(q)) / 2)
+    return max(0.0, (part(p) + part(q)) / 2) ** 0.5
 
 
 def references() -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -123,12 +125,12 @@ def scriptless(classes: np.ndarray) -> np.ndarray:
 
 
 class Judge:
-    def __init__(self, known, max_classes: float = 0.08, max_words: float = 0.03, slack: float = 1.2, min_words: int = 50):
+    def __init__(self, known, max_classes: float = 0.28, max_words: float = 0.17, slack: float = 1.2, min_words: int = 50):
         self.known, self.max_classes, self.max_words, self.slack, self.min_words = known, max_classes, max_words, slack, min_words
 
     def nearest(self, classes, common) -> tuple[str | None, float, float]:
-        """Language, class divergence and word divergence of the nearest reference."""
-        found = [(divergence(classes, c), divergence(common, w), lang) for lang, (c, w) in self.known.items()]
+        """Language, class distance and word distance of the nearest reference."""
+        found = [(distance(classes, c), distance(common, w), lang) for lang, (c, w) in self.known.items()]
         return (lambda x: (x[2], x[0], x[1]))(min(found, key=lambda x: x[0] + x[1])) if found else (None, 0.0, 0.0)
 
     def __call__(self, text: bytes, lang: str | None) -> tuple[list[int], bool, bool, str | None, float, float]:
@@ -137,15 +139,15 @@ class Judge:
         if base[0] >= self.min_words and (named is None or named in self.known):
             near, a, b = self.nearest(classes, common)
             if named is None and b > self.most_words(base[0]):  # a language without a reference, or none
-                near, a, b = None, min(divergence(scriptless(classes), scriptless(c)) for c, _ in self.known.values()), 0.0
+                near, a, b = None, min(distance(scriptless(classes), scriptless(c)) for c, _ in self.known.values()), 0.0
         return base, failed, not failed and a <= self.max_classes and b <= self.most_words(base[0]), near, a, b
 
     def most_words(self, n_words: int) -> float:
-        return self.max_words + self.slack / max(n_words, 1) ** 0.5
+        return (self.max_words**2 + self.slack / max(n_words, 1) ** 0.5) ** 0.5
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
-    """Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, nearest, class_divergence and word_divergence."""
+    """Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, nearest, class_distance and word_distance."""
     prepare(docs.sparkSession)
     see = Judge(references(), **limits)
 
@@ -157,9 +159,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()] + [pa.float64()] * 2
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest", "class_divergence", "word_divergence"]
+    names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest", "class_distance", "word_distance"]
     rows = columns_of(docs, id=id_col, text=text_col, lang=lang_col).select(F.col("id").cast("long"), F.col("text").cast("binary").alias("text"), "lang")
-    schema = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, nearest string, class_divergence double, word_divergence double"
+    schema = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, nearest string, class_distance double, word_distance double"
     return rows.mapInArrow(work, schema).withColumnRenamed("id", id_col)
 
 
