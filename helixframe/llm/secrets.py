@@ -5,15 +5,17 @@ letters, digits and a few marks that have at least `min_length` characters; one
 a `random` span.  A run that is not is cut at its marks, and its parts, and stretches of parts that people would not write, are tested
 each by itself: a readable name or path before a key does not hide it.  Known digests (hexadecimal with a digest's length), UUIDs,
 numbers with separators and identifiers (words joined by marks or capitals, with a short number at most; so any word in one case) are
-excluded first, and so is what a pattern found.
+excluded first.  A run is also cut at what a pattern found, so that random characters on either side of a base span are found too.
 
-Spans count code points, end exclusive.  Cases: a null text counts as empty.  A null doc_id stays null.  Extra columns are kept by
-`redact` and ignored by `scan`.
+Spans count code points, end exclusive.  Cases: a null text counts as empty.  A null doc_id stays null.  Repeated rows are scanned each by
+itself; spans that begin together go by kind; an empty table gives no rows.  The work grows with the length of a text and the number of its
+spans, whatever the number.  Extra columns are kept by `redact` and ignored by `scan`.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,23 +51,47 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, str]]:
     return out
 
 
+def merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What the spans cover, as stretches in order that don't touch."""
+    out = []
+    for a, b, *_ in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def random_spans(text: str, raw: bytes, coder: Codec, taken: list[tuple[int, int, str]], min_length: int, max_ratio: float) -> list[tuple[int, int, str]]:
     if b"\1" * min_length not in raw.translate(_RUN_MARK):
         return []
-    is_free = lambda a, b: not any(x < b and a < y for x, y, _ in taken)
+    covered = merged(taken)
+    begins = [a for a, _ in covered]
+
+    def free(start, end):
+        """The parts of a run that no base span covers."""
+        i = max(bisect_right(begins, start) - 1, 0)
+        while start < end:
+            while i < len(covered) and covered[i][1] <= start:
+                i += 1
+            a, b = covered[i] if i < len(covered) else (end, end)
+            if start < min(a, end):
+                yield start, min(a, end)
+            start = max(start, b)
 
     def is_random(a, b):
         x = text[a:b]
-        return len(x) >= min_length and is_free(a, b) and not _EXCLUDED.fullmatch(x) and len(x) / len(coder.encode(x)) < max_ratio
+        return len(x) >= min_length and not _EXCLUDED.fullmatch(x) and len(x) / len(coder.encode(x)) < max_ratio
 
     out = []
     for m in _CANDIDATE.finditer(text):
-        if len(m[0]) < min_length or _EXCLUDED.fullmatch(m[0]):
-            continue
-        if is_random(*m.span()):
-            out.append((*m.span(), "random"))
-        else:
-            out += [(a, b, "random") for a, b in stretches(text, *m.span(), coder, max_ratio) if is_random(a, b)]
+        for a, b in free(*m.span()):
+            if b - a < min_length or _EXCLUDED.fullmatch(text, a, b):
+                continue
+            if is_random(a, b):
+                out.append((a, b, "random"))
+            else:
+                out += [(x, y, "random") for x, y in stretches(text, a, b, coder, max_ratio) if is_random(x, y)]
     return out
 
 
