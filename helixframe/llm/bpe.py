@@ -2,9 +2,11 @@
 
 Long texts are cut where no match of the splitting pattern can cross: before a blank that follows a letter or digit.  A match never goes on
 from a character that is not white space to one that is, and the piece on the left ends in no white space, so the pattern's look-ahead
-sees the same.  Decoding works on bytes, so a token that ends inside a character does no harm.
+sees the same.  That holds for patterns of this kind only, so long texts are cut under the patterns of CUTTABLE and whole under any other.
+Decoding works on bytes, so a token that ends inside a character does no harm.
 
-Cases: a null text counts as empty and has no tokens.  Special tokens are ordinary text.
+Cases: a null text counts as empty and has no tokens; so does an empty one.  A null doc_id stays null.  Special tokens are ordinary text.
+Repeated rows are encoded each by itself, merges of one rank go from the left, and an empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame
 from helixframe.llm.common import columns_of, prepare
 
 CUT = 1 << 16
+# Fixed value: the splitting pattern, whose matches never cross from other characters to white space.
+CUTTABLE = frozenset((r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",))
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -28,12 +32,13 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.texts = {i: str(i) for i in ranks.values()}
+        self.cut = CUT if pattern in CUTTABLE else None
 
     def pieces(self, text: str):
         """Parts of at most about CUT characters that can be encoded one by one."""
         a, n = 0, len(text)
-        while n - a > CUT:
-            b = text.find(" ", a + CUT)
+        while self.cut and n - a > self.cut:
+            b = text.find(" ", a + self.cut)
             while b > 0 and not text[b - 1].isalnum():
                 b = text.find(" ", b + 1)
             if b < 0:
@@ -43,7 +48,7 @@ class Codec:
         yield text[a:] if a else text
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= CUT:
+        if not self.cut or len(text) <= self.cut:
             return self.encoding.encode_ordinary(text)
         return [i for piece in self.pieces(text) for i in self.encoding.encode_ordinary(piece)]
 
@@ -101,16 +106,3 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     rows = columns_of(docs, id=id_col, text=text_col).selectExpr("cast(id as long) id", "text")
     return rows.mapInArrow(work, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
-
-
-def lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id_col and n_tokens."""
-    prepare(docs.sparkSession)
-
-    def work(batches):
-        c = codec(path, pattern)
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "n_tokens": pa.array([len(c.encode(x or "")) for x in b.column("text").to_pylist()], pa.int64())})
-
-    rows = columns_of(docs, id=id_col, text=text_col).selectExpr("cast(id as long) id", "text")
-    return rows.mapInArrow(work, "id long, n_tokens long").withColumnRenamed("id", id_col)
