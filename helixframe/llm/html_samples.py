@@ -46,8 +46,14 @@ def _attr(r: random.Random, *names: str) -> str:
     return f' {r.choice(["class", "class", "id"])}="{name}"'
 
 
+def _label(r: random.Random) -> str:
+    """What a link of a menu says."""
+    words = " ".join(_word(r) for _ in range(r.choice([1, 1, 1, 2, 3])))
+    return (words.capitalize() if r.random() < 0.4 else words) + r.choice(["", "", "", ".", ",", "!"])
+
+
 def _list(r: random.Random, links: bool = True, low: int = 3, high: int = 9) -> str:
-    item = (lambda: f'<a href="/{_word(r)}">{_word(r)}</a>') if links else (lambda: _sentence(r, 2, 8))
+    item = (lambda: f'<a href="/{_word(r)}">{_label(r)}</a>') if links else (lambda: _sentence(r, 2, 8))
     end = "</li>" if r.random() < 0.8 else ""
     return "<ul>" + "".join(f"<li>{item()}{end}" for _ in range(r.randint(low, high))) + "</ul>"
 
@@ -55,7 +61,7 @@ def _list(r: random.Random, links: bool = True, low: int = 3, high: int = 9) ->
 def _menu(r):
     tag = r.choice(["nav", "nav", "div"])
     attr = _attr(r, "nav", "menu", "main-nav", "navbar", "breadcrumbs") if tag == "div" or r.random() < 0.5 else ""
-    body = _list(r) if r.random() < 0.8 else " &gt; ".join(f'<a href="/{_word(r)}">{_word(r)}</a>' for _ in range(r.randint(2, 7)))
+    body = _list(r) if r.random() < 0.8 else " &gt; ".join(f'<a href="/{_word(r)}">{_label(r)}</a>' for _ in range(r.randint(2, 7)))
     return f"<{tag}{attr or (' class=menu' if tag == 'div' else '')}>{body}</{tag}>"
 
 
@@ -139,18 +145,22 @@ def _article(r: random.Random) -> str:
     return "".join(out)
 
 
-def sample(seed: int) -> str:
-    """A page, marked as said above."""
+def sample(seed: int, plain: bool | None = None) -> str:
+    """A page, marked as said above.  plain: without a tag or an attribute that says where the article is (by default, a fifth are)."""
     r = random.Random(seed)
     body = _article(r)
     wrap = r.random()
-    if wrap < 0.6:
+    by_chance = random.Random(seed + 1).random() < 0.2
+    if by_chance if plain is None else plain:
+        for _ in range(r.randint(0, 3)):
+            body = f"<div>{body}</div>"
+    elif wrap < 0.6:
         body = f"<article{_attr(r, 'post', 'entry') if r.random() < 0.4 else ''}>{body}</article>"
     elif wrap < 0.75:
         body = f"<main>{body}</main>"
     else:
         body = f"<div{_attr(r, 'content', 'article-body', 'post-content', 'entry', 'main-text') or ' id=content'}>{body}</div>"
-    if r.random() < 0.25:
+    if r.random() < 0.25 and not (by_chance if plain is None else plain):
         body = f"<{'main' if wrap >= 0.75 or wrap < 0.6 else 'section'}>{body}</{'main' if wrap >= 0.75 or wrap < 0.6 else 'section'}>"
     if r.random() < 0.25:
         body = f"<div{_attr(r, 'wrapper', 'container', 'page')}>{body}</div>"
