@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 import numpy as np
@@ -12,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+ROOT, PACKAGE = str(Path(__file__).resolve().parents[2]), __name__.split(".")[0]
+_SHIPPED = f"{PACKAGE}_shipped.zip"
 SPACE = r"[\x20\x09-\x0D]+"
 #: A Bloom filter never takes more than this on the driver or an executor; a fuller one only lets more rows through.
 BLOOM_BYTES = 1 << 26
@@ -23,19 +26,39 @@ ARROW_BYTES = "8m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and keep Arrow batches small enough for long texts."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    """Let Python workers import this package and keep Arrow batches small enough for long texts.
+
+    On one machine workers find the package where it lies; to the executors of a cluster it is shipped, once for each context.
+    """
+    context = spark.sparkContext
+    if is_local(spark):
+        env = context.environment
+        paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+        if ROOT not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    elif not any(x.endswith("/" + _SHIPPED) for x in context.listFiles):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as out:
+            for path in sorted((Path(ROOT) / PACKAGE).rglob("*.py")):
+                out.write(path, path.relative_to(ROOT).as_posix())
+        path = Path(tempfile.mkdtemp()) / _SHIPPED  # read by the driver's file server alone
+        path.write_bytes(data.getvalue())
+        context.addPyFile(str(path))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where all is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/checkpoints/helixframe"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
