@@ -1,4 +1,4 @@
-"""What the operators share: the shared folder, worker imports, packed blobs keyed by bucket, and a bounded Bloom filter."""
+"""What the operators share: the shared folder, shipping of the package, packed arrays keyed by bucket, and a bounded Bloom filter."""
 
 from __future__ import annotations
 
@@ -21,8 +21,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 BLOOM_BYTES = 1 << 26
 #: Bytes of text that one slice of an Arrow batch holds at most, unless a single row is longer.
 SLICE_BYTES = 1 << 20
+#: Bytes of text whose entries one group of a Python aggregation holds on average.
+GROUP_BYTES = 16 << 20
+#: Tasks that groups are dealt to at most; beyond it a task takes several groups, one after the other.
+MOST_TASKS = 20_000
 #: Bytes of an Arrow batch that goes to a Python worker.
 ARROW_BYTES = "8m"
+#: Tables of save() that are still there, in order.
+_written: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -71,14 +77,30 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
+    _written.append(path)
     return out
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written.remove(where)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that save() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.saved_at)
+
+
+def drop_others(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Delete all tables that save() wrote after the first `since`, except those given."""
+    for path in [x for x in _written[since:] if x not in {k.saved_at for k in kept}]:
+        _delete(spark, path)
+
+
+def written() -> int:
+    """How many tables of save() there are."""
+    return len(_written)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -127,20 +149,64 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
         a = min(b, n)
 
 
-def blob_rows(bucket: np.ndarray, buckets: int, **arrays: np.ndarray):
-    """Rows (bucket, one binary column for each array) of the given parallel arrays, dealt by bucket."""
+def groups_of(rows: DataFrame, column: str = "text") -> int:
+    """How many groups to deal a table to, so that each has GROUP_BYTES of a column's bytes on average, whatever the size of the table."""
+    size = rows.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(shuffle_parts(rows.sparkSession), -(-size // GROUP_BYTES))
+
+
+def by_group(df: DataFrame, groups: int, column: str = "bucket"):
+    """The table grouped by a column of `groups` values; a task has one group, or as many as keep the number of tasks under MOST_TASKS."""
+    return df.repartition(min(groups, max(MOST_TASKS, shuffle_parts(df.sparkSession))), column).groupBy(column)
+
+
+def packed(values: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """The bytes of consecutive parts of an array; part i ends before ends[i]."""
+    values = np.ascontiguousarray(values)
+    width = values.itemsize * int(np.prod(values.shape[1:]))
+    offsets = (np.concatenate([[0], ends]) * width).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+
+
+def bounds_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and where it ends."""
+    if not len(sorted_keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    return at, np.concatenate([at[1:], [len(sorted_keys)]])
+
+
+def dealt(bucket: np.ndarray, name: str = "bucket", **arrays: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket that occurs: its number, and the entries of parallel arrays as one binary value each."""
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    arrays = {k: v[order] for k, v in arrays.items()}
-    for b in range(buckets):
-        if cuts[b] < cuts[b + 1]:
-            yield b, {k: v[cuts[b] : cuts[b + 1]] for k, v in arrays.items()}
+    bucket = bucket[order]
+    at, ends = bounds_of(bucket)
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), *(packed(v[order], ends) for v in arrays.values())], [name, *arrays])
+
+
+def blob_rows(bucket: np.ndarray, **arrays: np.ndarray):
+    """Each bucket that occurs, with its entries of parallel arrays."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, arrays = bucket[order], {k: v[order] for k, v in arrays.items()}
+    for a, b in zip(*bounds_of(bucket)):
+        yield int(bucket[a]), {k: v[a:b] for k, v in arrays.items()}
+
+
+def unpacked(table: pa.Table, column: str, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of packed arrays as one array, and how many each row has."""
+    parts, counts = [], []
+    for x in table.column(column).chunks:
+        if len(x):
+            off = np.frombuffer(x.buffers()[1], np.int64 if pa.types.is_large_binary(x.type) else np.int32)[x.offset : x.offset + len(x) + 1]
+            data = x.buffers()[2]
+            parts.append(np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind) if data is not None and off[-1] > off[0] else np.zeros(0, kind))
+            counts.append(np.diff(off).astype(np.int64) // np.dtype(kind).itemsize)
+    return (np.concatenate(parts), np.concatenate(counts)) if parts else (np.zeros(0, kind), np.zeros(0, np.int64))
 
 
 def joined(table: pa.Table, column: str, kind) -> np.ndarray:
     """All blobs of a column as one array."""
-    parts = [np.frombuffer(x, kind) for x in table.column(column).to_pylist() if x]
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
+    return unpacked(table, column, kind)[0]
 
 
 def segment(shared: np.ndarray, buckets: int) -> bytes:
@@ -180,17 +246,16 @@ def gather_bloom(parts: DataFrame, buckets: int) -> Bloom:
 def id_bloom(ids: DataFrame, column: str) -> Bloom:
     """A bounded Bloom filter over a bigint column."""
     spark = prepare(ids.sparkSession)
-    buckets = shuffle_parts(spark)
+    buckets = max(shuffle_parts(spark), -(-8 * ids.count() // GROUP_BYTES))
 
     def deal(batches):
         for batch in batches:
             x = mix(np.asarray(batch.column(0)).astype(np.int64).view(np.uint64))
-            rows = list(blob_rows(bucket_of(x, buckets), buckets, x=x))
-            if rows:
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in rows], pa.int32()), "x": pa.array([r["x"].tobytes() for _, r in rows], pa.binary())})
+            if len(x):
+                yield dealt(bucket_of(x, buckets), x=x)
 
     def build(key, table):
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "segment": pa.array([segment(np.unique(joined(table, "x", np.uint64)), buckets)], pa.binary())})
 
-    dealt = ids.where(F.col(column).isNotNull()).select(column).mapInArrow(deal, "bucket int, x binary")
-    return gather_bloom(dealt.groupBy("bucket").applyInArrow(build, "bucket int, segment binary"), buckets)
+    rows = ids.where(F.col(column).isNotNull()).select(column).mapInArrow(deal, "bucket int, x binary")
+    return gather_bloom(by_group(rows, buckets).applyInArrow(build, "bucket int, segment binary"), buckets)
