@@ -1,27 +1,33 @@
 """Exact deduplication over a bucketed cuckoo-filter index of live content digests.
 
-Rows are dealt to buckets by the SHA-256 of their normalised text.  A bucket holds the digests and the content of its live texts, and a
-cuckoo filter in front of them.  A digest the filter does not know is new and needs no look-up; a hit is verified against the digest and
-then the content that the bucket holds.  When an insertion finds no free slot, the filter is rebuilt at twice the size from the stored
-keys.  Deleting the last copy of a text takes its fingerprint out again.
+Rows are dealt to buckets by the SHA-256 of their normalised text.  A bucket inserts the digests into a cuckoo filter, with the digests
+themselves stored beside it: when an insertion finds no free slot, the filter is rebuilt at twice the size from the stored keys.  A digest
+that the filter does not know is new, and its content is never moved.  Hits are verified: the contents of digests that were hit (and the
+few that a bounded Bloom filter over them lets through) are dealt to buckets in order of digest and compared byte by byte.
+
+`replay` runs insertions and deletions in order over the same index, which then also keeps the contents of its bucket.  Deleting the last
+copy of a text takes its fingerprint out of the filter.
 
 Hot groups: each task first runs the index over its own rows, so a text crosses the shuffle once for each task that has it, not once for
 each copy.
 
-Cases: a null text counts as empty.  Null doc_ids take part; a group keeps a null id only if it has no other.  Rows that repeat both
-doc_id and text are one document: all of them have the same verdict.  Extra columns are ignored by `mark` and kept by `deduplicate`.
+Cases: a null text counts as empty.  Null doc_ids take part; a group keeps a null id only if it has no other.  Rows that repeat the doc_id
+that stays all have kept = true in `mark`; `deduplicate` leaves one of them.  An empty table gives no rows.  Texts of any length are
+compared whole.  Extra columns are ignored by `mark` and kept by `deduplicate`, whatever their names.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import SPACE, columns_of, prepare, shuffle_parts
+from helixframe.llm.common import MOST_TASKS, SPACE, columns_of, groups_of, id_bloom, mix, prepare, save, shuffle_parts
 
 SLOTS, MAX_KICKS = 4, 200
+#: Bytes of content, and number of digests, that a task holds before it ships them.
+HELD_BYTES, HELD_DIGESTS = 64 << 20, 500_000
 
 
 class CuckooFilter:
@@ -134,60 +140,149 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """(digest, keep_id, group_size) of each text that more than one row has."""
-    kind = "digest binary, content binary, id long, rows long"
+def _hits(keys: DataFrame, parts: int) -> DataFrame:
+    """(digest) of those that more than one row may have: a bucket's filter knew them already."""
+
+    def local(batches):
+        """Each digest once, and whether this task has it again."""
+        counts: dict[bytes, int] = {}
+        for b in batches:
+            for d in b.column("digest").to_pylist():
+                counts[d] = counts.get(d, 0) + 1
+            if len(counts) > HELD_DIGESTS:
+                yield shipped(counts)
+                counts = {}
+        yield shipped(counts)
+
+    def shipped(counts):
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([n > 1 for n in counts.values()], pa.bool_())], ["digest", "again"])
+
+    def hit(batches):
+        index, told = CuckooIndex(), set()
+        for b in batches:
+            out = []
+            for d, again in zip(b.column("digest").to_pylist(), b.column("again").to_pylist()):
+                if (d in index.filter or again) and d not in told:
+                    told.add(d)
+                    out.append(d)
+                if d not in index.stored:
+                    index.insert(d, b"", None)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["digest"])
+
+    return keys.select("digest").mapInArrow(local, "digest binary, again boolean").repartition(parts, "digest").mapInArrow(hit, "digest binary")
 
-    def batch(entries):
-        cols = list(zip(*entries)) or [()] * 4
-        return pa.RecordBatch.from_pydict({"digest": pa.array(cols[3], pa.binary()), "content": pa.array(cols[0], pa.binary()), "id": pa.array(cols[1], pa.int64()), "rows": pa.array(cols[2], pa.int64())})
 
-    def fill(index, b, pack):
-        counts = b.column("rows").to_pylist() if "rows" in b.schema.names else [1] * b.num_rows
-        for digest, content, doc_id, n in zip(b.column("digest").to_pylist(), b.column("content").to_pylist(), b.column("id").to_pylist(), counts):
-            index.insert(digest, pack(content), doc_id, n)
+def _groups(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(digest, check, keep_id, group_size, keepers) of each text that more than one row has; keepers: rows that have keep_id."""
+    spark = prepare(rows.sparkSession)
+    parts = min(groups_of(rows, "content"), max(MOST_TASKS, shuffle_parts(spark)))
+    head = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
+    hits = save(_hits(keys, parts).select("digest", head.alias("head")), "hits")
+    wanted = spark.sparkContext.broadcast(id_bloom(hits, "head"))
+    kind = "digest binary, check long, content binary, id long, rows long, keepers long"
+    names = [c.split()[0] for c in kind.split(", ")]
+
+    def shipped(entries):
+        cols = list(zip(*entries)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names)
+
+    def add(found, digest, check, content, doc_id, n, keepers):
+        """found: digest to its contents, each [content, check, smallest id, rows, rows with it]."""
+        entry = next((e for e in found.setdefault(digest, []) if e[0] == content), None)
+        if entry is None:
+            found[digest].append([content, check, doc_id, n, keepers])
+            return len(content) + 100
+        entry[3] += n
+        if entry[2] == doc_id:
+            entry[4] += keepers
+        elif doc_id is not None and (entry[2] is None or doc_id < entry[2]):
+            entry[2], entry[4] = doc_id, keepers
+        return 0
+
+    def flat(found):
+        return [(d, check, content, doc_id, n, keepers) for d, entries in found.items() for content, check, doc_id, n, keepers in entries]
 
     def local(batches):
-        index, size = CuckooIndex(), 0
+        found, size = {}, 0
         for b in batches:
-            fill(index, b, zstandard.ZstdCompressor(level=1).compress)
-            size += b.nbytes
-            if size > 128 << 20:
-                yield from parts(index)
-                index, size = CuckooIndex(), 0
-        yield from parts(index)
-
-    def parts(index):
-        found = list(index.entries())
-        for a in range(0, len(found), 2000):
-            yield batch(found[a : a + 2000])
-
-    def merge(batches):
-        index = CuckooIndex()
+            heads = np.asarray(b.column("head")).astype(np.int64)
+            b = b.filter(pa.array(wanted.value.has(mix(heads.view(np.uint64)))))
+            for digest, check, content, doc_id in zip(*(b.column(c).to_pylist() for c in ("digest", "check", "content", "id"))):
+                size += add(found, digest, check, content, doc_id, 1, 1)
+            if size > HELD_BYTES:
+                yield from parts_of(flat(found))
+                found, size = {}, 0
+        yield from parts_of(flat(found))
+
+    def parts_of(entries):
+        for a in range(0, len(entries), 1000):
+            yield shipped(entries[a : a + 1000])
+
+    def verify(batches):
+        """Rows come in order of digest, so only the contents of one digest are held."""
+        found, many = {}, []
         for b in batches:
-            fill(index, b, lambda x: x)
-        many = [e for e in index.entries() if e[2] > 1]
-        for a in range(0, len(many), 10000):
-            yield batch([[None, *e[1:]] for e in many[a : a + 10000]])
+            for row in zip(*(b.column(c).to_pylist() for c in names)):
+                if row[0] not in found:
+                    many += [x for x in flat(found) if x[4] > 1]
+                    found = {}
+                add(found, *row)
+            yield shipped([(d, check, None, *rest) for d, check, _, *rest in many])
+            many = []
+        yield shipped([(d, check, None, *rest) for d, check, _, *rest in flat(found) if rest[1] > 1])
 
-    spark = prepare(rows.sparkSession)
-    met = rows.select("digest", "content", "id").mapInArrow(local, kind).repartition(shuffle_parts(spark), "digest").mapInArrow(merge, kind)
-    return met.select("digest", F.col("id").alias("keep_id"), F.col("rows").alias("group_size"))
+    met = rows.withColumn("head", head).select("digest", "check", "content", "id", "head").mapInArrow(local, kind)
+    met = met.repartition(parts, "digest").sortWithinPartitions("digest").mapInArrow(verify, kind)
+    return met.select("digest", "check", F.col("id").alias("keep_id"), F.col("rows").alias("group_size"), "keepers")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows with the digest of their content, and a second hash: content decides, so equal digests of other contents stay apart."""
+    return rows.withColumn("digest", F.unhex(F.sha2("content", 256))).withColumn("check", F.xxhash64("content"))
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id_col, keep_id, group_size, kept and text_sha256, one row for each input row."""
-    rows = columns_of(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), normalised(F.col("text")).cast("binary").alias("content"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("content", 256)))
-    out = rows.select("id", "digest").join(_groups(rows), "digest", "left")
+    prepare(docs.sparkSession)
+    rows = _keyed(columns_of(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), normalised(F.col("text")).cast("binary").alias("content")))
+    keys = save(rows.select("id", "digest", "check"), "digests")
+    out = keys.join(_groups(rows, keys), ["digest", "check"], "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
     return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    gone = mark(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias(id_col), "text_sha256")
-    out = docs.withColumn("__sha", F.sha2(normalised(F.col(f"`{text_col}`")), 256))
-    same = F.col(f"d.{id_col}").eqNullSafe(F.col(f"g.{id_col}")) & (F.col("d.__sha") == F.col("g.text_sha256"))
-    return out.alias("d").join(gone.alias("g"), same, "left_anti").drop("__sha")
+    """The rows that stay, one of each text, with all their columns."""
+    prepare(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), normalised(F.col(f"`{text_col}`")).cast("binary").alias("content"))
+    rows = _keyed(rows)
+    groups = save(_groups(rows.select("id", "content", "digest", "check"), save(rows.select("digest"), "digests")), "groups")
+    met = rows.drop("content").join(groups, ["digest", "check"], "left").where("group_size IS NULL OR id <=> keep_id")
+    one = met.where("keepers IS NULL OR keepers = 1").select("row.*")
+    again = met.where("keepers > 1").groupBy("digest", "check").agg(F.min_by("row", F.sha2(F.col(f"row.`{text_col}`"), 256)).alias("row")).select("row.*")
+    return one.unionAll(again)
+
+
+def replay(changes: DataFrame, seq_col: str = "seq", op_col: str = "op", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Insertions and deletions of live texts in order of seq: returns seq, op and done, one row for each change.
+
+    done: of an `insert`, whether the text was not live yet; of a `delete`, whether it was, and this was its last copy.  Deleting a text that
+    is not live does nothing; other operations are ignored, as are rows with a null seq.  All changes of a bucket pass through one index,
+    which holds its live contents; buckets have GROUP_BYTES of text on average.
+    """
+    spark = prepare(changes.sparkSession)
+    rows = columns_of(changes, seq=seq_col, op=op_col, id=id_col, text=text_col).where("seq IS NOT NULL AND op IN ('insert', 'delete')")
+    rows = rows.select(F.col("seq").cast("long"), "op", F.col("id").cast("long"), normalised(F.col("text")).cast("binary").alias("content")).withColumn("digest", F.unhex(F.sha2("content", 256)))
+    parts = min(groups_of(rows, "content"), max(MOST_TASKS, shuffle_parts(spark)))
+
+    def run(batches):
+        index = CuckooIndex()
+        for b in batches:
+            done = []
+            for op, doc_id, content, digest in zip(*(b.column(c).to_pylist() for c in ("op", "id", "content", "digest"))):
+                done.append(index.insert(digest, content, doc_id) if op == "insert" else index.find(digest, content) is not None and index.delete(digest, content))
+            yield pa.RecordBatch.from_arrays([b.column("seq"), b.column("op"), pa.array(done, pa.bool_())], ["seq", "op", "done"])
+
+    out = rows.repartition(parts, "digest").sortWithinPartitions("seq").mapInArrow(run, "seq long, op string, done boolean")
+    return out.withColumnsRenamed({"seq": seq_col, "op": op_col})
