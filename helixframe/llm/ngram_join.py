@@ -14,8 +14,10 @@ so it does not emit the pairs within a group.  No link is lost: every pair of cl
 already connected.
 
 Cases: null and empty texts have an empty set, are linked with nothing and are their own component.  Texts with fewer words than a
-shingle are one shingle.  Rows with equal texts are linked.  A component's id is its smallest doc_id; it is null only if all its rows
-have none.  Extra columns are ignored.
+shingle are one shingle.  Rows with equal texts are linked.  Rows with a null doc_id are linked like any others, and link others: rows are
+told apart by a key of id and text, not by id.  A component's id is its smallest doc_id; it is null only if all its rows have none.  A
+doc_id on several rows with different texts stands for each of them.  Similarity at the limit is a link.  An empty table gives no rows.
+Very long texts are read whole.  Extra columns are ignored, and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import Bloom, blob_rows, bucket_of, columns_of, gather_bloom, id_bloom, joined, mix, prepare, save, segment, shuffle_parts, slices
+from helixframe.llm.common import Bloom, blob_rows, bounds_of, bucket_of, by_group, columns_of, dealt, gather_bloom, groups_of, id_bloom, joined, mix, prepare, save, segment, shuffle_parts, slices, unpacked
 from helixframe.llm.components import components
 from helixframe.llm.wordhash import runs, words
 
@@ -42,6 +44,8 @@ BLOCK_BYTES = 16 << 20
 PIVOT_ROWS = 256
 #: Shingles that a task holds before it ships them.
 FLUSH = 4_000_000
+#: Rows by which a task knows repeated ones.
+KNOWN_ROWS = 1_000_000
 
 
 def shingle_sets(data, offsets, k):
@@ -95,7 +99,7 @@ def _binary(*arrays):
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, set_key, sketch) of each document."""
+    """(id, row_key, n, set_key, sketch) of each document."""
 
     def scan(batches):
         for batch in batches:
@@ -108,9 +112,9 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
             if n:
                 flat = pa.array(np.concatenate(sketch).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SKETCHES, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(n)), pa.array(np.concatenate(key)), lists], ["id", "n", "set_key", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row_key"), pa.array(np.concatenate(n)), pa.array(np.concatenate(key)), lists], ["id", "row_key", "n", "set_key", "sketch"])
 
-    return docs.select("id", "text").mapInArrow(scan, "id long, n int, set_key long, sketch array<long>")
+    return docs.mapInArrow(scan, "id long, row_key long, n int, set_key long, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -119,19 +123,23 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_ROWS).cast("int").alias("parts"))
     partner = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("set_key"))
     pivot = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("set_key"))
-    need = save(pivot.unionByName(partner).join(classes.select("set_key", "id"), "set_key"), "pairs")
-    wanted = spark.sparkContext.broadcast(id_bloom(need.select("id").distinct(), "id"))
+    need = save(pivot.unionByName(partner).join(classes.select("set_key", "row_key"), "set_key"), "pairs")
+    wanted = spark.sparkContext.broadcast(id_bloom(need.select("row_key").distinct(), "row_key"))
 
     def pick(batches):
+        """The texts that are wanted; of rows that repeat both id and text, one for each KNOWN_ROWS."""
+        seen = set()
         for batch in batches:
-            ids = np.asarray(batch.column("id")).astype(np.int64).view(np.uint64)
-            batch = batch.filter(pa.array(wanted.value.has(mix(ids))))
-            keys = [set_keys(*shingle_sets(data, off, k)) for _, _, data, off in slices(batch, "text")]
-            if keys:
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(keys)), batch.column("text")], ["id", "set_key", "text"])
-
-    texts = docs.where("id IS NOT NULL").select("id", "text").mapInArrow(pick, "id long, set_key long, text binary")
-    laid = need.join(texts, ["id", "set_key"]).select("a", "part", "role", "set_key", "text")
+            keys = np.asarray(batch.column("row_key")).astype(np.int64)
+            new = wanted.value.has(mix(keys.view(np.uint64)))
+            for i in np.flatnonzero(new):
+                new[i] = keys[i] not in seen
+                seen.add(keys[i])
+            seen = seen if len(seen) < KNOWN_ROWS else set()
+            yield batch.filter(pa.array(new))
+
+    texts = docs.select("row_key", "text").mapInArrow(pick, "row_key long, text binary")
+    laid = need.join(texts, "row_key").select("a", "part", "role", "set_key", "text")
     laid = laid.repartition(shuffle_parts(spark), "a", "part").sortWithinPartitions("a", "part", "role")
 
     def compare(batches):
@@ -153,17 +161,6 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     return laid.mapInArrow(compare, "a long, b long")
 
 
-def _pack(t: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
-    """Sorted 32-bit values as differences, by bytes: those seldom set compress away."""
-    d = np.diff(t, prepend=t[:1])
-    return t[:1].tobytes(), (d & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), (d >> np.uint64(16) & np.uint64(0xFF)).astype(np.uint8).tobytes(), (d >> np.uint64(24)).astype(np.uint16).tobytes()
-
-
-def _unpack(first, low, mid, high) -> np.ndarray:
-    d = np.frombuffer(low, np.uint16).astype(np.uint64) | np.frombuffer(mid, np.uint8).astype(np.uint64) << np.uint64(16) | np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(24)
-    return np.cumsum(d) + np.frombuffer(first, np.uint64)[0]
-
-
 class Classes:
     """Class of a shingle: 0 if only one set has it, 1 if several do, 2 if many do."""
 
@@ -196,9 +193,12 @@ def _classes(docs: DataFrame, k: int, buckets: int) -> Classes:
             at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             many = np.diff(np.concatenate([at, [len(t)]])) > 1
             t = np.sort(np.concatenate([t[at], t[at][many]]))
-            for b, x in blob_rows(bucket_of(t, buckets), buckets, t=t & np.uint64(0xFFFFFFFF)):
-                first, low, mid, high = ([y] for y in _pack(x["t"]))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32())} | {c: pa.array(v, pa.binary()) for c, v in (("first", first), ("low", low), ("mid", mid), ("high", high))})
+            bucket = bucket_of(t, buckets)
+            first, _ = bounds_of(bucket)
+            low = t & np.uint64(0xFFFFFFFF)
+            step = np.diff(low, prepend=low[:1])  # differences by halves: the high ones compress away
+            step[first] = low[first]
+            yield dealt(bucket, low=step.astype(np.uint16), high=(step >> np.uint64(16)).astype(np.uint16))
 
         for batch in batches:
             for _, _, data, off in slices(batch, "text"):
@@ -219,8 +219,10 @@ def _classes(docs: DataFrame, k: int, buckets: int) -> Classes:
             yield from flush()
 
     def build(key, table):
-        blobs = zip(*(table.column(c).to_pylist() for c in ("first", "low", "mid", "high")))
-        t = np.sort(np.concatenate([_unpack(*x) for x in blobs]))
+        low, n = unpacked(table, "low", np.uint16)
+        t = np.cumsum(low.astype(np.uint64) | joined(table, "high", np.uint16).astype(np.uint64) << np.uint64(16))
+        begin = np.cumsum(n) - n
+        t = np.sort(t - np.repeat(np.where(begin > 0, t[begin - 1], np.uint64(0)), n))
         at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         count = np.diff(np.concatenate([at, [len(t)]]))
         b = key[0].as_py()
@@ -228,8 +230,8 @@ def _classes(docs: DataFrame, k: int, buckets: int) -> Classes:
         t = t[at] | top
         return pa.table({"bucket": pa.array([b], pa.int32()), "shared": pa.array([segment(t[count > 1], buckets)], pa.binary()), "common": pa.array([segment(t[count >= COMMON_FROM], buckets)], pa.binary())})
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, first binary, low binary, mid binary, high binary")
-    rows = dealt.groupBy("bucket").applyInArrow(build, "bucket int, shared binary, common binary").collect()  # twice BLOOM_BYTES at most
+    steps = docs.select("text").mapInArrow(deal, "bucket int, low binary, high binary")
+    rows = by_group(steps, buckets).applyInArrow(build, "bucket int, shared binary, common binary").collect()  # twice BLOOM_BYTES at most
     return Classes(Bloom({r["bucket"]: bytes(r["shared"]) for r in rows}, buckets), Bloom({r["bucket"]: bytes(r["common"]) for r in rows}, buckets))
 
 
@@ -242,7 +244,7 @@ def _cross_pairs(docs: DataFrame, known: DataFrame, k: int, percent: int, bucket
         """The shared part of the prefixes of each set, one order after the other."""
         for batch in batches:
             ids, keys, n, toks, sketches, i = [], [], [], [], [], 0
-            all_ids = batch.column("id").to_pylist()
+            all_ids = batch.column("row_key").to_pylist()
             for _, _, data, off in slices(batch, "text"):
                 x, at = shingle_sets(data, off, k)
                 if not len(x):
@@ -266,13 +268,14 @@ def _cross_pairs(docs: DataFrame, known: DataFrame, k: int, percent: int, bucket
                     n.append(int(sizes[j]))
                     toks.append(np.stack(found).tobytes())
                 i += len(at) - 1
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int32()), "set_key": pa.array(keys, pa.int64()), "toks": pa.array(toks, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"row_key": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int32()), "set_key": pa.array(keys, pa.int64()), "toks": pa.array(toks, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
 
-    picked = docs.where("id IS NOT NULL").select("id", "text").mapInArrow(pick, "id long, n int, set_key long, toks binary, sketch binary")
-    picked = save(picked.join(known, ["id", "set_key"]).select("set_key", "n", "comp", "toks", "sketch"), "prefixes")
+    picked = docs.select("row_key", "text").mapInArrow(pick, "row_key long, n int, set_key long, toks binary, sketch binary")
+    picked = save(picked.join(known.select("row_key", "comp"), "row_key").select("set_key", "n", "comp", "toks", "sketch"), "prefixes")
     size = picked.agg(F.sum(F.length("toks"))).first()[0] or 0
-    crossing = spark.sparkContext.broadcast(_crossing(picked, buckets))
     blocks = max(8, -(-size // BLOCK_BYTES))
+    buckets = max(shuffle_parts(spark), blocks)
+    crossing = spark.sparkContext.broadcast(_crossing(picked, buckets))
 
     def spread(batches):
         """Postings of the tokens that may lead to another component, for sets that have one under each order."""
@@ -290,7 +293,7 @@ def _cross_pairs(docs: DataFrame, known: DataFrame, k: int, percent: int, bucket
             t, order, row = t[some], order[some], row[some]
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(len(per_set), -1)
             cols = {c: np.asarray(batch.column(c)).astype(np.int64) for c in ("set_key", "n", "comp")}
-            for b, x in blob_rows(order * blocks + bucket_of(mix(t, 31), blocks), ORDERS * blocks, t=t, row=row):
+            for b, x in blob_rows(order * blocks + bucket_of(mix(t, 31), blocks), t=t, row=row):
                 used, inside = np.unique(x["row"], return_inverse=True)
                 blobs = _binary(x["t"], inside.astype(np.uint32), *(v[used] for v in cols.values()), sketch[used])
                 yield pa.RecordBatch.from_arrays([pa.array([b // blocks], pa.int32()), pa.array([b % blocks], pa.int32()), *blobs], ["order", "block", "t", "row", "set_key", "n", "comp", "sketch"])
@@ -327,9 +330,8 @@ def _cross_pairs(docs: DataFrame, known: DataFrame, k: int, percent: int, bucket
             if held > 500_000:
                 found, held = [np.unique(np.concatenate(found), axis=0)], 0
         out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        rows = list(blob_rows(bucket_of(mix(out[:, 0].copy().view(np.uint64), 32), buckets), buckets, a=out[:, 0], b=out[:, 1]))
-        packed = [pa.array([x[1][c].tobytes() for x in rows], pa.binary()) for c in "ab"]
-        return pa.table([pa.array([x[0] for x in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), *packed], ["to", "order", "a", "b"])
+        found = dealt(bucket_of(mix(out[:, 0].copy().view(np.uint64), 32), buckets), "to", a=out[:, 0], b=out[:, 1])
+        return pa.Table.from_batches([found]).append_column("order", pa.array([key[0].as_py()] * len(found), pa.int32()))
 
     def intersect(table):
         """The pairs that every order has."""
@@ -342,8 +344,8 @@ def _cross_pairs(docs: DataFrame, known: DataFrame, k: int, percent: int, bucket
         return pa.table({"a": pa.array(out[:, 0].copy()), "b": pa.array(out[:, 1].copy())})
 
     laid = picked.mapInArrow(spread, "order int, block int, t binary, row binary, set_key binary, n binary, comp binary, sketch binary")
-    found = laid.groupBy("order", "block").applyInArrow(pairs, "to int, order int, a binary, b binary")
-    return found.groupBy("to").applyInArrow(intersect, "a long, b long")
+    found = laid.groupBy("order", "block").applyInArrow(pairs, "to int, a binary, b binary, order int")
+    return by_group(found, buckets, "to").applyInArrow(intersect, "a long, b long")
 
 
 def _postings(per_set, width):
@@ -371,8 +373,7 @@ def _crossing(picked: DataFrame, buckets: int) -> Bloom:
             end = np.concatenate([at[1:], [len(t)]]) - 1
             end = end[c[end] != c[at]]
             t, c = np.concatenate([t[at], t[end]]), np.concatenate([c[at], c[end]])
-            for b, x in blob_rows(bucket_of(t, buckets), buckets, t=t, c=c):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *_binary(x["t"], x["c"])], ["bucket", "t", "c"])
+            yield dealt(bucket_of(t, buckets), t=t, c=c)
 
         for batch in batches:
             per_set = [np.frombuffer(x, np.uint64) for x in batch.column("toks").to_pylist()]
@@ -395,37 +396,59 @@ def _crossing(picked: DataFrame, buckets: int) -> Bloom:
         many = np.minimum.reduceat(c, at) != np.maximum.reduceat(c, at)
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "segment": pa.array([segment(t[at][many], buckets)], pa.binary())})
 
-    dealt = picked.select("toks", "comp").mapInArrow(deal, "bucket int, t binary, c binary")
-    return gather_bloom(dealt.groupBy("bucket").applyInArrow(build, "bucket int, segment binary"), buckets)
+    tokens = picked.select("toks", "comp").mapInArrow(deal, "bucket int, t binary, c binary")
+    return gather_bloom(by_group(tokens, buckets).applyInArrow(build, "bucket int, segment binary"), buckets)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """Returns id_col, n_shingles and component_id, one row for each input row: documents are linked if 100 |A and B| >= percent |A or B|."""
-    spark = prepare(docs.sparkSession)
+def _components(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, row_key, n, root, component_id, stands) of rows (id, row_key, text); root, the component's set key, is null for empty sets.
+
+    stands: the row_key of the one row that stands for the component, that with its smallest id.
+    """
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1..100")
-    rows = columns_of(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("binary").alias("text"))
     sets = save(_describe(rows, k), "sets")
 
-    # Equal sets are one class, and the text of its smallest id is read for it.
-    classes = save(sets.where("n > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "classes")
+    # Equal sets are one class, and the text of one row is read for it: that with the smallest id, if one has any.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("first")
+    classes = sets.where("n > 0").groupBy("set_key").agg(first, F.first("sketch").alias("sketch")).select("set_key", "first.id", "first.row_key", "sketch")
+    classes = save(classes, "classes")
     hashed = classes.select("set_key", "id", F.posexplode("sketch").alias("j", "h"))
-    least = hashed.groupBy("j", "h").agg(F.min_by("set_key", F.struct("id", "set_key")).alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
+    least = hashed.groupBy("j", "h").agg(F.min_by("set_key", F.struct(F.col("id").isNull(), "id", "set_key")).alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
     star = hashed.join(least, ["j", "h"]).where("a != set_key").select("a", F.col("set_key").alias("b")).distinct()
     comp = components(_verified(star, classes, rows, k, percent))
-    known = save(classes.join(comp, classes["set_key"] == comp["node"], "left").select("set_key", "id", F.coalesce("root", "set_key").alias("comp")), "known")
+    known = save(classes.join(comp, classes["set_key"] == comp["node"], "left").select("set_key", "id", "row_key", F.coalesce("root", "set_key").alias("comp")), "known")
 
-    cross = _cross_pairs(rows, known, k, percent, shuffle_parts(spark))
+    cross = _cross_pairs(rows, known, k, percent, groups_of(rows))
     links = known.select(F.col("set_key").alias("a"), F.col("comp").alias("b")).where("a != b").unionByName(_verified(cross, classes, rows, k, percent))
     comp = components(links)
-    final = known.join(comp, known["set_key"] == comp["node"], "left").select("set_key", "id", F.coalesce("root", "set_key").alias("root"))
-    final = final.join(final.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("set_key", "component_id")
-    out = sets.select("id", "n", "set_key").join(final, "set_key", "left")
-    found = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), found.alias("component_id"))
+    final = known.join(comp, known["set_key"] == comp["node"], "left").select("set_key", "id", "row_key", F.coalesce("root", "set_key").alias("root"))
+    of_root = final.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("first"))
+    final = final.join(of_root, "root").select("set_key", "root", F.col("first.id").alias("component_id"), F.col("first.row_key").alias("stands"))
+    empty = F.col("n") == 0
+    out = sets.drop("sketch").join(final, "set_key", "left")
+    return out.select("id", "row_key", "n", F.when(~empty, F.col("root")).alias("root"), F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(~empty, F.col("stands")).alias("stands"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = columns_of(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("binary").alias("text"))
+    return rows.select("id", F.xxhash64("id", "text").alias("row_key"), "text")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """Returns id_col, n_shingles and component_id, one row for each input row: documents are linked if 100 |A and B| >= percent |A or B|."""
+    prepare(docs.sparkSession)
+    out = _components(_rows(docs, id_col, text_col), k, percent)
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """All columns of the documents that stand for their component: the one with its smallest id.  Rows with a null id stay."""
-    gone = jaccard_components(docs, id_col, text_col, k, percent).where(f"`{id_col}` != component_id").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """All columns of the documents that stand for their component, one for each: that with its smallest id.  Documents without words stay."""
+    prepare(docs.sparkSession)
+    out = save(_components(_rows(docs, id_col, text_col), k, percent), "components")
+    gone = out.where("row_key != stands").select("row_key").distinct()
+    again = out.where("row_key = stands").groupBy("row_key").agg(F.count("*").alias("rows")).where("rows > 1").select("row_key")
+    text = F.col(f"`{text_col}`").cast("binary")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(f"`{id_col}`").cast("long"), text).alias("row_key")).join(gone, "row_key", "left_anti")
+    one = rows.join(again, "row_key", "left_anti").select("row.*")
+    return one.unionAll(rows.join(again, "row_key", "left_semi").groupBy("row_key").agg(F.first("row").alias("row")).select("row.*"))
