@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.bpe import codec
-from helixframe.llm.common import columns_of, prepare, save
+from helixframe.llm.common import columns_of, joined, packed, prepare, save, unpacked
 
 
 def bucket_bounds(histogram: dict[int, int], buckets: int) -> list[int]:
@@ -73,7 +73,7 @@ def _batches(rows: DataFrame, buckets: int, budget: int, shard_rows: int, max_le
     )
 
 
-def pack(sizes: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", max_len: int = 2048, buckets: int = 8, budget: int = 65536, shard_rows: int = 200_000) -> DataFrame:
+def pack(sizes: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", max_len: int = 2048, buckets: int = 8, budget: int = 65536, shard_rows: int = 20_000) -> DataFrame:
     """Returns id_col, length_col, piece, piece_len, bucket_len, shard, batch (number inside bucket and shard), slot and padding, one row for each piece."""
     rows = sizes.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{length_col}`"), F.lit(0)).cast("long").alias("n"))
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / max_len).cast("int") - 1)
@@ -83,13 +83,13 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens",
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = 2048) -> DataFrame:
-    """(id, n, piece, piece_len, ids): the token ids of whole texts, cut into pieces of at most max_len."""
+    """(id, n, piece, piece_len, ids): the token ids of whole texts, cut into pieces of at most max_len; ids packed in 2 bytes each, or 4 where a vocabulary is larger."""
     prepare(docs.sparkSession)
 
     def work(batches):
         c = codec(path, pattern)
         for b in batches:
-            coded = [np.array(c.encode(x or ""), np.int32) for x in b.column("text").to_pylist()]
+            coded = [np.array(c.encode(x or ""), np.uint16 if c.encoding.max_token_value < 1 << 16 else np.int32) for x in b.column("text").to_pylist()]
             if not coded:
                 continue
             n = np.array([len(x) for x in coded], np.int64)
@@ -97,14 +97,26 @@ def pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             row = np.repeat(np.arange(len(n)), count)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             size = np.minimum(max_len, n[row] - piece * max_len).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(coded)))
+            ids = packed(np.concatenate(coded), np.cumsum(size, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(n[row]), pa.array(piece.astype(np.int32)), pa.array(size), ids], ["id", "n", "piece", "piece_len", "ids"])
 
     rows = columns_of(docs, id=id_col, text=text_col).selectExpr("cast(id as long) id", "text")
-    return rows.mapInArrow(work, "id long, n long, piece int, piece_len int, ids array<int>")
+    return rows.mapInArrow(work, "id long, n long, piece int, piece_len int, ids binary")
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = 2048, buckets: int = 8, budget: int = 65536, shard_rows: int = 200_000) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = 2048, buckets: int = 8, budget: int = 65536, shard_rows: int = 20_000) -> DataFrame:
     """Encode whole texts, once, and pack their pieces.  Returns what `pack` returns (lengths as n_tokens), and ids, the tokens of the piece."""
     rows = save(pieces(docs, path, pattern, id_col, text_col, max_len), "pieces")
-    return _batches(rows, buckets, budget, shard_rows, max_len).withColumnsRenamed({"id": id_col, "n": "n_tokens"})
+    out = _batches(rows, buckets, budget, shard_rows, max_len)
+
+    def unpack(batches):
+        for b in batches:
+            size = np.asarray(b.column("piece_len")).astype(np.int64)
+            table = pa.Table.from_batches([b.select(["ids"])])
+            width = int(unpacked(table, "ids", np.uint8)[1].sum() // max(size.sum(), 1))
+            ids = joined(table, "ids", np.int32 if width == 4 else np.uint16).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(ids))
+            yield b.set_column(b.schema.get_field_index("ids"), "ids", lists)
+
+    kinds = ", ".join(f"{f.name} {'array<int>' if f.name == 'ids' else f.dataType.simpleString()}" for f in out.schema)
+    return out.mapInArrow(unpack, kinds).withColumnsRenamed({"id": id_col, "n": "n_tokens"})
