@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm import exact_dedup, ngram_join, packing, quality_rules, secrets
-from helixframe.llm.common import prepare, save
+from helixframe.llm.common import drop_others, prepare, save, written
 from helixframe.llm.queries import PATTERN, RANKS
 
 
@@ -30,7 +30,7 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all texts, with their buckets and batches."""
+    """The tokens of all texts, in pieces, with their buckets and batches."""
     return packing.pack_documents(docs, RANKS, PATTERN)
 
 
@@ -41,9 +41,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written and read again."""
+    """All stages over `documents`, each written and read again.  Of the tables written on the way only the last stays."""
     prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, stage in STAGES:
         docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_others(spark, before, docs)
     return docs
