@@ -12,6 +12,9 @@ they are read.  So a passage in a third of all documents costs a posting for eac
 
 Groups hold the postings of GROUP_BYTES of text on average, so a larger table has more groups, not larger ones.
 
+Work saver: a first pass over the anchors alone finds those that two documents have, as a Bloom filter of bounded size; postings of other
+anchors need not be shipped.  No result depends on it: a filter that has reached its bound lets more postings through, at most all.
+
 Cases: null and empty texts, and texts shorter than a window, have no repeats.  Rows with a null doc_id are never marked and never mark
 others.  Rows with equal doc_id, or repeated ones, are each judged by themselves, against smaller ids only.  Of several places in smaller
 documents the first of the smallest id that a seed met is reported.  Texts of any length are read whole, an empty table gives no rows,
@@ -26,12 +29,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import bounds_of, bucket_of, by_group, columns_of, dealt, groups_of, joined, mix, packed, prepare, slices, unpacked
+from helixframe.llm.common import Bloom, bounds_of, bucket_of, by_group, columns_of, dealt, gather_bloom, groups_of, joined, mix, packed, prepare, segment, slices, unpacked
 from helixframe.llm.wordhash import runs, sliding_min, words
 
 ANCHOR_WORDS = 5
 #: Windows that a task holds before it settles and ships them.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 _SEEDS = "bucket int, anchor binary, win binary, row binary, at binary, ids binary, keys binary"
 _MET = "to int, id binary, row_key binary, at binary, of binary, shift binary"
 _REPEATS = "array<struct<start:int,end:int,of:bigint,of_start:int>>"
@@ -62,10 +65,50 @@ def _met(to, ids, keys, at, of, shift) -> pa.RecordBatch:
     return dealt(to, "to", id=ids, row_key=keys, at=at.astype(np.uint32), of=of, shift=shift.astype(np.int32))
 
 
+def shared_anchors(docs: DataFrame, length: int, groups: int) -> Bloom:
+    """The anchors that windows of two documents have.  A task ships an anchor once, or twice if two documents there have it."""
+
+    def deal(batches):
+        seen, rows, base, held = [], [], 0, 0
+
+        def flush():
+            a, r = np.concatenate(seen), np.concatenate(rows)
+            order = np.argsort(a, kind="stable")
+            a, r = a[order], r[order]
+            at, end = bounds_of(a)
+            again = np.minimum.reduceat(r, at) != np.maximum.reduceat(r, at)
+            a = np.concatenate([a[at], a[at][again]])
+            return dealt(bucket_of(a, groups), a=a)
+
+        for batch in batches:
+            for a, b, data, off in slices(batch, "text"):
+                row, _, _, anchor = _windows(data, off, length)
+                if len(anchor):
+                    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
+                    seen.append(anchor[new])
+                    rows.append(row[new] + base)
+                    held += len(new)
+                base += b - a
+            if held >= FLUSH:
+                yield flush()
+                seen, rows, held = [], [], 0
+        if held:
+            yield flush()
+
+    def build(key, table):
+        a = np.sort(joined(table, "a", np.uint64))
+        same = np.concatenate([a[1:] == a[:-1], [False]])
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "segment": pa.array([segment(np.unique(a[same]), groups)], pa.binary())})
+
+    found = docs.where("id IS NOT NULL").select("text").mapInArrow(deal, "bucket int, a binary")
+    return gather_bloom(by_group(found, groups).applyInArrow(build, "bucket int, segment binary"), groups)
+
+
 def repeats(docs: DataFrame, length: int) -> DataFrame:
     """(id, row_key, repeats) of the rows (id, row_key, text) that have a window that also starts in a document with a smaller id."""
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     groups = groups_of(docs)
+    shared = spark.sparkContext.broadcast(shared_anchors(docs, length, groups))
 
     def deal(batches):
         """Postings by the group of their anchor; with no anchor: windows that are settled here, by the group of their row."""
@@ -73,7 +116,9 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
         n = base = 0
 
         def flush():
-            anchor, win, row, at, ids, keys = map(np.concatenate, held.values())
+            anchor, win, row, at, ids, keys = (np.concatenate(held[c]) for c in held)
+            for x in held.values():
+                x.clear()
             order, late, first = _extended(anchor, win, ids[row], at)
             near = np.flatnonzero(late)
             near = near[np.argsort(order[near], kind="stable")]  # back to the order of rows and places: neighbours compress
@@ -99,9 +144,10 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
             held["keys"].append(np.asarray(batch.column("row_key")).astype(np.int64))
             for a, _, data, off in slices(batch, "text"):
                 row, at, win, anchor = _windows(data, off, length)
-                for c, x in (("anchor", anchor), ("win", win), ("row", row + a + base), ("at", at)):
+                keep = np.flatnonzero(shared.value.has(anchor))
+                for c, x in (("anchor", anchor[keep]), ("win", win[keep]), ("row", (row[keep] + a + base).astype(np.int32)), ("at", at[keep].astype(np.int32))):
                     held[c].append(x)
-                n += len(row)
+                n += len(keep)
             base += batch.num_rows
             if n >= FLUSH:
                 yield from flush()
