@@ -172,10 +172,14 @@ def _hits(keys: DataFrame, parts: int) -> DataFrame:
     return keys.select("digest").mapInArrow(local, "digest binary, again boolean").repartition(parts, "digest").mapInArrow(hit, "digest binary")
 
 
-def _groups(rows: DataFrame, keys: DataFrame) -> DataFrame:
+def _parts(docs: DataFrame, text_col: str) -> int:
+    """Buckets, each of GROUP_BYTES of text on average up to MOST_TASKS."""
+    return min(groups_of(docs, f"`{text_col}`"), max(MOST_TASKS, shuffle_parts(docs.sparkSession)))
+
+
+def _groups(rows: DataFrame, keys: DataFrame, parts: int) -> DataFrame:
     """(digest, check, keep_id, group_size, keepers) of each text that more than one row has; keepers: rows that have keep_id."""
     spark = prepare(rows.sparkSession)
-    parts = min(groups_of(rows, "content"), max(MOST_TASKS, shuffle_parts(spark)))
     head = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
     hits = save(_hits(keys, parts).select("digest", head.alias("head")), "hits")
     wanted = spark.sparkContext.broadcast(id_bloom(hits, "head"))
@@ -246,7 +250,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     prepare(docs.sparkSession)
     rows = _keyed(columns_of(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), normalised(F.col("text")).cast("binary").alias("content")))
     keys = save(rows.select("id", "digest", "check"), "digests")
-    out = keys.join(_groups(rows, keys), ["digest", "check"], "left")
+    out = keys.join(_groups(rows, keys, _parts(docs, text_col)), ["digest", "check"], "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
     return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
@@ -257,7 +261,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prepare(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), normalised(F.col(f"`{text_col}`")).cast("binary").alias("content"))
     rows = _keyed(rows)
-    groups = save(_groups(rows.select("id", "content", "digest", "check"), save(rows.select("digest"), "digests")), "groups")
+    groups = save(_groups(rows.select("id", "content", "digest", "check"), save(rows.select("digest"), "digests"), _parts(docs, text_col)), "groups")
     met = rows.drop("content").join(groups, ["digest", "check"], "left").where("group_size IS NULL OR id <=> keep_id")
     one = met.where("keepers IS NULL OR keepers = 1").select("row.*")
     again = met.where("keepers > 1").groupBy("digest", "check").agg(F.min_by("row", F.sha2(F.col(f"row.`{text_col}`"), 256)).alias("row")).select("row.*")
@@ -271,10 +275,10 @@ def replay(changes: DataFrame, seq_col: str = "seq", op_col: str = "op", id_col:
     is not live does nothing; other operations are ignored, as are rows with a null seq.  All changes of a bucket pass through one index,
     which holds its live contents; buckets have GROUP_BYTES of text on average.
     """
-    spark = prepare(changes.sparkSession)
+    prepare(changes.sparkSession)
     rows = columns_of(changes, seq=seq_col, op=op_col, id=id_col, text=text_col).where("seq IS NOT NULL AND op IN ('insert', 'delete')")
     rows = rows.select(F.col("seq").cast("long"), "op", F.col("id").cast("long"), normalised(F.col("text")).cast("binary").alias("content")).withColumn("digest", F.unhex(F.sha2("content", 256)))
-    parts = min(groups_of(rows, "content"), max(MOST_TASKS, shuffle_parts(spark)))
+    parts = _parts(changes, text_col)
 
     def run(batches):
         index = CuckooIndex()
