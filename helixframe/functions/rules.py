@@ -56,9 +56,13 @@ def _unit(x: Column) -> Column:
 
 
 def homopolymer(strand: Column, table: str = "four_strict") -> Column:
-    values = HOMOPOLYMERS[table]
-    run = S.longest_run(strand)
-    return F.when(run >= len(values), 1.0).otherwise(F.element_at(F.array(*map(F.lit, values)), run.cast("int") + 1))
+    """Chance by the longest run of one base: a search for each length at which the chance changes, from the longest on."""
+    values = [*HOMOPOLYMERS[table], 1.0]
+    out = None
+    for n in sorted((i for i in range(1, len(values)) if values[i] != values[i - 1]), reverse=True):
+        fits = strand.rlike("|".join(f"{b}{{{n}}}" for b in S.BASES))
+        out = F.when(fits, values[n]) if out is None else out.when(fits, values[n])
+    return F.lit(values[0]) if out is None else out.otherwise(F.lit(values[0]))
 
 
 def gc_band(percent: Column, low: float = 30, high: float = 70) -> Column:
@@ -75,8 +79,25 @@ def windowed_gc(strand: Column, window: int = 50, low: float = 30, high: float =
     return F.array_max(F.transform(at, lambda i: gc_band(S.gc_percent(F.substring(strand, i + 1, F.lit(window))), low, high)))
 
 
+def _sharing(known: list[tuple[str, float]], k: int = 8) -> list[tuple[str, list]]:
+    """The motifs by a piece of k bases that as many of them as possible have; without such a piece, by themselves."""
+    out, left = [], list(known)
+    while left:
+        pieces = {}
+        for m in left:
+            for piece in {m[0][i : i + k] for i in range(len(m[0]) - k + 1)}:
+                pieces.setdefault(piece, []).append(m)
+        piece, some = max(sorted(pieces.items()), key=lambda x: len(x[1]), default=(left[0][0], left[:1]))
+        some = some if len(some) > 1 else left[:1]
+        out.append((piece if len(some) > 1 else some[0][0], some))
+        left = [m for m in left if m not in some]
+    return out
+
+
 def motifs(strand: Column) -> Column:
-    return F.least(F.lit(1.0), _sum([F.when(strand.contains(m), p).otherwise(0.0) for m, p in MOTIFS]))
+    """Sum of the weights of the motifs that a strand has, at most 1.  Motifs are looked for only where a piece that they share is."""
+    each = lambda known: _sum([F.when(strand.contains(m), p).otherwise(0.0) for m, p in known])
+    return F.least(F.lit(1.0), _sum([F.when(strand.contains(piece), each(known)).otherwise(0.0) for piece, known in _sharing(MOTIFS)]))
 
 
 def iupac_pattern(motif: str) -> str:

@@ -1,9 +1,11 @@
-"""Nucleotide strands as string columns: built-in expressions only, so that they stay in generated code."""
+"""Nucleotide strands as string columns: built-in expressions, and NumPy over Arrow batches where k-mers of a strand are compared."""
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,21 +18,29 @@ def pair(digit: int) -> str:
     return BASES[digit >> 2] + BASES[digit & 3]
 
 
+def _blocks(text: Column, width: int, change) -> Column:
+    """Consecutive blocks of a string, changed one by one and joined."""
+    at = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / width).cast("int"))
+    whole = F.array_join(F.transform(at, lambda i: change(F.substring(text, i * width + 1, F.lit(width)))), "")
+    return F.when(F.length(text) > 0, whole).otherwise(text)
+
+
 def hex_to_strand(digits: Column) -> Column:
-    """Lower-case hexadecimal digits as bases."""
-    return reduce(lambda c, i: F.replace(c, F.lit(HEX[i]), F.lit(pair(i))), range(16), digits)
+    """Hexadecimal digits as bases: numbers of 64 bits at a time, written in base four."""
+    fours = _blocks(digits, 16, lambda x: F.lpad(F.conv(x, 16, 4), 2 * F.length(x), F.lit("0")))
+    return F.translate(fours, "0123", BASES)
 
 
 def to_strand(data: Column) -> Column:
     """Bytes as bases, four for each, high bits first."""
-    return hex_to_strand(F.lower(F.hex(data)))
+    return hex_to_strand(F.hex(data))
 
 
 def from_strand(strand: Column) -> Column:
     """The bytes of a strand; null if it isn't whole bytes of A, C, G and T."""
-    marked = F.regexp_replace(strand, "(..)", "$1|")
-    digits = reduce(lambda c, i: F.replace(c, F.lit(pair(i) + "|"), F.lit(HEX[i])), range(16), marked)
-    return F.when(strand.rlike("^(?:[ACGT]{4})*$"), F.unhex(digits))
+    legal = (F.length(strand) % 4 == 0) & (F.length(F.translate(strand, BASES, "")) == 0)
+    fours = F.translate(F.when(legal, strand), BASES, "0123")
+    return F.unhex(_blocks(fours, 32, lambda x: F.lpad(F.conv(x, 4, 16), (F.length(x) / 2).cast("int"), F.lit("0"))))
 
 
 def reverse_complement(strand: Column) -> Column:
@@ -58,16 +68,65 @@ def kmers(strand: Column, k: int) -> Column:
     return F.transform(at, lambda i: F.substring(strand, i, F.lit(k)))
 
 
+_CODE = np.full(256, 4, np.uint8)
+_CODE[list(b"ACGT")] = range(4)
+
+
+def distinct_in(strands: list[str | None], k: int) -> np.ndarray:
+    """Number of different k-mers of each strand: all strands of a batch laid end to end, k-mers as numbers, sorted once."""
+    out = np.zeros(len(strands), np.int64)
+    some = [i for i, s in enumerate(strands) if s is not None and len(s) >= k]
+    odd = [i for i in some if k > 31 or not strands[i].isascii()]  # by strings, as are letters that are no bases
+    some = sorted(set(some) - set(odd)) if odd else some
+    if some:
+        data = _CODE[np.frombuffer("".join([strands[i] for i in some]).encode(), np.uint8)]
+        row = np.repeat(np.arange(len(some)), [len(strands[i]) for i in some])
+        odd += [some[i] for i in np.unique(row[data > 3])]
+        n, value = len(data) - k + 1, np.zeros(len(data) - k + 1, np.uint64)
+        for j in range(k):
+            value = value << np.uint64(2) | data[j : j + n] & np.uint8(3)
+        inside = row[:n] == row[k - 1 :]
+        value, row = value[inside], row[:n][inside]
+        if 2 * k + len(some).bit_length() <= 64:
+            value = np.sort(value | row.astype(np.uint64) << np.uint64(2 * k))
+            new = np.concatenate([[True], value[1:] != value[:-1]])
+            row = (value >> np.uint64(2 * k)).astype(np.int64)
+        else:
+            order = np.lexsort((value, row))
+            value, row = value[order], row[order]
+            new = np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])])
+        out[some] = np.bincount(row[new], minlength=len(some))
+    for i in odd:
+        out[i] = len({strands[i][j : j + k] for j in range(len(strands[i]) - k + 1)})
+    return out
+
+
+@lru_cache
+def _distinct(k: int):
+    @F.pandas_udf("long")
+    def count(strands: pd.Series) -> pd.Series:
+        return pd.Series(distinct_in(strands.tolist(), k))
+
+    return count
+
+
+def distinct_kmers(strand: Column, k: int) -> Column:
+    """How many different k-mers a strand has."""
+    return F.when(strand.isNotNull(), _distinct(k)(strand))
+
+
+def _again(strand: Column, k: int) -> Column:
+    return F.greatest(F.length(strand) - k + 1, F.lit(0)) - distinct_kmers(strand, k)
+
+
 def has_repeat(strand: Column, k: int = 20) -> Column:
     """Whether a k-mer comes again."""
-    found = kmers(strand, k)
-    return F.size(found) > F.size(F.array_distinct(found))
+    return _again(strand, k) > 0
 
 
 def again_count(strand: Column, k: int = 9) -> Column:
     """One more than the number of k-mers that come again later."""
-    found = kmers(strand, k)
-    return (1 + F.size(found) - F.size(F.array_distinct(found))).cast("long")
+    return 1 + _again(strand, k)
 
 
 def unit_run(strand: Column, unit: int) -> Column:

@@ -11,6 +11,7 @@ from helixframe.functions import rules as R
 from helixframe.functions import strand as S
 from helixframe.operators import fountain
 from helixframe.operators.chunks import chunks, strands, xor_lanes
+from helixframe.operators.kmers import kmer_counts as kmer_counts_of
 
 CHUNK = 47
 QUERIES: dict = {}
@@ -155,15 +156,15 @@ def checksum_encode(spark, sf_dir):
 @query(f"{_S} SELECT chunk_idx % 2 AS spoiled, count(*) AS n, CAST(count(*) FILTER (length(strand) = {4 * CHUNK} AND (chunk_idx % 2 = 0 OR left(strand, 1) = 'A')) AS BIGINT) AS n_ok FROM s GROUP BY 1")
 def checksum_verify(spark, sf_dir):
     """Strands with a checksum, of which every other one has its first base changed to A."""
-    coded = S.with_checksum(F.col("strand"))
-    spoiled = F.col("chunk_idx") % 2
-    rows = _strands(spark, sf_dir).select(spoiled.alias("spoiled"), F.when(spoiled == 1, F.concat(F.lit("A"), F.substring(coded, 2, 1 << 20))).otherwise(coded).alias("coded"))
+    coded = F.col("coded")
+    rows = _strands(spark, sf_dir).select((F.col("chunk_idx") % 2).alias("spoiled"), S.with_checksum(F.col("strand")).alias("coded"))
+    rows = rows.select("spoiled", F.when(F.col("spoiled") == 1, F.concat(F.lit("A"), F.substring(coded, 2, 1 << 20))).otherwise(coded).alias("coded"))
     return rows.groupBy("spoiled").agg(F.count("*").alias("n"), F.count_if(S.checksum_ok(F.col("coded"), 4 * CHUNK)).alias("n_ok"))
 
 
 @query(f"{_S} SELECT kmer, count(*) AS n FROM (SELECT unnest({_KMERS.format(6)}) AS kmer FROM s) GROUP BY kmer")
 def kmer_counts(spark, sf_dir):
-    return _strands(spark, sf_dir).select(F.explode(S.kmers(F.col("strand"), 6)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return kmer_counts_of(_strands(spark, sf_dir), "strand", 6)
 
 
 @query(f"""{_S}, b AS (SELECT chunk_idx, unnest(generate_series(0, (length(strand) - 1) // 32)) AS block, strand FROM s), p AS (SELECT block, substr(strand, block * 32 + 1, 32) AS w FROM b)
@@ -183,9 +184,9 @@ def length_band_filter(spark, sf_dir):
 @query(f"{_S} SELECT s.doc_id, count(*) AS n_shared FROM s WHERE EXISTS (SELECT 1 FROM s t WHERE t.strand = s.strand AND t.doc_id != s.doc_id) GROUP BY s.doc_id")
 def exact_matches(spark, sf_dir):
     """Strands that other documents have too: a semi-join on the strand, by counting documents instead of pairs."""
-    rows = _strands(spark, sf_dir)
-    shared = rows.groupBy("strand").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("strand")
-    return rows.join(shared, "strand", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_shared"))
+    rows = _strands(spark, sf_dir).select("doc_id", F.unhex(F.md5("strand")).alias("digest"))  # what is shuffled: 16 bytes, not the strand
+    shared = rows.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("digest")
+    return rows.join(shared, "digest", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_shared"))
 
 
 @query(f"""{_S}, l AS (SELECT doc_id, unnest(generate_series(0, (length(h) + 7) // 8 - 1)) AS lane, h FROM c),
