@@ -11,7 +11,7 @@ from helixframe.functions import rules as R
 from helixframe.functions import strand as S
 
 # Masks over header integers by struct letter.
-MASKS = {"H": 0xF9C3, "I": 0xF9C36F9C, "B": 0}
+MASKS = {"H": 0xF9C3, "I": 0xF9C36F9C, "Q": 0xF9C36F9CF9C36F9C - (1 << 64), "B": 0}
 
 
 def xor_mask(value: Column, letter: str = "I") -> Column:
@@ -30,8 +30,10 @@ def from_little_endian(digits: Column, width: int = 4) -> Column:
 
 
 def header(last_length: Column, name: Column, size: int) -> Column:
-    """Digits of a header chunk: length of the last chunk (four bytes), name, zeros up to the chunk's size.  Longer names are cut."""
-    return F.rpad(F.concat(little_endian(last_length), F.lower(F.hex(F.encode(name, "utf-8")))), 2 * size, "0")
+    """Digits of a header chunk: length of the last chunk (four bytes), name, zeros up to the chunk's size.  A name that has no room fails."""
+    coded = F.encode(name, "utf-8")
+    whole = F.rpad(F.concat(little_endian(last_length), F.lower(F.hex(coded))), 2 * size, "0")
+    return F.when(F.octet_length(coded) > size - 4, F.raise_error(F.concat(F.lit("no room for the name "), name))).otherwise(whole)
 
 
 def header_length(digits: Column) -> Column:
@@ -91,6 +93,66 @@ def oligo_rule(strand: Column, low: float = 45, high: float = 55, longest: int =
     return F.when(bad, 1.0).otherwise(0.0)
 
 
+def with_complements(motifs: list[str]) -> list[str]:
+    """The motifs, then their complements."""
+    return motifs + [m.translate(str.maketrans("ACGT", "TGCA")) for m in motifs]
+
+
+def with_reverse_complements(motifs: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    return motifs + [(m[::-1].translate(str.maketrans("ACGT", "TGCA")), p) for m, p in motifs]
+
+
+def with_reversed(motifs: list[str]) -> list[str]:
+    return motifs + [m[::-1] for m in motifs]
+
+
+def any_motif(strand: Column, motifs: list[str]) -> Column:
+    """1 if a strand has one of the motifs: a single search for all of them."""
+    return F.when(strand.rlike("|".join(motifs)), 1.0).otherwise(0.0)
+
+
+def round_to(x: Column, base: int = 5) -> Column:
+    """The nearest multiple of base; of two, the even multiple."""
+    return F.lit(base) * F.bround(x / base)
+
+
+def elapsed(seconds: Column) -> Column:
+    """Days, hours, minutes and seconds of a number of seconds, as a struct."""
+    whole = F.floor(seconds)
+    return F.struct(F.floor(whole / 86400).alias("days"), F.floor(whole / 3600 % 24).alias("hours"), F.floor(whole / 60 % 60).alias("minutes"), (whole % 60).alias("seconds"))
+
+
+def chaos_game(strand: Column, size: int = 5000) -> Column:
+    """The points of the chaos game, an array of (x, y): the first at its base's corner, each next one half way to the next base's corner."""
+    corner = lambda c: (F.when(c.isin("T", "C"), F.lit(float(size))).otherwise(F.lit(0.0)), F.when(c.isin("G", "C"), F.lit(float(size))).otherwise(F.lit(0.0)))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    letters = F.filter(F.split(strand, ""), lambda c: c != "")
+
+    def step(points, c):
+        x, y = corner(c)
+        last = F.element_at(points, -1)
+        new = F.when(F.size(points) == 0, point(x, y)).otherwise(point((last["x"] + x) / 2, (last["y"] + y) / 2))
+        return F.concat(points, F.array(new))
+
+    return F.aggregate(letters, F.array().cast("array<struct<x:double,y:double>>"), step)
+
+
+def bits_of(data: Column) -> Column:
+    """The bits of bytes, as a string."""
+    return F.array_join(F.transform(F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1)), lambda x: F.lpad(F.conv(x, 16, 2), 8, "0")), "")
+
+
+def bytes_of(bits: Column) -> Column:
+    """The bytes of a string of bits, a multiple of eight."""
+    return F.unhex(F.array_join(F.transform(F.regexp_extract_all(bits, F.lit("(.{8})"), F.lit(1)), lambda x: F.lpad(F.conv(x, 2, 16), 2, "0")), ""))
+
+
+def flipped(strand: Column, share: Column) -> Column:
+    """A and C, and G and T, changed for each other in the first ceil(share * length) bases."""
+    n = F.ceil(share * F.length(strand)).cast("int")
+    return F.concat(F.translate(F.substring(strand, F.lit(1), n), "ACGT", "CATG"), F.substring(strand, n + 1, F.length(strand)))
+
+
 def rule_functions() -> dict:
     """Rules by name; numbers in an expression become their parameters."""
     return {

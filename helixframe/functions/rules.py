@@ -73,6 +73,10 @@ def gc_quartic(p: Column) -> Column:
     return _unit((100 + 175 * p / 6 - 121 * p * p / 72 + p * p * p / 36 - p * p * p * p / 7200) / 100)
 
 
+def gc_strict(p: Column) -> Column:
+    return _unit((100 + 49970.8 * p - 2582 * p * p + 41.6458 * p * p * p - 0.208229 * p * p * p * p) / 100)
+
+
 def windowed_gc(strand: Column, window: int = 50, low: float = 30, high: float = 70) -> Column:
     """The worst window when the strand is cut into windows, of which the last may be shorter."""
     at = F.sequence(F.lit(0), F.greatest(F.length(strand) - 1, F.lit(0)), F.lit(window))
@@ -137,5 +141,10 @@ def illegal_symbols(strand: Column) -> Column:
     return F.when(strand.rlike("[^ACGT]"), 1.0).otherwise(0.0)
 
 
+def rule_sum(strand: Column, rules: list) -> Column:
+    """The sum of any rules, each a function from a strand to a column."""
+    return _sum([r(strand) for r in rules])
+
+
 def default_rules(strand: Column) -> Column:
     return homopolymer(strand) + gc_band(S.gc_percent(strand)) + windowed_gc(strand) + motifs(strand)

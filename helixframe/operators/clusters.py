@@ -164,12 +164,34 @@ def oriented(members: DataFrame, reads: DataFrame) -> DataFrame:
     return rows.select("cluster_id", "read_id", F.when(F.col("is_reversed"), S.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
 
 
+def cut_candidates(rows: DataFrame, length: int, seq: str = "seq") -> DataFrame:
+    """Candidates of `length` bases: longer ones cut, shorter ones gone, equal rows once."""
+    return rows.where(F.length(seq) >= length).withColumn(seq, F.left(seq, F.lit(length))).distinct()
+
+
+def largest(members: DataFrame, n: int) -> DataFrame:
+    """(cluster_id, n) of the n largest clusters; the smaller id first among equals."""
+    return members.groupBy("cluster_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster_id").limit(n)
+
+
+def centroids(rows: DataFrame, most: int = 256) -> DataFrame:
+    """(cluster_id, read_id, cost): the read of each cluster with the least sum of edit distances to the others.
+
+    rows: (cluster_id, read_id, seq).  Distances grow with the square of a cluster, so it is a sample of at most `most` reads that is
+    compared, the same ones each time; all reads of smaller clusters are.
+    """
+    some = sample_members(rows, most)
+    pairs = some.select("cluster_id", "read_id", "seq").join(some.select("cluster_id", F.col("seq").alias("other")), "cluster_id")
+    costs = pairs.groupBy("cluster_id", "read_id").agg(F.sum(F.levenshtein("seq", "other")).alias("cost"))
+    return costs.groupBy("cluster_id").agg(F.min_by("read_id", F.struct("cost", "read_id")).alias("read_id"), F.min("cost").alias("cost"))
+
+
 def sample_members(rows: DataFrame, n: int = 5, salt: int = 0) -> DataFrame:
     """Up to n reads of each cluster, the same ones each time.
 
-    A third of all reads may be in one cluster, so each of 64 slots of a cluster is cut to n first.
+    A third of all reads may be in one cluster, so each of 256 slots of a cluster is cut to n first.
     """
-    rows = rows.withColumn("_o", F.xxhash64("read_id", F.lit(salt))).withColumn("_slot", F.pmod("_o", F.lit(64)))
+    rows = rows.withColumn("_o", F.md5(F.concat_ws(":", F.lit(str(salt)), "read_id"))).withColumn("_slot", F.left("_o", F.lit(2)))
     for keys in (["cluster_id", "_slot"], ["cluster_id"]):
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_o", "read_id"))).where(F.col("_n") <= n)
     return rows.select("cluster_id", "read_id", "seq")

@@ -73,6 +73,40 @@ def robust_soliton(spark: SparkSession, n: int, k: int, delta: float) -> DataFra
     return _normalised(ideal_soliton(spark, n).select("degree", (F.col("p") + extra).alias("p")))
 
 
+def spiked_soliton(spark: SparkSession, k: int, c: float = 0.025, delta: float = 0.001) -> DataFrame:
+    """The robust soliton distribution with its spike at round(k / s), s = c sqrt(k) ln(k / delta) ** 2; degrees below k, normalised."""
+    s = c * math.sqrt(k) * math.log(k / delta) ** 2
+    spike, d = round(k / s), F.col("degree")
+    extra = F.when(d < spike, s / (k * d)).when(d == max(spike, 1), s * math.log(s / delta) / k).otherwise(0.0)
+    return _normalised(ideal_soliton(spark, k).select("degree", (F.col("p") + extra).alias("p")))
+
+
+def adaptable(weights: DataFrame) -> DataFrame:
+    """(degree, p) of any weights (degree, weight)."""
+    return _normalised(weights.select("degree", F.col("weight").alias("p")))
+
+
+def differences(rows: DataFrame, at: str = "degree", x: str = "p") -> DataFrame:
+    """A distribution's first differences, by which it is crossed and changed; the first entry stays."""
+    return rows.select(at, (F.col(x) - F.coalesce(F.lag(x).over(Window.orderBy(at)), F.lit(0.0))).alias(x))
+
+
+def accumulated(rows: DataFrame, at: str = "degree", x: str = "p") -> DataFrame:
+    """The inverse of differences()."""
+    return rows.select(at, F.sum(x).over(Window.orderBy(at)).alias(x))
+
+
+def number_theory(spark: SparkSession, most: int) -> DataFrame:
+    """(x, is_prime, prime_from, center): for x up to `most`, whether it is prime, the smallest prime not below it, and x over floor(x / 2) for x up to 60."""
+    rows = spark.range(2, 2 * most + 4)
+    divided = rows.alias("a").join(spark.range(2, math.isqrt(2 * most + 4) + 1).alias("b"), F.expr("b.id * b.id <= a.id AND a.id % b.id = 0")).select("a.id").distinct()
+    primes = rows.join(divided, "id", "left_anti").select(F.col("id").alias("prime"))
+    upwards = F.min("prime").over(Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0))
+    every = rows.join(primes, F.expr("id = prime"), "left").select(F.col("id").alias("x"), "prime").select("x", F.col("prime").isNotNull().alias("is_prime"), upwards.alias("prime_from"))
+    center = F.when(F.col("x") <= 60, F.element_at(F.array(*[F.lit(math.comb(i, i // 2)) for i in range(1, 61)]), F.least(F.col("x"), F.lit(60)).cast("int")))
+    return every.where(f"x <= {most}").select("x", "is_prime", "prime_from", center.cast("long").alias("center"))
+
+
 def online_distribution(spark: SparkSession, eps: float) -> DataFrame:
     """(degree, p) of the online code."""
     s = math.ceil(math.log(eps * eps / 4) / math.log(1 - eps / 2))

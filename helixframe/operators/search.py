@@ -47,6 +47,18 @@ def degree_errors(packets: DataFrame) -> DataFrame:
     return packets.groupBy("degree").agg(F.count("*").alias("n"), F.avg("error_prob").alias("mean"))
 
 
+def chunk_errors(packets: DataFrame) -> DataFrame:
+    """(file_id, block, chunk_idx, n, mean): the errors of the packets that hold a chunk."""
+    return packets.select("file_id", "block", F.explode("used").alias("chunk_idx"), "error_prob").groupBy("file_id", "block", "chunk_idx").agg(F.count("*").alias("n"), F.avg("error_prob").alias("mean"))
+
+
+def holding_rare(packets: DataFrame, least: int) -> DataFrame:
+    """(file_id, block, seed) of packets that hold a chunk which fewer than `least` packets of its block hold."""
+    rare = chunk_usage(packets).where(F.col("n") < least)
+    used = packets.select("file_id", "block", "seed", F.explode("used").alias("chunk_idx"))
+    return used.join(rare, ["file_id", "block", "chunk_idx"], "left_semi").select("file_id", "block", "seed").distinct()
+
+
 def cover(packets: DataFrame, share: float = 0.9) -> DataFrame:
     """(file_id, block, seed): packets taken by error, as long as they hold a chunk that has fewer than `share` of its block's mean use.
 

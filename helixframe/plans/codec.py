@@ -228,14 +228,6 @@ def oligo_overlay(spark, sf_dir):
     return ternary.overlay(ternary.read_oligos(ternary.oligos(rows, "id")), "id")
 
 
-@query("""WITH h AS (SELECT doc_id, upper(sha256(text)) AS x FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, x, unnest(generate_series(0, 30)) AS i FROM h)
-SELECT doc_id, i AS "offset", substr(x, 2 * i + 3, 2) AS marker FROM p WHERE substr(x, 2 * i + 1, 2) = 'FF' AND substr(x, 2 * i + 3, 2) != '00'""")
-def marker_scan(spark, sf_dir):
-    """Marker bytes in the digests of all documents (texts themselves have none)."""
-    rows = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("d"))
-    return jpeg.markers(rows, "doc_id", "d")
-
-
 @query(f"""{_S}, o AS (SELECT doc_id, chunk_idx FROM s WHERE (doc_id * 31 + chunk_idx * 17 + chunk_idx // 7) % 5 != 0), g AS (SELECT doc_id, chunk_idx, chunk_idx - row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS isle FROM o)
 SELECT doc_id, min(chunk_idx) AS first, max(chunk_idx) AS last FROM g GROUP BY doc_id, isle""")
 def valid_spans(spark, sf_dir):
@@ -262,12 +254,6 @@ def packet_search(spark, sf_dir):
     return search.best_packets(search.scored(sent), 100).select("file_id", "block", "seed", "degree", "error_prob", "strand")
 
 
-@rows_only
-def degree_errors(spark, sf_dir):
-    sent = packets.encode(_table(spark, sf_dir, "documents"), "doc_id", "text", CHUNK, BLOCK, 0.5)
-    return search.degree_errors(search.scored(sent)).withColumn("mean", F.round("mean", 9))
-
-
 @rows_only
 def packet_cover(spark, sf_dir):
     """How many packets of each block a search by error needs, to use every chunk nearly as often as the mean."""
