@@ -85,6 +85,15 @@ def edit_cigar(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"cigar": [None if s is None else to_cigar(s) for s in scripts], "n_insert": count("I"), "n_delete": count("D"), "n_substitute": count("X")})
 
 
+_PAIR = StructType().add("a", StringType()).add("b", StringType())
+
+
+@F.pandas_udf(_PAIR)
+def gapped_pair(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Both strings with gaps, of equal length."""
+    return pd.DataFrame([(None, None) if x is None or y is None else gapped(x, y) for x, y in zip(a, b)], columns=["a", "b"])
+
+
 def local_score(a: str, b: str, match: int = 1, mismatch: int = -1, gap: int = -1) -> int:
     """Best local alignment (Smith and Waterman, linear gaps)."""
     y = np.frombuffer(b.encode("utf-32-le"), np.uint32)

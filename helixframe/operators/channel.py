@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.align import edit_script
+from helixframe.operators.align import edit_script, kmer_alignment
 
 READS = "read_id long, ref_name string, kind string, is_reversed boolean, start long, identity double, seq string, qual string"
 _TURN = str.maketrans("ACGT", "TGCA")
@@ -35,7 +35,8 @@ class Channel:
     start_rate: tuple[float, float] = (90.0, 60.0)  # how often, how much of it
     end_rate: tuple[float, float] = (50.0, 20.0)
     glitches: tuple[float, float, float] = (10000.0, 25.0, 25.0)  # distance, size, skip
-    errors: dict[str, list[tuple[list[str], float]]] = field(default_factory=dict)  # an error model; without one changes are random
+    errors: dict[str, list[tuple[str, float]]] = field(default_factory=dict)  # an error model, alternatives of k-mers; without one changes are random
+    scores: dict[str, tuple] | None = None  # a score model; without one the ideal one
     seed: int = 0
 
 
@@ -99,75 +100,139 @@ def _fragment(rng, c: Channel, contigs: list[tuple], chance: np.ndarray) -> tupl
     return name, "good", turned, at, piece[::-1].translate(_TURN) if turned else piece
 
 
+def _steps(rng, mean: float, n: int) -> np.ndarray:
+    """n lengths of at least 1 with the given mean, or all 0 for none."""
+    return rng.geometric(min(1.0, 1 / mean), n) if mean > 0 else np.zeros(n, np.int64)
+
+
 def _glitched(rng, c: Channel, seq: str) -> str:
+    """Random bases put in and bases left out at places that are `distance` apart on average.
+
+    All places, sizes and skips are drawn at once; a place that falls into bases which an earlier glitch leaves out is no glitch.
+    """
     distance, size, skip = c.glitches
-    if distance <= 0:
+    if distance <= 0 or not seq:
         return seq
-    out, at = [], 0
-    while True:
-        gap = int(rng.geometric(1 / distance))
-        out.append(seq[at : at + gap])
-        at += gap
-        if at >= len(seq):
-            return "".join(out)
-        out.append(random_bases(rng, int(rng.geometric(1 / size))) if size > 0 else "")
-        at += int(rng.geometric(1 / skip)) if skip > 0 else 0
-
-
-def _changed(rng, base: str) -> str:
-    """A random substitution, insertion (before or after) or deletion of one base."""
-    kind = rng.integers(0, 3)
-    if kind == 0:
-        return "ACGT".replace(base, "")[int(rng.integers(0, 3))]
-    if kind == 1:
-        new = random_bases(rng, 1)
-        return new + base if rng.random() < 0.5 else base + new
-    return ""
-
-
-def add_errors(rng, seq: str, identity: float, model: dict | None = None, k: int = 0) -> str:
-    """Bases with errors until the estimated identity is reached; checked against an alignment every 25 changes."""
-    held, changes, done = list(seq), 0, 0.0
+    places = np.cumsum(_steps(rng, distance, int(len(seq) / max(distance, 1)) * 2 + 16))
+    places = places[places < len(seq)]
+    sizes, skips = _steps(rng, size, len(places)), _steps(rng, skip, len(places))
+    reach = np.maximum.accumulate(np.concatenate([[0], places + skips]))[:-1] if len(places) else places
+    real = places >= reach
+    starts = np.concatenate([[0], (places + skips)[real]])
+    ends = np.concatenate([places[real], [len(seq)]])
+    new = random_bases(rng, int(sizes[real].sum()))
+    cut = np.concatenate([[0], np.cumsum(sizes[real])])
+    pieces = [seq[a:b] for a, b in zip(starts, ends)]
+    return "".join(p + new[cut[i] : cut[i + 1]] if i + 1 < len(cut) else p for i, p in enumerate(pieces))
+
+
+_OTHERS = {b: [x for x in "ACGT" if x != b] for b in "ACGT"}
+
+
+def _random_changes(rng, bases: str) -> list[str]:
+    """For each base what stands in its place: another base, none, or itself with a base before or behind it, a third of them each."""
+    kind, which, side = rng.integers(0, 3, len(bases)), rng.integers(0, 12, len(bases)), rng.random(len(bases)) < 0.5
+    return ["" if k == 0 else _OTHERS[b][w % 3] if k == 1 else "ACGT"[w % 4] + b if s else b + "ACGT"[w % 4] for b, k, w, s in zip(bases, kind, which, side)]
+
+
+def _model_change(rng, kmer: str, model: dict) -> list[str]:
+    """What stands for each base of a k-mer: one of the model's alternatives by its share, for the rest a random change of the middle base."""
+    draw = rng.random()
+    for alt, share in model.get(kmer, ()):
+        draw -= share
+        if draw < 0:
+            return kmer_alignment(kmer, alt)
+    out = list(kmer)
+    out[len(kmer) // 2] = _random_changes(rng, kmer[len(kmer) // 2])[0]
+    return out
+
+
+def measured_identity(a: str, b: list[str], window: int = 1000, windows: int = 4) -> float:
+    """Matches over alignment columns of a strand and what stands for its bases; of a long one, over some windows that are spread evenly."""
+    n = max(1, -(-len(a) // window))
+    at = range(n) if n <= windows else np.linspace(0, n - 1, windows).astype(int)
+    scripts = "".join(edit_script(a[i * window : (i + 1) * window], "".join(b[i * window : (i + 1) * window])) for i in at)
+    return scripts.count("=") / max(len(scripts), 1)
+
+
+def add_errors(rng, seq: str, identity: float, model: dict | None = None, rounds: int = 30) -> str:
+    """A read of a strand at an identity.
+
+    Changes are made in rounds: as many at once as should be missing, at random places.  The nearer the target, the fewer: how far the
+    read has come is measured by aligning it.  A change counts for less the lower the identity is (its power of 1.5), since places are hit
+    again and changes side by side align better than they were made; and for what changes brought in the round before, since a model's
+    alternative often is the k-mer itself.
+    """
     if not seq or identity >= 1:
         return seq
-    target, tries = (1 - identity) * len(seq), 0
-    k = k or (len(next(iter(model))) if model else 1)
-    while done < target and tries < 100 * len(seq):
-        tries += 1
-        at = int(rng.integers(0, max(1, len(seq) - k + 1)))
-        before = held[at : at + k]
-        if before != list(seq[at : at + k]) and rng.random() < 0.5:
-            continue  # places that are changed already are less likely to change again
+    held, k, now, gain = list(seq), len(next(iter(model))) if model else 1, 1.0, 1.0  # gain: errors that a change made, as measured
+    places = len(seq) - k + 1
+    if places <= 0:
+        return seq
+    for _ in range(rounds):
+        missing = (now - identity) * len(seq)
+        if missing < 0.5:
+            break
+        n = max(1, min(places, math.ceil(0.8 * missing / max(now, 0.1) ** 1.5 / gain)))
+        at, before = rng.choice(places, n, replace=False), now
         if model:
-            options = model.get(seq[at : at + k])
-            draw, after = rng.random(), None
-            for alt, p in options or []:
-                draw -= p
-                if draw < 0:
-                    after = list(alt)
-                    break
-            if after is None:
-                after = list(before)
-                after[k // 2] = _changed(rng, seq[at + k // 2])
+            for i in at:
+                new = _model_change(rng, seq[i : i + k], model)
+                if new != list(seq[i : i + k]) and (held[i : i + k] == list(seq[i : i + k]) or rng.random() < 0.5):
+                    held[i : i + k] = new
         else:
-            after = [_changed(rng, seq[at])]
-        new = sum(x != y for x, y in zip(before, list(seq[at : at + k]))), sum(x != y for x, y in zip(after, seq[at : at + k]))
-        held[at : at + k] = after
-        if new[1] > new[0]:
-            changes += 1
-            done += (new[1] - new[0]) * identity**0.5
-            if changes % 25 == 0:
-                left = 0 if len(seq) <= 1000 else int(rng.integers(0, len(seq) - 1000))
-                script = edit_script(seq[left : left + 1000], "".join(held[left : left + 1000]))
-                done = sum(op != "=" for op in script) / max(len(script), 1) * len(seq)
+            for i, x in zip(at, _random_changes(rng, "".join(seq[i] for i in at))):
+                held[i] = x
+        now = measured_identity(seq, held)
+        gain = min(1.0, max((before - now) * len(seq) / n, 0.05)) if model else 1.0
     return "".join(held)
 
 
-def qualities(rng, seq: str, script: str, right: float = 20.0, wrong: float = 7.0) -> str:
-    """Phred marks: each base of a read by whether its column of the alignment is a match."""
-    ops = [op for op in script if op != "D"]
-    mean = np.where(np.array([op == "=" for op in ops], bool), right, wrong)
-    return "".join(chr(33 + q) for q in np.clip(np.rint(rng.normal(mean, 4)), 1, 40).astype(int))
+# Ranges of scores, by the alignment around a base.
+RANDOM_SCORES = {"=": (1, 20), "X": (1, 20), "I": (1, 20)}
+IDEAL_SCORES = {"X": (1, 3), "I": (1, 3), "=": (4, 7), "=" * 3: (8, 20), "=" * 5: (21, 30), "=" * 7: (31, 40), "=" * 9: (41, 50)}
+
+
+def uniform_scores(ranges: dict[str, tuple[int, int]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """A score model (context to scores and their shares) with all scores of a range alike."""
+    return {c: (np.arange(low, high + 1), np.full(high - low + 1, 1 / (high - low + 1))) for c, (low, high) in ranges.items()}
+
+
+def score_model(rows: list[tuple[str, int, float]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """A score model of rows (context, score, share), such as quality_model learns; it must know =, X and I."""
+    out: dict[str, list] = {}
+    for context, score, share in rows:
+        if context != "overall":
+            out.setdefault(context, []).append((score, share))
+    if missing := {"=", "X", "I"} - set(out):
+        raise ValueError(f"the model does not know {sorted(missing)}")
+    return {c: (np.array([q for q, _ in x]), np.array([p for _, p in x]) / sum(p for _, p in x)) for c, x in out.items()}
+
+
+def qualities(rng, script: str, model: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> str:
+    """Phred marks of a read's bases by their alignment.
+
+    A base's context is the alignment of as many bases around it as the model's longest context has, centred; near the ends fewer.  Where
+    the model does not know a context, a base is trimmed from either end, until it does.
+    """
+    model = model or uniform_scores(IDEAL_SCORES)
+    half = max(len(c.replace("D", "")) for c in model) // 2
+    bases = [i for i, op in enumerate(script) if op != "D"]
+    by_context: dict[str, list[int]] = {}
+    known: dict[str, str] = {}
+    for n in range(len(bases)):
+        reach = min(half, n, len(bases) - 1 - n)
+        context = script[bases[n - reach] : bases[n + reach] + 1]
+        if context not in known:
+            short = context
+            while short not in model:
+                short = short[1:-1].strip("D")
+            known[context] = short
+        by_context.setdefault(known[context], []).append(n)
+    out = np.zeros(len(bases), np.int64)
+    for context, at in by_context.items():
+        out[at] = rng.choice(model[context][0], len(at), p=model[context][1])
+    return "".join(map(chr, np.clip(out, 0, 93) + 33))
 
 
 def one_read(c: Channel, contigs: list[tuple], chance: np.ndarray, read_id: int) -> tuple:
@@ -180,8 +245,23 @@ def one_read(c: Channel, contigs: list[tuple], chance: np.ndarray, read_id: int)
     seq = _glitched(rng, c, seq + _adapter(rng, c.end_adapter, c.end_rate, False))
     identity = _identity(rng, c)
     read = add_errors(rng, seq, identity, c.errors)
-    script = "".join(edit_script(seq[i : i + 1000], read[i : i + 1000]) for i in range(0, max(len(seq), len(read)), 1000)) if len(seq) > 1000 else edit_script(seq, read)
-    return read_id, name, kind, turned, at, identity, read, qualities(rng, read, script.ljust(len(read), "X"))
+    return read_id, name, kind, turned, at, identity, read, qualities(rng, long_script(seq, read), c.scores)
+
+
+def long_script(a: str, b: str, window: int = 1000) -> str:
+    """The edit script of two strands, a window of both after the other; each window ends where a good part of it is aligned."""
+    out, i, j = [], 0, 0
+    while len(a) - i > 2 * window and len(b) - j > 2 * window:
+        script = edit_script(a[i : i + 2 * window], b[j : j + 2 * window])
+        columns = 0
+        used_a = used_b = 0
+        for op in script:
+            if used_a >= window:
+                break
+            used_a, used_b, columns = used_a + (op != "I"), used_b + (op != "D"), columns + 1
+        out.append(script[:columns])
+        i, j = i + used_a, j + used_b
+    return "".join(out) + edit_script(a[i:], b[j:])
 
 
 def contig_weights(contigs: DataFrame) -> DataFrame:
@@ -209,7 +289,7 @@ def simulate_strands(strands: DataFrame, copies: int, channel: Channel, key: str
                 source = s[::-1].translate(_TURN) if turned else s
                 source = _adapter(rng, channel.start_adapter, channel.start_rate, True) + source + _adapter(rng, channel.end_adapter, channel.end_rate, False)
                 got = add_errors(rng, source, identity, channel.errors)
-                rows.append((k, int(read), turned, identity, got, qualities(rng, got, edit_script(source, got))))
+                rows.append((k, int(read), turned, identity, got, qualities(rng, edit_script(source, got), channel.scores)))
             yield pd.DataFrame(rows, columns=["strand_id", "read_id", "is_reversed", "identity", "seq", "qual"])
 
     many = strands.where(F.length(seq) > 0).select(F.col(key).cast("long").alias("k"), F.col(seq).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("n"))

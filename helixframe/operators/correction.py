@@ -7,6 +7,9 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Polynomials of CRC-8/LTE, CRC-16/XMODEM and CRC-64/ECMA by struct letter, with their widths.
 POLYNOMIALS = {"B": (0x9B, 8), "H": (0x1021, 16), "Q": (0x42F0E1EBA9EA3693, 64)}
@@ -201,3 +204,59 @@ def encoder(name: str, **options):
         parity = options.get("parity", 2)
         return (lambda rows: rs_encode_all(rows, parity)), (lambda rows: rs_decode_all(rows, parity))
     raise ValueError(f"no error correction is called {name!r}")
+
+
+@lru_cache
+def checksum_column(letter: str):
+    """A column function: the checksum of bytes.  That of 32 bits is built in."""
+    if letter in "LI":
+        return F.crc32
+
+    @F.pandas_udf("long")
+    def run(data: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else crc(bytes(d), letter) - (1 << 64 if letter == "Q" and crc(bytes(d), letter) >> 63 else 0) for d in data], dtype="Int64")
+
+    return run
+
+
+@lru_cache
+def protected(name: str, **options):
+    """A column function: bytes with an error correction by name."""
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series) -> pd.Series:
+        return pd.Series(encoder(name, **options)[0]([bytes(d) for d in data]), dtype=object)
+
+    return run
+
+
+@lru_cache
+def restored(name: str, **options):
+    """The inverse of protected(); null where bytes can't be repaired."""
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series) -> pd.Series:
+        return pd.Series(encoder(name, **options)[1]([None if d is None else bytes(d) for d in data]), dtype=object)
+
+    return run
+
+
+def _parity(size: int, overhead: float) -> int:
+    return max(int(size * overhead), 1)
+
+
+def rs_file_chunks(table: DataFrame, id_col: str, data_col: str, size: int, overhead: float) -> DataFrame:
+    """(id_col, packed): chunks of files behind their numbers (four bytes), each with floor(size * overhead) bytes of parity."""
+    data = F.col("data")
+    rows = table.select(id_col, F.col(data_col).cast("binary").alias("data")).where("octet_length(data) > 0")
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.octet_length(data) / size).cast("int") - 1), lambda i: F.concat(F.unhex(F.lpad(F.hex(i), 8, "0")), F.substring(data, i * size + 1, F.lit(size))))
+    return rows.select(id_col, F.explode(cut).alias("data")).select(id_col, protected("rs", parity=_parity(size, overhead))("data").alias("packed"))
+
+
+def rs_file_data(chunks: DataFrame, id_col: str, size: int, overhead: float) -> DataFrame:
+    """(id_col, data, n_lost): files of such chunks, zeros where one can't be repaired or isn't there, but for the last."""
+    plain = chunks.select(id_col, restored("rs", parity=_parity(size, overhead))("packed").alias("d")).where("d IS NOT NULL")
+    rows = plain.select(id_col, F.conv(F.hex(F.substring("d", 1, 4)), 16, 10).cast("int").alias("i"), F.hex(F.substring("d", 5, size)).alias("h"))
+    found = rows.groupBy(id_col).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("i", "h")))).alias("m"), F.max("i").alias("last"))
+    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.repeat(F.lit("00"), F.lit(size)))), "")
+    return found.select(id_col, F.unhex(digits).alias("data"), (F.col("last") + 1 - F.size("m")).alias("n_lost"))

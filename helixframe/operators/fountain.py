@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.strand import BASES, hex_to_strand
+
 
 def prime_from(x: int) -> int:
     """The smallest prime that is not below x."""
@@ -107,6 +109,25 @@ def number_theory(spark: SparkSession, most: int) -> DataFrame:
     return every.where(f"x <= {most}").select("x", "is_prime", "prime_from", center.cast("long").alias("center"))
 
 
+def impossible_seeds(spark: SparkSession, longest: int = 3) -> DataFrame:
+    """(n, impossible) over all seeds of 32 bits: how many have a run over `longest` as bases.
+
+    Halves of 16 bits are counted by whether they have such a run, and by their first and last run; pairs of these few kinds are put together.
+    """
+    digits = F.lower(F.lpad(F.hex("id"), 4, "0"))
+    s = F.col("s")
+    halves = spark.range(1 << 16).select(hex_to_strand(digits).alias("s"))
+    over = s.rlike("|".join(f"{b}{{{longest + 1}}}" for b in BASES))
+    first, last = F.regexp_extract(s, "^(A+|C+|G+|T+)", 1), F.regexp_extract(s, "(A+|C+|G+|T+)$", 1)
+    kinds = halves.groupBy(over.alias("over"), first.alias("first"), last.alias("last")).agg(F.count("*").alias("c"))
+    a, b = kinds.toDF("over_a", "_f", "tail", "n_a"), kinds.toDF("over_b", "head", "_l", "n_b")
+    met = (F.left("tail", F.lit(1)) == F.left("head", F.lit(1))) & (F.length("tail") + F.length("head") > longest)
+    pairs = a.crossJoin(b)  # kinds of halves: a few hundred by a few hundred, whatever the data
+    bad = F.col("over_a") | F.col("over_b") | met
+    n = F.col("n_a") * F.col("n_b")
+    return pairs.agg(F.sum(n).alias("n"), F.sum(F.when(bad, n).otherwise(0)).alias("impossible"))
+
+
 def online_distribution(spark: SparkSession, eps: float) -> DataFrame:
     """(degree, p) of the online code."""
     s = math.ceil(math.log(eps * eps / 4) / math.log(1 - eps / 2))

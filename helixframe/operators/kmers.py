@@ -61,3 +61,15 @@ def contained(parts: DataFrame, wholes: DataFrame, k: int = 16) -> DataFrame:
         met = met.where(F.contains("whole", "part")).select("part_id", "whole_id")
         out = met if out is None else out.unionByName(met)
     return out
+
+
+def shared_mers(rows: DataFrame, keys: list[str], seq: str, k: int = 19) -> DataFrame:
+    """(keys, n): strands with k-mers that come again, in them or in others, and how many of theirs do.
+
+    What is shuffled is a digest of 8 bytes for each k-mer; those of equal digests are compared as they are.
+    """
+    mers = rows.select(*keys, F.explode(S.kmers(F.col(seq), k)).alias("mer")).withColumn("digest", F.xxhash64("mer"))
+    again = mers.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest")
+    some = mers.join(again, "digest", "left_semi")
+    really = some.groupBy("mer").agg(F.count("*").alias("c")).where("c > 1").select("mer")
+    return some.join(really, "mer", "left_semi").groupBy(*keys).agg(F.count("*").alias("n"))

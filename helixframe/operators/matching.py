@@ -106,3 +106,10 @@ def checked_against(rows: DataFrame, truth: DataFrame, seq: str = "seq") -> Data
     """Rows with is_correct: whether the truth has their strand."""
     known = truth.select(seq).distinct().withColumn("is_correct", F.lit(True))
     return rows.join(known, seq, "left").withColumn("is_correct", F.coalesce("is_correct", F.lit(False)))
+
+
+def report(pairs: DataFrame) -> DataFrame:
+    """(whole_id, part_id, html, found) of pairs (whole_id, seq, part_id, part): the whole with each place of the part in bold."""
+    bold = F.replace("seq", F.col("part"), F.concat(F.lit("<b>"), F.col("part"), F.lit("</b>")))
+    found = F.contains("seq", "part") & (F.col("part") != "")
+    return pairs.select("whole_id", "part_id", F.when(found, bold).otherwise(F.col("seq")).alias("html"), found.alias("found"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import bases as B
@@ -404,3 +404,416 @@ def checksum_candidates(spark, sf_dir):
     spoiled = F.concat(F.translate(F.left("seq", F.lit(1)), "ACGT", "CATG"), F.substring("seq", 2, 1 << 20))
     rows = coded.select("cluster_id", F.when(F.col("cluster_id") % 3 == 0, spoiled).when(F.col("cluster_id") % 3 == 1, S.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
     return clusters.checked_candidates(rows, 4 * CHUNK)
+
+
+# ---- matching
+
+
+@query("""WITH j AS (SELECT o_totalprice AS depth, c_acctbal AS score FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT 'depth' AS "column", count(*) AS n, round(avg(depth), 4) AS mean, round(stddev_samp(depth), 4) AS sd, min(depth) AS least, max(depth) AS most FROM j UNION ALL SELECT 'score', count(*), round(avg(score), 4), round(stddev_samp(score), 4), min(score), max(score) FROM j""")
+def joined_summary(spark, sf_dir):
+    left = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("uuid"), F.col("o_totalprice").alias("depth"))
+    right = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uuid"), F.col("c_acctbal").alias("score"))
+    return matching.joined_summary(left, right, "uuid", ["depth", "score"]).withColumns({c: F.round(c, 4) for c in ("mean", "sd")})
+
+
+@query(f"""WITH {_B}, p AS (SELECT item_id * 1000 + chunk_idx AS strand_id, strand FROM s), k AS (SELECT strand_id AS cand_id, left(strand, 30) || CASE WHEN strand_id % 3 = 0 THEN 'ACG' ELSE 'T' END || substr(strand, 32) AS c FROM p),
+o AS (SELECT cand_id, {_TURNED.format("c")} AS c FROM k WHERE cand_id % 2 = 1 UNION ALL SELECT cand_id, c FROM k WHERE cand_id % 2 = 0), b AS (SELECT cand_id, c, false AS is_reversed FROM o UNION ALL SELECT cand_id, {_TURNED.format("c")}, true FROM o),
+km AS (SELECT DISTINCT cand_id, is_reversed, unnest(list_transform(generate_series(1, length(c) - 11), lambda i: substr(c, i, 12))) AS mer FROM b), rm AS (SELECT DISTINCT strand_id AS ref_id, unnest(list_transform(generate_series(1, length(strand) - 11), lambda i: substr(strand, i, 12))) AS mer FROM p),
+j AS (SELECT DISTINCT cand_id, is_reversed, ref_id FROM km JOIN rm USING (mer)),
+x AS (SELECT cand_id, is_reversed, ref_id, CAST(list_sum(list_transform(generate_series(1, least(length(c), length(strand))), lambda i: CASE WHEN substr(c, i, 1) = substr(strand, i, 1) THEN 1 ELSE 0 END)) AS DOUBLE) / length(strand) AS score FROM j JOIN b USING (cand_id, is_reversed) JOIN p ON ref_id = strand_id)
+SELECT cand_id, ref_id, round(score, 9) AS score, is_reversed FROM x QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY score DESC, is_reversed, ref_id) = 1""")
+def oriented_match(spark, sf_dir):
+    """Changed strands, every other one turned, against all strands in both directions."""
+    pool = _pool(spark, sf_dir)
+    cands = pool.select(F.col("strand_id").alias("cand_id"), F.concat(F.left("strand", F.lit(30)), F.when(F.col("strand_id") % 3 == 0, "ACG").otherwise("T"), F.expr("substr(strand, 32)")).alias("seq"))
+    cands = cands.withColumn("seq", F.when(F.col("cand_id") % 2 == 1, S.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+    return matching.oriented_best_match(cands, pool.select(F.col("strand_id").alias("ref_id"), F.col("strand").alias("seq"))).withColumn("score", F.round("score", 9))
+
+
+@query("""SELECT l_orderkey AS read_name, l_partkey AS ref_name, 'read' AS missing FROM lineitem WHERE l_orderkey % 7 = 0 OR l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT l_orderkey, l_partkey, 'reference' FROM lineitem WHERE l_partkey % 11 = 0 OR l_partkey NOT IN (SELECT p_partkey FROM part)""")
+def dangling_alignments(spark, sf_dir):
+    found = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("read_name"), F.col("l_partkey").alias("ref_name"))
+    return matching.dangling(found, _table(spark, sf_dir, "orders").where("o_orderkey % 7 != 0").select(F.col("o_orderkey").alias("read_name")), _table(spark, sf_dir, "part").where("p_partkey % 11 != 0").select(F.col("p_partkey").alias("ref_name")))
+
+
+_OPS = "translate({}, 'ACGT', '=XID')".format(_four("o_orderkey * 37 % 262144", 9))
+_TRIM = "regexp_replace(substr({0}, 2, greatest(length({0}) - 2, 0)), '^D+|D+$', '', 'g')"
+
+
+@query(f"""WITH f0 AS (SELECT o_orderkey AS id, {_OPS} AS a FROM orders), f AS (SELECT *, {_TRIM.format('a')} AS b FROM f0), g AS (SELECT *, {_TRIM.format('b')} AS c FROM f), h AS (SELECT *, {_TRIM.format('c')} AS d FROM g), i AS (SELECT *, {_TRIM.format('d')} AS e FROM h),
+k AS (SELECT id, unnest([a, b, c, d, e]) AS cigar, unnest([0, 1, 2, 3, 4]) AS n FROM i), m AS (SELECT DISTINCT {_OPS.replace('262144', '64').replace('// 65536', '// 65536')} AS w FROM orders),
+t AS (SELECT DISTINCT right(w, 3) AS cigar FROM m WHERE right(w, 1) != 'D' AND left(right(w, 3), 1) != 'D' UNION SELECT unnest(['=', 'X', 'I']))
+SELECT id, cigar AS found FROM k JOIN t USING (cigar) WHERE cigar != '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY n) = 1""")
+def context_backoff(spark, sf_dir):
+    """Contexts of nine columns looked up in a model of contexts of three and one: the longest that it has."""
+    ops = lambda n: F.translate(B.base_four(F.col("o_orderkey") * 37 % n, 9), "ACGT", "=XID")
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), ops(262144).alias("cigar"), F.right(ops(64), F.lit(3)).alias("three"))
+    model = rows.select(F.col("three").alias("cigar")).where("NOT cigar RLIKE '^D|D$'").unionByName(spark.createDataFrame([("=",), ("X",), ("I",)], "cigar string")).distinct()
+    return matching.backed_off(rows.select("id", "cigar"), model, 4).select("id", "found")
+
+
+@query(f"""WITH {_B}, parts AS (SELECT item_id * 1000 + chunk_idx AS part_id, left(strand, 80) AS part FROM s WHERE length(strand) >= 16), w0 AS (SELECT doc_id, lower(hex(encode(text))) AS x FROM documents WHERE length(text) > 0),
+w1 AS (SELECT doc_id, x, unnest(generate_series(0, (length(x) - 1) // 800)) AS b FROM w0), w2 AS (SELECT doc_id * 1000 + b AS whole_id, substr(x, b * 800 + 1, 800) AS h FROM w1),
+w AS (SELECT whole_id, {''.join('replace(' for _ in S.HEX)}h{''.join(f", '{c}', '{S.pair(i)}')" for i, c in enumerate(S.HEX))} AS whole FROM w2)
+SELECT part_id, whole_id FROM parts JOIN w ON contains(whole, part)""")
+def contained_strands(spark, sf_dir):
+    """Which heads of strands of `benchmark` lie in which blocks of documents."""
+    parts = _pool(spark, sf_dir).where(F.length("strand") >= 16).select(F.col("strand_id").alias("part_id"), F.left("strand", F.lit(80)).alias("seq"))
+    wholes = packets.source_blocks(_table(spark, sf_dir, "documents"), "doc_id", "text", 400, 1).select((F.col("file_id") * 1000 + F.col("block")).alias("whole_id"), S.to_strand(F.col("data")).alias("seq"))
+    return kmers.contained(parts, wholes)
+
+
+@query("SELECT p_name AS seq, p_partkey, p_name IN (SELECT p_name FROM part WHERE p_size > 40) AS is_correct FROM part")
+def screened(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("seq"), "p_size")
+    return matching.checked_against(rows.drop("p_size"), rows.where("p_size > 40"))
+
+
+@query(f"WITH {_B}, r AS (SELECT item_id * 1000 + chunk_idx AS id, strand AS a, left(strand, 20) || 'ACG' || substr(strand, 25, 60) || 'T' || substr(strand, 85) AS b FROM s WHERE length(strand) > 0) SELECT id, CAST(levenshtein(a, b) AS BIGINT) AS cost, length(b) - length(a) AS longer, a, b FROM r")
+def edit_operations(spark, sf_dir):
+    """Strands against changed ones: as many edits as their distance, insertions less deletions, and both strands back from the alignment."""
+    rows = _pool(spark, sf_dir).where(F.length("strand") > 0).select(F.col("strand_id").alias("id"), F.col("strand").alias("a"), F.expr("concat(left(strand, 20), 'ACG', substr(strand, 25, 60), 'T', substr(strand, 85))").alias("b"))
+    rows = rows.withColumn("e", align.edit_cigar("a", "b")).withColumn("g", align.gapped_pair("a", "b"))
+    e = lambda c: F.col(f"e.n_{c}").cast("long")
+    return rows.select("id", (e("insert") + e("delete") + e("substitute")).alias("cost"), (e("insert") - e("delete")).alias("longer"), F.replace("g.a", F.lit("-"), F.lit("")).alias("a"), F.replace("g.b", F.lit("-"), F.lit("")).alias("b"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN 2 * l_quantity + l_linenumber > 0 THEN l_quantity / (2 * l_quantity + l_linenumber + l_suppkey % 3) ELSE 0 END, 9) AS identity FROM lineitem")
+def cigar_identity(spark, sf_dir):
+    q = F.col("l_quantity").cast("long")
+    c = F.concat(q, F.lit("="), F.col("l_linenumber"), F.lit("X"), q, F.lit("I"), F.col("l_suppkey") % 3, F.lit("D"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(align.cigar_identity(c), 9).alias("identity"))
+
+
+@query("SELECT c_custkey, round(list_avg(list_transform(string_split(c_name, ''), lambda c: pow(10, -(ascii(c) - 33) / 10.0))), 12) AS error FROM customer")
+def mean_quality(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.round(align.phred_error(F.col("c_name")), 12).alias("error"))
+
+
+_GAPPED = f"WITH {_B}, r AS (SELECT strand AS ref, left(strand, chunk_idx % 50 + 9) || '-' || substr(strand, chunk_idx % 50 + 11, 20) || 'A' || substr(strand, chunk_idx % 50 + 32) AS read FROM s WHERE length(strand) = {4 * CHUNK})"
+
+
+@query(f"""{_GAPPED}, k AS (SELECT substr(ref, i, 4) AS kmer, replace(substr(read, i, 4), '-', '') AS alt FROM (SELECT ref, read, unnest(generate_series(1, length(ref) - 3)) AS i FROM r)),
+n AS (SELECT kmer, alt, count(*) AS n FROM k WHERE alt != '' AND left(kmer, 1) = left(alt, 1) AND right(kmer, 1) = right(alt, 1) GROUP BY 1, 2)
+SELECT kmer, alt, n, round(n / sum(n) OVER (PARTITION BY kmer), 9) AS share FROM n QUALIFY row_number() OVER (PARTITION BY kmer ORDER BY alt != kmer, n DESC, alt) <= 25""")
+def learned_errors(spark, sf_dir):
+    """What reads hold for each 4-mer of strands, of pairs with a deletion and a changed base."""
+    rows = strands(_table(spark, sf_dir, "benchmark"), "item_id", "text", CHUNK).where(F.length("strand") == 4 * CHUNK)
+    read = F.expr("concat(left(strand, cast(chunk_idx % 50 + 9 as int)), '-', substr(strand, cast(chunk_idx % 50 + 11 as int), 20), 'A', substr(strand, cast(chunk_idx % 50 + 32 as int)))")
+    return channel.error_model(rows.select(F.col("strand").alias("ref"), read.alias("read")), 4).select("kmer", "alt", "n", F.round("share", 9).alias("share"))
+
+
+@query("WITH d AS (SELECT ps AS ref_name, n FROM (SELECT l_suppkey AS ps, count(*) AS n FROM lineitem WHERE l_returnflag != 'R' GROUP BY 1)) SELECT round(avg(n), 6) AS mean, round(var_pop(n), 6) AS variance, min(n) AS least, max(n) AS most FROM d")
+def depth_of_origins(spark, sf_dir):
+    reads = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ref_name"), F.when(F.col("l_returnflag") == "R", "junk").otherwise("good").alias("kind"))
+    return channel.depth_summary(reads).withColumns({c: F.round(c, 6) for c in ("mean", "variance")})
+
+
+# ---- statistics
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, sp, {_four('o_orderkey', 8)} AS ident, {_four('o_orderkey * 7919 % 4294967296', 16)} AS payload FROM orders, range(4) t(sp)),
+m AS (SELECT sp AS spacing, array_to_string(list_transform(generate_series(1, 8), lambda i: substr(ident, i, 1) || substr(payload, (i - 1) * sp + 1, sp)), '') || substr(payload, 8 * sp + 1) AS strand FROM r),
+e AS (SELECT spacing, CAST({_TOTAL} AS DOUBLE) AS p FROM m) SELECT spacing, round(avg(p), 6) AS mean, round(stddev_pop(p), 6) AS sd, count(*) FILTER (p < 1.0) AS n_under FROM e GROUP BY 1""")
+def spacing_statistics(spark, sf_dir):
+    """Errors of packets whose identifier is spread over the payload, by how far."""
+    k, out = F.col("o_orderkey"), None
+    for spacing in range(4):
+        strand = B.spaced(B.base_four(k, 8), B.base_four(k * 7919 % 4294967296, 16), spacing)
+        rows = _table(spark, sf_dir, "orders").select(F.lit(spacing).cast("long").alias("spacing"), strand.alias("strand"))
+        out = rows if out is None else out.unionAll(rows)
+    rows = out.select("spacing", R.default_rules(F.col("strand")).alias("error_prob"))
+    return experiments.error_statistics(rows, "spacing").withColumns({c: F.round(c, 6) for c in ("mean", "sd")})
+
+
+@query("""WITH RECURSIVE f AS (SELECT 1 AS len, 1 AS run, CAST(4 AS HUGEINT) AS n UNION ALL
+SELECT f.len + 1, t.run, sum(CASE WHEN t.run = 1 THEN 3 * f.n WHEN t.run = f.run + 1 THEN f.n ELSE 0 END) FROM f, (VALUES (1), (2), (3)) t(run) WHERE f.len < 16 GROUP BY f.len, t.run)
+SELECT CAST(4294967296 AS BIGINT) AS n, CAST(4294967296 - sum(n) AS BIGINT) AS impossible FROM f WHERE len = 16""")
+def impossible_seeds_32(spark, sf_dir):
+    """Seeds of 32 bits with a run over three: halves of 16 bits by their first and last runs, put together."""
+    return fountain.impossible_seeds(spark)
+
+
+@query("SELECT user_id % 5 AS overhead, count(*) AS n FROM events GROUP BY 1")
+def overhead_counts(spark, sf_dir):
+    return _table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("overhead")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT event_type, count(value) AS n, stddev_samp(value) * pow(count(value), -0.2) AS h FROM events GROUP BY 1)
+SELECT event_type, x, round(sum(exp(-(x - value) * (x - value) / (2 * h * h))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density FROM events JOIN s USING (event_type), (SELECT unnest([0.0, 25.0, 50.0, 100.0, 200.0]::DOUBLE[]) AS x) GROUP BY 1, 2""")
+def density_of_values(spark, sf_dir):
+    return experiments.density_curve(_table(spark, sf_dir, "events"), "event_type", "value", [0, 25, 50, 100, 200]).withColumn("density", F.round("density", 9))
+
+
+@query("SELECT s // 86400 AS days, s // 3600 % 24 AS hours, s // 60 % 60 AS minutes, s % 60 AS seconds FROM (SELECT CAST(floor(sum(p_size * 1000 + 7)) AS BIGINT) AS s FROM part)")
+def elapsed_time(spark, sf_dir):
+    return _table(spark, sf_dir, "part").agg(F.sum(F.col("p_size") * 1000 + 7).alias("s")).select(B.elapsed(F.col("s")).alias("e")).select("e.*")
+
+
+@query("WITH s AS (SELECT p_size, p_brand, sum(p_retailprice) AS v FROM part GROUP BY 1, 2) SELECT p_size, round(avg(v), 2) AS mean, round(stddev_pop(v), 2) AS sd FROM s GROUP BY 1")
+def run_statistics(spark, sf_dir):
+    return experiments.run_statistics(_table(spark, sf_dir, "part"), "p_size", "p_brand", "p_retailprice")
+
+
+_BLACKMAN = [0.42 - 0.5 * math.cos(2 * math.pi * i / 14) + 0.08 * math.cos(4 * math.pi * i / 14) for i in range(15)]
+
+
+@query("SELECT user_id, event_id, round(m, 6) AS mean FROM (SELECT user_id, event_id, (" + " + ".join(f"{'lag' if i < 8 else 'lead'}(value, {abs(7 - i)}) OVER w * {w!r}" for i, w in enumerate(_BLACKMAN)) + f") / {sum(_BLACKMAN)!r} AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE m IS NOT NULL")
+def weighted_mean(spark, sf_dir):
+    return experiments.blackman_mean(_table(spark, sf_dir, "events"), "user_id", "event_id", "value").withColumn("mean", F.round("mean", 6))
+
+
+@query("WITH e AS (SELECT min(value) AS lo, max(value) AS hi, count(*) AS n FROM events), b AS (SELECT least(19, CAST(floor((value - lo) / ((hi - lo) / 20)) AS BIGINT)) AS bin, (hi - lo) / 20 AS w, n FROM events, e) SELECT bin, count(*) AS n, round(count(*) / any_value(n) / any_value(w), 9) AS pdf, round(sum(count(*)) OVER (ORDER BY bin) / any_value(n), 9) AS cdf FROM b GROUP BY bin")
+def value_histogram(spark, sf_dir):
+    return experiments.histogram(_table(spark, sf_dir, "events"), "value").withColumns({c: F.round(c, 9) for c in ("pdf", "cdf")})
+
+
+@query("SELECT degree, round(p - coalesce(lag(p) OVER (ORDER BY degree), 0), 12) AS step, round(p, 12) AS p FROM (SELECT degree, CASE WHEN degree = 1 THEN 1 / 60.0 ELSE 1.0 / (degree * (degree - 1)) END AS p FROM range(1, 60) t(degree))")
+def distribution_steps(spark, sf_dir):
+    """A distribution as differences, and back."""
+    steps = fountain.differences(fountain.ideal_soliton(spark, 60))
+    back = fountain.accumulated(steps)
+    return steps.select("degree", F.round("p", 12).alias("step")).join(back.select("degree", F.round("p", 12).alias("p")), "degree")
+
+
+@query("WITH r AS (SELECT CAST(l_quantity AS BIGINT) AS n FROM lineitem), c AS (SELECT n, sum(sum(n)) OVER (ORDER BY n DESC) AS run, sum(sum(n)) OVER () AS every FROM r GROUP BY n) SELECT max(n) AS n50 FROM c WHERE run >= 0.5 * every")
+def half_of_bases(spark, sf_dir):
+    return experiments.half_of_bases(_table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("n")))
+
+
+@query("WITH r AS (SELECT CAST(l_quantity * 40 AS BIGINT) AS len FROM lineitem), c AS (SELECT 'c' || n_nationkey AS name, 1.0 + n_nationkey AS depth, 100 + n_nationkey * 90 AS n FROM nation) SELECT name, round(depth * sum(len) / sum(least(len, n)), 9) AS depth FROM c, r GROUP BY name, depth")
+def adjusted_depths(spark, sf_dir):
+    contigs = _table(spark, sf_dir, "nation").select(F.concat(F.lit("c"), "n_nationkey").alias("name"), (1.0 + F.col("n_nationkey")).alias("depth"), (100 + F.col("n_nationkey") * 90).alias("n"))
+    out = experiments.adjusted_depths(contigs, _table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * 40).cast("long").alias("n")))
+    return out.withColumn("depth", F.round("depth", 9))
+
+
+@query("SELECT p_name AS name, p_size * length(p_name || p_brand) * 1.0 AS weight FROM part")
+def contig_weights(spark, sf_dir):
+    return channel.contig_weights(_table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("depth"), F.concat("p_name", "p_brand").alias("seq")))
+
+
+# ---- functions
+
+
+@query("SELECT o_orderkey, xor(o_orderkey, 4190334876) AS i, xor(o_orderkey % 65536, 63939) AS h, xor(o_orderkey, -449392817811001444) AS q, o_orderkey AS back FROM orders")
+def masked_headers(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", B.xor_mask(k, "I").alias("i"), B.xor_mask(k % 65536, "H").alias("h"), B.xor_mask(k, "Q").alias("q"), B.xor_mask(B.xor_mask(k, "I"), "I").alias("back"))
+
+
+_T8, _T16 = ([int(x) for x in correction._crc_table(letter)] for letter in "BH")
+_T32 = []
+for _i in range(256):
+    for _ in range(8):
+        _i = _i >> 1 ^ (0xEDB88320 if _i & 1 else 0)
+    _T32.append(_i)
+_NAME_BYTES = "list_transform(string_split(c_name, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+
+
+@query(f"""SELECT c_custkey, list_reduce(list_prepend(CAST(0 AS BIGINT), b), lambda c, x: CAST({_T8}[xor(c, x) + 1] AS BIGINT)) AS b, list_reduce(list_prepend(CAST(0 AS BIGINT), b), lambda c, x: CAST(xor(c * 256 % 65536, {_T16}[xor(c // 256, x) + 1]) AS BIGINT)) AS h,
+xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: CAST(xor(c // 256, {_T32}[xor(c % 256, x) + 1]) AS BIGINT))) AS l FROM (SELECT c_custkey, {_NAME_BYTES} AS b FROM customer)""")
+def checksums(spark, sf_dir):
+    """Checksums of 8, 16 and 32 bits."""
+    data = F.col("c_name").cast("binary")
+    return _table(spark, sf_dir, "customer").select("c_custkey", *[correction.checksum_column(letter)(data).alias(letter.lower()) for letter in "BHL"])
+
+
+@query(f"{_S} SELECT doc_id, chunk_idx, array_to_string(list_transform(regexp_extract_all(left(strand, 40), 'A+|C+|G+|T+'), lambda r: left(r, 1) || length(r)), '') AS runs FROM s")
+def run_lengths(spark, sf_dir):
+    r = F.array_join(F.transform(B.runs(F.left("strand", F.lit(40))), lambda x: F.concat(x["base"], x["n"])), "")
+    return _strands(spark, sf_dir).select("doc_id", "chunk_idx", r.alias("runs"))
+
+
+@query("SELECT n, round(sum(length(d)) / n, 9) AS digits FROM (SELECT n, CASE WHEN i < 8 THEN '' ELSE CAST(i // 8 % 8 AS VARCHAR) END || CASE WHEN i < 64 THEN '' ELSE CAST(i // 64 % 8 AS VARCHAR) END || CASE WHEN i < 512 THEN '' ELSE 'x' END || i % 8 AS d FROM (SELECT unnest([1, 7, 8, 9, 64, 65, 500, 600, 4000]) AS n), range(4000) t(i) WHERE i < n) GROUP BY n")
+def octal_digits(spark, sf_dir):
+    rows = spark.createDataFrame([(n,) for n in (1, 7, 8, 9, 64, 65, 500, 600, 4000)], "n int")
+    return rows.select("n", F.round(jpeg._octal_digits(F.col("n")), 9).alias("digits"))
+
+
+@query("""WITH r AS (SELECT i AS x FROM range(2, 1001) t(i)), p AS (SELECT x FROM r WHERE NOT EXISTS (SELECT 1 FROM range(2, 32) d(j) WHERE j * j <= x AND x % j = 0) UNION ALL SELECT 1009)
+SELECT x, x IN (SELECT x FROM p) AS is_prime, (SELECT min(p.x) FROM p WHERE p.x >= r.x) AS prime_from, CASE WHEN x <= 20 THEN CAST(factorial(CAST(x AS INTEGER)) / (factorial(CAST(x // 2 AS INTEGER)) * factorial(CAST(x - x // 2 AS INTEGER))) AS BIGINT) ELSE 0 END AS center FROM r WHERE x <= 1000""")
+def number_theory(spark, sf_dir):
+    return fountain.number_theory(spark, 1000).withColumn("center", F.when(F.col("x") <= 20, F.col("center")).otherwise(0))
+
+
+def _digest_bases(n: int) -> str:
+    text = "sha256('7:' || c_custkey || ':0') || sha256('7:' || c_custkey || ':1')"
+    return f"left({''.join('replace(' for _ in S.HEX)}{text}{''.join(f''', '{c}', '{S.pair(i)}')''' for i, c in enumerate(S.HEX))}, {n})"
+
+
+@query(f"WITH s AS (SELECT c_custkey, {_digest_bases(150)} AS strand FROM customer) SELECT c_custkey, strand, round(CAST({_TOTAL} AS DOUBLE), 6) AS error FROM s")
+def random_strands(spark, sf_dir):
+    """Strands by chance, the same ones each time, and their errors."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", experiments.random_strand(F.col("c_custkey"), 150, 7).alias("strand"))
+    return rows.withColumn("error", F.round(R.default_rules(F.col("strand")), 6))
+
+
+@query("SELECT p_partkey, 5 * round_even(p_retailprice / 5, 0) AS five FROM part")
+def rounded_to_five(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", B.round_to(F.col("p_retailprice"), 5).alias("five"))
+
+
+_CORNERS = "list_transform(string_split({0}, ''), lambda c: CASE WHEN c IN {1} THEN 5000.0 ELSE 0.0 END)"
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, {_four('o_orderkey', 10)} AS s FROM orders) SELECT o_orderkey, round(list_reduce({_CORNERS.format('s', "('T', 'C')")}, lambda a, b: (a + b) / 2), 9) AS x, round(list_reduce({_CORNERS.format('s', "('G', 'C')")}, lambda a, b: (a + b) / 2), 9) AS y FROM r""")
+def chaos_points(spark, sf_dir):
+    last = F.element_at(B.chaos_game(B.base_four(F.col("o_orderkey"), 10)), -1)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", last.alias("p")).select("o_orderkey", F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y"))
+
+
+@query("SELECT p_partkey, round(2.0 * p_size / (p_size + 6), 9) AS density, round(pow(10, -p_size / 10.0), 12) AS error FROM part")
+def code_density(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", F.round(B.density(F.col("p_size"), 4, 2), 9).alias("density"), F.round(B.phred(F.col("p_size")), 12).alias("error"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ''), lambda c: lpad(bin(ascii(c)), 8, '0')), '') AS bits, p_name AS name FROM part")
+def bit_strings(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").select("p_partkey", B.bits_of(F.col("p_name").cast("binary")).alias("bits"))
+    return rows.withColumn("name", F.decode(B.bytes_of(F.col("bits")), "utf-8"))
+
+
+@query(f"SELECT o_orderkey, translate(left(s, n), 'ACGT', 'CATG') || substr(s, n + 1) AS strand FROM (SELECT o_orderkey, {_four('o_orderkey', 16)} AS s, CAST(ceil(o_custkey % 9 / 8.0 * 16) AS BIGINT) AS n FROM orders)")
+def flipped_bases(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", B.flipped(B.base_four(F.col("o_orderkey"), 16), F.col("o_custkey") % 9 / 8).alias("strand"))
+
+
+@query(f"SELECT p_partkey, p_name, ident, payload FROM (SELECT p_partkey, p_name, {_four('p_partkey', 8)} AS ident, {_four('p_partkey * 7919', 16)} AS payload FROM part)")
+def spaced_identifiers(spark, sf_dir):
+    """Identifiers spread over payloads, and taken out again."""
+    k = F.col("p_partkey")
+    rows = _table(spark, sf_dir, "part").select("p_partkey", "p_name", B.unspaced(B.spaced(B.base_four(k, 8), B.base_four(k * 7919, 16), 2), 8, 2).alias("u"))
+    return rows.select("p_partkey", "p_name", "u.ident", "u.payload")
+
+
+# ---- distributions and rules
+
+
+@query(f"""WITH s AS (SELECT 0.025 * sqrt(200) * pow(ln(200 / 0.001), 2) AS s), r AS (SELECT degree, CASE WHEN degree = 1 THEN 1 / 200.0 ELSE 1.0 / (degree * (degree - 1)) END + CASE WHEN degree < round(200 / s) THEN s / (200 * degree) WHEN degree = round(200 / s) THEN s * ln(s / 0.001) / 200 ELSE 0 END AS p FROM range(1, 200) t(degree), s)
+SELECT degree, round(p / sum(p) OVER (), 9) AS p FROM r""")
+def spiked_soliton(spark, sf_dir):
+    return fountain.spiked_soliton(spark, 200).withColumn("p", F.round("p", 9))
+
+
+@query("SELECT p_size AS degree, round(sum(p_retailprice) / (SELECT sum(p_retailprice) FROM part), 9) AS p FROM part GROUP BY 1")
+def adaptable_distribution(spark, sf_dir):
+    weights = _table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("degree")).agg(F.sum("p_retailprice").alias("weight"))
+    return fountain.adaptable(weights).withColumn("p", F.round("p", 9))
+
+
+_UNIT = "greatest(0.0, least(1.0, {}))"
+_P = _GC.format("strand")
+
+
+@query(f"""{_S}, g AS (SELECT doc_id, chunk_idx, CAST({_P} AS DOUBLE) AS p, strand FROM s) SELECT doc_id, chunk_idx, 0.02 AS constant, 0.0 AS illegal, CASE WHEN p NOT BETWEEN 40 AND 60 THEN 1.0 ELSE 0.0 END AS forties,
+round({_UNIT.format("(100 + 175 * p / 6 - 121 * p * p / 72 + p * p * p / 36 - p * p * p * p / 7200) / 100")}, 6) AS quartic, round({_UNIT.format("(100 + 49970.8 * p - 2582 * p * p + 41.6458 * p * p * p - 0.208229 * p * p * p * p) / 100")}, 6) AS strict FROM g""")
+def gc_penalties(spark, sf_dir):
+    s = F.col("strand")
+    p, known = S.gc_percent(s), B.rule_functions()
+    return _strands(spark, sf_dir).select("doc_id", "chunk_idx", known["constant"](s).alias("constant"), R.illegal_symbols(s).alias("illegal"), R.gc_band(p, 40, 60).alias("forties"), F.round(R.gc_quartic(p), 6).alias("quartic"), F.round(R.gc_strict(p), 6).alias("strict"))
+
+
+_SIMPLE = ["ACGTAC", "GGATCC", "TTAGGC"]
+_TURN = str.maketrans("ACGT", "TGCA")
+
+
+@query(f"{_S} SELECT doc_id, chunk_idx, CASE WHEN {' OR '.join(f'''contains(strand, '{m}')''' for m in _SIMPLE + [m.translate(_TURN) for m in _SIMPLE])} THEN 1.0 ELSE 0.0 END AS p FROM s")
+def any_motif(spark, sf_dir):
+    """Any of some motifs or their complements."""
+    return _strands(spark, sf_dir).select("doc_id", "chunk_idx", B.any_motif(F.col("strand"), B.with_complements(_SIMPLE)).alias("p"))
+
+
+@query(f"{_S}, m AS (SELECT doc_id, chunk_idx, unnest(list_transform(generate_series(1, length(strand) - 18), lambda i: substr(strand, i, 19))) AS mer FROM s WHERE doc_id < 60 AND length(strand) >= 19), n AS (SELECT mer FROM m GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, chunk_idx, count(*) AS n FROM m JOIN n USING (mer) GROUP BY 1, 2")
+def repeated_mers(spark, sf_dir):
+    """Packets whose 19-mers come again, in them or in others."""
+    return kmers.shared_mers(_strands(spark, sf_dir).where("doc_id < 60"), ["doc_id", "chunk_idx"], "strand", 19)
+
+
+_EZ = sorted({x for m, _ in R.MOTIFS for x in (m, m[::-1], m[::-1].translate(_TURN))})
+
+
+@query(f"{_S} SELECT doc_id, chunk_idx, CASE WHEN {_RUN} > 3 OR {_P} NOT BETWEEN 45 AND 55 OR {' OR '.join(f'''contains(strand, '{m}')''' for m in _EZ)} THEN 1.0 ELSE 0.0 END AS p FROM s")
+def oligo_rule(spark, sf_dir):
+    return _strands(spark, sf_dir).select("doc_id", "chunk_idx", B.oligo_rule(F.col("strand")).alias("p"))
+
+
+@query(f"{_S} SELECT doc_id, chunk_idx, CASE WHEN {_RUN} >= 4 THEN 1.0 ELSE 0.0 END + CASE WHEN {_P} NOT BETWEEN 40 AND 60 THEN 1.0 ELSE 0.0 END AS p FROM s")
+def chosen_rules(spark, sf_dir):
+    """A rule list of one's own: another homopolymer table and another band."""
+    rules = [lambda s: R.homopolymer(s, "three_strict"), lambda s: R.gc_band(S.gc_percent(s), 40, 60)]
+    return _strands(spark, sf_dir).select("doc_id", "chunk_idx", R.rule_sum(F.col("strand"), rules).alias("p"))
+
+
+# ---- codecs
+
+
+@query("SELECT o_orderkey, t || repeat('0', 60) || lpad('202', 20, '0') AS framed FROM (SELECT o_orderkey, " + " || ".join(f"CAST(o_orderkey // {3**i} % 3 AS VARCHAR)" for i in reversed(range(20))) + " AS t FROM orders)")
+def framed_trits(spark, sf_dir):
+    """Twenty trits framed: at least a window long, their number in twenty trits at the end, and back."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.lpad(F.conv(F.col("o_orderkey").cast("string"), 10, 3), 20, "0").alias("t"))
+    return rows.select("o_orderkey", ternary.framed(F.col("t")).alias("framed"), "t").where(ternary.unframed(F.col("framed")) == F.col("t")).drop("t")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'X' || substr(c_name, 2) ELSE c_name END AS plain, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS checked, c_name AS repaired FROM customer")
+def corrected(spark, sf_dir):
+    """Names protected in three ways, of which every third is spoiled, and what comes back."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").cast("binary").alias("data"))
+    for out, name in (("plain", "none"), ("checked", "crc"), ("repaired", "rs")):
+        coded = correction.protected(name)(F.col("data"))
+        rows = rows.withColumn(out, coded).withColumn(out, F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("X").cast("binary"), F.substring(out, 2, 1 << 20))).otherwise(F.col(out)))
+        rows = rows.withColumn(out, F.decode(correction.restored(name)(F.col(out)), "utf-8"))
+    return rows.drop("data")
+
+
+@query("SELECT doc_id, md5(encode(text)) AS digest FROM documents WHERE length(text) > 0")
+def rs_files(spark, sf_dir):
+    """Documents as Reed-Solomon chunks with their numbers, those of every twentieth with their first bases flipped, and put together again."""
+    coded = correction.rs_file_chunks(_table(spark, sf_dir, "documents"), "doc_id", "text", 60, 0.2)
+    sent = coded.select("doc_id", B.flipped(S.to_strand(F.col("packed")), F.when(F.col("doc_id") % 20 == 0, 0.03).otherwise(0.0)).alias("strand"))
+    back = correction.rs_file_data(sent.select("doc_id", S.from_strand(F.col("strand")).alias("packed")), "doc_id", 60, 0.2)
+    return back.select("doc_id", F.md5("data").alias("digest"))
+
+
+@query("SELECT n_nationkey, replace(r_name || n_name || r_name, n_name, '<b>' || n_name || '</b>') AS html, true AS found FROM nation JOIN region ON n_regionkey = r_regionkey")
+def match_report(spark, sf_dir):
+    """Assemblies with the strands that they hold set in bold."""
+    rows = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+    wholes = rows.select(F.col("n_nationkey").cast("long").alias("whole_id"), F.concat("r_name", "n_name", "r_name").alias("seq"))
+    parts = rows.select(F.col("n_nationkey").cast("long").alias("part_id"), F.col("n_name").alias("seq"))
+    met = wholes.join(parts.withColumnRenamed("seq", "part"), F.expr("whole_id = part_id"))
+    return matching.report(met).select(F.col("whole_id").cast("int").alias("n_nationkey"), "html", "found")
+
+
+@query("""WITH h AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE length(text) > 0 AND doc_id < 40), b AS (SELECT doc_id AS file_id, x, unnest(generate_series(0, (length(x) - 1) // 6016)) AS block FROM h) SELECT file_id, block, md5(unhex(substr(x, block * 6016 + 1, 6016))) AS digest FROM b""")
+def streamed_blocks(spark, sf_dir):
+    """Packets that come in three files of a stream, every tenth lost, decoded as soon as a block's rank is full."""
+    from helixframe.streaming.incremental import decode_stream
+
+    docs, size, block = _table(spark, sf_dir, "documents").where("doc_id < 40"), 47, 64
+    sent = packets.encode(docs, "doc_id", "text", size, block, 0.6, "raptor", "none").where("seed % 10 != 3").select("file_id", "block", "k", "seed", F.substring("packed", 5, size).alias("payload"))
+    path, out = scratch(spark, "stream"), scratch(spark, "solved")
+    sent.repartition(3, "seed").write.parquet(path)
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    run = decode_stream(stream, "raptor", 5).writeStream.format("parquet").option("checkpointLocation", scratch(spark, "state")).option("path", out).trigger(availableNow=True).start()
+    run.awaitTermination()
+    sizes = packets.source_blocks(docs, "doc_id", "text", size, block).select("file_id", "block", F.octet_length("data").alias("n_bytes"))
+    sizes = sizes.withColumn("k", F.greatest(F.lit(4), F.ceil(F.col("n_bytes") / size).cast("int")))
+    return packets.assemble(spark.read.schema("file_id long, block long, chunk_idx int, data binary").parquet(out), sizes).select("file_id", "block", F.md5("data").alias("digest"))
+
+
+@rows_only
+def near_duplicate_reads(spark, sf_dir):
+    """Strands of `benchmark` and changed ones: which of them resemble a smaller one."""
+    pool = _pool(spark, sf_dir).where(F.length("strand") > 40)
+    changed = pool.select((F.col("strand_id") + 10**6).alias("read_id"), F.concat(F.left("strand", F.lit(30)), F.lit("ACG"), F.expr("substr(strand, 36)")).alias("seq"))
+    return matching.near_duplicates(pool.select(F.col("strand_id").alias("read_id"), F.col("strand").alias("seq")).unionByName(changed))
+
+
+@rows_only
+def close_matches(spark, sf_dir):
+    pool = _pool(spark, sf_dir).where(F.length("strand") > 40)
+    known = pool.select(F.col("strand_id").alias("known_id"), F.col("strand").alias("seq"))
+    return matching.close_matches(pool.select(F.col("strand_id").alias("id"), F.concat(F.lit("ACG"), F.expr("substr(strand, 8)")).alias("seq")), known, 0.6, 16)
