@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -259,3 +260,17 @@ def id_bloom(ids: DataFrame, column: str) -> Bloom:
 
     rows = ids.where(F.col(column).isNotNull()).select(column).mapInArrow(deal, "bucket int, x binary")
     return gather_bloom(by_group(rows, buckets).applyInArrow(build, "bucket int, segment binary"), buckets)
+
+
+def may_be_in(keys: DataFrame, column: str):
+    """A column function over bigints: false only for those that a table's column surely lacks.  Only these numbers go to Python."""
+    found = keys.sparkSession.sparkContext.broadcast(id_bloom(keys, column))
+
+    @F.pandas_udf("boolean")
+    def test(x: pd.Series) -> pd.Series:
+        some = x.notna().to_numpy()
+        out = np.zeros(len(x), bool)
+        out[some] = found.value.has(mix(x[some].to_numpy(np.int64).view(np.uint64)))
+        return pd.Series(out)
+
+    return test

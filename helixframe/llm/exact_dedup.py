@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import MOST_TASKS, SPACE, columns_of, groups_of, id_bloom, mix, prepare, save, shuffle_parts
+from helixframe.llm.common import MOST_TASKS, SPACE, columns_of, groups_of, id_bloom, may_be_in, mix, prepare, save, shuffle_parts
 
 SLOTS, MAX_KICKS = 4, 200
 #: Bytes of content, and number of digests, that a task holds before it ships them.
@@ -177,11 +177,15 @@ def _parts(docs: DataFrame, text_col: str) -> int:
     return min(groups_of(docs, f"`{text_col}`"), max(MOST_TASKS, shuffle_parts(docs.sparkSession)))
 
 
+def _head() -> Column:
+    """The first bytes of a digest as a number."""
+    return F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
+
+
 def _groups(rows: DataFrame, keys: DataFrame, parts: int) -> DataFrame:
     """(digest, check, keep_id, group_size, keepers) of each text that more than one row has; keepers: rows that have keep_id."""
     spark = prepare(rows.sparkSession)
-    head = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
-    hits = save(_hits(keys, parts).select("digest", head.alias("head")), "hits")
+    hits = save(_hits(keys, parts).select("digest", _head().alias("head")), "hits")
     wanted = spark.sparkContext.broadcast(id_bloom(hits, "head"))
     kind = "digest binary, check long, content binary, id long, rows long, keepers long"
     names = [c.split()[0] for c in kind.split(", ")]
@@ -235,7 +239,7 @@ def _groups(rows: DataFrame, keys: DataFrame, parts: int) -> DataFrame:
             many = []
         yield shipped([(d, check, None, *rest) for d, check, _, *rest in flat(found) if rest[1] > 1])
 
-    met = rows.withColumn("head", head).select("digest", "check", "content", "id", "head").mapInArrow(local, kind)
+    met = rows.withColumn("head", _head()).select("digest", "check", "content", "id", "head").mapInArrow(local, kind)
     met = met.repartition(parts, "digest").sortWithinPartitions("digest").mapInArrow(verify, kind)
     return met.select("digest", "check", F.col("id").alias("keep_id"), F.col("rows").alias("group_size"), "keepers")
 
@@ -257,15 +261,20 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, one of each text, with all their columns."""
+    """The rows that stay, one of each text, with all their columns.  Only rows of texts that may have copies cross a shuffle."""
     prepare(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), normalised(F.col(f"`{text_col}`")).cast("binary").alias("content"))
     rows = _keyed(rows)
     groups = save(_groups(rows.select("id", "content", "digest", "check"), save(rows.select("digest"), "digests"), _parts(docs, text_col)), "groups")
-    met = rows.drop("content").join(groups, ["digest", "check"], "left").where("group_size IS NULL OR id <=> keep_id")
+    test = may_be_in(groups.select(_head().alias("head")), "head")
+    rows = rows.drop("content").withColumn("copied", test(_head()))
+    alone = rows.where("NOT copied").select("row.*")
+    met = rows.where("copied").join(groups, ["digest", "check"], "left").where("group_size IS NULL OR id <=> keep_id")
     one = met.where("keepers IS NULL OR keepers = 1").select("row.*")
-    again = met.where("keepers > 1").groupBy("digest", "check").agg(F.min_by("row", F.sha2(F.col(f"row.`{text_col}`"), 256)).alias("row")).select("row.*")
-    return one.unionAll(again)
+    several = groups.where("keepers > 1").select("digest", "check")
+    again = rows.where("copied").join(several, ["digest", "check"], "left_semi").join(groups, ["digest", "check"]).where("id <=> keep_id")
+    again = again.groupBy("digest", "check").agg(F.min_by("row", F.sha2(F.col(f"row.`{text_col}`"), 256)).alias("row")).select("row.*")
+    return alone.unionAll(one).unionAll(again)
 
 
 def replay(changes: DataFrame, seq_col: str = "seq", op_col: str = "op", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
