@@ -257,6 +257,8 @@ def rs_file_data(chunks: DataFrame, id_col: str, size: int, overhead: float) ->
     """(id_col, data, n_lost): files of such chunks, zeros where one can't be repaired or isn't there, but for the last."""
     plain = chunks.select(id_col, restored("rs", parity=_parity(size, overhead))("packed").alias("d")).where("d IS NOT NULL")
     rows = plain.select(id_col, F.conv(F.hex(F.substring("d", 1, 4)), 16, 10).cast("int").alias("i"), F.hex(F.substring("d", 5, size)).alias("h"))
-    found = rows.groupBy(id_col).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("i", "h")))).alias("m"), F.max("i").alias("last"))
-    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.repeat(F.lit("00"), F.lit(size)))), "")
-    return found.select(id_col, F.unhex(digits).alias("data"), (F.col("last") + 1 - F.size("m")).alias("n_lost"))
+    rows = rows.groupBy(id_col, "i").agg(F.min("h").alias("h"))
+    found = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("p")).withColumn("last", F.element_at("p", -1)["i"])
+    lost = lambda x, at: x["i"] - F.coalesce(F.get("p", at - 1)["i"], F.lit(-1)) - 1
+    digits = F.array_join(F.transform("p", lambda x, at: F.concat(F.repeat(F.lit("00" * size), lost(x, at)), x["h"])), "")
+    return found.select(id_col, F.unhex(digits).alias("data"), (F.col("last") + 1 - F.size("p")).alias("n_lost"))

@@ -43,13 +43,19 @@ def source_blocks(table: DataFrame, id_col: str, data_col: str, size: int, block
     return rows.select("file_id", F.posexplode(cut).alias("block", "data")).withColumn("block", F.col("block").cast("long"))
 
 
-def _block_seeds(block: int, count: int, sequential: bool) -> range:
-    """Seeds below 2^32; those of one block never meet twice."""
-    return range(count) if sequential else range(block * 7919 % 2**31, block * 7919 % 2**31 + count)
+def _block_seeds(block: int, count: int, sequential: bool, turn: int = 0) -> range:
+    """Seeds below 2^32, those of one turn; those of one block never meet twice."""
+    first = (0 if sequential else block * 7919 % 2**31) + turn * count
+    return range(first, first + count)
 
 
 def encode(table: DataFrame, id_col: str, data_col: str, size: int = 47, block: int = 128, overhead: float = 0.3, name: str = "raptor", correction: str = "rs", sequential: bool = True, scramble: bool = False, **options) -> DataFrame:
     """Packets of every block: `overhead` more than it has chunks (and eight), of seeds 0, 1, 2 and so on, packed as masked seed and payload."""
+    return encode_blocks(source_blocks(table, id_col, data_col, size, block), size, overhead, name, correction, sequential, scramble, **options)
+
+
+def encode_blocks(blocks: DataFrame, size: int = 47, overhead: float = 0.3, name: str = "raptor", correction: str = "rs", sequential: bool = True, scramble: bool = False, turn: int = 0, **options) -> DataFrame:
+    """Packets of blocks (file_id, block, data); each turn makes as many, of other seeds."""
     protect, _ = encoder(correction)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,7 +65,7 @@ def encode(table: DataFrame, id_col: str, data_col: str, size: int = 47, block:
                 padded = bytes(data).ljust(k * size, b"\0")
                 chunk = [int.from_bytes(padded[i * size : (i + 1) * size], "big") for i in range(k)]
                 rows, plain, how = [], [], code(name, k, **options)
-                for seed in _block_seeds(at, int(k * (1 + overhead)) + 8, sequential):
+                for seed in _block_seeds(at, int(k * (1 + overhead)) + 8, sequential, turn):
                     used = used_chunks(how, seed)
                     value = 0
                     for i in used:
@@ -70,7 +76,7 @@ def encode(table: DataFrame, id_col: str, data_col: str, size: int = 47, block:
                     plain.append(struct.pack("<I", masked(seed)) + payload)
                 yield pd.DataFrame([(*r, p) for r, p in zip(rows, protect(plain))], columns=[c.split()[0] for c in PACKETS.split(", ")])
 
-    return source_blocks(table, id_col, data_col, size, block).mapInPandas(run, PACKETS)
+    return blocks.select("file_id", "block", "data").mapInPandas(run, PACKETS)
 
 
 def packet_strand(packed: Column) -> Column:

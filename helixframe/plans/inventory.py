@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import bases as B
 from helixframe.functions import rules as R
 from helixframe.functions import strand as S
-from helixframe.operators import align, channel, clusters, correction, experiments, fountain, jpeg, kmers, matching, packets, search, ternary
+from helixframe.operators import align, channel, clusters, correction, experiments, files, fountain, jpeg, kmers, matching, packets, search, ternary
 from helixframe.operators.chunks import strands
 from helixframe.plans.catalogue import _CHECK_BASES, _GC, _RUN, _S, _TOTAL, CHUNK, _hexed, _strands, query, rows_only
 from helixframe.plans.codec import _B, _pool, _table
@@ -817,3 +817,38 @@ def close_matches(spark, sf_dir):
     pool = _pool(spark, sf_dir).where(F.length("strand") > 40)
     known = pool.select(F.col("strand_id").alias("known_id"), F.col("strand").alias("seq"))
     return matching.close_matches(pool.select(F.col("strand_id").alias("id"), F.concat(F.lit("ACG"), F.expr("substr(strand, 8)")).alias("seq")), known, 0.6, 16)
+
+
+@query("SELECT doc_id AS file_id, 'doc_' || doc_id || '.txt' AS name, md5(encode(text)) AS digest, true AS crc_ok, 0 AS n_missing FROM documents WHERE text IS NOT NULL")
+def coded_files(spark, sf_dir):
+    """Documents as files behind header chunks, in packets that keep the rules; every tenth packet lost; and back by what the strands say."""
+    rows = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("file_id"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("data"))
+    how = files.Settings(overhead=0.6, xor_by_seed=True)
+    sent = files.encode_files(rows, how).where("seed % 10 != 3").select("file_id", "block", "k", "strand")
+    return files.decode_files(sent, how).select("file_id", "name", F.md5("data").alias("digest"), "crc_ok", F.col("n_missing").cast("int").alias("n_missing"))
+
+
+@query(f"SELECT o_orderkey, o_custkey % 50 AS part, {_four('o_orderkey', 12)} AS strand FROM orders")
+def parts_by_index(spark, sf_dir):
+    """Strands that carry the number of their part, and are dealt by it again."""
+    k = F.col("o_orderkey")
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", files.part_of(files.with_part(B.base_four(k, 12), F.col("o_custkey") % 50, 50), 50).alias("p"))
+    return rows.select("o_orderkey", "p.part", "p.strand")
+
+
+@rows_only
+def found_packets(spark, sf_dir):
+    """Packets of orders in longer sequences with other bases between them, found by a sliding window."""
+    table = _table(spark, sf_dir, "customer").select("c_custkey", F.rpad("c_name", 94, "-").alias("text"))
+    sent = packets.encode(table, "c_custkey", "text", 24, 4, 0.0, "raptor", "crc")
+    strand = packets.packet_strand(F.col("packed"))
+    whole = sent.select("file_id", "seed", F.concat(F.expr("left('ACGTTGCATGACCATG', cast(1 + seed % 13 as int))"), strand).alias("s")).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("seed", "s"))).alias("p"))
+    return files.find_packets(whole.select(F.col("file_id").alias("id"), F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq")), 4 * 29, 10.0, "crc").select("id", "start", "strand", "seed")
+
+
+@rows_only
+def decoding_curve(spark, sf_dir):
+    """How many blocks of documents are solved with so many packets over their chunks."""
+    sent = packets.encode(_table(spark, sf_dir, "documents"), "doc_id", "text", CHUNK, 64, 0.3, "raptor", "none")
+    curve = files.rank_curve(sent).join(sent.select("file_id", "block", "k").distinct(), ["file_id", "block"])
+    return curve.groupBy((F.col("n") - F.col("k")).alias("over")).agg(F.count("*").alias("n"), F.count_if(F.col("solved") == F.col("k")).alias("n_solved"))
