@@ -18,11 +18,14 @@ def pair(digit: int) -> str:
     return BASES[digit >> 2] + BASES[digit & 3]
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body names it, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _blocks(text: Column, width: int, change) -> Column:
-    """Consecutive blocks of a string, changed one by one and joined."""
-    at = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / width).cast("int"))
-    whole = F.array_join(F.transform(at, lambda i: change(F.substring(text, i * width + 1, F.lit(width)))), "")
-    return F.when(F.length(text) > 0, whole).otherwise(text)
+    """Consecutive blocks of a string, changed one by one and joined; the string is named once, so that it is worked out once."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0)), change), "")
 
 
 def hex_to_strand(digits: Column) -> Column:
@@ -38,8 +41,10 @@ def to_strand(data: Column) -> Column:
 
 def from_strand(strand: Column) -> Column:
     """The bytes of a strand; null if it isn't whole bytes of A, C, G and T."""
-    legal = (F.length(strand) % 4 == 0) & (F.length(F.translate(strand, BASES, "")) == 0)
-    fours = F.translate(F.when(legal, strand), BASES, "0123")
+    def checked(s: Column) -> Column:
+        return F.when((F.length(s) % 4 == 0) & (F.length(F.translate(s, BASES, "")) == 0), s)
+
+    fours = F.translate(once(strand, checked), BASES, "0123")
     return F.unhex(_blocks(fours, 32, lambda x: F.lpad(F.conv(x, 4, 16), (F.length(x) / 2).cast("int"), F.lit("0"))))
 
 
