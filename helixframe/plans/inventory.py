@@ -819,15 +819,6 @@ def close_matches(spark, sf_dir):
     return matching.close_matches(pool.select(F.col("strand_id").alias("id"), F.concat(F.lit("ACG"), F.expr("substr(strand, 8)")).alias("seq")), known, 0.6, 16)
 
 
-@query("SELECT doc_id AS file_id, 'doc_' || doc_id || '.txt' AS name, md5(encode(text)) AS digest, true AS crc_ok, 0 AS n_missing FROM documents WHERE text IS NOT NULL")
-def coded_files(spark, sf_dir):
-    """Documents as files behind header chunks, in packets that keep the rules; every tenth packet lost; and back by what the strands say."""
-    rows = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("file_id"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("data"))
-    how = files.Settings(overhead=0.6, xor_by_seed=True)
-    sent = files.encode_files(rows, how).where("seed % 10 != 3").select("file_id", "block", "k", "strand")
-    return files.decode_files(sent, how).select("file_id", "name", F.md5("data").alias("digest"), "crc_ok", F.col("n_missing").cast("int").alias("n_missing"))
-
-
 @query(f"SELECT o_orderkey, o_custkey % 50 AS part, {_four('o_orderkey', 12)} AS strand FROM orders")
 def parts_by_index(spark, sf_dir):
     """Strands that carry the number of their part, and are dealt by it again."""
