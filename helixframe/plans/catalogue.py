@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,25 +13,35 @@ from helixframe.functions import strand as S
 from helixframe.operators import fountain
 from helixframe.operators.chunks import chunks, strands, xor_lanes
 from helixframe.operators.kmers import kmer_counts as kmer_counts_of
+from helixframe.shipping import ship
 
 CHUNK = 47
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+def _with_package(f):
+    """The query, whose workers can import this package."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(ship(spark), sf_dir)
+
+    return run
+
+
 def query(sql: str):
     def add(f):
-        QUERIES[f.__name__] = f
         SQL[f.__name__] = sql
-        return f
+        return rows_only(f)
 
     return add
 
 
 def rows_only(f):
     """A query that SQL can't express; it is tested against other means."""
-    QUERIES[f.__name__] = f
-    return f
+    QUERIES[f.__name__] = _with_package(f)
+    return QUERIES[f.__name__]
 
 
 def _hexed(table: str, key: str) -> str:
