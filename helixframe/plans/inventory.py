@@ -554,7 +554,9 @@ def elapsed_time(spark, sf_dir):
 
 @query("WITH s AS (SELECT p_size, p_brand, sum(p_retailprice) AS v FROM part GROUP BY 1, 2) SELECT p_size, round(avg(v), 2) AS mean, round(stddev_pop(v), 2) AS sd FROM s GROUP BY 1")
 def run_statistics(spark, sf_dir):
-    return experiments.run_statistics(_table(spark, sf_dir, "part"), "p_size", "p_brand", "p_retailprice")
+    """Prices are summed as decimals: sums of doubles depend on their order, and means that end in half a cent with them."""
+    rows = _table(spark, sf_dir, "part").withColumn("p_retailprice", F.col("p_retailprice").cast("decimal(18,2)"))
+    return experiments.run_statistics(rows, "p_size", "p_brand", "p_retailprice").withColumn("mean", F.col("mean").cast("double"))
 
 
 _BLACKMAN = [0.42 - 0.5 * math.cos(2 * math.pi * i / 14) + 0.08 * math.cos(4 * math.pi * i / 14) for i in range(15)]
