@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, compression_classifier, exact_dedup, html_extract, ngram_join, packing, quality_rules, secrets, substring_dedup, url_filters
+from helixframe.llm import bpe, compression_classifier, exact_dedup, html_extract, minhash_dedup, ngram_join, packing, quality_rules, secrets, substring_dedup, url_filters, whitening
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -65,10 +65,32 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(written("base"), 256).alias("base_sha256"), written("found").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_compression_classifier, op3_ngram_jaccard_join, op4_url_filters, op5_exact_dedup, op6_packing, op7_byte_bpe, op8_html_extraction, op9_quality_rules, op10_secret_scans)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"), components=16)
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_compression_classifier, op3_ngram_jaccard_join, op4_url_filters, op5_exact_dedup, op6_packing, op7_byte_bpe, op8_html_extraction, op9_quality_rules, op10_secret_scans, op11_embedding_whitening, op12_minhash_dedup)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+
+def _near_sql(k: int, percent: int, more: str = "") -> str:
+    """Components of documents whose sets of k-word shingles are similar."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + {k - 1}], ' ') AS g, len(w) < {k} AS short FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - {k - 1}))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.short = b.short AND a.doc_id != b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN link ON reach.r = link.a)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS component_id{more}
+FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id"""
+
+
 SQL = {
     "op1_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
@@ -80,19 +102,12 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM pos ANTI JOIN
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
-    "op3_ngram_jaccard_join": rf"""
-WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g, len(w) < 5 AS short FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS p FROM d WHERE len(w) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.short = b.short AND a.doc_id != b.doc_id GROUP BY 1, 2),
-link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
-reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN link ON reach.r = link.a)
-SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS component_id
-FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id""",
+    "op3_ngram_jaccard_join": _near_sql(5, 75),
     "op5_exact_dedup": r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(x) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY x)""",
+    "op12_minhash_dedup": _near_sql(3, 85, ", d.doc_id = min(r) AS kept"),
 }
 
 
