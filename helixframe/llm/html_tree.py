@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 #: Possessive, and no tag runs over a `<` outside quotes: markup without an end costs no backtracking.
@@ -45,6 +46,7 @@ def parse(html: str) -> Node:
     """The tree of block elements.  Text between block boundaries is a child of its own with tag '#' and `text`; `linked` counts its characters in links."""
     root = Node("#root", [], None)
     stack, inline = [root], []  # open blocks; open inline elements since the last block boundary
+    opened: Counter[str] = Counter()  # how many of each these are
     places = {}  # where in the stack each tag is open
     pieces, links = [], 0
 
@@ -94,7 +96,7 @@ def parse(html: str) -> Node:
         stop = m.start() if m else n
         if stop > at and not dropped:
             pieces.append(html[at:stop])
-            if "a" in inline:
+            if opened["a"]:
                 links += stop - at
         if not m:
             break
@@ -141,18 +143,23 @@ def parse(html: str) -> Node:
             elif tag in _VOID:
                 pass
             elif ends:
-                if tag in inline:
-                    del inline[len(inline) - 1 - inline[::-1].index(tag) :]
+                while opened[tag]:  # each is taken off once, so a page costs its length
+                    opened[last := inline.pop()] -= 1
+                    if last == tag:
+                        break
             else:
                 inline.append(tag)
+                opened[tag] += 1
             continue
         if ends:
             flush()
             close((tag,))
             inline = []
+            opened.clear()
             continue
         flush()
         inline = []
+        opened.clear()
         if tag in _CLOSES_P:
             close(("p",), ("td", "th", "table", "button", "article", "section", "div", "body", "li"))
         if tag in _CLOSES:

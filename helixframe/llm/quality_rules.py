@@ -166,13 +166,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
-    """The documents that pass, with all their columns."""
+    """The documents that pass, with all their columns, whatever their names."""
     prepare(docs.sparkSession)
-    see = Judge(references(), **limits)
+    see, text_at, lang_at = Judge(references(), **limits), docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def work(batches):
         for b in batches:
-            kept = [see((t or "").encode(), lang)[2] for t, lang in zip(b.column(text_col).to_pylist(), b.column(lang_col).to_pylist())]
+            kept = [see((t or "").encode(), lang)[2] for t, lang in zip(b.column(text_at).to_pylist(), b.column(lang_at).to_pylist())]
             yield b.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)

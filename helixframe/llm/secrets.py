@@ -18,7 +18,9 @@ import re
 from bisect import bisect_right
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql.types import NumericType
 
 from helixframe.llm.bpe import Codec, codec
 from helixframe.llm.common import columns_of, prepare
@@ -139,9 +141,16 @@ def scan(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     return rows.mapInArrow(work, f"id long, base {kind}, found {kind}").withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, path: str, pattern: str, text_col: str = "text", mark: str = "[SECRET]", **limits) -> DataFrame:
-    """All rows and columns; in texts, each span (overlapping ones as one) is replaced by `mark`.  A column n_chars follows the new text."""
+def redact(docs: DataFrame, path: str, pattern: str, text_col: str = "text", mark: str = "[SECRET]", length_col: str | None = None, **limits) -> DataFrame:
+    """All rows and columns, whatever their names; in texts, each span (overlapping ones as one) is replaced by `mark`.
+
+    length_col: a column that holds the number of characters and follows the new text, if it is there and is a number; null texts keep theirs.
+    """
     prepare(docs.sparkSession)
+    text_at = docs.columns.index(text_col)
+    length_at = docs.columns.index(length_col) if length_col in docs.columns else None
+    if length_at is not None and not isinstance(docs.schema[length_at].dataType, NumericType):
+        length_at = None
 
     def clean(text, coder):
         if text is None or not (found := spans(text, coder, **limits)[1]):
@@ -156,12 +165,12 @@ def redact(docs: DataFrame, path: str, pattern: str, text_col: str = "text", mar
     def work(batches):
         coder = codec(path, pattern)
         for b in batches:
-            texts = [clean(x, coder) for x in b.column(text_col).to_pylist()]
-            i = b.schema.get_field_index(text_col)
-            b = b.set_column(i, b.schema.field(i), pa.array(texts, pa.string()))
-            if (i := b.schema.get_field_index("n_chars")) >= 0:
-                old = b.column(i).to_pylist()
-                b = b.set_column(i, b.schema.field(i), pa.array([n if t is None else len(t) for t, n in zip(texts, old)], b.schema.field(i).type))
-            yield b
-
-    return docs.mapInArrow(work, docs.schema)
+            texts = [clean(x, coder) for x in b.column(text_at).to_pylist()]
+            if length_at is not None:
+                kind, old = b.schema.field(length_at).type, b.column(length_at)
+                new = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(kind)
+                b = b.set_column(length_at, b.schema.field(length_at), pa.compute.coalesce(new, old))
+            yield b.set_column(text_at, b.schema.field(text_at), pa.array(texts, b.schema.field(text_at).type))
+
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)
