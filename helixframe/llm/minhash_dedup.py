@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import GROUP_BYTES, by_group, columns_of, mix, prepare, save, shuffle_parts, slices
+from helixframe.llm.common import GROUP_BYTES, bounds_of, by_group, columns_of, mix, prepare, save, shuffle_parts, slices
 from helixframe.llm.components import components
 from helixframe.llm.ngram_join import _verified, set_keys, shingle_sets
 from helixframe.llm.setsketch import REGISTERS, evidence_against, registers
@@ -34,6 +34,8 @@ WIDTH = 5
 BANDS = REGISTERS // WIDTH
 STAR_BANDS = 8
 TILE = 1024
+#: Pairs that are compared at once.
+PAIRS = 8192
 EVIDENCE = 30.0
 #: Odd sketches have as many bits as a set has elements, up to the next power of two, between these.
 LEAST_BITS, MOST_BITS = 256, 1 << 16
@@ -49,10 +51,6 @@ def odd_sketches(x: np.ndarray, at: np.ndarray) -> list[bytes]:
     return out
 
 
-def _folded(sketch: bytes, size: int) -> np.ndarray:
-    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), axis=0)
-
-
 def _sets(rows: DataFrame, k: int) -> DataFrame:
     """(id, row_key, n, set_key, registers, odd) of each document."""
 
@@ -72,26 +70,47 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(scan, "id long, row_key long, n int, set_key long, regs binary, odd binary")
 
 
-def _plausible(regs_a, regs_b, odd_a, odd_b, n_a, n_b, percent) -> np.ndarray:
-    """Which pairs neither the registers nor the odd sketches refute.  Registers as (pairs, REGISTERS) or one row for all; sizes likewise."""
-    good = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-    some = np.flatnonzero(good)
-    if len(some):
-        pick = lambda x: x[some] if len(x) == len(good) else x
-        good[some] = evidence_against(pick(regs_a), pick(regs_b), pick(n_a), pick(n_b), percent / 100) <= EVIDENCE
-    for i in np.flatnonzero(good):
-        a, b = odd_a[i if len(odd_a) == len(good) else 0], odd_b[i if len(odd_b) == len(good) else 0]
-        size = min(len(a), len(b))
-        apart = int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum(dtype=np.int64))
-        both = int(n_a[i if len(n_a) == len(good) else 0]) + int(n_b[i if len(n_b) == len(good) else 0])
-        good[i] = (100 + percent) * apart <= (100 - percent) * both
-    return good
-
-
 def _matrix(column: list) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), REGISTERS)
 
 
+class Sketches:
+    """Odd sketches of many sets, by their size and folded to it from the next one, so that pairs of similar sizes are compared at once."""
+
+    def __init__(self, odd: list[bytes]):
+        self.size = np.array([len(o) for o in odd], np.int64)
+        self.place = np.zeros((2, len(odd)), np.int64)  # in the table of one's own size, and in that of half of it
+        self.tables: dict[int, np.ndarray] = {}
+        for size in np.unique(self.size).tolist():
+            own, twice = np.flatnonzero(self.size == size), np.flatnonzero(self.size == 2 * size)
+            self.place[0, own], self.place[1, twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
+            table = np.frombuffer(b"".join([odd[i] for i in own] + [odd[i] for i in twice]), np.uint64)
+            mine, other = np.split(table, [len(own) * size // 8])
+            folded = other.reshape(len(twice), 2, size // 8)
+            self.tables[size] = np.concatenate([mine.reshape(len(own), size // 8), folded[:, 0] ^ folded[:, 1]])
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits the sketches of each pair differ; 0, which refutes nothing, where their sizes are further apart than by two."""
+        out = np.zeros(len(i), np.int64)
+        least, most = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        for size, table in self.tables.items():
+            some = np.flatnonzero((least == size) & (most <= 2 * size))
+            a, b = (table[self.place[(self.size[x[some]] != size).astype(int), x[some]]] for x in (i, j))
+            out[some] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+        return out
+
+
+def _plausible(i: np.ndarray, j: np.ndarray, regs: np.ndarray, sketches: Sketches, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (i, j) of sets neither sizes, nor registers, nor odd sketches refute."""
+    good = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    for a in range(0, len(i), PAIRS):
+        some = a + np.flatnonzero(good[a : a + PAIRS])
+        good[some] = (100 + percent) * sketches.apart(i[some], j[some]) <= (100 - percent) * (n[i[some]] + n[j[some]])
+        some = some[good[some]]
+        good[some] = evidence_against(regs[i[some]], regs[j[some]], n[i[some]], n[j[some]], percent / 100) <= EVIDENCE
+    return good
+
+
 def _star(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of set keys: each class with the first one of its bucket, in a few bands."""
     keys = F.array(*[F.xxhash64(F.lit(j), F.substring("regs", WIDTH * j + 1, WIDTH)) for j in range(STAR_BANDS)])
@@ -104,9 +123,9 @@ def _star(classes: DataFrame, percent: int) -> DataFrame:
     def test(batches):
         for batch in batches:
             if batch.num_rows:
-                x = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-                n = {s: np.asarray(batch.column(f"n_{s}")).astype(np.int64) for s in "ab"}
-                good = _plausible(_matrix(x["regs_a"]), _matrix(x["regs_b"]), x["odd_a"], x["odd_b"], n["a"], n["b"], percent)
+                x = {c: batch.column(f"{c}_a").to_pylist() + batch.column(f"{c}_b").to_pylist() for c in ("n", "regs", "odd")}
+                i = np.arange(batch.num_rows)
+                good = _plausible(i, i + batch.num_rows, _matrix(x["regs"]), Sketches(x["odd"]), np.array(x["n"]), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b", "odd_a", "odd_b").mapInArrow(test, "a long, b long")
@@ -129,33 +148,37 @@ def _across(known: DataFrame, percent: int) -> DataFrame:
     placed = placed.select("set_key", "band", "h", "mine", "tile.p", "tile.q", F.pmod(F.xxhash64("h", "tile"), F.lit(groups)).cast("int").alias("bucket"))
     laid = placed.join(known.select("set_key", "comp", "n", "regs", "odd"), "set_key")
 
+    weights = np.uint64(256) ** np.arange(WIDTH, dtype=np.uint64)
+
     def compare(table):
         x = {c: np.asarray(table.column(c)) for c in ("set_key", "band", "h", "mine", "p", "q", "comp", "n")}
-        regs, odd, n = _matrix(table.column("regs").to_pylist()), table.column("odd").to_pylist(), x["n"].astype(np.int64)
-        order = np.lexsort((x["set_key"], n, x["q"], x["p"], x["h"]))
+        regs, sketches, n = _matrix(table.column("regs").to_pylist()), Sketches(table.column("odd").to_pylist()), x["n"].astype(np.int64)
+        bands = (regs.reshape(-1, BANDS, WIDTH) * weights).sum(2, dtype=np.uint64)
+        order = np.lexsort((n, x["q"], x["p"], x["h"]))
         tile = np.stack([x["h"][order], x["p"][order], x["q"][order]], 1)
-        at = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]).any(1)]))
-        found_a, found_b = [], []
-        for lo, hi in zip(at, np.concatenate([at[1:], [len(order)]])):
+        at, ends = bounds_of(np.cumsum(np.concatenate([[0], (tile[1:] != tile[:-1]).any(1)])))
+        found = []
+        for lo, hi in zip(at, ends):
             r = order[lo:hi]
             comp, part, size = x["comp"][r], x["mine"][r], n[r]
             if comp.min() == comp.max():
                 continue
-            band, split = int(x["band"][r[0]]), x["p"][r[0]] != x["q"][r[0]]
+            split, step = x["p"][r[0]] != x["q"][r[0]], max(1, PAIRS // len(r))
             last = np.searchsorted(size, size * 100 // percent, "right")
-            for i in range(len(r) - 1):
-                other = np.arange(i + 1, last[i])
-                other = other[(comp[other] != comp[i]) & (part[other] != part[i] if split else True)]
-                if len(other):  # of all bands that a pair shares the first has it
-                    same = (regs[r[other]] == regs[r[i]]).reshape(len(other), BANDS, WIDTH).all(2)
-                    other = other[same.argmax(1) == band]
-                if len(other):
-                    rows = r[other]
-                    good = rows[_plausible(regs[r[i]][None], regs[rows], [odd[r[i]]], [odd[j] for j in rows], size[i : i + 1], n[rows], percent)]
-                    found_a.append(np.minimum(x["set_key"][good], x["set_key"][r[i]]))
-                    found_b.append(np.maximum(x["set_key"][good], x["set_key"][r[i]]))
-        flat = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": flat(found_a), "b": flat(found_b)})
+            for a in range(0, len(r), step):
+                i = np.arange(a, min(a + step, len(r)))[:, None]
+                j = np.arange(len(r))[None, :]
+                some = (j > i) & (j < last[i]) & (comp[j] != comp[i])
+                if split:
+                    some &= part[j] != part[i]
+                i, j = np.nonzero(some)
+                i, j = r[i + a], r[j]
+                first = (bands[i] == bands[j]).argmax(1) == x["band"][r[0]]  # of all bands that a pair shares the first has it
+                i, j = i[first], j[first]
+                good = _plausible(i, j, regs, sketches, n, percent)
+                found.append(np.stack([x["set_key"][i[good]], x["set_key"][j[good]]]))
+        both = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(both.min(0)), "b": pa.array(both.max(0))})
 
     return by_group(laid, groups).applyInArrow(compare, "a long, b long")
 
@@ -175,10 +198,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sets.where("n > 0").groupBy("set_key").agg(first, F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("odd").alias("odd"))
     classes = save(classes.select("set_key", "first.id", "first.row_key", "n", "regs", "odd"), "classes")
 
-    comp = components(_verified(_star(classes, percent), classes, rows, k, percent))
+    comp = components(_verified(save(_star(classes, percent), "candidates"), classes, rows, k, percent))
     known = save(classes.join(comp, classes["set_key"] == comp["node"], "left").select("set_key", "id", "n", "regs", "odd", F.coalesce("root", "set_key").alias("comp")), "known")
     links = known.select(F.col("set_key").alias("a"), F.col("comp").alias("b")).where("a != b")
-    comp = components(links.unionByName(_verified(_across(known, percent), classes, rows, k, percent)))
+    comp = components(links.unionByName(_verified(save(_across(known, percent), "candidates"), classes, rows, k, percent)))
 
     final = known.join(comp, known["set_key"] == comp["node"], "left").select("set_key", "id", F.coalesce("root", "set_key").alias("root"))
     final = final.join(final.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("set_key", "component_id")
