@@ -1,17 +1,20 @@
 """Reads to clusters to consensus strands to candidates.
 
-`leaders` is the exact first-fit rule, which looks at reads one after the other; it is for pools that fit one task, or for one bucket.
-`clusters` is the form for pools of any size: reads that share rare k-mers are compared, and components of near reads are clusters.
+`leaders` is the exact first-fit rule for pools of any size: a block of heads at a time, against all reads that are left.
+`clusters` joins all near reads, and chains of them are one cluster.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import strand as S
-from helixframe.operators.align import gapped, positional_identity, similarity_ratio
+from helixframe.operators.align import gapped
+from helixframe.operators.near import best_of, edit_distances, edit_join
 
 # Fixed value: the adapter in front of simulated strands.
 ADAPTER = "AATGTACTTCGTTCAGTTACGTATTGCT"
@@ -39,85 +42,77 @@ def trim_adapters(reads: DataFrame, length: int, adapter: str = ADAPTER, seq: st
     return reads.where(over <= 2 * len(adapter)).withColumn(seq, F.when(over > 5, cut).otherwise(F.col(seq)))
 
 
-def _levenshtein_within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most `most`, by bits (Myers); lengths decide first."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    if not a or not b:
-        return True
-    peq: dict[str, int] = {}
-    for i, c in enumerate(a):
-        peq[c] = peq.get(c, 0) | 1 << i
-    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
-    pv, mv, score = full, 0, len(a)
-    for j, c in enumerate(b):
-        eq = peq.get(c, 0)
-        xv, xh = eq | mv, ((eq & pv) + pv ^ pv) | eq
-        ph, mh = mv | ~(xh | pv) & full, pv & xh
-        score += bool(ph & last) - bool(mh & last)
-        if score - (len(b) - 1 - j) > most:
-            return False
-        ph, mh = (ph << 1 | 1) & full, mh << 1 & full
-        pv, mv = mh | ~(xv | ph) & full, ph & xv
-    return score <= most
+_TURN = str.maketrans("ACGT", "TGCA")
 
 
-_TURN = str.maketrans("ACGT", "TGCA")
+def turned_strand(seq: str) -> str:
+    return seq[::-1].translate(_TURN)
 
 
-def first_fit(reads: list[tuple[int, str]], distance: int = 40, every: int = 100) -> list[tuple[int, int, bool, bool]]:
-    """(cluster_id, read_id, is_reversed, is_head): each read joins the first head within the distance, forward before turned.
+def first_heads(reads: list[tuple[int, str]], distance: int) -> list[tuple[int, str]]:
+    """Those of a bounded list of reads, in order, that no head before them is near to, in either orientation."""
+    seqs = [s for _, s in reads]
+    near = np.minimum(edit_distances(seqs, seqs), edit_distances(seqs, [turned_strand(s) for s in seqs])) <= distance  # row: head, column: read
+    heads: list[int] = []
+    for i in range(len(reads)):
+        if not near[heads, i].any():
+            heads.append(i)
+    return [reads[i] for i in heads]
 
-    Heads are put in order of cluster size (largest first, then age) at the first read and after each `every`.  A cluster's id is its head's.
-    """
-    heads: list[list] = []  # size, head id, head
-    out = []
-    for n, (read, seq) in enumerate(reads):
-        turned = seq[::-1].translate(_TURN)
-        for head in heads:
-            straight = _levenshtein_within(head[2], seq, distance)
-            if straight or _levenshtein_within(head[2], turned, distance):
-                head[0] += 1
-                out.append((head[1], read, not straight, False))
-                break
-        else:
-            heads.append([1, read, seq])
-            out.append((read, read, False, True))
-        if n % every == 0:
-            heads.sort(key=lambda h: -h[0])
-    return out
-
-
-def leaders(reads: DataFrame, distance: int = 40, by: str | None = None) -> DataFrame:
-    """First-fit clusters of (read_id, seq) in order of read_id, separately in each group of `by`.  Nulls are left out."""
-    key = by or "_all"
-    rows = reads.where("seq IS NOT NULL").withColumn("_all", F.lit(0)) if by is None else reads.where("seq IS NOT NULL")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("read_id")
-        return pd.DataFrame(first_fit(list(zip(frame["read_id"], frame["seq"])), distance), columns=["cluster_id", "read_id", "is_reversed", "is_head"])
-
-    return rows.select(key, "read_id", "seq").groupBy(key).applyInPandas(run, "cluster_id long, read_id long, is_reversed boolean, is_head boolean")
-
-
-def near_pairs(reads: DataFrame, distance: int = 40, k: int = 12, step: int = 4, common: int = 64) -> DataFrame:
-    """(a, b, turned): pairs of different sequences that share a k-mer, in either orientation, and are within the distance.
-
-    reads: (read_id, seq), one row for each sequence.  K-mers at every place are met by those at every `step`-th place of the other.  A
-    k-mer of more than `common` reads is no seed by itself: its reads meet the smallest of them, so that copies still hang together.
+
+def leaders(reads: DataFrame, distance: int = 40, block: int = 512) -> DataFrame:
+    """(cluster_id, read_id, is_reversed, is_head) by the first-fit rule: in order of read_id, each read joins the oldest head within the
+    distance, forward before turned, or becomes a head.  A cluster's id is its head's.
+
+    Rounds: the heads among the first `block` strands that are left are found by themselves, as all older heads have been compared with them;
+    then all strands that are left are compared with these heads, in parallel.  What joins none goes to the next round, so no two reads are
+    compared that are not heads.  Equal strands are compared once.  The driver sees `block` strands a round.  Nulls are left out; of a read_id
+    on several strands each is a read of its own.
     """
-    both = reads.select("read_id", F.lit(False).alias("turned"), "seq").unionByName(reads.select("read_id", F.lit(True).alias("turned"), S.reverse_complement(F.col("seq")).alias("seq")))
-    mers = both.select("read_id", "turned", F.explode(F.array_distinct(S.kmers(F.col("seq"), k))).alias("mer"))
-    seeds = mers.where(~F.col("turned")).where(F.pmod(F.xxhash64("mer"), F.lit(step)) == 0).select("mer", F.col("read_id").alias("a"))
-    counts = seeds.groupBy("mer").agg(F.count("*").alias("n"), F.min("a").alias("least"))
-    rare = seeds.join(counts.where(F.col("n") <= common).select("mer"), "mer", "left_semi")
-    hubs = counts.where(F.col("n") > common).select("mer", F.col("least").alias("a"))
-    pairs = mers.withColumnRenamed("read_id", "b").join(rare.unionByName(hubs), "mer").where("a < b OR (a != b AND turned)")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "turned").distinct()
-    seqs = reads.select("read_id", "seq")
-    rows = pairs.join(seqs.toDF("a", "sa"), "a").join(seqs.toDF("b", "sb"), "b")
-    other = F.when(F.col("turned"), S.reverse_complement(F.col("sb"))).otherwise(F.col("sb"))
-    return rows.where(F.levenshtein(F.col("sa"), other, distance) >= 0).select("a", "b", "turned")
+    spark = reads.sparkSession
+    rows = reads.where("seq IS NOT NULL").select(F.col("read_id").cast("long").alias("read_id"), "seq")
+    left = _save(spark, rows.groupBy("seq").agg(F.min("read_id").alias("id")).select("id", "seq"))
+    settled = None
+    while first := left.orderBy("id", "seq").limit(block).collect():
+        heads = first_heads([(r["id"], r["seq"]) for r in first], distance)
+        held = spark.sparkContext.broadcast(heads)
+
+        def join(batches):
+            heads = held.value
+            ids, seqs = np.array([i for i, _ in heads]), [s for _, s in heads]
+            for batch in batches:
+                texts = batch.column("seq").to_pylist()
+                order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+                head, turn = np.full(len(texts), -1), np.zeros(len(texts), bool)
+                for a in range(0, len(order), 64):
+                    some = order[a : a + 64]
+                    straight = edit_distances(seqs, [texts[i] for i in some]) <= distance
+                    other = edit_distances(seqs, [turned_strand(texts[i]) for i in some]) <= distance
+                    found = straight | other
+                    first = found.argmax(0)
+                    good = found[first, np.arange(len(some))]
+                    head[some] = np.where(good, first, -1)
+                    turn[some] = good & ~straight[first, np.arange(len(some))]
+                joined = head >= 0
+                cluster, of = pa.array(ids[np.maximum(head, 0)], mask=~joined), pa.array([seqs[h] if h >= 0 else None for h in head.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("seq"), cluster, of, pa.array(turn)], ["id", "seq", "cluster_id", "head", "is_reversed"])
+
+        done = _save(spark, left.mapInArrow(join, "id long, seq string, cluster_id long, head string, is_reversed boolean"))
+        part = done.where("cluster_id IS NOT NULL").drop("id")
+        settled = part if settled is None else settled.unionByName(part)
+        left = done.where("cluster_id IS NULL").select("id", "seq")
+    if settled is None:
+        return spark.createDataFrame([], "cluster_id long, read_id long, is_reversed boolean, is_head boolean")
+    is_head = (F.col("read_id") == F.col("cluster_id")) & (F.col("seq") == F.col("head"))
+    return rows.join(settled, "seq").select("cluster_id", "read_id", "is_reversed", is_head.alias("is_head"))
+
+
+def near_pairs(reads: DataFrame, distance: int = 40) -> DataFrame:
+    """(a, b, turned), a < b: all pairs of different reads (read_id, seq), one row for each, that are within the distance in an orientation."""
+    once = reads.select(F.col("read_id").alias("id"), "seq")
+    turned = once.select("id", S.reverse_complement(F.col("seq")).alias("seq"))
+    pairs = edit_join(once, once, distance).withColumn("turned", F.lit(False)).unionByName(edit_join(once, turned, distance).withColumn("turned", F.lit(True)))
+    return pairs.where("a < b").select("a", "b", "turned")
 
 
 def _save(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -141,15 +136,15 @@ def components(spark: SparkSession, pairs: DataFrame, rounds: int = 64) -> DataF
     raise RuntimeError("components did not settle")
 
 
-def clusters(reads: DataFrame, distance: int = 40, **options) -> DataFrame:
-    """(cluster_id, read_id, is_reversed, is_head) for pools of any size: components of near sequences, turned towards their head.
+def clusters(reads: DataFrame, distance: int = 40) -> DataFrame:
+    """(cluster_id, read_id, is_reversed, is_head): components of near sequences, turned towards their head.
 
     Copies are compared once.  The head is the component's smallest read_id.
     """
     spark = reads.sparkSession
     rows = reads.where("seq IS NOT NULL").select("read_id", "seq")
     once = rows.groupBy("seq").agg(F.min("read_id").alias("read_id"))
-    pairs = _save(spark, near_pairs(once, distance, **options))
+    pairs = _save(spark, near_pairs(once, distance))
     root = components(spark, pairs)
     first = once.join(root.withColumnRenamed("id", "read_id"), "read_id", "left").select("seq", F.coalesce("root", "read_id").alias("cluster_id"))
     heads = once.select(F.col("read_id").alias("cluster_id"), F.col("seq").alias("head"))
@@ -174,15 +169,29 @@ def largest(members: DataFrame, n: int) -> DataFrame:
     return members.groupBy("cluster_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster_id").limit(n)
 
 
-def centroids(rows: DataFrame, most: int = 256) -> DataFrame:
-    """(cluster_id, read_id, cost): the read of each cluster with the least sum of edit distances to the others.
+def centroids(rows: DataFrame, part: int = 512) -> DataFrame:
+    """(cluster_id, read_id, cost): the read of each cluster with the least sum of edit distances to the others, the smaller id of equals.
 
-    rows: (cluster_id, read_id, seq).  Distances grow with the square of a cluster, so it is a sample of at most `most` reads that is
-    compared, the same ones each time; all reads of smaller clusters are.
+    rows: (cluster_id, read_id, seq).  The work grows with the square of a cluster, in tiles of two parts of it: a large cluster is many
+    tasks, and a row leaves a tile for each read, not for each pair.
     """
-    some = sample_members(rows, most)
-    pairs = some.select("cluster_id", "read_id", "seq").join(some.select("cluster_id", F.col("seq").alias("other")), "cluster_id")
-    costs = pairs.groupBy("cluster_id", "read_id").agg(F.sum(F.levenshtein("seq", "other")).alias("cost"))
+    rows = rows.where("seq IS NOT NULL").select("cluster_id", "read_id", "seq")
+    parts = rows.groupBy("cluster_id").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    placed = rows.join(parts, "cluster_id").withColumn("mine", F.pmod(F.xxhash64("read_id", "seq"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = placed.select("cluster_id", "read_id", "seq", F.col("mine").alias("p"), every.alias("q"))
+    b = placed.select(F.col("cluster_id").alias("c"), F.col("seq").alias("other"), every.alias("p"), F.col("mine").alias("q"))
+
+    def meet(x, y):
+        ids, seqs, others = x.column("read_id").to_pylist(), x.column("seq").to_pylist(), y.column("other").to_pylist()
+        cost = np.zeros(len(seqs), np.int64)
+        for i in range(0, len(seqs), 256):
+            for j in range(0, len(others), 128):
+                cost[i : i + 256] += edit_distances(seqs[i : i + 256], others[j : j + 128]).sum(1)
+        return pa.table({"cluster_id": x.column("cluster_id"), "read_id": pa.array(ids, pa.int64()), "seq": x.column("seq"), "cost": pa.array(cost)})
+
+    costs = a.groupBy("cluster_id", "p", "q").cogroup(b.groupBy("c", "p", "q")).applyInArrow(meet, "cluster_id long, read_id long, seq string, cost long")
+    costs = costs.groupBy("cluster_id", "read_id", "seq").agg(F.sum("cost").alias("cost"))
     return costs.groupBy("cluster_id").agg(F.min_by("read_id", F.struct("cost", "read_id")).alias("read_id"), F.min("cost").alias("cost"))
 
 
@@ -266,17 +275,14 @@ def checked_candidates(rows: DataFrame, length: int) -> DataFrame:
     return both.where(S.checksum_ok(F.col("coded"), length)).select("cluster_id", F.substring("coded", 1, length).alias("seq")).distinct()
 
 
-def best_match(candidates: DataFrame, references: DataFrame, k: int = 12, metric: str = "identity") -> DataFrame:
-    """(cand_id, ref_id, score): each candidate's best reference of those it shares a k-mer with; ties go to the smaller ref_id.
+def best_match(candidates: DataFrame, references: DataFrame, metric: str = "identity") -> DataFrame:
+    """(cand_id, ref_id, score): each candidate's best reference of all; ties go to the smaller ref_id.  Equal strands score 1.
 
-    candidates: (cand_id, seq), references: (ref_id, seq).  Equal strands score 1.  Without a shared k-mer there is no row.
+    candidates: (cand_id, seq), references: (ref_id, seq).  metric: "identity" (equal letters at equal places over the reference's length) or
+    "ratio" (indel similarity).  A candidate without a strand has no row.
     """
-    mers = lambda t, key: t.select(key, F.explode(F.array_distinct(S.kmers(F.col("seq"), k))).alias("mer"))
-    pairs = mers(candidates, "cand_id").join(mers(references, "ref_id"), "mer").select("cand_id", "ref_id").distinct()
-    rows = pairs.join(candidates.select("cand_id", F.col("seq").alias("c")), "cand_id").join(references.select("ref_id", F.col("seq").alias("r")), "ref_id")
-    score = positional_identity(F.col("c"), F.col("r")) if metric == "identity" else similarity_ratio("c", "r")
-    rows = rows.withColumn("score", score)
-    return rows.groupBy("cand_id").agg(F.max_by("ref_id", F.struct("score", -F.col("ref_id"))).alias("ref_id"), F.max("score").alias("score"))
+    found = best_of(candidates.select(F.col("cand_id").alias("id"), "seq"), references.select(F.col("ref_id").alias("id"), "seq"), metric)
+    return found.select(F.col("a").alias("cand_id"), F.col("b").alias("ref_id"), "score")
 
 
 def recovery(candidates: DataFrame, references: DataFrame) -> DataFrame:

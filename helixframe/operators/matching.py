@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import strand as S
-from helixframe.operators.align import similarity_ratio
 from helixframe.operators.clusters import best_match
+from helixframe.operators.near import over_ratio
 
 
 def joined_summary(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -20,44 +20,27 @@ def joined_summary(left: DataFrame, right: DataFrame, key: str, columns: list[st
     return rows.agg(F.array(*stats).alias("all")).select(F.inline("all"))
 
 
-def oriented_best_match(candidates: DataFrame, references: DataFrame, k: int = 12, metric: str = "identity") -> DataFrame:
+def oriented_best_match(candidates: DataFrame, references: DataFrame, metric: str = "identity") -> DataFrame:
     """(cand_id, ref_id, score, is_reversed): the best reference of each candidate or its reverse complement; forward wins ties."""
     turned = candidates.select("cand_id", S.reverse_complement(F.col("seq")).alias("seq"))
-    both = best_match(candidates, references, k, metric).withColumn("is_reversed", F.lit(False)).unionByName(best_match(turned, references, k, metric).withColumn("is_reversed", F.lit(True)))
+    both = best_match(candidates, references, metric).withColumn("is_reversed", F.lit(False)).unionByName(best_match(turned, references, metric).withColumn("is_reversed", F.lit(True)))
     best = F.max_by(F.struct("ref_id", "score", "is_reversed"), F.struct("score", ~F.col("is_reversed"), -F.col("ref_id"))).alias("b")
     return both.groupBy("cand_id").agg(best).select("cand_id", "b.*")
 
 
-def shared_seeds(rows: DataFrame, k: int, common: int) -> DataFrame:
-    """(a, b), a < b: ids of strands (id, seq) that share a k-mer.
+def near_duplicates(reads: DataFrame, ratio: float = 0.85) -> DataFrame:
+    """(read_id, first, score): reads whose indel similarity to a smaller read is over `ratio`, with the smallest such read.
 
-    A k-mer of more than `common` strands is made longer, base by base, until each group of equal longer ones is small: strands that part
-    there meet on other k-mers or not at all, and equal strands meet their smallest id.
+    Equal strands are compared once: a strand's smallest read stands for it, and later ones of its reads resemble that one, or one before it.
     """
-    length = F.length("seq")
-    at = F.explode(F.when(length >= k, F.sequence(F.lit(1), length - k + 1)).otherwise(F.array().cast("array<int>"))).alias("at")
-    mers = rows.select("id", "seq", at)
-    out, width = None, k
-    while True:
-        mers = mers.withColumn("mer", F.substring("seq", F.col("at"), F.lit(width)))
-        counts = mers.groupBy("mer").agg(F.count_distinct("id").alias("n"), F.min("id").alias("least"))
-        few = mers.select("mer", "id").distinct().join(counts.where(F.col("n").between(2, common)), "mer").select("mer", "id")
-        pairs = few.toDF("mer", "a").join(few.toDF("mer", "b"), "mer").where("a < b").select("a", "b")
-        many = mers.join(counts.where(F.col("n") > common), "mer")
-        hubs = many.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-        out = pairs.unionByName(hubs) if out is None else out.unionByName(pairs).unionByName(hubs)
-        if width >= 4 * k:
-            return out.distinct()
-        mers = many.where(F.col("at") + 2 * width <= length + 1).select("id", "seq", "at")
-        width *= 2
-
-
-def near_duplicates(reads: DataFrame, ratio: float = 0.85, k: int = 10, common: int = 64) -> DataFrame:
-    """(read_id, first, score): reads whose similarity to a smaller read is over `ratio`, with the smallest such read.  Pairs are found by k-mers."""
-    once = reads.select(F.col("read_id").alias("id"), "seq")
-    pairs = shared_seeds(once, k, common)
-    both = pairs.join(once.toDF("a", "x"), "a").join(once.toDF("b", "y"), "b").withColumn("score", similarity_ratio("x", "y")).where(F.col("score") > ratio)
-    return both.groupBy(F.col("b").alias("read_id")).agg(F.min_by(F.struct(F.col("a").alias("first"), "score"), "a").alias("m")).select("read_id", "m.*")
+    rows = reads.where("seq IS NOT NULL").select("read_id", "seq")
+    once = rows.groupBy("seq").agg(F.min("read_id").alias("id"))
+    found = over_ratio(once, once, ratio).groupBy("b").agg(F.min_by(F.struct(F.col("a").alias("first"), "score"), "a").alias("m")).select(F.col("b").alias("id"), "m.*")
+    near = rows.join(once, "seq").join(found, "id", "left")
+    own = F.struct(F.col("id").alias("first"), F.lit(1.0).alias("score"))
+    other = F.struct("first", "score")
+    both = F.when(F.col("first").isNull(), own).when(F.col("id") < F.col("first"), own).otherwise(other)
+    return near.withColumn("m", both).where("m.first < read_id").select("read_id", "m.first", "m.score")
 
 
 def without_near_duplicates(reads: DataFrame, **options) -> DataFrame:

@@ -136,9 +136,7 @@ _CANDS = "SELECT strand_id AS cand_id, left(strand, 30) || CASE WHEN strand_id %
 
 
 @query(f"""WITH {_B}, p AS (SELECT item_id * 1000 + chunk_idx AS strand_id, strand FROM s), k AS ({_CANDS}),
-km AS (SELECT DISTINCT cand_id, unnest(list_transform(generate_series(1, length(c) - 11), lambda i: substr(c, i, 12))) AS mer FROM k), rm AS (SELECT DISTINCT strand_id AS ref_id, unnest({_KMERS.format(12)}) AS mer FROM p),
-j AS (SELECT DISTINCT cand_id, ref_id FROM km JOIN rm USING (mer)),
-x AS (SELECT cand_id, ref_id, CAST(list_sum(list_transform(generate_series(1, least(length(c), length(strand))), lambda i: CASE WHEN substr(c, i, 1) = substr(strand, i, 1) THEN 1 ELSE 0 END)) AS DOUBLE) / length(strand) AS score FROM j JOIN k USING (cand_id) JOIN p ON ref_id = strand_id)
+x AS (SELECT cand_id, strand_id AS ref_id, CAST(list_sum(list_transform(generate_series(1, least(length(c), length(strand))), lambda i: CASE WHEN substr(c, i, 1) = substr(strand, i, 1) THEN 1 ELSE 0 END)) AS DOUBLE) / length(strand) AS score FROM k, p)
 SELECT cand_id, ref_id, round(score, 9) AS score FROM x QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY score DESC, ref_id) = 1""")
 def best_match_identity(spark, sf_dir):
     """Changed strands against all strands: the best by equal letters at equal places."""

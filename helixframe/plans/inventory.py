@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import bases as B
 from helixframe.functions import rules as R
 from helixframe.functions import strand as S
-from helixframe.operators import align, channel, clusters, correction, experiments, files, fountain, jpeg, kmers, matching, packets, search, ternary
+from helixframe.operators import align, channel, clusters, correction, experiments, files, fountain, jpeg, kmers, matching, near, packets, search, ternary
 from helixframe.operators.chunks import strands
 from helixframe.plans.catalogue import _CHECK_BASES, _GC, _RUN, _S, _TOTAL, CHUNK, _hexed, _strands, query, rows_only
 from helixframe.plans.codec import _B, _pool, _table
@@ -419,9 +419,7 @@ def joined_summary(spark, sf_dir):
 
 @query(f"""WITH {_B}, p AS (SELECT item_id * 1000 + chunk_idx AS strand_id, strand FROM s), k AS (SELECT strand_id AS cand_id, left(strand, 30) || CASE WHEN strand_id % 3 = 0 THEN 'ACG' ELSE 'T' END || substr(strand, 32) AS c FROM p),
 o AS (SELECT cand_id, {_TURNED.format("c")} AS c FROM k WHERE cand_id % 2 = 1 UNION ALL SELECT cand_id, c FROM k WHERE cand_id % 2 = 0), b AS (SELECT cand_id, c, false AS is_reversed FROM o UNION ALL SELECT cand_id, {_TURNED.format("c")}, true FROM o),
-km AS (SELECT DISTINCT cand_id, is_reversed, unnest(list_transform(generate_series(1, length(c) - 11), lambda i: substr(c, i, 12))) AS mer FROM b), rm AS (SELECT DISTINCT strand_id AS ref_id, unnest(list_transform(generate_series(1, length(strand) - 11), lambda i: substr(strand, i, 12))) AS mer FROM p),
-j AS (SELECT DISTINCT cand_id, is_reversed, ref_id FROM km JOIN rm USING (mer)),
-x AS (SELECT cand_id, is_reversed, ref_id, CAST(list_sum(list_transform(generate_series(1, least(length(c), length(strand))), lambda i: CASE WHEN substr(c, i, 1) = substr(strand, i, 1) THEN 1 ELSE 0 END)) AS DOUBLE) / length(strand) AS score FROM j JOIN b USING (cand_id, is_reversed) JOIN p ON ref_id = strand_id)
+x AS (SELECT cand_id, is_reversed, strand_id AS ref_id, CAST(list_sum(list_transform(generate_series(1, least(length(c), length(strand))), lambda i: CASE WHEN substr(c, i, 1) = substr(strand, i, 1) THEN 1 ELSE 0 END)) AS DOUBLE) / length(strand) AS score FROM b, p)
 SELECT cand_id, ref_id, round(score, 9) AS score, is_reversed FROM x QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY score DESC, is_reversed, ref_id) = 1""")
 def oriented_match(spark, sf_dir):
     """Changed strands, every other one turned, against all strands in both directions."""
@@ -806,12 +804,64 @@ def streamed_blocks(spark, sf_dir):
     return packets.assemble(spark.read.schema("file_id long, block long, chunk_idx int, data binary").parquet(out), sizes).select("file_id", "block", F.md5("data").alias("digest"))
 
 
-@rows_only
+_CHANGED = f"WITH RECURSIVE {_B}, p AS (SELECT item_id * 1000 + chunk_idx AS strand_id, strand FROM s), r AS (SELECT strand_id AS id, strand AS seq FROM p UNION ALL SELECT strand_id + 1000000, left(strand, 30) || 'ACG' || substr(strand, 36) FROM p)"
+
+
+def _changed(spark, sf_dir):
+    """All strands of `benchmark`, and each of them changed a little."""
+    pool = _pool(spark, sf_dir).select(F.col("strand_id").alias("id"), F.col("strand").alias("seq"))
+    return pool.unionByName(pool.select((F.col("id") + 10**6).alias("id"), F.concat(F.left("seq", F.lit(30)), F.lit("ACG"), F.expr("substr(seq, 36)")).alias("seq")))
+
+
+def _lcs_sql(words: int = 4) -> str:
+    """Longest common subsequences of pairs u (a, b, x, y) over masks of 62 places: a step for each letter of y, all pairs at once."""
+    full, w = (1 << 62) - 1, range(words)
+    masks = ", ".join(f"coalesce(sum(1 << (i % 62)) FILTER (i // 62 = {j}), 0)::BIGINT AS m{j}" for j in w)
+    start = ", ".join(f"{full}::BIGINT AS v{j}" for j in w)
+    hits = ", ".join(f"coalesce(m{j}, 0) AS m{j}, v{j} & coalesce(m{j}, 0) AS h{j}" for j in w)
+    sums, out = "", []
+    for j in w:
+        sums += f"{', ' if j else ''}v{j} + h{j}{f' + (t{j - 1} >> 62)' if j else ''} AS t{j}"
+        out.append(f"((t{j} & {full}) | xor(v{j}, h{j})) AS v{j}")
+    return f"""places AS (SELECT a, unnest(generate_series(0, length(x) - 1)) AS i, x FROM (SELECT DISTINCT a, x FROM u)), masks AS (SELECT a, substr(x, i + 1, 1) AS ch, {masks} FROM places GROUP BY ALL),
+steps AS (SELECT a, b, x, y, 0 AS i, {start} FROM u UNION ALL SELECT a, b, x, y, i + 1, {', '.join(out)} FROM (SELECT *, {sums} FROM (SELECT steps.a, b, x, y, i, {', '.join(f'v{j}' for j in w)}, {hits} FROM steps LEFT JOIN masks ON masks.a = steps.a AND ch = substr(y, i + 1, 1) WHERE i < length(y)))),
+lcs AS (SELECT a, b, x, y, {62 * words} - {' - '.join(f'bit_count(v{j})' for j in w)} AS n FROM steps WHERE i = length(y))"""
+
+
+@query(f"""{_CHANGED}, u AS (SELECT a.id AS a, b.id AS b, a.seq AS x, b.seq AS y FROM r a JOIN r b ON a.id < b.id AND levenshtein(a.seq, b.seq) < 0.15 * (length(a.seq) + length(b.seq))), {_lcs_sql()},
+z AS (SELECT a, b, CAST(2 * n AS DOUBLE) / (length(x) + length(y)) AS score FROM lcs) SELECT b AS read_id, a AS first, round(score, 9) AS score FROM z WHERE score > 0.85 QUALIFY row_number() OVER (PARTITION BY b ORDER BY a) = 1""")
 def near_duplicate_reads(spark, sf_dir):
-    """Strands of `benchmark` and changed ones: which of them resemble a smaller one."""
-    pool = _pool(spark, sf_dir).where(F.length("strand") > 40)
-    changed = pool.select((F.col("strand_id") + 10**6).alias("read_id"), F.concat(F.left("strand", F.lit(30)), F.lit("ACG"), F.expr("substr(strand, 36)")).alias("seq"))
-    return matching.near_duplicates(pool.select(F.col("strand_id").alias("read_id"), F.col("strand").alias("seq")).unionByName(changed))
+    """Strands of `benchmark` and changed ones: which of them resemble a smaller one.  (No more insertions and deletions than edits, doubled.)"""
+    return matching.near_duplicates(_changed(spark, sf_dir).withColumnRenamed("id", "read_id")).withColumn("score", F.round("score", 9))
+
+
+@query(f"{_CHANGED} SELECT a.id AS a, b.id AS b, CAST(levenshtein(a.seq, b.seq) AS INTEGER) AS distance FROM r a, r b WHERE abs(length(a.seq) - length(b.seq)) <= 12 AND levenshtein(a.seq, b.seq) <= 12")
+def edit_distance_pairs(spark, sf_dir):
+    """All pairs of strands, changed ones too, within twelve edits, by segments that stay whole; short strands by tiles."""
+    rows = _changed(spark, sf_dir)
+    return near.edit_join(rows, rows, 12)
+
+
+@query(f"{_CHANGED}, h AS (SELECT * FROM r WHERE id % 4 = 0), o AS (SELECT id, seq, false AS turned FROM r UNION ALL SELECT id, {_TURNED.format('seq')}, true FROM r) SELECT o.id AS read_id, h.id AS head_id, turned, CAST(levenshtein(o.seq, h.seq) AS INTEGER) AS distance FROM o, h WHERE levenshtein(o.seq, h.seq) <= 40")
+def reads_within_heads(spark, sf_dir):
+    """Reads against cluster heads, forward and turned: all pairs within forty edits."""
+    rows = _changed(spark, sf_dir)
+    heads = rows.where("id % 4 = 0")
+    one = lambda t, turned: near.within_distance(t, heads, 40).select(F.col("a").alias("read_id"), F.col("b").alias("head_id"), F.lit(turned).alias("turned"), "distance")
+    return one(rows, False).unionByName(one(rows.select("id", S.reverse_complement(F.col("seq")).alias("seq")), True))
+
+
+@query(f"""{_CHANGED}, o AS (SELECT id, CASE WHEN id % 3 = 0 THEN {_TURNED.format('seq')} ELSE seq END AS seq, row_number() OVER (ORDER BY id) AS i FROM r),
+near AS (SELECT h.i AS hi, o.i AS i, levenshtein(h.seq, o.seq) > 40 AS turned FROM o JOIN o h ON h.i < o.i AND (levenshtein(h.seq, o.seq) <= 40 OR levenshtein(h.seq, {_TURNED.format('o.seq')}) <= 40)),
+n AS (SELECT i, list(hi) AS his FROM near GROUP BY i),
+heads AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS hs UNION ALL SELECT heads.i + 1, CASE WHEN list_has_any(hs, coalesce(his, [])) THEN hs ELSE list_append(hs, heads.i + 1) END FROM heads LEFT JOIN n ON n.i = heads.i + 1 WHERE heads.i < (SELECT max(i) FROM o)),
+final AS (SELECT unnest(hs) AS hi FROM heads WHERE i = (SELECT max(i) FROM o)), m AS (SELECT near.i, near.hi, turned FROM near JOIN final USING (hi) WHERE near.i NOT IN (SELECT hi FROM final) QUALIFY row_number() OVER (PARTITION BY near.i ORDER BY near.hi) = 1)
+SELECT h.id AS cluster_id, o.id AS read_id, turned AS is_reversed, false AS is_head FROM m JOIN o USING (i) JOIN o h ON h.i = m.hi UNION ALL SELECT id, id, false, true FROM o JOIN final ON o.i = final.hi""")
+def leader_clusters(spark, sf_dir):
+    """Strands and changed ones, every third one turned, clustered by the first-fit rule."""
+    rows = _changed(spark, sf_dir)
+    seq = F.when(F.col("id") % 3 == 0, S.reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
+    return clusters.leaders(rows.select(F.col("id").alias("read_id"), seq.alias("seq")), 40)
 
 
 @rows_only
