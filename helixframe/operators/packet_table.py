@@ -95,8 +95,11 @@ def packets(table: DataFrame, id_col: str, data_col: str, size: int, most: int,
     return rows.withColumn("strand", S.with_checksum(F.col("strand")))
 
 
-def fewest_errors(rows: DataFrame, overhead: float, rules=R.default_rules) -> DataFrame:
-    """Of each block's packets those with the least sum of rules, ceil(k (1 + overhead)) of them, the smaller seed of equals; with error_prob."""
+def fewest_errors(rows: DataFrame, overhead: float, rules=R.default_rules, more: int = 0) -> DataFrame:
+    """Of each block's packets those with the least sum of rules, the smaller seed of equals; with error_prob.
+
+    ceil(k (1 + overhead)) + more packets of a block are kept.
+    """
     scored = rows.withColumn("error_prob", F.round(rules(F.col("strand")), 6))
     n = F.row_number().over(Window.partitionBy("file_id", "block").orderBy("error_prob", "seed"))
-    return scored.withColumn("_n", n).where(F.col("_n") <= F.ceil(F.col("k") * (1 + overhead))).drop("_n")
+    return scored.withColumn("_n", n).where(F.col("_n") <= F.ceil(F.col("k") * (1 + overhead)) + more).drop("_n")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import bases as B
 from helixframe.functions import strand as S
-from helixframe.operators import channel, clusters, correction, jpeg, packets, search, ternary
+from helixframe.operators import channel, clusters, correction, file_codes, jpeg, packets, search, ternary
 from helixframe.plans.catalogue import _GC, _KMERS, _RUN, _S, CHUNK, _hexed, _strands, query, rows_only
 from helixframe.operators.chunks import chunks, strands
+from helixframe.scratch import scratch
 
 BLOCK = 128
 _B = _hexed("benchmark", "item_id")
@@ -54,6 +55,19 @@ def online_roundtrip(spark, sf_dir):
     return _round_trip(spark, sf_dir, "online", "gauss", 2.0, "seed % 10 != 3")
 
 
+@query("SELECT doc_id AS file_id, 'document-' || doc_id || '.txt' AS name, md5(encode(coalesce(text, ''))) AS digest, true AS crc_ok, CAST(0 AS BIGINT) AS n_missing FROM documents")
+def coded_files(spark, sf_dir):
+    """All documents as files behind header chunks, the strands that keep the rules best, every tenth packet lost, and the files again."""
+    name = F.concat(F.lit("document-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), name.alias("name"), F.col("text").cast("binary").alias("data"))
+    path = scratch(spark, "strands")
+    file_codes.packets(files).where("seed % 10 != 3").write.parquet(path)
+    sent = spark.read.parquet(path)
+    sizes = sent.select("file_id", "block", "k").distinct()
+    back = file_codes.decoded_files(sent.select("file_id", "block", "k", "strand"), sizes)
+    return back.select("file_id", "name", F.md5("data").alias("digest"), "crc_ok", "n_missing")
+
+
 @rows_only
 def lt_peeling(spark, sf_dir):
     """Chunks that peeling leaves open, by number of blocks."""
