@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import GROUP_BYTES, bounds_of, by_group, columns_of, mix, prepare, save, shuffle_parts, slices
+from helixframe.llm.common import GROUP_BYTES, bounds_of, by_group, columns_of, may_be_in, mix, prepare, save, shuffle_parts, slices
 from helixframe.llm.components import components
 from helixframe.llm.ngram_join import _verified, set_keys, shingle_sets
 from helixframe.llm.setsketch import REGISTERS, evidence_against, registers
@@ -111,13 +111,26 @@ def _plausible(i: np.ndarray, j: np.ndarray, regs: np.ndarray, sketches: Sketche
     return good
 
 
-def _star(classes: DataFrame, percent: int) -> DataFrame:
+def _postings(classes: DataFrame) -> DataFrame:
+    """(h, set_key, band) of the buckets that several classes share.  Buckets are counted first, so that most bands move as a bare number."""
+    keys = F.array(*[F.xxhash64(F.lit(j), F.substring("regs", WIDTH * j + 1, WIDTH)) for j in range(BANDS)])
+    hashed = classes.select("set_key", F.posexplode(keys).alias("band", "h"))
+    shared = save(hashed.groupBy("h").agg(F.count("*").alias("many")).where("many > 1").select("h"), "shared")
+    return save(hashed.where(may_be_in(shared, "h")(F.col("h"))).join(shared, "h"), "postings")
+
+
+def _of(classes: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """Columns of the classes that a table of set keys names, and perhaps of a few more, without moving the others."""
+    return classes.where(may_be_in(keys, "set_key")(F.col("set_key"))).select("set_key", *columns)
+
+
+def _star(classes: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of set keys: each class with the first one of its bucket, in a few bands."""
-    keys = F.array(*[F.xxhash64(F.lit(j), F.substring("regs", WIDTH * j + 1, WIDTH)) for j in range(STAR_BANDS)])
-    hashed = classes.select("set_key", "id", F.explode(keys).alias("h"))
-    least = hashed.groupBy("h").agg(F.min_by("set_key", F.struct(F.col("id").isNull(), "id", "set_key")).alias("a"), F.count("*").alias("many")).where("many > 1")
-    pairs = hashed.join(least, "h").where("a != set_key").select("a", F.col("set_key").alias("b")).distinct()
-    side = lambda s: classes.select(F.col("set_key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "regs", "odd")])
+    hashed = postings.where(F.col("band") < STAR_BANDS).select("set_key", "h").join(classes.select("set_key", "id"), "set_key")
+    least = hashed.groupBy("h").agg(F.min_by("set_key", F.struct(F.col("id").isNull(), "id", "set_key")).alias("a"))
+    pairs = save(hashed.join(least, "h").where("a != set_key").select("a", F.col("set_key").alias("b")).distinct(), "pairs")
+    named = _of(classes, pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct(), "n", "regs", "odd")
+    side = lambda s: named.select(F.col("set_key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "regs", "odd")])
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def test(batches):
@@ -131,23 +144,21 @@ def _star(classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b", "odd_a", "odd_b").mapInArrow(test, "a long, b long")
 
 
-def _across(known: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of set keys of different components that share a band and that nothing refutes."""
+def _across(classes: DataFrame, postings: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of set keys of different components that share a band and that nothing refutes.  known: (set_key, comp)."""
     spark = known.sparkSession
-    keys = F.array(*[F.xxhash64(F.lit(j), F.substring("regs", WIDTH * j + 1, WIDTH)) for j in range(BANDS)])
-    hashed = known.select("set_key", "comp", F.posexplode(keys).alias("band", "h"))
-    crossing = hashed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo != hi")
-    crossing = save(crossing.select("h", "many", F.ceil(F.col("many") / TILE).cast("int").alias("parts")), "crossing")
-    held = crossing.agg(F.sum(F.col("many") * F.col("parts"))).first()[0] or 0
-    groups = max(shuffle_parts(spark), -(-held * 2 * REGISTERS // GROUP_BYTES))
+    rows = postings.join(known, "set_key")
+    crossing = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo != hi")
+    crossing = save(crossing.select("h", F.ceil(F.col("many") / TILE).cast("int").alias("parts")), "crossing")
 
     # Class i of a bucket has a part; tile (p, q) holds parts p and q, and p == q all pairs inside it.
     mine = F.pmod(F.xxhash64("set_key", F.lit(5)), F.col("parts")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("mine", q).alias("p"), F.greatest("mine", q).alias("q")))
-    placed = hashed.join(crossing, "h").withColumn("mine", mine).select("set_key", "band", "h", "mine", F.explode(tiles).alias("tile"))
-    placed = placed.select("set_key", "band", "h", "mine", "tile.p", "tile.q", F.pmod(F.xxhash64("h", "tile"), F.lit(groups)).cast("int").alias("bucket"))
-    laid = placed.join(known.select("set_key", "comp", "n", "regs", "odd"), "set_key")
-
+    placed = rows.join(crossing, "h").withColumn("mine", mine).select("set_key", "comp", "band", "h", "mine", F.explode(tiles).alias("tile"))
+    placed = save(placed.select("set_key", "comp", "band", "h", "mine", "tile.p", "tile.q"), "tiles")
+    groups = max(shuffle_parts(spark), -(-placed.count() * 2 * REGISTERS // GROUP_BYTES))
+    laid = placed.join(_of(classes, placed.select("set_key").distinct(), "n", "regs", "odd"), "set_key")
+    laid = laid.withColumn("bucket", F.pmod(F.xxhash64("h", "p", "q"), F.lit(groups)).cast("int"))
     weights = np.uint64(256) ** np.arange(WIDTH, dtype=np.uint64)
 
     def compare(table):
@@ -198,10 +209,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sets.where("n > 0").groupBy("set_key").agg(first, F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("odd").alias("odd"))
     classes = save(classes.select("set_key", "first.id", "first.row_key", "n", "regs", "odd"), "classes")
 
-    comp = components(_verified(save(_star(classes, percent), "candidates"), classes, rows, k, percent))
-    known = save(classes.join(comp, classes["set_key"] == comp["node"], "left").select("set_key", "id", "n", "regs", "odd", F.coalesce("root", "set_key").alias("comp")), "known")
+    postings = _postings(classes)
+    comp = components(_verified(save(_star(classes, postings, percent), "candidates"), classes, rows, k, percent))
+    known = save(classes.select("set_key", "id").join(comp, F.col("set_key") == F.col("node"), "left").select("set_key", "id", F.coalesce("root", "set_key").alias("comp")), "known")
     links = known.select(F.col("set_key").alias("a"), F.col("comp").alias("b")).where("a != b")
-    comp = components(links.unionByName(_verified(save(_across(known, percent), "candidates"), classes, rows, k, percent)))
+    across = save(_across(classes, postings, known.select("set_key", "comp"), percent), "candidates")
+    comp = components(links.unionByName(_verified(across, classes, rows, k, percent)))
 
     final = known.join(comp, known["set_key"] == comp["node"], "left").select("set_key", "id", F.coalesce("root", "set_key").alias("root"))
     final = final.join(final.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("set_key", "component_id")
