@@ -1,8 +1,4 @@
-"""Files to strands that keep the rules, and back: header chunk, encoding in turns, file sink, settings.
-
-A file is its header chunk and its bytes, cut into blocks that are coded by themselves.  Packets that break the rules are thrown away and
-others made in their place, in turns over all blocks that still lack some.
-"""
+"""Settings of a file's coding, how far packets go, packets that contradict the others, and parts by index.  See file_codes for files."""
 
 from __future__ import annotations
 
@@ -46,88 +42,6 @@ def settings(entries: dict[str, str]) -> tuple[Settings, list[str]]:
     return Settings(**known), sorted(set(entries) - set(kinds))
 
 
-def with_header(files: DataFrame, size: int) -> DataFrame:
-    """files (file_id, name, data) as (file_id, data) behind a header chunk: bytes in the last chunk, CRC-32 of the file, name, zeros.
-
-    A file without bytes has a header only.  Names that have no room fail.
-    """
-    data, name = F.col("data"), F.encode("name", "utf-8")
-    last = F.when(F.octet_length(data) > 0, (F.octet_length(data) - 1) % size + 1).otherwise(0)
-    digits = F.concat(B.little_endian(last), B.little_endian(F.crc32(data)), F.lower(F.hex(name)))
-    head = F.when(F.octet_length(name) > size - 8, F.raise_error(F.concat(F.lit("no room for the name "), "name"))).otherwise(F.unhex(F.rpad(digits, 2 * size, "0")))
-    return files.select("file_id", F.concat(head, data).alias("data"))
-
-
-def encode_files(files: DataFrame, how: Settings | None = None, rules=R.default_rules) -> DataFrame:
-    """Packets (file_id, block, k, seed, used, degree, strand, error_prob) that keep the rules: ceil(k (1 + overhead)) of each block.
-
-    files: (file_id, name, data).  RuntimeError if some block has too few after `turns` turns.
-    """
-    how = how or Settings()
-    spark = files.sparkSession
-    data = with_header(files, how.chunk_size) if how.insert_header else files.select("file_id", "data")
-    blocks = _written(P.source_blocks(data, "file_id", "data", how.chunk_size, how.block), "blocks")
-    todo, kept = blocks, None
-    for turn in range(how.turns):
-        made = P.encode_blocks(todo, how.chunk_size, how.overhead, how.algorithm, how.error_correction, scramble=how.xor_by_seed, turn=turn)
-        made = made.withColumn("strand", P.packet_strand(F.col("packed"))).drop("packed", "n_bytes")
-        good = P.should_drop(made, rules(F.col("strand")), how.drop_upper_bound)
-        if how.priority_chunks:
-            good = good.where(P.priority_ok(F.col("degree"), F.col("used"), how.priority_chunks, F.col("seed")))
-        good = _written(good, "packets")
-        kept = good if kept is None else kept.unionByName(good)
-        need = F.ceil(F.col("k") * (1 + how.overhead))
-        full = _written(kept.groupBy("file_id", "block", "k").agg(F.count("*").alias("n")).where(F.col("n") >= need).select("file_id", "block"), "full")
-        todo = blocks.join(full, ["file_id", "block"], "left_anti")
-        if todo.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"the rules let through too few packets of {todo.count()} blocks in {how.turns} turns")
-    # blocks are bounded, so is the sort of one
-    from pyspark.sql import Window
-
-    at = F.row_number().over(Window.partitionBy("file_id", "block").orderBy("seed"))
-    return kept.withColumn("_at", at).where(F.col("_at") <= F.ceil(F.col("k") * (1 + how.overhead))).drop("_at")
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def decode_files(strands: DataFrame, how: Settings | None = None, solver: str = "gauss") -> DataFrame:
-    """(file_id, name, data, crc_ok, n_missing) of strands (file_id, block, k, strand): zeros for chunks that can't be solved.
-
-    The length of a file is that of its blocks, the last of which its header ends; without a header the last chunk stays whole.
-    """
-    how = how or Settings()
-    size = how.chunk_size
-    got = P.parse(strands, "strand", how.error_correction, how.xor_by_seed).where("status = 'ok'")
-    sizes = strands.select("file_id", "block", "k").distinct().withColumn("n_bytes", F.col("k") * size)
-    back = P.assemble(P.decode(got.select("file_id", "block", "k", "seed", "payload"), how.algorithm, solver), sizes)
-    whole = back.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", F.hex("data").alias("h")))), lambda x: x["h"]), "").alias("h"), F.sum("n_missing").alias("n_missing"))
-    if not how.insert_header:
-        return whole.select("file_id", F.lit(None).cast("string").alias("name"), F.unhex("h").alias("data"), F.lit(None).cast("boolean").alias("crc_ok"), "n_missing")
-    last, crc = B.from_little_endian(F.substring("h", 1, 8)), B.from_little_endian(F.substring("h", 9, 8))
-    name = F.decode(F.unhex(F.regexp_extract(F.substring("h", 17, 2 * size - 16), "^((?:(?!00)..)*)", 1)), "utf-8")
-    # blocks of fewer than four chunks are filled up with zeros: the header says how many bytes are in the last chunk that has any
-    body = F.substring("h", 2 * size + 1, 1 << 30)
-    rows = whole.select("file_id", "n_missing", name.alias("name"), last.alias("last"), crc.alias("crc"), body.alias("b"))
-    rows = rows.withColumn("b", _ended(F.col("b"), F.col("last"), size))
-    data = F.unhex("b")
-    return rows.select("file_id", "name", data.alias("data"), (F.crc32(data) == F.col("crc")).alias("crc_ok"), "n_missing")
-
-
-def _ended(digits: Column, last: Column, size: int) -> Column:
-    """Digits without the chunks of zeros that fill up a small block, cut after `last` bytes of the last chunk."""
-    chunks = F.length(digits) / (2 * size)
-    filled = F.length(F.regexp_extract(digits, f"((?:(?:00){{{size}}})*)$", 1)) / (2 * size)  # at most three of them are no data
-    n = F.when(chunks < 4, F.greatest(chunks - filled, F.when(last > 0, F.lit(1)).otherwise(0))).otherwise(chunks)
-    return F.left(digits, F.greatest(((n - 1) * size + last) * 2, F.lit(0)).cast("int"))
-
-
 def rank_curve(packets: DataFrame, name: str = "raptor", **options) -> DataFrame:
     """(file_id, block, n, rank, solved): how far the first n packets of a block (file_id, block, k, seed) go, in order of seed.
 
@@ -191,18 +105,3 @@ def part_of(strand: Column, parts: int) -> Column:
     width = max(1, math.ceil(math.log(parts, 4)))
     part = B.from_base_four(F.right(strand, F.lit(width)))
     return F.struct(F.when(part < parts, part).alias("part"), F.substring(strand, F.lit(1), F.length(strand) - width).alias("strand"))
-
-
-def find_packets(sequences: DataFrame, length: int, upper: float = 1.0, correction: str = "rs", rules=R.default_rules) -> DataFrame:
-    """(id, start, strand, seed, payload): packets of `length` bases in longer sequences (id, seq), found with a sliding window.
-
-    All windows that keep the rules are parsed; from the left, each that can be is taken and what overlaps it is passed over.
-    """
-    at = F.explode(F.when(F.length("seq") >= length, F.sequence(F.lit(0), F.length("seq") - length)).otherwise(F.array().cast("array<int>"))).alias("start")
-    windows = sequences.select("id", at, "seq").select("id", "start", F.substring("seq", F.col("start") + 1, F.lit(length)).alias("strand"))
-    good = P.parse(windows.where(rules(F.col("strand")) < upper), "strand", correction).where("status = 'ok'").drop("status")
-    good = _written(good, "windows")
-    empty = F.struct(F.lit(-length).alias("last"), F.array().cast("array<int>").alias("taken"))
-    step = lambda acc, x: F.when(x >= acc["last"] + length, F.struct(x.alias("last"), F.concat(acc["taken"], F.array(x)).alias("taken"))).otherwise(acc)
-    taken = good.groupBy("id").agg(F.sort_array(F.collect_list("start")).alias("s")).select("id", F.explode(F.aggregate("s", empty, step)["taken"]).alias("start"))
-    return good.join(taken, ["id", "start"])

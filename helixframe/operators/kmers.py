@@ -63,13 +63,52 @@ def contained(parts: DataFrame, wholes: DataFrame, k: int = 16) -> DataFrame:
     return out
 
 
+def _codes(strands: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """All k-mers of ACGT as numbers of two bits a base, and the strand of each; k is 31 at most.  K-mers with other letters are left out."""
+    data = S._CODE[np.frombuffer("".join(strands).encode("utf-8", "replace"), np.uint8)]
+    row = np.repeat(np.arange(len(strands)), [len(x.encode("utf-8", "replace")) for x in strands])
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    value, odd = np.zeros(n, np.int64), np.concatenate([[0], np.cumsum(data > 3)])
+    for j in range(k):
+        value = value << 2 | (data[j : j + n] & 3)
+    good = (row[:n] == row[k - 1 :]) & (odd[k:] == odd[:-k])
+    return value[good], row[:n][good]
+
+
 def shared_mers(rows: DataFrame, keys: list[str], seq: str, k: int = 19) -> DataFrame:
     """(keys, n): strands with k-mers that come again, in them or in others, and how many of theirs do.
 
-    What is shuffled is a digest of 8 bytes for each k-mer; those of equal digests are compared as they are.
+    K-mers are numbers, exactly, and each batch is counted before anything moves: first those that come again over all are found, a row of
+    16 bytes for each different k-mer of a batch; then those are joined with the places that have them.  K-mers that hold other letters than
+    ACGT are compared as they are.  For k up to 31.
     """
-    mers = rows.select(*keys, F.explode(S.kmers(F.col(seq), k)).alias("mer")).withColumn("digest", F.xxhash64("mer"))
-    again = mers.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest")
-    some = mers.join(again, "digest", "left_semi")
-    really = some.groupBy("mer").agg(F.count("*").alias("c")).where("c > 1").select("mer")
-    return some.join(really, "mer", "left_semi").groupBy(*keys).agg(F.count("*").alias("n"))
+    if not 0 < k <= 31:
+        raise ValueError("k must be in 1..31")
+    at = {c: i for i, c in enumerate(keys)}
+    plain = rows.select(*keys, F.col(seq).alias("_seq")).where("_seq IS NOT NULL")
+
+    def count(batches):
+        for batch in batches:
+            value, n = np.unique(_codes(batch.column(0).to_pylist(), k)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], ["code", "c"])
+
+    def place(batches):
+        for batch in batches:
+            value, row = _codes(batch.column(len(at)).to_pylist(), k)
+            order = np.lexsort((value, row))
+            value, row = value[order], row[order]
+            new = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])])) if len(value) else np.zeros(0, np.int64)
+            n = np.diff(np.concatenate([new, [len(value)]]))
+            columns = [batch.column(i).take(pa.array(row[new])) for i in range(len(at))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(value[new]), pa.array(n)], [*keys, "code", "c"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.drop("_seq").schema)
+    again = plain.select("_seq").mapInArrow(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("_all")).where("_all > 1").select("code")
+    found = plain.mapInArrow(place, f"{kinds}, code long, c long").join(again, "code").select(*keys, "c")
+
+    mers = plain.where(F.col("_seq").rlike("[^ACGT]")).select(*keys, F.explode(S.kmers(F.col("_seq"), k)).alias("mer")).where(F.col("mer").rlike("[^ACGT]"))
+    twice = mers.groupBy("mer").agg(F.count("*").alias("_all")).where("_all > 1").select("mer")
+    found = found.unionByName(mers.join(twice, "mer", "left_semi").select(*keys, F.lit(1).cast("long").alias("c")))
+    return found.groupBy(*keys).agg(F.sum("c").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import bases as B
 from helixframe.functions import rules as R
 from helixframe.functions import strand as S
-from helixframe.operators import align, channel, clusters, correction, experiments, files, fountain, jpeg, kmers, matching, near, packets, search, ternary
+from helixframe.operators import align, channel, clusters, correction, experiments, files, fountain, jpeg, kmers, matching, near, packet_table, packets, search, ternary, windows
 from helixframe.operators.chunks import strands
 from helixframe.plans.catalogue import _CHECK_BASES, _GC, _RUN, _S, _TOTAL, CHUNK, _hexed, _strands, query, rows_only
 from helixframe.plans.codec import _B, _pool, _table
@@ -312,10 +312,10 @@ def channel_gaps(spark, sf_dir):
     return experiments.unused_chunks(rows.where("error_prob < 0.05"), 40, rows.select("channel").distinct()).withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
 
 
-@query("SELECT o_orderpriority AS file, md5(string_agg(o_orderstatus || o_custkey, '' ORDER BY o_orderkey)) AS digest, count(*) AS n_parts FROM orders WHERE o_orderkey < 3000 GROUP BY 1")
+@query("SELECT o_orderpriority AS file, md5(string_agg(o_orderstatus || o_custkey, '' ORDER BY o_orderkey)) AS digest, count(*) AS n_parts FROM orders GROUP BY 1")
 def merged_parts(spark, sf_dir):
     """Parts of files, numbered, put together again; none is missing."""
-    rows = _table(spark, sf_dir, "orders").where("o_orderkey < 3000")
+    rows = _table(spark, sf_dir, "orders")
     number = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")) - 1
     parts = rows.select(F.concat("o_orderpriority", F.lit("_"), number).alias("name"), F.concat("o_orderstatus", "o_custkey").cast("binary").alias("data"))
     return experiments.merged_parts(parts).where(F.size("missing") == 0).select("file", F.md5("data").alias("digest"), F.col("n_parts").cast("long").alias("n_parts"))
@@ -550,7 +550,7 @@ def elapsed_time(spark, sf_dir):
     return _table(spark, sf_dir, "part").agg(F.sum(F.col("p_size") * 1000 + 7).alias("s")).select(B.elapsed(F.col("s")).alias("e")).select("e.*")
 
 
-@query("WITH s AS (SELECT p_size, p_brand, sum(p_retailprice) AS v FROM part GROUP BY 1, 2) SELECT p_size, round(avg(v), 2) AS mean, round(stddev_pop(v), 2) AS sd FROM s GROUP BY 1")
+@query("WITH s AS (SELECT p_size, p_brand, sum(CAST(round(p_retailprice * 100) AS BIGINT)) AS c FROM part GROUP BY 1, 2) SELECT p_size, CAST((2 * sum(c) + count(*)) // (2 * count(*)) AS DOUBLE) / 100 AS mean, round(stddev_pop(c / 100.0), 2) AS sd FROM s GROUP BY 1")
 def run_statistics(spark, sf_dir):
     """Prices are summed as decimals: sums of doubles depend on their order, and means that end in half a cent with them."""
     rows = _table(spark, sf_dir, "part").withColumn("p_retailprice", F.col("p_retailprice").cast("decimal(18,2)"))
@@ -726,10 +726,10 @@ def any_motif(spark, sf_dir):
     return _strands(spark, sf_dir).select("doc_id", "chunk_idx", B.any_motif(F.col("strand"), B.with_complements(_SIMPLE)).alias("p"))
 
 
-@query(f"{_S}, m AS (SELECT doc_id, chunk_idx, unnest(list_transform(generate_series(1, length(strand) - 18), lambda i: substr(strand, i, 19))) AS mer FROM s WHERE doc_id < 60 AND length(strand) >= 19), n AS (SELECT mer FROM m GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, chunk_idx, count(*) AS n FROM m JOIN n USING (mer) GROUP BY 1, 2")
+@query(f"{_S}, m AS (SELECT doc_id, chunk_idx, unnest(list_transform(generate_series(1, length(strand) - 18), lambda i: substr(strand, i, 19))) AS mer FROM s WHERE length(strand) >= 19), n AS (SELECT mer FROM m GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, chunk_idx, count(*) AS n FROM m JOIN n USING (mer) GROUP BY 1, 2")
 def repeated_mers(spark, sf_dir):
     """Packets whose 19-mers come again, in them or in others."""
-    return kmers.shared_mers(_strands(spark, sf_dir).where("doc_id < 60"), ["doc_id", "chunk_idx"], "strand", 19)
+    return kmers.shared_mers(_strands(spark, sf_dir), ["doc_id", "chunk_idx"], "strand", 19)
 
 
 _EZ = sorted({x for m, _ in R.MOTIFS for x in (m, m[::-1], m[::-1].translate(_TURN))})
@@ -787,17 +787,17 @@ def match_report(spark, sf_dir):
     return matching.report(met).select(F.col("whole_id").cast("int").alias("n_nationkey"), "html", "found")
 
 
-@query("""WITH h AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE length(text) > 0 AND doc_id < 40), b AS (SELECT doc_id AS file_id, x, unnest(generate_series(0, (length(x) - 1) // 6016)) AS block FROM h) SELECT file_id, block, md5(unhex(substr(x, block * 6016 + 1, 6016))) AS digest FROM b""")
+@query("""WITH h AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE length(text) > 0 ), b AS (SELECT doc_id AS file_id, x, unnest(generate_series(0, (length(x) - 1) // 6016)) AS block FROM h) SELECT file_id, block, md5(unhex(substr(x, block * 6016 + 1, 6016))) AS digest FROM b""")
 def streamed_blocks(spark, sf_dir):
     """Packets that come in three files of a stream, every tenth lost, decoded as soon as a block's rank is full."""
     from helixframe.streaming.incremental import decode_stream
 
-    docs, size, block = _table(spark, sf_dir, "documents").where("doc_id < 40"), 47, 64
+    docs, size, block = _table(spark, sf_dir, "documents"), 47, 64
     sent = packets.encode(docs, "doc_id", "text", size, block, 0.6, "raptor", "none").where("seed % 10 != 3").select("file_id", "block", "k", "seed", F.substring("packed", 5, size).alias("payload"))
     path, out = scratch(spark, "stream"), scratch(spark, "solved")
     sent.repartition(3, "seed").write.parquet(path)
     stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    run = decode_stream(stream, "raptor", 5).writeStream.format("parquet").option("checkpointLocation", scratch(spark, "state")).option("path", out).trigger(availableNow=True).start()
+    run = decode_stream(stream, "raptor").writeStream.format("parquet").option("checkpointLocation", scratch(spark, "state")).option("path", out).trigger(availableNow=True).start()
     run.awaitTermination()
     sizes = packets.source_blocks(docs, "doc_id", "text", size, block).select("file_id", "block", F.octet_length("data").alias("n_bytes"))
     sizes = sizes.withColumn("k", F.greatest(F.lit(4), F.ceil(F.col("n_bytes") / size).cast("int")))
@@ -879,14 +879,20 @@ def parts_by_index(spark, sf_dir):
     return rows.select("o_orderkey", "p.part", "p.strand")
 
 
-@rows_only
+_LONG = 4 * CHUNK + 4
+
+
+@query(f"""{_S.replace('WITH', 'WITH RECURSIVE', 1)}, q AS (SELECT doc_id AS id, string_agg(left('ACGTTGCATGACCATG', CAST((chunk_idx * 7 + doc_id) % 15 AS BIGINT)) || strand || {_CHECK_BASES}, '' ORDER BY chunk_idx) AS seq FROM s GROUP BY doc_id),
+x AS (SELECT id, unnest(string_split(seq, '')) AS ch, unnest(generate_series(0, length(seq) - 1)) AS start FROM q WHERE length(seq) > 0), y AS (SELECT id, start, instr('ACGT', ch) AS v, {' AND '.join(f'coalesce(ch = lead(ch, {i}) OVER o, false)' for i in range(1, 5))} AS run FROM x WINDOW o AS (PARTITION BY id ORDER BY start)),
+z AS (SELECT id, start, sum(v) OVER (o ROWS BETWEEN CURRENT ROW AND {_LONG - 5} FOLLOWING) % 256 AS total, {' + '.join(f'(lead(v, {_LONG - 4 + i}) OVER o - 1) * {4 ** (3 - i)}' for i in range(4))} AS told, sum(CAST(v IN (2, 3) AS INTEGER)) OVER (o ROWS BETWEEN CURRENT ROW AND {_LONG - 1} FOLLOWING) AS gc, sum(CAST(run AS INTEGER)) OVER (o ROWS BETWEEN CURRENT ROW AND {_LONG - 5} FOLLOWING) AS runs FROM y WINDOW o AS (PARTITION BY id ORDER BY start)),
+g AS MATERIALIZED (SELECT id, start, substr(seq, start + 1, {_LONG}) AS coded FROM z JOIN q USING (id) WHERE total = told AND runs = 0 AND 100.0 * gc / {_LONG} BETWEEN 30 AND 70),
+t AS (SELECT id, min(start) AS start FROM g GROUP BY id UNION ALL SELECT t.id, min(g.start) FROM t JOIN g ON g.id = t.id AND g.start >= t.start + {_LONG} GROUP BY t.id)
+SELECT id, start, coded AS strand, CAST(xor({' + '.join(f"(instr('ACGT', substr(coded, {i + 1}, 1)) - 1) * {4 ** (7 - i)}" for i in range(8))}, {packet_table.SEED_MASK}) AS INTEGER) AS seed FROM g JOIN t USING (id, start)""")
 def found_packets(spark, sf_dir):
-    """Packets of orders in longer sequences with other bases between them, found by a sliding window."""
-    table = _table(spark, sf_dir, "customer").select("c_custkey", F.rpad("c_name", 94, "-").alias("text"))
-    sent = packets.encode(table, "c_custkey", "text", 24, 4, 0.0, "raptor", "crc")
-    strand = packets.packet_strand(F.col("packed"))
-    whole = sent.select("file_id", "seed", F.concat(F.expr("left('ACGTTGCATGACCATG', cast(1 + seed % 13 as int))"), strand).alias("s")).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("seed", "s"))).alias("p"))
-    return files.find_packets(whole.select(F.col("file_id").alias("id"), F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq")), 4 * 29, 10.0, "crc").select("id", "start", "strand", "seed")
+    """Each document's strands with checksums as one sequence, with other bases between them: what is found from the left."""
+    coded = _strands(spark, sf_dir).select("doc_id", "chunk_idx", F.concat(F.expr("left('ACGTTGCATGACCATG', cast((chunk_idx * 7 + doc_id) % 15 as int))"), S.with_checksum(F.col("strand"))).alias("s"))
+    whole = coded.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "s"))).alias("p"))
+    return windows.found_packets(whole.select("id", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq")), _LONG)
 
 
 @rows_only

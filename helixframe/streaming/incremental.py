@@ -11,31 +11,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from helixframe.operators.codes import back_substitute, code, insert
 from helixframe.operators.packets import SOLVED
 
-STATE = "masks array<string>, payloads array<binary>, seen int, done boolean"
+STATE = "masks array<string>, payloads array<binary>, done boolean"
 
 
-def decode_stream(packets: DataFrame, name: str = "raptor", every: int = 1, **options) -> DataFrame:
+def decode_stream(packets: DataFrame, name: str = "raptor", **options) -> DataFrame:
     """(file_id, block, chunk_idx, data), once a block is solved, of a stream (file_id, block, k, seed, payload).
 
-    The state holds at most k independent equations, whatever comes; packets of a solved block are passed over.  `every` is how many new
-    packets of a block are waited for before the next attempt.
+    The state holds at most k independent equations, whatever comes; packets of a solved block are passed over.  Each packet is worked in as it
+    comes, so a block is given in the batch in which its rank fills, however the packets are spread over batches.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        masks, payloads, seen, done = state.get if state.exists else ([], [], 0, False)
+        masks, payloads, done = state.get if state.exists else ([], [], False)
         pivots = {(m := int(t, 16)) & -m: (m, int.from_bytes(p, "big")) for t, p in zip(masks, payloads)}
-        size, solved, k, new = len(payloads[0]) if len(payloads) else 0, {}, 0, 0
+        size, solved, k = len(payloads[0]) if len(payloads) else 0, {}, 0
         for frame in frames:
             for k, seed, payload in zip(frame["k"], frame["seed"], frame["payload"]):
                 if done or payload is None or pd.isna(seed) or (size and len(payload) != size):
                     continue
                 size = len(payload)
                 insert(pivots, code(name, int(k), **options).sources(int(seed)), int.from_bytes(payload, "big"))
-                new += 1
-        if not done and len(pivots) == k and (seen + new) // every > seen // every:
+        if not done and len(pivots) == k > 0:
             solved, done = back_substitute(pivots), True
         held = {} if done else pivots
-        state.update(([f"{m:x}" for m, _ in held.values()], [d.to_bytes(size, "big") for _, d in held.values()], int(seen + new), done))
+        state.update(([f"{m:x}" for m, _ in held.values()], [d.to_bytes(size, "big") for _, d in held.values()], done))
         yield pd.DataFrame([(key[0], key[1], i, solved[i].to_bytes(size, "big")) for i in sorted(solved)], columns=["file_id", "block", "chunk_idx", "data"])
 
     return packets.groupBy("file_id", "block").applyInPandasWithState(run, SOLVED, STATE, "append", GroupStateTimeout.NoTimeout)
