@@ -23,15 +23,13 @@ def once(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _blocks(text: Column, width: int, change) -> Column:
-    """Consecutive blocks of a string, changed one by one and joined; the string is named once, so that it is worked out once."""
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0)), change), "")
+#: Letters whose codes are written with the digits 4 to 7 alone, in order: sixteen, one for each four bits, and a digit for each base.
+LETTERS, DIGITS = "DEFGTUVWdefgtuvw", "4567"
 
 
 def hex_to_strand(digits: Column) -> Column:
-    """Hexadecimal digits as bases: numbers of 64 bits at a time, written in base four."""
-    fours = _blocks(digits, 16, lambda x: F.lpad(F.conv(x, 16, 4), 2 * F.length(x), F.lit("0")))
-    return F.translate(fours, "0123", BASES)
+    """Hexadecimal digits as bases, two for each: a digit's letter has a code of two digits, and each of these is a base."""
+    return F.translate(F.hex(F.translate(digits, HEX + "ABCDEF", LETTERS + LETTERS[10:])), DIGITS, BASES)
 
 
 def to_strand(data: Column) -> Column:
@@ -41,11 +39,8 @@ def to_strand(data: Column) -> Column:
 
 def from_strand(strand: Column) -> Column:
     """The bytes of a strand; null if it isn't whole bytes of A, C, G and T."""
-    def checked(s: Column) -> Column:
-        return F.when((F.length(s) % 4 == 0) & (F.length(F.translate(s, BASES, "")) == 0), s)
-
-    fours = F.translate(once(strand, checked), BASES, "0123")
-    return F.unhex(_blocks(fours, 32, lambda x: F.lpad(F.conv(x, 4, 16), (F.length(x) / 2).cast("int"), F.lit("0"))))
+    good = (F.length(strand) % 4 == 0) & (F.length(F.translate(strand, BASES, "")) == 0)
+    return F.when(good, F.unhex(F.translate(F.unhex(F.translate(strand, BASES, DIGITS)).cast("string"), LETTERS, HEX)))
 
 
 def reverse_complement(strand: Column) -> Column:

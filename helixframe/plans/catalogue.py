@@ -14,6 +14,7 @@ from helixframe.operators import fountain
 from helixframe.operators.chunks import chunks, strands, xor_lanes
 from helixframe.operators.kmers import kmer_counts as kmer_counts_of
 from helixframe.shipping import ship
+from helixframe.sources.tables import read
 
 CHUNK = 47
 QUERIES: dict = {}
@@ -63,7 +64,7 @@ _CHECK_BASES = " || ".join(f"substr('ACGT', CAST(({_CHECK}) // {4**i} % 4 + 1 AS
 
 
 def _strands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strands(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", CHUNK)
+    return strands(read(spark, sf_dir, "documents"), "doc_id", "text", CHUNK)
 
 
 @query(f"{_S} SELECT doc_id, chunk_idx, strand FROM s")
@@ -203,12 +204,12 @@ def exact_matches(spark, sf_dir):
 @query(f"""{_S}, l AS (SELECT doc_id, unnest(generate_series(0, (length(h) + 7) // 8 - 1)) AS lane, h FROM c),
 v AS (SELECT doc_id, lane, CAST('0x' || rpad(substr(h, lane * 8 + 1, 8), 8, '0') AS BIGINT) AS v FROM l) SELECT doc_id, lane, bit_xor(v) AS value FROM v GROUP BY doc_id, lane""")
 def xor_symbols(spark, sf_dir):
-    return xor_lanes(chunks(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", CHUNK), "doc_id")
+    return xor_lanes(chunks(read(spark, sf_dir, "documents"), "doc_id", "text", CHUNK), "doc_id")
 
 
 @query("SELECT byte, count(*) AS n FROM (SELECT substr(x, 2 * i + 1, 2) AS byte FROM (SELECT x, unnest(generate_series(0, length(x) // 2 - 1)) AS i FROM (SELECT hex(encode(text)) AS x FROM documents WHERE length(text) > 0))) GROUP BY byte")
 def huffman_frequencies(spark, sf_dir):
-    data = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.hex(F.col("text").cast("binary")).alias("x")).where("length(x) > 0")
+    data = read(spark, sf_dir, "documents").select(F.hex(F.col("text").cast("binary")).alias("x")).where("length(x) > 0")
     return data.select(F.explode(F.regexp_extract_all("x", F.lit("(..)"), F.lit(1))).alias("byte")).groupBy("byte").agg(F.count("*").alias("n"))
 
 

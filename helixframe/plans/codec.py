@@ -10,6 +10,7 @@ from helixframe.operators import channel, clusters, correction, file_codes, jpeg
 from helixframe.plans.catalogue import _GC, _KMERS, _RUN, _S, CHUNK, _hexed, _strands, query, rows_only
 from helixframe.operators.chunks import chunks, strands
 from helixframe.scratch import scratch
+from helixframe.sources.tables import read
 
 BLOCK = 128
 _B = _hexed("benchmark", "item_id")
@@ -20,7 +21,7 @@ SELECT file_id, block, 0 AS n_missing, md5(unhex(x)) AS digest FROM d"""
 
 
 def _table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(spark, sf_dir, name)
 
 
 def _pool(spark, sf_dir):

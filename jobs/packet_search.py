@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.operators import packet_table
+from helixframe.sources.tables import spread
 from jobs.common import LOG, command_line, settings
 
 DEFAULTS = {"id_column": "doc_id", "data_column": "text", "chunk_bytes": 48, "block_chunks": 64, "tries_per_chunk": 2.0, "overhead": 0.4, "pools": 16}
@@ -28,7 +29,7 @@ def search(spark: SparkSession, files: str, output: str, config: dict | None = N
     """Search, write both outputs, and say how many files were read and how many packets were tried and written."""
     config = DEFAULTS | (config or {})
     table = spark.read.parquet(files)
-    tried = packet_table.packets(table, config["id_column"], config["data_column"], config["chunk_bytes"], config["block_chunks"], config["tries_per_chunk"])
+    tried = packet_table.packets(spread(table), config["id_column"], config["data_column"], config["chunk_bytes"], config["block_chunks"], config["tries_per_chunk"])
     best = packet_table.fewest_errors(tried, config["overhead"])
     best = best.withColumn("pool", F.coalesce(F.pmod(F.col("file_id").cast("long"), F.lit(config["pools"])), F.lit(0)).cast("int"))
     best.hint("rebalance", "pool").write.mode("overwrite").partitionBy("pool").parquet(f"{output}/packets")
