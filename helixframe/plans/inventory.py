@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import bases as B
 from helixframe.functions import rules as R
 from helixframe.functions import strand as S
-from helixframe.operators import align, channel, clusters, correction, experiments, files, fountain, jpeg, kmers, matching, near, packet_table, packets, search, ternary, windows
+from helixframe.operators import align, channel, clusters, correction, experiments, fields, files, fountain, jpeg, kmers, matching, near, packet_table, packets, search, ternary, windows
 from helixframe.operators.chunks import strands
 from helixframe.plans.catalogue import _CHECK_BASES, _GC, _RUN, _S, _TOTAL, CHUNK, _hexed, _strands, query, rows_only
 from helixframe.plans.codec import _B, _pool, _table
@@ -618,7 +619,7 @@ xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda
 def checksums(spark, sf_dir):
     """Checksums of 8, 16 and 32 bits."""
     data = F.col("c_name").cast("binary")
-    return _table(spark, sf_dir, "customer").select("c_custkey", *[correction.checksum_column(letter)(data).alias(letter.lower()) for letter in "BHL"])
+    return _table(spark, sf_dir, "customer").select("c_custkey", *[fields.crc(data, letter).alias(letter.lower()) for letter in "BHL"])
 
 
 @query(f"{_S} SELECT doc_id, chunk_idx, array_to_string(list_transform(regexp_extract_all(left(strand, 40), 'A+|C+|G+|T+'), lambda r: left(r, 1) || length(r)), '') AS runs FROM s")
@@ -760,14 +761,32 @@ def framed_trits(spark, sf_dir):
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'X' || substr(c_name, 2) ELSE c_name END AS plain, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS checked, c_name AS repaired FROM customer")
 def corrected(spark, sf_dir):
     """Names protected in three ways, of which every third is spoiled, and what comes back."""
+    ways = {"plain": (lambda d: d, lambda d: d), "checked": (fields.crc_bytes, fields.crc_checked), "repaired": (fields.rs_encoded, fields.rs_repaired)}
     rows = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").cast("binary").alias("data"))
-    for out, name in (("plain", "none"), ("checked", "crc"), ("repaired", "rs")):
-        coded = correction.protected(name)(F.col("data"))
-        rows = rows.withColumn(out, coded).withColumn(out, F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("X").cast("binary"), F.substring(out, 2, 1 << 20))).otherwise(F.col(out)))
-        rows = rows.withColumn(out, F.decode(correction.restored(name)(F.col(out)), "utf-8"))
+    for out, (protect, restore) in ways.items():
+        rows = rows.withColumn(out, protect(F.col("data")))
+        rows = rows.withColumn(out, F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("X").cast("binary"), F.substring(out, 2, 1 << 20))).otherwise(F.col(out)))
+        rows = rows.withColumn(out, F.decode(restore(F.col(out)), "utf-8"))
     return rows.drop("data")
 
 
+_CODED4 = "upper(" + "".join("replace(" for _ in fields.WORDS) + "strand" + "".join(f", '{b}', '{w.lower()}')" for b, w in fields.WORDS.items()) + ")"
+_NEAR4 = ", ".join(f"('{''.join(w)}', '{b}')" for w in itertools.product("ACGT", repeat=3) for b, c in fields.WORDS.items() if sum(x != y for x, y in zip(w, c)) <= 1)
+
+
+@query(f"""{_S}, k AS (SELECT doc_id, chunk_idx, {_CODED4} AS coded FROM s), e AS (SELECT doc_id, chunk_idx, CASE WHEN chunk_idx % 3 = 0 THEN coded ELSE substr(coded, 1, 3) || translate(substr(coded, 4, 1), 'ACGT', 'CGTA') || CASE WHEN chunk_idx % 3 = 2 THEN translate(substr(coded, 5, 1), 'ACGT', 'GTAC') ELSE substr(coded, 5, 1) END || substr(coded, 6) END AS coded FROM k),
+w AS (SELECT doc_id, chunk_idx, i, substr(coded, i * 3 + 1, 3) AS w FROM (SELECT *, unnest(range(length(coded) // 3)) AS i FROM e)), n AS (SELECT * FROM (VALUES {_NEAR4}) t(w, b))
+SELECT doc_id, chunk_idx, CASE WHEN count(b) = count(*) THEN string_agg(b, '' ORDER BY i) END AS strand FROM w LEFT JOIN n USING (w) GROUP BY ALL""")
+def strand_words(spark, sf_dir):
+    """Strands over GF(4), a third of them with one wrong base and a third with two in one word: set right, or null, or another base."""
+    coded = fields.strand_encoded(F.col("strand"))
+    rows = _strands(spark, sf_dir).select("doc_id", "chunk_idx", coded.alias("c"))
+    piece = lambda a, n: F.substring("c", a, n)
+    third = F.when(F.col("chunk_idx") % 3 == 2, F.translate(piece(5, 1), "ACGT", "GTAC")).otherwise(piece(5, 1))
+    spoiled = F.when(F.col("chunk_idx") % 3 == 0, F.col("c")).otherwise(F.concat(piece(1, 3), F.translate(piece(4, 1), "ACGT", "CGTA"), third, piece(6, 1 << 20)))
+    return rows.select("doc_id", "chunk_idx", fields.strand_repaired(spoiled).alias("strand"))
+
+
 @query("SELECT doc_id, md5(encode(text)) AS digest FROM documents WHERE length(text) > 0")
 def rs_files(spark, sf_dir):
     """Documents as Reed-Solomon chunks with their numbers, those of every twentieth with their first bases flipped, and put together again."""
