@@ -1,4 +1,4 @@
-"""Alignment of two strings: indel similarity, edit scripts, local alignment and CIGAR arithmetic, as Arrow UDFs and plain functions."""
+"""Alignment of two strings: edit scripts, local alignment and CIGAR arithmetic as columns, and plain functions for consensus."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
+from pyspark.sql.types import DoubleType
 
-_SCRIPT = StructType().add("cigar", StringType()).add("n_insert", IntegerType()).add("n_delete", IntegerType()).add("n_substitute", IntegerType())
+from helixframe.functions import strand as S
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -78,20 +78,111 @@ def gapped(a: str, b: str) -> tuple[str, str]:
     return "".join(x), "".join(y)
 
 
-@F.pandas_udf(_SCRIPT)
-def edit_cigar(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    scripts = [None if x is None or y is None else edit_script(x, y) for x, y in zip(a, b)]
-    count = lambda op: pd.array([None if s is None else s.count(op) for s in scripts], "Int32")
-    return pd.DataFrame({"cigar": [None if s is None else to_cigar(s) for s in scripts], "n_insert": count("I"), "n_delete": count("D"), "n_substitute": count("X")})
+_FAR = 1 << 30
 
 
-_PAIR = StructType().add("a", StringType()).add("b", StringType())
+def _diagonals(a: Column, b: Column, cell, start: Column, merge) -> Column:
+    """A fold over the diagonals of the matrix of two strings, each of which follows from the two before it, all cells at once.
 
+    cell(up, left, corner, equal) gives a cell from its neighbours; merge(state, diagonal) keeps what is needed, with the last two in
+    `one` and `two`.  Entry i of diagonal t is the cell of i letters of a and t - i of b; those outside the matrix are null.
+    """
+    n, m = F.length(a), F.length(b)
 
-@F.pandas_udf(_PAIR)
-def gapped_pair(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Both strings with gaps, of equal length."""
-    return pd.DataFrame([(None, None) if x is None or y is None else gapped(x, y) for x, y in zip(a, b)], columns=["a", "b"])
+    def step(state, t):
+        def at(_, i):
+            j = t - i
+            equal = F.substring(a, i, F.lit(1)) == F.substring(b, j, F.lit(1))
+            inside = (j >= 0) & (j <= m)
+            return F.when(inside, cell(i, j, F.get(state["one"], i - 1), F.get(state["one"], i), F.get(state["two"], i - 1), equal))
+
+        return merge(state, F.transform(F.sequence(F.lit(0), n), at))
+
+    return F.aggregate(F.sequence(F.lit(0), n + m), start, step)
+
+
+def _distance_diagonals(a: Column, b: Column) -> Column:
+    """All diagonals of the matrix of edit distances."""
+    kind = "struct<one:array<int>,two:array<int>,all:array<array<int>>>"
+    start = F.struct(F.array().cast("array<int>").alias("one"), F.array().cast("array<int>").alias("two"), F.array().cast("array<array<int>>").alias("all")).cast(kind)
+    far = lambda x: F.coalesce(x, F.lit(_FAR))
+
+    def cell(i, j, up, left, corner, equal):
+        inner = F.least(far(up) + 1, far(left) + 1, far(corner) + F.when(equal, 0).otherwise(1))
+        return F.when((i == 0) | (j == 0), i + j).otherwise(inner)
+
+    merge = lambda s, d: S.once(d, lambda d: F.struct(d.alias("one"), s["one"].alias("two"), F.concat(s["all"], F.array(d)).alias("all")).cast(kind))
+    return _diagonals(a, b, cell, start, merge)["all"]
+
+
+def script_of(a: Column, b: Column) -> Column:
+    """One letter for each column of a global alignment that turns a into b at the least edit cost: = X, I (only in b), D (only in a).
+
+    Of equal costs the diagonal is taken first, then D.  Null where a or b is.
+    """
+    kind = "struct<i:int,j:int,ops:string>"
+    start = F.struct(F.length(a).alias("i"), F.length(b).alias("j"), F.lit("").alias("ops")).cast(kind)
+
+    def traced(all_):
+        def step(s, _):
+            i, j = s["i"], s["j"]
+            cost = lambda i, j: F.get(F.get(all_, i + j), i)
+            equal = F.substring(a, i, F.lit(1)) == F.substring(b, j, F.lit(1))
+            here = cost(i, j)
+            go = lambda di, dj, op: F.struct((i - di).alias("i"), (j - dj).alias("j"), F.concat(op, s["ops"]).alias("ops")).cast(kind)
+            diagonal = (i > 0) & (j > 0) & (here == cost(i - 1, j - 1) + F.when(equal, 0).otherwise(1))
+            down = (i > 0) & (here == cost(i - 1, j) + 1)
+            return F.when((i == 0) & (j == 0), s).when(diagonal, go(1, 1, F.when(equal, "=").otherwise("X"))).when(down, go(1, 0, F.lit("D"))).otherwise(go(0, 1, F.lit("I")))
+
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(a) + F.length(b), F.lit(1))), start, step)["ops"]
+
+    return F.when(a.isNotNull() & b.isNotNull(), S.once(_distance_diagonals(a, b), traced))
+
+
+def cigar_of(script: Column) -> Column:
+    """A script with equal letters put together: their number, and the letter."""
+    return F.array_join(F.transform(F.regexp_extract_all(script, F.lit("(=+|X+|I+|D+)"), F.lit(1)), lambda x: F.concat(F.length(x), F.left(x, F.lit(1)))), "")
+
+
+def count_in(script: Column, op: str) -> Column:
+    return F.length(script) - F.length(F.replace(script, F.lit(op), F.lit("")))
+
+
+def gapped_by(script: Column, text: Column, gap: str) -> Column:
+    """A string with a gap for each `gap` of a script: I for the first string, D for the second."""
+    other = "=XD" if gap == "I" else "=XI"
+    before = lambda t: F.length(F.translate(F.left(script, t), other, ""))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(script)), lambda t: F.when(F.substring(script, t, F.lit(1)) == gap, "-").otherwise(F.substring(text, t - before(t), F.lit(1)))), "")
+
+
+def local_score_of(a: Column, b: Column, match: int = 1, mismatch: int = -1, gap: int = -1) -> Column:
+    """Best local alignment of two strings (Smith and Waterman, linear gaps), as a column; 0 of an empty one, null of null."""
+    kind = "struct<one:array<int>,two:array<int>,top:int>"
+    start = F.struct(F.array().cast("array<int>").alias("one"), F.array().cast("array<int>").alias("two"), F.lit(0).alias("top")).cast(kind)
+    none = lambda x: F.coalesce(x, F.lit(0))
+    cell = lambda i, j, up, left, corner, equal: F.when((i == 0) | (j == 0), 0).otherwise(F.greatest(F.lit(0), none(up) + gap, none(left) + gap, none(corner) + F.when(equal, match).otherwise(mismatch)))
+    merge = lambda s, d: S.once(d, lambda d: F.struct(d.alias("one"), s["one"].alias("two"), F.greatest(s["top"], F.array_max(d)).alias("top")).cast(kind))
+    return F.when(a.isNotNull() & b.isNotNull(), _diagonals(a, b, cell, start, merge)["top"])
+
+
+def errors_by_position(rows: DataFrame, cigar: str = "cigar") -> DataFrame:
+    """(position, n_match, n_mismatch, n_deletion, n_insertion): what alignments to a reference do at each of its places, from 0.
+
+    CIGARs of = X D I; an insertion counts at the place that it stands before.  Runs become places only after they are cut, so that no
+    alignment is gathered; those without a run, and nulls, count nowhere.
+    """
+    run = F.transform(F.regexp_extract_all(cigar, F.lit("(\\d+[=XDI])"), F.lit(1)), lambda x: F.struct(F.regexp_extract(x, "(\\d+)", 1).cast("int").alias("n"), F.right(x, F.lit(1)).alias("op")))
+    kind = "struct<at:int,runs:array<struct<at:int,n:int,op:string>>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int,op:string>>").alias("runs")).cast(kind)
+
+    def place(s, x):
+        here = F.struct(s["at"].alias("at"), x["n"].alias("n"), x["op"].alias("op"))
+        return F.struct((s["at"] + F.when(x["op"] == "I", 0).otherwise(x["n"])).alias("at"), F.concat(s["runs"], F.array(here)).alias("runs")).cast(kind)
+
+    runs = rows.where(F.col(cigar).isNotNull()).select(F.inline(F.aggregate(run, start, place)["runs"])).where("n > 0")
+    places = runs.select("op", F.when(F.col("op") == "I", F.col("n")).otherwise(1).alias("n"), F.explode(F.when(F.col("op") == "I", F.array("at")).otherwise(F.sequence("at", F.col("at") + F.col("n") - 1))).alias("position"))
+    names = {"match": "=", "mismatch": "X", "deletion": "D", "insertion": "I"}
+    return places.groupBy("position").agg(*[F.coalesce(F.sum(F.when(F.col("op") == op, F.col("n"))), F.lit(0)).cast("long").alias(f"n_{name}") for name, op in names.items()])
 
 
 def local_score(a: str, b: str, match: int = 1, mismatch: int = -1, gap: int = -1) -> int:

@@ -17,6 +17,7 @@ from helixframe.plans.catalogue import _CHECK_BASES, _GC, _RUN, _S, _TOTAL, CHUN
 from helixframe.plans.codec import _B, _pool, _table
 from helixframe.scratch import scratch
 from helixframe.sources import models, sequences
+from helixframe.sources.tables import spread
 
 
 def _four(value: str, width: int) -> str:
@@ -474,9 +475,32 @@ def screened(spark, sf_dir):
 def edit_operations(spark, sf_dir):
     """Strands against changed ones: as many edits as their distance, insertions less deletions, and both strands back from the alignment."""
     rows = _pool(spark, sf_dir).where(F.length("strand") > 0).select(F.col("strand_id").alias("id"), F.col("strand").alias("a"), F.expr("concat(left(strand, 20), 'ACG', substr(strand, 25, 60), 'T', substr(strand, 85))").alias("b"))
-    rows = rows.withColumn("e", align.edit_cigar("a", "b")).withColumn("g", align.gapped_pair("a", "b"))
-    e = lambda c: F.col(f"e.n_{c}").cast("long")
-    return rows.select("id", (e("insert") + e("delete") + e("substitute")).alias("cost"), (e("insert") - e("delete")).alias("longer"), F.replace("g.a", F.lit("-"), F.lit("")).alias("a"), F.replace("g.b", F.lit("-"), F.lit("")).alias("b"))
+    rows = spread(rows).select("id", "a", "b", F.explode(F.array(align.script_of(F.col("a"), F.col("b")))).alias("e"))  # a row of its own: worked out once
+    n = lambda op: align.count_in(F.col("e"), op).cast("long")
+    back = lambda gap, c: F.replace(align.gapped_by(F.col("e"), F.col(c), gap), F.lit("-"), F.lit("")).alias(c)
+    return rows.select("id", (n("I") + n("D") + n("X")).alias("cost"), (n("I") - n("D")).alias("longer"), back("I", "a"), back("D", "b"))
+
+
+@query(f"""WITH RECURSIVE {_B}, p AS (SELECT item_id * 1000 + chunk_idx AS id, strand AS a, substr(strand, 60, 50) || 'ACG' || substr(strand, 115, 20) || {_TURNED.format('left(strand, 40)')} AS b FROM s),
+h AS (SELECT id, 0 AS i, j, CAST(0 AS BIGINT) AS v FROM (SELECT id, unnest(range(length(b) + 1)) AS j FROM p)
+UNION ALL SELECT id, i, j, max(t + j) OVER (PARTITION BY id ORDER BY j) - j FROM (SELECT h.id, h.i + 1 AS i, j, CASE WHEN j = 0 THEN 0 ELSE greatest(0, v - 1, lag(v) OVER (PARTITION BY h.id ORDER BY j) + CASE WHEN substr(a, h.i + 1, 1) = substr(b, j, 1) THEN 1 ELSE -1 END) END AS t FROM h JOIN p USING (id) WHERE h.i < length(a)))
+SELECT id, CAST(max(v) AS INTEGER) AS score FROM h GROUP BY id""")
+def local_scores(spark, sf_dir):
+    """Strands against parts of themselves and a part turned: the best local alignment."""
+    a = F.col("a")
+    b = F.concat(F.substring("a", 60, 50), F.lit("ACG"), F.substring("a", 115, 20), S.reverse_complement(F.left(a, F.lit(40))))
+    rows = spread(_pool(spark, sf_dir).select(F.col("strand_id").alias("id"), F.col("strand").alias("a"))).withColumn("b", b)
+    return rows.select("id", align.local_score_of(F.col("a"), F.col("b")).alias("score"))
+
+
+@query("""WITH c AS (SELECT CAST(l_quantity AS BIGINT) AS q, l_linenumber AS x, l_suppkey % 3 AS d, l_partkey % 4 AS e FROM lineitem),
+p AS (SELECT unnest(range(q)) AS position, '=' AS op, 1 AS n FROM c UNION ALL SELECT q + unnest(range(x)), 'X', 1 FROM c UNION ALL SELECT q + x, 'I', q FROM c WHERE q > 0 UNION ALL SELECT q + x + unnest(range(d)), 'D', 1 FROM c UNION ALL SELECT q + x + d + unnest(range(e)), '=', 1 FROM c)
+SELECT CAST(position AS INTEGER) AS position, CAST(coalesce(sum(n) FILTER (op = '='), 0) AS BIGINT) AS n_match, CAST(coalesce(sum(n) FILTER (op = 'X'), 0) AS BIGINT) AS n_mismatch, CAST(coalesce(sum(n) FILTER (op = 'D'), 0) AS BIGINT) AS n_deletion, CAST(coalesce(sum(n) FILTER (op = 'I'), 0) AS BIGINT) AS n_insertion FROM p GROUP BY 1""")
+def position_errors(spark, sf_dir):
+    """Matches, mismatches, deletions and insertions of alignments by their place in the reference."""
+    q = F.col("l_quantity").cast("long")
+    c = F.concat(q, F.lit("="), F.col("l_linenumber"), F.lit("X"), q, F.lit("I"), F.col("l_suppkey") % 3, F.lit("D"), F.col("l_partkey") % 4, F.lit("="))
+    return align.errors_by_position(_table(spark, sf_dir, "lineitem").select(c.alias("cigar")))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(CASE WHEN 2 * l_quantity + l_linenumber > 0 THEN l_quantity / (2 * l_quantity + l_linenumber + l_suppkey % 3) ELSE 0 END, 9) AS identity FROM lineitem")

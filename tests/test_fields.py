@@ -6,7 +6,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import correction, fields
+from helixframe.operators import align, correction, fields
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +64,29 @@ def test_words_over_four(spark):
     df = spark.createDataFrame([(w,) for w, _ in rows], "w string")
     assert {r["w"]: r["b"] for r in df.select("w", fields.strand_repaired(F.col("w")).alias("b")).collect()} == want
     assert spark.createDataFrame([("GATTACA",)], "s string").select(fields.strand_encoded(F.col("s"))).first()[0] == "".join(fields.WORDS[b] for b in "GATTACA")
+
+
+def test_alignments_as_columns(spark):
+    r = random.Random(3)
+    pairs = [("", ""), ("", "ACG"), ("ACG", ""), (None, "A"), ("A", None), ("é\U0001f600A", "éA")]
+    for _ in range(60):
+        a = "".join(r.choices("ACG", k=r.randint(0, 22)))
+        b = "".join(c for c in a if r.random() < 0.8) + "".join(r.choices("ACG", k=r.randint(0, 8)))
+        pairs.append((a, b))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    a, b, e = F.col("a"), F.col("b"), F.col("e")
+    got = df.withColumn("e", align.script_of(a, b)).select("i", "e", align.cigar_of(e).alias("cigar"), align.gapped_by(e, a, "I").alias("x"), align.gapped_by(e, b, "D").alias("y"), align.local_score_of(a, b).alias("score"))
+    for row in got.collect():
+        a, b = pairs[row["i"]]
+        if a is None or b is None:
+            assert row["e"] is row["score"] is None
+            continue
+        script = align.edit_script(a, b)
+        assert (row["e"], row["cigar"], row["score"]) == (script, align.to_cigar(script), align.local_score(a, b))
+        assert ((row["x"], row["y"]) if script else ("", "")) == align.gapped(a, b)
+
+
+def test_errors_by_position(spark):
+    df = spark.createDataFrame([("2=1X1D3I1=",), ("1I2=0X2D",), ("",), (None,), ("3X",)], "cigar string")
+    got = {r["position"]: tuple(r)[1:] for r in align.errors_by_position(df).collect()}
+    assert got == {0: (2, 1, 0, 1), 1: (2, 1, 0, 0), 2: (0, 2, 1, 0), 3: (0, 0, 2, 0), 4: (1, 0, 0, 3)}
