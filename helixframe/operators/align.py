@@ -81,38 +81,33 @@ def gapped(a: str, b: str) -> tuple[str, str]:
 _FAR = 1 << 30
 
 
-def _diagonals(a: Column, b: Column, cell, start: Column, merge) -> Column:
-    """A fold over the diagonals of the matrix of two strings, each of which follows from the two before it, all cells at once.
+def _diagonal(a: Column, b: Column, t: Column, one: Column, two: Column, cell) -> Column:
+    """Diagonal t of the matrix of two strings from the two before it, all its cells at once.
 
-    cell(up, left, corner, equal) gives a cell from its neighbours; merge(state, diagonal) keeps what is needed, with the last two in
-    `one` and `two`.  Entry i of diagonal t is the cell of i letters of a and t - i of b; those outside the matrix are null.
+    cell(i, j, up, left, corner, equal) gives a cell from its neighbours.  Entry i is the cell of i letters of a and t - i of b; null where
+    that is outside the matrix.
     """
-    n, m = F.length(a), F.length(b)
 
-    def step(state, t):
-        def at(_, i):
-            j = t - i
-            equal = F.substring(a, i, F.lit(1)) == F.substring(b, j, F.lit(1))
-            inside = (j >= 0) & (j <= m)
-            return F.when(inside, cell(i, j, F.get(state["one"], i - 1), F.get(state["one"], i), F.get(state["two"], i - 1), equal))
-
-        return merge(state, F.transform(F.sequence(F.lit(0), n), at))
+    def at(i):
+        j = t - i
+        equal = F.substring(a, i, F.lit(1)) == F.substring(b, j, F.lit(1))
+        return F.when((j >= 0) & (j <= F.length(b)), cell(i, j, F.get(one, i - 1), F.get(one, i), F.get(two, i - 1), equal))
 
-    return F.aggregate(F.sequence(F.lit(0), n + m), start, step)
+    return F.transform(F.sequence(F.lit(0), F.length(a)), at)
 
 
 def _distance_diagonals(a: Column, b: Column) -> Column:
-    """All diagonals of the matrix of edit distances."""
-    kind = "struct<one:array<int>,two:array<int>,all:array<array<int>>>"
-    start = F.struct(F.array().cast("array<int>").alias("one"), F.array().cast("array<int>").alias("two"), F.array().cast("array<array<int>>").alias("all")).cast(kind)
+    """All diagonals of the matrix of edit distances.  They are the fold's state by themselves: a lambda's result would be copied."""
     far = lambda x: F.coalesce(x, F.lit(_FAR))
 
     def cell(i, j, up, left, corner, equal):
         inner = F.least(far(up) + 1, far(left) + 1, far(corner) + F.when(equal, 0).otherwise(1))
         return F.when((i == 0) | (j == 0), i + j).otherwise(inner)
 
-    merge = lambda s, d: S.once(d, lambda d: F.struct(d.alias("one"), s["one"].alias("two"), F.concat(s["all"], F.array(d)).alias("all")).cast(kind))
-    return _diagonals(a, b, cell, start, merge)["all"]
+    def step(all_, t):
+        return F.concat(all_, F.array(_diagonal(a, b, t, F.get(all_, t - 1), F.get(all_, t - 2), cell)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(a) + F.length(b)), F.array().cast("array<array<int>>"), step)
 
 
 def script_of(a: Column, b: Column) -> Column:
@@ -129,7 +124,7 @@ def script_of(a: Column, b: Column) -> Column:
             cost = lambda i, j: F.get(F.get(all_, i + j), i)
             equal = F.substring(a, i, F.lit(1)) == F.substring(b, j, F.lit(1))
             here = cost(i, j)
-            go = lambda di, dj, op: F.struct((i - di).alias("i"), (j - dj).alias("j"), F.concat(op, s["ops"]).alias("ops")).cast(kind)
+            go = lambda di, dj, op: F.struct((i - di).alias("i"), (j - dj).alias("j"), F.concat(op, s["ops"]).alias("ops"))
             diagonal = (i > 0) & (j > 0) & (here == cost(i - 1, j - 1) + F.when(equal, 0).otherwise(1))
             down = (i > 0) & (here == cost(i - 1, j) + 1)
             return F.when((i == 0) & (j == 0), s).when(diagonal, go(1, 1, F.when(equal, "=").otherwise("X"))).when(down, go(1, 0, F.lit("D"))).otherwise(go(0, 1, F.lit("I")))
@@ -161,8 +156,12 @@ def local_score_of(a: Column, b: Column, match: int = 1, mismatch: int = -1, gap
     start = F.struct(F.array().cast("array<int>").alias("one"), F.array().cast("array<int>").alias("two"), F.lit(0).alias("top")).cast(kind)
     none = lambda x: F.coalesce(x, F.lit(0))
     cell = lambda i, j, up, left, corner, equal: F.when((i == 0) | (j == 0), 0).otherwise(F.greatest(F.lit(0), none(up) + gap, none(left) + gap, none(corner) + F.when(equal, match).otherwise(mismatch)))
-    merge = lambda s, d: S.once(d, lambda d: F.struct(d.alias("one"), s["one"].alias("two"), F.greatest(s["top"], F.array_max(d)).alias("top")).cast(kind))
-    return F.when(a.isNotNull() & b.isNotNull(), _diagonals(a, b, cell, start, merge)["top"])
+
+    def step(s, t):
+        return S.once(_diagonal(a, b, t, s["one"], s["two"], cell), lambda d: F.struct(d.alias("one"), s["one"].alias("two"), F.greatest(s["top"], F.array_max(d)).alias("top")))
+
+    every = F.sequence(F.lit(0), F.length(a) + F.length(b))
+    return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(every, start, step)["top"])
 
 
 def errors_by_position(rows: DataFrame, cigar: str = "cigar") -> DataFrame:

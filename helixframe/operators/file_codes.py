@@ -85,7 +85,7 @@ def read_strands(strands: DataFrame, size: int = 48) -> DataFrame:
 
 
 def _added(e: Column, p: Column) -> Column:
-    return F.struct(e["lead"].alias("lead"), e["m"].bitwiseXOR(p["m"]).alias("m"), F.zip_with(e["d"], p["d"], lambda a, b: a.bitwiseXOR(b)).alias("d")).cast(_PIVOT)
+    return F.struct(e["lead"].alias("lead"), e["m"].bitwiseXOR(p["m"]).alias("m"), F.zip_with(e["d"], p["d"], lambda a, b: a.bitwiseXOR(b)).alias("d"))
 
 
 def _without(e: Column, pivots: Column) -> Column:
@@ -98,12 +98,12 @@ def eliminated(equations: Column, k: Column) -> Column:
     none = F.array().cast(f"array<{_PIVOT}>")
 
     def insert(pivots, e):
-        start = F.struct(F.lit(0).cast("long").alias("lead"), e["m"].alias("m"), e["d"].alias("d")).cast(_PIVOT)
+        start = F.struct(F.lit(0).cast("long").alias("lead"), e["m"].alias("m"), e["d"].alias("d"))
 
         def add(e):
             last = e["m"] == bit(MOST - 1)  # has no negative
             lead = F.when(last, e["m"]).otherwise(e["m"].bitwiseAND(-F.when(last, F.lit(0)).otherwise(e["m"])))
-            return F.when(e["m"] == 0, pivots).otherwise(F.concat(pivots, F.array(F.struct(lead.alias("lead"), e["m"].alias("m"), e["d"].alias("d")).cast(_PIVOT))))
+            return F.when(e["m"] == 0, pivots).otherwise(F.concat(pivots, F.array(F.struct(lead.alias("lead"), e["m"].alias("m"), e["d"].alias("d")))))
 
         return F.when(F.size(pivots) >= k, pivots).otherwise(S.once(_without(start, pivots), add))
 
