@@ -16,7 +16,7 @@ from helixframe.operators.chunks import strands
 from helixframe.plans.catalogue import _CHECK_BASES, _GC, _RUN, _S, _TOTAL, CHUNK, _hexed, _strands, query, rows_only
 from helixframe.plans.codec import _B, _pool, _table
 from helixframe.scratch import scratch
-from helixframe.sources import models, sequences
+from helixframe.sources import models, ordered, sequences
 from helixframe.sources.tables import spread
 
 
@@ -43,6 +43,29 @@ def packet_fasta(spark, sf_dir):
     return sequences.read_fasta(spark, path).select(sequences.score_and_seed(F.col("name")).alias("n"), "seq").select("n.seed", "n.error", "seq")
 
 
+_MERGED = f"SELECT row_number() OVER (ORDER BY error, seed, seq) - 1 AS number, error, seed, seq FROM (SELECT CAST(o_orderkey AS VARCHAR) AS seed, CAST(CAST(ceil(o_custkey % 64 / 64.0 * 100) AS BIGINT) AS VARCHAR) AS error, {_four('o_orderkey', 16)} AS seq FROM orders)"
+
+
+def _packet_files(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select((F.col("o_custkey") % 64 / 64).alias("error_prob"), F.col("o_orderkey").alias("seed"), B.base_four(F.col("o_orderkey"), 16).alias("strand"))
+    paths = [scratch(spark, "packets") for _ in range(3)]
+    for i, path in enumerate(paths):
+        models.write_packets_fasta(rows.where(F.col("seed") % 3 == i), path)
+    return paths
+
+
+@query(_MERGED)
+def merged_packet_files(spark, sf_dir):
+    """Packets of three FASTA files in one order: error as text, seed, strand."""
+    return ordered.merged_fasta(spark, _packet_files(spark, sf_dir))
+
+
+@query(f"{_MERGED} QUALIFY number < 1020")
+def first_packets(spark, sf_dir):
+    """The first records of the merged files, up to a limit."""
+    return ordered.merged_fasta(spark, _packet_files(spark, sf_dir), 1020)
+
+
 def _contigs(spark, sf_dir):
     four = B.base_four(F.col("p_partkey"), 12)
     head = F.concat(F.lit(">"), F.col("p_partkey").cast("string"), F.lit(" len>3 Depth="), (F.col("p_size") / 8).cast("string"), F.when(F.col("p_partkey") % 2 == 0, " CIRCULAR=true").otherwise(""))

@@ -195,3 +195,22 @@ def test_decode_stream(spark, tmp_path):
     assert run.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("chunk_idx").collect()
     assert b"".join(bytes(x["data"]) for x in got) == data
+
+
+def test_stream_gives_each_block_once_in_many_small_batches(spark, tmp_path):
+    """Two packets a batch: a block comes in the batch that fills its rank, and what comes later changes nothing."""
+    from helixframe.streaming.incremental import decode_stream
+
+    data = {1: random.Random(1).randbytes(47 * 4), 2: random.Random(2).randbytes(47 * 9), 3: random.Random(3).randbytes(47 * 5)}
+    sent = packets.encode(spark.createDataFrame([(k, bytearray(d)) for k, d in data.items()], "id long, d binary"), "id", "d", 47, 32, 2.0, correction="none")
+    sent = sent.select("file_id", "block", "k", "seed", F.expr("substr(packed, 5)").alias("payload")).where("file_id != 3 OR seed < 3")  # too few for the third
+    rows = sorted(sent.collect(), key=lambda r: (r["seed"], r["file_id"]))
+    for i in range(0, len(rows), 6):
+        spark.createDataFrame(rows[i : i + 6], sent.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = decode_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    assert run.awaitTermination(240)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("file_id", "chunk_idx").collect()
+    for k in (1, 2):
+        assert b"".join(bytes(x["data"]) for x in got if x["file_id"] == k) == data[k]
+    assert len(got) == 13
