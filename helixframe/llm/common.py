@@ -274,3 +274,37 @@ def may_be_in(keys: DataFrame, column: str):
         return pd.Series(out)
 
     return test
+
+
+def _equal(a: DataFrame, b: DataFrame, columns: list[str]):
+    out = a[columns[0]].eqNullSafe(b[columns[0]])
+    for c in columns[1:]:
+        out &= a[c].eqNullSafe(b[c])
+    return out
+
+
+def without(rows: DataFrame, keys: DataFrame, gone: DataFrame, key: str, exact: list[str]) -> DataFrame:
+    """The rows whose columns `exact` are not in `gone`, without moving those that go, nor those that surely stay.
+
+    key: a bigint column of all three that follows from `exact`.  keys has key and exact of all rows, so that the rows which a bounded filter
+    holds back by mistake are found by their keys alone; only these cross a shuffle.
+    """
+    test = may_be_in(gone, key)
+    held = keys.where(test(F.col(key))).select(*dict.fromkeys([key, *exact])).distinct()
+    mistaken = save(held.join(gone, _equal(held, gone, exact), "left_anti"), "mistaken")
+    out = rows.where(~test(F.col(key)))
+    if mistaken.isEmpty():
+        return out
+    some = rows.where(test(F.col(key)) & may_be_in(mistaken, key)(F.col(key)))
+    return out.unionAll(some.join(mistaken, _equal(some, mistaken, exact), "left_semi"))
+
+
+def one_of_each(rows: DataFrame, repeated: DataFrame, key: str, exact: list[str], choose) -> DataFrame:
+    """The rows, but of those whose columns `exact` are in `repeated` one for each: `choose` is an aggregate that gives its column `row`."""
+    if repeated.isEmpty():
+        return rows
+    test = may_be_in(repeated, key)
+    some = rows.where(test(F.col(key)))
+    others = some.join(repeated, _equal(some, repeated, exact), "left_anti")
+    one = some.join(repeated, _equal(some, repeated, exact), "left_semi").groupBy(key, *[c for c in exact if c != key]).agg(choose.alias("row"))
+    return rows.where(~test(F.col(key))).unionAll(others).unionByName(one.select(*rows.columns))

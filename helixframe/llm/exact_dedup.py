@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import MOST_TASKS, SPACE, columns_of, groups_of, id_bloom, may_be_in, mix, prepare, save, shuffle_parts
+from helixframe.llm.common import MOST_TASKS, SPACE, columns_of, groups_of, id_bloom, mix, one_of_each, prepare, save, shuffle_parts, without
 
 SLOTS, MAX_KICKS = 4, 200
 #: Bytes of content, and number of digests, that a task holds before it ships them.
@@ -261,20 +261,18 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, one of each text, with all their columns.  Only rows of texts that may have copies cross a shuffle."""
+    """The rows that stay, one of each text, with all their columns.  What goes and what stays is decided by keys; texts that go don't move."""
     prepare(docs.sparkSession)
+    exact = ["id", "digest", "check"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), normalised(F.col(f"`{text_col}`")).cast("binary").alias("content"))
-    rows = _keyed(rows)
-    groups = save(_groups(rows.select("id", "content", "digest", "check"), save(rows.select("digest"), "digests"), _parts(docs, text_col)), "groups")
-    test = may_be_in(groups.select(_head().alias("head")), "head")
-    rows = rows.drop("content").withColumn("copied", test(_head()))
-    alone = rows.where("NOT copied").select("row.*")
-    met = rows.where("copied").join(groups, ["digest", "check"], "left").where("group_size IS NULL OR id <=> keep_id")
-    one = met.where("keepers IS NULL OR keepers = 1").select("row.*")
-    several = groups.where("keepers > 1").select("digest", "check")
-    again = rows.where("copied").join(several, ["digest", "check"], "left_semi").join(groups, ["digest", "check"]).where("id <=> keep_id")
-    again = again.groupBy("digest", "check").agg(F.min_by("row", F.sha2(F.col(f"row.`{text_col}`"), 256)).alias("row")).select("row.*")
-    return alone.unionAll(one).unionAll(again)
+    rows = _keyed(rows).withColumn("key", F.xxhash64(*exact))
+    keys = save(rows.select("key", *exact), "digests")
+    groups = save(_groups(rows.select("id", "content", "digest", "check"), keys.select("digest"), _parts(docs, text_col)).select("digest", "check", "keep_id", "keepers"), "groups")
+    met = keys.join(groups, ["digest", "check"])
+    gone = save(met.where("NOT id <=> keep_id").select("key", *exact).distinct(), "gone")
+    repeated = save(met.where("id <=> keep_id AND keepers > 1").select("key", *exact).distinct(), "repeated")
+    kept = without(rows.select("row", "key", *exact), keys, gone, "key", exact)
+    return one_of_each(kept, repeated, "key", exact, F.min_by("row", F.sha2(F.col(f"row.`{text_col}`").cast("binary"), 256))).select("row.*")
 
 
 def replay(changes: DataFrame, seq_col: str = "seq", op_col: str = "op", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import Bloom, blob_rows, bounds_of, bucket_of, by_group, columns_of, dealt, gather_bloom, groups_of, id_bloom, joined, may_be_in, mix, prepare, save, segment, shuffle_parts, slices, unpacked
+from helixframe.llm.common import Bloom, blob_rows, bounds_of, bucket_of, by_group, columns_of, dealt, gather_bloom, groups_of, id_bloom, joined, mix, one_of_each, prepare, save, segment, shuffle_parts, slices, unpacked, without
 from helixframe.llm.components import components
 from helixframe.llm.wordhash import runs, words
 
@@ -445,16 +445,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """All columns of the documents that stand for their component, one for each: that with its smallest id.  Documents without words stay.
 
-    Only documents that may have to go cross a shuffle.
+    Documents that go don't cross a shuffle, nor those that stay, but for a few.
     """
     prepare(docs.sparkSession)
     out = save(_components(_rows(docs, id_col, text_col), k, percent), "components")
-    gone = out.where("row_key != stands").select("row_key").distinct()
-    again = out.where("row_key = stands").groupBy("row_key").agg(F.count("*").alias("rows")).where("rows > 1").select("row_key")
-    listed = save(gone.withColumn("again", F.lit(False)).unionAll(again.withColumn("again", F.lit(True))), "gone")
+    gone = save(out.where("row_key != stands").select("row_key").distinct(), "gone")
+    repeated = save(out.where("row_key = stands").groupBy("row_key").agg(F.count("*").alias("rows")).where("rows > 1").select("row_key"), "repeated")
     text = F.col(f"`{text_col}`").cast("binary")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(f"`{id_col}`").cast("long"), text).alias("row_key"))
-    rows = rows.withColumn("listed", may_be_in(listed, "row_key")(F.col("row_key")))
-    one = rows.where("listed").join(listed, "row_key", "left_anti")
-    several = rows.where("listed").join(listed.where("again"), "row_key", "left_semi").groupBy("row_key").agg(F.first("row").alias("row"))
-    return rows.where("NOT listed").select("row.*").unionAll(one.select("row.*")).unionAll(several.select("row.*"))
+    kept = without(rows, out.select("row_key"), gone, "row_key", ["row_key"])
+    return one_of_each(kept, repeated, "row_key", ["row_key"], F.first("row")).select("row.*")
