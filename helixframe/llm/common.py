@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -28,8 +29,14 @@ GROUP_BYTES = 16 << 20
 MOST_TASKS = 20_000
 #: Bytes of an Arrow batch that goes to a Python worker.
 ARROW_BYTES = "8m"
-#: Tables of save() that are still there, in order.
-_written: list[str] = []
+_thread = threading.local()
+
+
+def _written() -> list[str]:
+    """Tables that save() wrote in this thread and that are still there, in order; so runs beside each other don't meet."""
+    if not hasattr(_thread, "written"):
+        _thread.written = []
+    return _thread.written
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -78,14 +85,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
-    _written.append(path)
+    _written().append(path)
     return out
 
 
 def _delete(spark: SparkSession, where: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _written.remove(where)
+    _written().remove(where)
 
 
 def drop(df: DataFrame) -> None:
@@ -95,13 +102,13 @@ def drop(df: DataFrame) -> None:
 
 def drop_others(spark: SparkSession, since: int, *kept: DataFrame) -> None:
     """Delete all tables that save() wrote after the first `since`, except those given."""
-    for path in [x for x in _written[since:] if x not in {k.saved_at for k in kept}]:
+    for path in [x for x in _written()[since:] if x not in {k.saved_at for k in kept}]:
         _delete(spark, path)
 
 
 def written() -> int:
-    """How many tables of save() there are."""
-    return len(_written)
+    """How many tables of this thread's save() there are."""
+    return len(_written())
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -46,3 +46,30 @@ def test_runs_of_inline_tags_cost_their_length():
         began = time.time()
         parse(page)
         assert time.time() - began < 4
+
+
+def test_tables_of_threads_are_apart(spark):
+    """A run deletes its own tables only, not those that another thread of the driver has in use."""
+    import threading
+
+    from helixframe.llm import common
+
+    begun, dropped = threading.Event(), threading.Event()
+    seen = {}
+
+    def other():
+        seen["table"] = common.save(spark.range(3), "other")
+        begun.set()
+        dropped.wait(60)
+        seen["rows"] = seen["table"].count()
+
+    before = common.written()
+    thread = threading.Thread(target=other)
+    thread.start()
+    assert begun.wait(60)
+    kept = common.save(spark.range(2), "mine")
+    common.save(spark.range(2), "mine")
+    common.drop_others(spark, before, kept)
+    dropped.set()
+    thread.join()
+    assert seen["rows"] == 3 and common.written() == before + 1 and kept.count() == 2
