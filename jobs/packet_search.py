@@ -34,20 +34,21 @@ def search(spark: SparkSession, files: str, output: str, config: dict | None = N
     best = best.withColumn("pool", F.coalesce(F.pmod(F.col("file_id").cast("long"), F.lit(config["pools"])), F.lit(0)).cast("int"))
     best.hint("rebalance", "pool").write.mode("overwrite").partitionBy("pool").parquet(f"{output}/packets")
 
-    written = packets(spark, output)
+    written = packets(spark, output, dict(best.dtypes)["file_id"])
     name = F.concat_ws("_", F.ceil(F.col("error_prob") * 100).cast("string"), F.coalesce(F.col("file_id").cast("string"), F.lit("")), F.col("block").cast("string"), F.col("seed").cast("string"))
     record = written.select(F.concat(F.lit(">"), name, F.lit("\n"), F.col("strand")).alias("value"), "pool")
     record.write.mode("overwrite").partitionBy("pool").text(f"{output}/fasta")
 
-    n = written.agg(F.count("*").alias("n"), F.count_if(F.col("error_prob") >= 1).alias("bad"), F.count_distinct("file_id", "block").alias("blocks")).first()
+    n = written.agg(F.count("*").alias("n"), F.count_if(F.col("error_prob") >= 1).alias("bad"), F.count_distinct(F.struct("file_id", "block")).alias("blocks")).first()
     total = {"files_read": table.count(), "blocks": n["blocks"], "packets_written": n["n"], "packets_over_one": n["bad"]}
     LOG.info("read %s, wrote %s: %s", files, output, total)
     return total
 
 
-def packets(spark: SparkSession, output: str) -> DataFrame:
-    """The packets that a run has kept."""
-    return spark.read.parquet(f"{output}/packets")
+def packets(spark: SparkSession, output: str, id_type: str = "long") -> DataFrame:
+    """The packets that a run has kept.  No packets are no files, so the schema is said."""
+    schema = f"file_id {id_type}, block long, n_bytes int, k int, seed int, degree int, strand string, error_prob double, pool int"
+    return spark.read.schema(schema).parquet(f"{output}/packets")
 
 
 if __name__ == "__main__":

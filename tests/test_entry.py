@@ -11,6 +11,7 @@ def test_entry_imports_without_the_subpackage(tmp_path):
     import shutil
 
     shutil.copytree(ROOT / "helixframe", tmp_path / "helixframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(ROOT / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) <= set(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert said.stdout.split()[1:] == ["True"] and int(said.stdout.split()[0]) > 20, said.stderr
