@@ -97,7 +97,7 @@ def leaders(reads: DataFrame, distance: int = 40, block: int = 512) -> DataFrame
                 cluster, of = pa.array(ids[np.maximum(head, 0)], mask=~joined), pa.array([seqs[h] if h >= 0 else None for h in head.tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("seq"), cluster, of, pa.array(turn)], ["id", "seq", "cluster_id", "head", "is_reversed"])
 
-        done = _save(spark, left.mapInArrow(join, "id long, seq string, cluster_id long, head string, is_reversed boolean"))
+        done = _save(spark, left.repartition(_tasks(spark)).mapInArrow(join, "id long, seq string, cluster_id long, head string, is_reversed boolean"))
         part = done.where("cluster_id IS NOT NULL").drop("id")
         settled = part if settled is None else settled.unionByName(part)
         left = done.where("cluster_id IS NULL").select("id", "seq")
@@ -120,6 +120,11 @@ def _save(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for small rows that cost much: one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def components(spark: SparkSession, pairs: DataFrame, rounds: int = 64) -> DataFrame:
     """(id, root): the smallest id reachable, by neighbours' smallest labels and pointer jumping, until nothing changes."""
     edges = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
@@ -252,6 +257,7 @@ def medoid(rows: list[str]) -> int:
 def consensus(rows: DataFrame, sample: int = 5, salt: int = 0) -> DataFrame:
     """(cluster_id, n, seq): up to `sample` reads of each cluster aligned to their medoid and put to the vote."""
     few = sample_members(rows, sample, salt).groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("read_id", "seq"))).alias("m"))
+    few = few.repartition(_tasks(rows.sparkSession), "cluster_id")  # small rows, but each costs an alignment: not to be put together by their size
 
     @F.pandas_udf("string")
     def merge(reads: pd.Series) -> pd.Series:
@@ -260,6 +266,16 @@ def consensus(rows: DataFrame, sample: int = 5, salt: int = 0) -> DataFrame:
     return few.select("cluster_id", F.size("m").alias("n"), merge(F.transform("m", lambda x: x["seq"])).alias("seq"))
 
 
+def guesses(rows: DataFrame, sample: int = 4, n: int = 8) -> DataFrame:
+    """(cluster_id, seq): the different consensus strands of n samples of each cluster.  A checksum tells which of them are right.
+
+    A base that two reads of a few insert at one place outvotes gaps; samples that lack one of them are without it.
+    """
+    each = rows.select("cluster_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("guess"), "read_id", "seq")
+    each = each.select(F.struct("cluster_id", "guess").alias("cluster_id"), "read_id", "seq").withColumn("read_id", F.concat_ws(":", F.col("cluster_id.guess").cast("string"), F.col("read_id").cast("string")))  # another sample each time
+    return consensus(each, sample).select(F.col("cluster_id.cluster_id").alias("cluster_id"), "seq").distinct()
+
+
 def majority(rows: DataFrame, gap_weight: float = 0.4) -> DataFrame:
     """(cluster_id, seq) of rows that are aligned already: votes are counted by place, so no cluster is gathered."""
     at = F.posexplode(F.split("seq", "")).alias("pos", "c")

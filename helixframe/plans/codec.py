@@ -290,6 +290,7 @@ def simulate_reads(spark, sf_dir):
 def read_recovery(spark, sf_dir):
     """Reads to clusters to consensus, and how many strands come back with a checksum that holds."""
     reads = _reads(spark, sf_dir).select("read_id", "seq").checkpoint()
-    found = clusters.consensus(clusters.oriented(clusters.clusters(reads), reads), 6)
+    members = clusters.oriented(clusters.leaders(reads), reads).checkpoint()
+    found = clusters.consensus(members, 6).select("cluster_id", "seq").unionByName(clusters.guesses(members, n=4))
     truth = _pool(spark, sf_dir).where(F.length("strand") == 4 * CHUNK).select(F.col("strand").alias("seq")).distinct()
     return clusters.recovery(clusters.checked_candidates(found, 4 * CHUNK), truth)

@@ -161,3 +161,14 @@ def test_distances_of_wide_tiles():
     r = np.random.default_rng(10)
     a = ["".join(np.array(list("ACGT"))[r.integers(0, 4, 150)]) for _ in range(20)]
     assert (near.edit_distances(a, a) == near.edit_distances(a, a).T).all() and (np.diag(near.edit_distances(a, a)) == 0).all()
+
+
+def test_guesses_are_consensus_strands_of_samples(spark):
+    """Two of six reads have a base more at one place, which outvotes the gaps of the others; samples that lack one of them are right."""
+    r = random.Random(11)
+    head = strand(r, 80)
+    reads = [(7, i, head[:40] + "ACGT"[(i + "ACGT".index(head[40])) % 4] + head[40:] if i in (1, 3) else head) for i in range(6)]
+    reads = [(c, i, s if i not in (3,) else reads[1][2]) for c, i, s in reads]
+    rows = spark.createDataFrame(reads, "cluster_id long, read_id long, seq string")
+    assert clusters.consensus(rows, 6).first()["seq"] != head
+    assert head in [x["seq"] for x in clusters.guesses(rows).where("cluster_id = 7").collect()]
