@@ -45,8 +45,8 @@ def header_name(digits: Column) -> Column:
 
 
 def base_four(value: Column, width: int) -> Column:
-    """A number as bases, A for zero in front."""
-    return F.translate(F.lpad(F.conv(value.cast("string"), 10, 4), width, "0"), "0123", S.BASES)
+    """A number as bases, A for zero in front; of a number that has no room, the low digits."""
+    return F.translate(F.lpad(F.right(F.conv(value.cast("string"), 10, 4), F.lit(width)), width, "0"), "0123", S.BASES)
 
 
 def from_base_four(strand: Column) -> Column:
