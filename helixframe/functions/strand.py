@@ -27,6 +27,10 @@ def once(value: Column, body) -> Column:
 LETTERS, DIGITS = "DEFGTUVWdefgtuvw", "4567"
 
 
+#: The four bases of each byte, as the bytes of one number.
+FOURS = np.frombuffer("".join(pair(i >> 4) + pair(i & 15) for i in range(256)).encode(), np.uint32)
+
+
 def hex_to_strand(digits: Column) -> Column:
     """Hexadecimal digits as bases, two for each: a digit's letter has a code of two digits, and each of these is a base."""
     return F.translate(F.hex(F.translate(digits, HEX + "ABCDEF", LETTERS + LETTERS[10:])), DIGITS, BASES)
@@ -130,15 +134,9 @@ def again_count(strand: Column, k: int = 9) -> Column:
 
 
 def unit_run(strand: Column, unit: int) -> Column:
-    """Longest run of equal units, when the strand is cut into units from its start."""
-    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length(strand) / unit).cast("int") - 1), lambda i: F.substring(strand, i * unit + 1, F.lit(unit)))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(acc, x):
-        run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
-
-    return F.when(F.length(strand) >= unit, F.aggregate(cut, start, step)["best"]).otherwise(F.lit(0)).cast("long")
+    """Longest run of equal units, when the strand is cut into units from its start: each match begins where the last one ends."""
+    runs = F.regexp_extract_all(strand, F.lit(rf"(?s)((.{{{unit}}})\2*+)"), F.lit(1))
+    return F.coalesce(F.array_max(F.transform(runs, F.length)) / unit, F.lit(0)).cast("long")
 
 
 def checksum(strand: Column) -> Column:
