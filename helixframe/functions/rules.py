@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,5 +148,56 @@ def rule_sum(strand: Column, rules: list) -> Column:
     return _sum([r(strand) for r in rules])
 
 
+def default_errors(strands: list[str | None]) -> np.ndarray:
+    """The sums of homopolymer, gc_band, windowed_gc and motifs with their defaults, of many strands at once; null counts as empty."""
+    texts = [s or "" for s in strands]
+    if not all(map(str.isascii, texts)):
+        texts = [s if s.isascii() else "".join(c if c.isascii() else "?" for c in s) for s in texts]
+    data, n = np.frombuffer("".join(texts).encode(), np.uint8), np.array([len(s) for s in texts], np.int64)
+    ends = np.cumsum(n)
+    starts = ends - n
+    gc = np.concatenate([[0], np.cumsum(_GC[data])])
+    outside = lambda have, of: (100.0 * have / np.maximum(of, 1) > 70) | (100.0 * have / np.maximum(of, 1) < 30)
+
+    same = np.zeros(len(data), bool)  # like the letter before
+    same[1:] = (data[1:] == data[:-1]) & _BASE[data[1:]]
+    same[starts[n > 0]] = False
+    long = np.flatnonzero(same[1:-2] & same[2:-1] & same[3:] & np.concatenate([same[4:], [False]])) if len(data) > 3 else np.zeros(0, np.int64)
+    out = np.zeros(len(texts))
+    out[np.searchsorted(ends, long, side="right")] = 1.0
+
+    out += outside(gc[ends] - gc[starts], n)
+    count = np.maximum(-(-n // WINDOW), 1)
+    first = np.cumsum(count) - count
+    row = np.repeat(np.arange(len(texts)), count)
+    low = starts[row] + (np.arange(len(row)) - first[row]) * WINDOW
+    high = np.minimum(low + WINDOW, ends[row])
+    if len(row):
+        out += np.maximum.reduceat(outside(gc[high] - gc[low], high - low).astype(float), first)
+
+    weights = np.zeros(len(texts))
+    for piece, known in _SHARED:
+        for i, s in enumerate(texts):
+            if piece in s:
+                weights[i] += sum(p if m in s else 0.0 for m, p in known)
+    return out + np.minimum(weights, 1.0)
+
+
+WINDOW = 50
+_GC, _BASE = np.zeros(256, np.int64), np.zeros(256, bool)
+_GC[list(b"GC")], _BASE[list(b"ACGT")] = 1, True
+_SHARED = _sharing(MOTIFS)
+
+
+@lru_cache
+def _default_errors():
+    @F.pandas_udf("double")
+    def run(strands: pd.Series) -> pd.Series:
+        return pd.Series(default_errors(strands.tolist()))
+
+    return run
+
+
 def default_rules(strand: Column) -> Column:
-    return homopolymer(strand) + gc_band(S.gc_percent(strand)) + windowed_gc(strand) + motifs(strand)
+    """homopolymer + gc_band + windowed_gc + motifs, worked out for a batch of strands at a time."""
+    return _default_errors()(strand)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.strand import hex_to_strand
+from helixframe.functions.strand import FOURS
 
 
 def chunks(table: DataFrame, id_col: str, data_col: str, size: int) -> DataFrame:
@@ -18,9 +20,35 @@ def chunks(table: DataFrame, id_col: str, data_col: str, size: int) -> DataFrame
     return rows.select(id_col, F.col("chunk_idx").cast("long").alias("chunk_idx"), F.lower(F.hex("chunk")).alias("chunk_hex"))
 
 
+#: Bytes of data whose strands are made at once.
+PIECE = 4 << 20
+
+
 def strands(table: DataFrame, id_col: str, data_col: str, size: int = 47) -> DataFrame:
-    """(id_col, chunk_idx, strand)."""
-    return chunks(table, id_col, data_col, size).select(id_col, "chunk_idx", hex_to_strand(F.col("chunk_hex")).alias("strand"))
+    """(id_col, chunk_idx, strand): chunks() as bases.  Bytes are looked up for a batch at a time, four bases for each."""
+    rows = table.select(id_col, F.col(data_col).cast("binary").alias("data")).where("octet_length(data) > 0")
+
+    def run(batches):
+        for batch in batches:
+            data = batch.column(1).cast(pa.large_binary())
+            ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+            held, at = np.frombuffer(data.buffers()[2], np.uint8), 0
+            while at < len(data):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, side="right")) - 1)
+                n = np.diff(ends[at : to + 1])
+                count = -(-n // size)
+                first = np.cumsum(count) - count
+                idx = np.arange(count.sum()) - np.repeat(first, count)
+                lengths = np.full(len(idx), size, np.int64)
+                lengths[first + count - 1] = n - (count - 1) * size
+                starts = np.concatenate([[0], np.cumsum(lengths * 4)]).astype(np.int64)
+                bases = FOURS[held[ends[at] : ends[to]]]
+                texts = pa.Array.from_buffers(pa.large_string(), len(idx), [None, pa.py_buffer(starts), pa.py_buffer(bases)]).cast(pa.string())
+                keys = batch.column(0).take(pa.array(np.repeat(np.arange(at, to), count)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(idx), texts], [id_col, "chunk_idx", "strand"])
+                at = to
+
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, chunk_idx long, strand string")
 
 
 def xor_lanes(table: DataFrame, key: str, lane_bytes: int = 4) -> DataFrame:

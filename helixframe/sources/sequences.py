@@ -97,4 +97,5 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 def fastq_slice(reads: DataFrame, start: int, end: int, probability: Column, upper: float = 1.0) -> DataFrame:
     """The bases start..end (end exclusive) of each read, where the rules give less than `upper`.  probability: a column over `seq`."""
-    return reads.withColumn("seq", F.substring("seq", start + 1, end - start)).where(probability < upper)
+    rows = reads.withColumn("seq", F.substring("seq", start + 1, end - start)).withColumn("_p", probability)
+    return rows.withColumn("_p", F.explode(F.array("_p"))).where(F.col("_p") < upper).drop("_p")  # a row of its own: else the filter works out seq again for each use
