@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,11 +160,34 @@ def read_oligos(rows: DataFrame, oligo: str = "oligo") -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in ("_r", "idx", "piece")], "_r.idx", "_r.piece").where("idx IS NOT NULL")
 
 
+def _votes(windows: list[list[dict]]) -> list[str]:
+    """The strands of many lists of windows (idx, piece, w): the heaviest letter of each place, the smaller one of equals, `_` where there is none."""
+    flat = [x for some in windows for x in some]
+    n = np.array([len(x["piece"]) for x in flat], np.int64)
+    at = np.array([x["idx"] for x in flat], np.int64) * STRIDE
+    row = np.repeat(np.arange(len(windows)), [len(some) for some in windows])
+    size = np.zeros(len(windows), np.int64)
+    np.maximum.at(size, row, at + n)
+    ends = np.cumsum(size)
+    letters, code = np.unique(np.frombuffer("".join(x["piece"] for x in flat).encode("utf-32-le"), np.uint32), return_inverse=True)
+    place = np.repeat((ends - size)[row] + at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    weight = np.bincount(place * len(letters) + code, np.repeat(np.array([x["w"] for x in flat], float), n), int(size.sum()) * len(letters)).reshape(-1, len(letters))
+    best = np.where(weight.any(1), letters[weight.argmax(1)], ord("_")).astype(np.uint32)
+    whole = best.tobytes().decode("utf-32-le")
+    return [whole[e - k : e] for e, k in zip(ends.tolist(), size.tolist())]
+
+
 def overlay(pieces: DataFrame, key: str) -> DataFrame:
-    """(key, strand): the most frequent base of each place over all windows and copies; `_` where nothing covers a place."""
-    same = pieces.groupBy(key, "idx", "piece").agg(F.count("*").alias("w"))
-    at = F.posexplode(F.split("piece", "")).alias("i", "c")
-    votes = same.select(key, "idx", "w", at).where("c != ''").groupBy(key, (F.col("idx") * STRIDE + F.col("i")).alias("pos"), "c").agg(F.sum("w").alias("w"))
-    best = votes.groupBy(key, "pos").agg(F.max_by("c", F.struct("w", -F.ascii("c"))).alias("c"))
-    found = best.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "c"))).alias("m"), F.max("pos").alias("last"))
-    return found.select(key, F.array_join(F.transform(F.sequence(F.lit(0), F.col("last")), lambda p: F.coalesce(F.try_element_at("m", p), F.lit("_"))), "").alias("strand"))
+    """(key, strand): the most frequent base of each place over all windows and copies; `_` where nothing covers a place.
+
+    Equal windows are counted first, so that what is gathered for a strand are its different windows.
+    """
+
+    @F.pandas_udf(StringType())
+    def vote(windows: pd.Series) -> pd.Series:
+        some = windows.tolist()
+        return pd.Series([s for i in range(0, len(some), 1024) for s in _votes(some[i : i + 1024])], dtype=object)
+
+    same = pieces.where("piece != ''").groupBy(key, "idx", "piece").agg(F.count("*").alias("w"))
+    found = same.groupBy(key).agg(F.collect_list(F.struct("idx", "piece", "w")).alias("p"))
+    return found.select(key, vote("p").alias("strand"))
