@@ -1,4 +1,4 @@
-"""Packets of a rateless code as columns: which chunks a seed uses, their XOR, and the strand, without a shuffle and without Python workers.
+"""Packets of a rateless code as columns: which chunks a seed uses, their XOR, and the strand, without a shuffle; the default rules alone run in Python workers.
 
 A block has `most` chunks at most and lies in one row; a packet reads its chunks from that row.
 """
