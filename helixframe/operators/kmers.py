@@ -45,22 +45,92 @@ def kmer_counts(rows: DataFrame, seq: str, k: int) -> DataFrame:
     return rows.select(seq).mapInArrow(count, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
 
 
+#: Bits of the filter that wholes are read through; a fuller one lets more rows through and changes no result.
+FILTER = 26
+#: Bytes of strands that are looked at together.
+PIECE = 1 << 20
+_BASE, _SPREAD = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD6E8FEB86659FD93)
+
+
+def _rolled(data: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n bytes in a row, by halves."""
+    first, size = data.astype(np.uint64), 1
+    out = first
+    for digit in bin(n)[3:]:
+        out = out[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + out[size:] if len(out) > size else out[:0]
+        size *= 2
+        if digit == "1":
+            out = out[:-1] * np.uint64(_BASE) + first[size:] if len(out) > 1 else out[:0]
+            size += 1
+    out = (out ^ out >> np.uint64(32)) * _SPREAD + np.uint64(n)
+    return out ^ out >> np.uint64(29)
+
+
+def _seeds(parts: DataFrame, k: int) -> DataFrame:
+    """(part_id, _part, _p, _h): the bytes of each part, a number of its own, and the hash of its first k bytes, of all where there are fewer."""
+    rows = parts.select("part_id", F.col("seq").cast("binary").alias("_part"), F.monotonically_increasing_id().alias("_p")).where("octet_length(_part) > 0")
+
+    def run(batches):
+        for batch in batches:
+            heads = [x[:k] for x in batch.column(1).to_pylist()]
+            out = np.zeros(len(heads), np.uint64)
+            for n in set(map(len, heads)):
+                at = [i for i, x in enumerate(heads) if len(x) == n]
+                out[at] = _rolled(np.frombuffer(b"".join([heads[i] for i in at]), np.uint8), n)[::n]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.view(np.int64))], ["part_id", "_part", "_p", "_h"])
+
+    return rows.mapInArrow(run, f"part_id {rows.schema[0].dataType.simpleString()}, _part binary, _p long, _h long")
+
+
+def places(parts: DataFrame, wholes: DataFrame, k: int = 16) -> DataFrame:
+    """(whole_id, _w, _h, _tail): where a whole may have the first k bytes of a part, and its bytes from there on, as many as the longest part has.
+
+    The hashes of the parts' heads are a filter of 2^FILTER bits at most, 8 MB on the driver and in each worker, so that no k-mer leaves a
+    worker that no part begins with, but for false hits of the filter.
+    """
+    seeds = _seeds(parts, k)
+    bit = F.shiftrightunsigned("_h", 64 - FILTER) + 1  # these buckets begin at one
+    bits = seeds.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    sizes = seeds.select(F.octet_length("_part").alias("n")).agg(F.collect_set(F.least("n", F.lit(k))).alias("n"), F.max("n").alias("most")).first()  # k at most
+    lengths, most = sorted(sizes["n"]), sizes["most"] or 0
+    filled = np.zeros((1 << FILTER) // 8, np.uint8)
+    for r in bits:
+        filled[(r["b"] - 1) * len(r["bits"]) :][: len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    held = parts.sparkSession.sparkContext.broadcast(filled)
+
+    def run(batches):
+        known = held.value
+        for batch in batches:
+            data = batch.column(1).cast(pa.large_binary())
+            ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+            whole, at = np.frombuffer(data.buffers()[2] or b"", np.uint8), 0
+            while at < len(data):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, side="right")) - 1)
+                low, high = int(ends[at]), int(ends[to])
+                row = np.repeat(np.arange(at, to), np.diff(ends[at : to + 1]))
+                for n in lengths:
+                    value = _rolled(whole[low:high], n)
+                    bit = (value >> np.uint64(64 - FILTER)).astype(np.int64)
+                    hit = np.flatnonzero(known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                    hit = hit[row[hit] == row[hit + n - 1]]
+                    if len(hit):
+                        tails = [whole[low + i : min(low + i + most, e)].tobytes() for i, e in zip(hit.tolist(), ends[row[hit] + 1].tolist())]
+                        rows = pa.array(row[hit])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(value[hit].view(np.int64)), pa.array(tails, pa.binary())], ["whole_id", "_w", "_h", "_tail"])
+                at = to
+
+    rows = wholes.select("whole_id", F.col("seq").cast("binary").alias("_seq"), F.monotonically_increasing_id().alias("_w")).where("octet_length(_seq) > 0")
+    return rows.mapInArrow(run, f"whole_id {rows.schema[0].dataType.simpleString()}, _w long, _h long, _tail binary")
+
+
 def contained(parts: DataFrame, wholes: DataFrame, k: int = 16) -> DataFrame:
     """(part_id, whole_id): which of the strands (part_id, seq) lie in which of the longer ones (whole_id, seq).
 
-    A part's first k bases are looked up among all k-mers of the wholes; what meets there is compared.  Parts shorter than k are met
-    by their own length, a length at a time, and an empty part lies nowhere.
+    A part's first k bytes are looked up at all places of the wholes; what meets there is compared.  Parts shorter than k are met
+    by their own length, and an empty part lies nowhere.
     """
-    out = None
-    lengths = [r["n"] for r in parts.where(F.length("seq").between(1, k - 1)).select(F.length("seq").alias("n")).distinct().collect()]  # k - 1 at most
-    for n in sorted(lengths) + [k]:
-        some = parts.where(F.length("seq") >= k if n == k else F.length("seq") == n)
-        seeds = some.select("part_id", F.col("seq").alias("part"), F.left("seq", F.lit(n)).alias("mer"))
-        mers = wholes.select("whole_id", F.explode(F.array_distinct(S.kmers(F.col("seq"), n))).alias("mer"))
-        met = mers.join(seeds, "mer").join(wholes.select("whole_id", F.col("seq").alias("whole")), "whole_id")
-        met = met.where(F.contains("whole", "part")).select("part_id", "whole_id")
-        out = met if out is None else out.unionByName(met)
-    return out
+    met = places(parts, wholes, k).join(_seeds(parts, k), "_h").where(F.startswith("_tail", "_part"))
+    return met.select("part_id", "whole_id", "_p", "_w").distinct().select("part_id", "whole_id")
 
 
 def _codes(strands: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import clusters, matching, near
+from helixframe.operators import clusters, kmers, matching, near
 from helixframe.operators.align import lcs_length, similarity
 
 TURN = str.maketrans("ACGT", "TGCA")
@@ -195,3 +195,24 @@ def test_close_matches_are_those_of_all_candidates(spark):
     assert len(want) > 10
     plan = close_matches(a, b, 0.6, 6)._jdf.queryExecution().optimizedPlan().toString()
     assert "max_by" not in plan  # no score for each pair
+
+
+def test_strands_in_others(spark):
+    r = random.Random(5)
+    whole = [(i % 50, strand(r, r.choice([0, 5, 40, 400])) + r.choice(["", "N", "é"]) + strand(r, 30)) for i in range(60)]  # ten ids come twice
+    part = [(i, w[a : a + r.choice([1, 3, 15, 16, 17, 40])]) for i, (_, w) in enumerate(whole) for a in [r.randrange(len(w))]] + [(100, ""), (101, strand(r, 40)), (102, None), (0, whole[0][1][:20])]
+    wholes = spark.createDataFrame([*whole, (99, None)], "whole_id long, seq string").repartition(3)
+    parts = spark.createDataFrame(part, "part_id int, seq string")
+    found = kmers.contained(parts, wholes)
+    assert sorted(map(tuple, found.collect())) == sorted((p, w) for p, x in part for w, y in whole if x and x in y)
+    assert found.columns == ["part_id", "whole_id"]
+
+
+def test_no_k_mers_move_that_no_part_begins_with(spark):
+    r = random.Random(6)
+    wholes = spark.createDataFrame([(i, strand(r, 2000)) for i in range(50)], "whole_id long, seq string")
+    parts = spark.createDataFrame([(0, strand(r, 60)), (1, wholes.first()["seq"][100:160])], "part_id long, seq string")
+    found = kmers.contained(parts, wholes)
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert kmers.places(parts, wholes).count() <= 3
+    assert [tuple(x) for x in found.collect()] == [(1, 0)]
