@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +48,39 @@ def from_strand(strand: Column) -> Column:
     return F.when(good, F.unhex(F.translate(F.unhex(F.translate(strand, BASES, DIGITS)).cast("string"), LETTERS, HEX)))
 
 
+def _held(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of binaries or strings end to end, where each ends, from zero on, and which of them aren't null."""
+    values = values.cast(pa.large_binary() if pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type) else pa.large_string())
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return data, ends - ends[0], values.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _built(kind: pa.DataType, data: np.ndarray, sizes: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Binaries or strings of bytes end to end, of the given sizes."""
+    large = pa.large_string() if pa.types.is_string(kind) else pa.large_binary()
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.Array.from_buffers(large, len(sizes), [pa.py_buffer(np.packbits(valid, bitorder="little")), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).cast(kind)
+
+
+def strands_of(data: pa.Array) -> pa.Array:
+    """to_strand() of a batch."""
+    held, ends, valid = _held(data)
+    return _built(pa.string(), FOURS[held], np.diff(ends) * 4, valid)
+
+
+def bytes_of_strands(strands: pa.Array) -> pa.Array:
+    """from_strand() of a batch."""
+    held, ends, valid = _held(strands)
+    n, code = np.diff(ends), _CODE[held]
+    odd = np.concatenate([[0], np.cumsum(code > 3)])
+    good = valid & (n % 4 == 0) & (odd[ends[1:]] == odd[ends[:-1]])
+    if not good.all():
+        code = code[np.repeat(good, n)]
+    four = code.reshape(-1, 4)
+    return _built(pa.binary(), four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3], np.where(good, n // 4, 0), good)
+
+
 def reverse_complement(strand: Column) -> Column:
     return F.reverse(F.translate(strand, "ACGT", "TGCA"))
 

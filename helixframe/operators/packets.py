@@ -6,15 +6,16 @@ and decoding groups by (file, block): no group grows with a file, however large,
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from helixframe.functions.strand import from_strand, to_strand
+from helixframe.functions.strand import bytes_of_strands, strands_of
 from helixframe.operators.codes import code, solve, used_chunks
 from helixframe.operators.correction import encoder
 
@@ -54,69 +55,142 @@ def encode(table: DataFrame, id_col: str, data_col: str, size: int = 47, block:
     return encode_blocks(source_blocks(table, id_col, data_col, size, block), size, overhead, name, correction, sequential, scramble, **options)
 
 
+#: Packets whose parity is worked out at once.
+TOGETHER = 1 << 14
+
+
+def _sums(data: list[bytes], k: int, size: int, used: list[list[int]]) -> np.ndarray:
+    """(block, packet, byte): the XOR of the used chunks of each packet, for blocks of k chunks at once."""
+    whole = np.frombuffer(b"".join([d.ljust(k * size, b"\0") for d in data]), np.uint8)
+    chunk = np.ascontiguousarray(whole.reshape(len(data), k, size).transpose(1, 0, 2))
+    return np.stack([np.bitwise_xor.reduce(chunk[np.array(u, np.int64)], axis=0) for u in used], axis=1)
+
+
 def encode_blocks(blocks: DataFrame, size: int = 47, overhead: float = 0.3, name: str = "raptor", correction: str = "rs", sequential: bool = True, scramble: bool = False, turn: int = 0, **options) -> DataFrame:
-    """Packets of blocks (file_id, block, data); each turn makes as many, of other seeds."""
+    """Packets of blocks (file_id, block, data); each turn makes as many, of other seeds.  Blocks of one size are coded together."""
     protect, _ = encoder(correction)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for file_id, at, data in zip(frame["file_id"], frame["block"], frame["data"]):
-                k = max(-(-len(data) // size), 4)
-                padded = bytes(data).ljust(k * size, b"\0")
-                chunk = [int.from_bytes(padded[i * size : (i + 1) * size], "big") for i in range(k)]
-                rows, plain, how = [], [], code(name, k, **options)
-                for seed in _block_seeds(at, int(k * (1 + overhead)) + 8, sequential, turn):
-                    used = used_chunks(how, seed)
-                    value = 0
-                    for i in used:
-                        value ^= chunk[i]
-                    payload = value.to_bytes(size, "big")
-                    payload = seed_stream(payload, seed) if scramble else payload
-                    rows.append((file_id, at, k, len(data), seed, used, len(used)))
-                    plain.append(struct.pack("<I", masked(seed)) + payload)
-                yield pd.DataFrame([(*r, p) for r, p in zip(rows, protect(plain))], columns=[c.split()[0] for c in PACKETS.split(", ")])
-
-    return blocks.select("file_id", "block", "data").mapInPandas(run, PACKETS)
+    def coded(batch: pa.RecordBatch) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+        data, alike = batch.column(2).to_pylist(), {}
+        for i, (at, d) in enumerate(zip(batch.column(1).to_pylist(), data)):
+            k = max(-(-len(d) // size), 4)
+            alike.setdefault((k, _block_seeds(at, int(k * (1 + overhead)) + 8, sequential, turn)), []).append(i)
+        for (k, seeds), rows in alike.items():
+            how, n = code(name, k, **options), len(seeds)
+            used = [used_chunks(how, seed) for seed in seeds]
+            degree = np.array([len(u) for u in used], np.int32)
+            flat = np.array([i for u in used for i in u], np.int32)
+            heads = np.array([masked(seed) for seed in seeds], "<u4").view(np.uint8).reshape(n, 4)
+            if scramble:
+                streams = np.stack([np.frombuffer(seed_stream(bytes(size), seed), np.uint8) for seed in seeds])
+            step = max(1, TOGETHER // n)
+            for some in (rows[i : i + step] for i in range(0, len(rows), step)):
+                payload = _sums([data[i] for i in some], k, size, used)
+                payload = payload ^ streams if scramble else payload
+                plain = np.concatenate([np.broadcast_to(heads, (len(some), n, 4)), payload], axis=2).reshape(-1, 4 + size)
+                keys, m = pa.array(np.repeat(some, n)), len(some)
+                ends = np.concatenate([[0], np.cumsum(np.tile(degree, m))]).astype(np.int32)
+                lengths = np.repeat(np.array([len(data[i]) for i in some], np.int32), n)
+                yield [
+                    *(batch.column(c).take(keys).cast(pa.int64()) for c in (0, 1)), pa.array(np.full(n * m, k, np.int32)), pa.array(lengths),
+                    pa.array(np.tile(np.array(seeds, np.int64), m)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.tile(flat, m))), pa.array(np.tile(degree, m)),
+                ], plain
+
+    def flush(held: list) -> pa.RecordBatch:
+        packed = protect([x.tobytes() for _, plain in held for x in plain])
+        columns = [pa.concat_arrays(list(c)) for c in zip(*(columns for columns, _ in held))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], [c.split()[0] for c in PACKETS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            for columns, plain in coded(batch):
+                held.append((columns, plain))
+                count += len(plain)
+                if count >= TOGETHER:
+                    yield flush(held)
+                    held, count = [], 0
+        if held:
+            yield flush(held)
+
+    return blocks.select("file_id", "block", "data").mapInArrow(run, PACKETS)
+
+
+@F.arrow_udf(StringType())
+def _packed_strand(packed: pa.Array) -> pa.Array:
+    return strands_of(packed)
 
 
 def packet_strand(packed: Column) -> Column:
-    return to_strand(packed)
+    """Bytes as bases, four for each, a batch at a time."""
+    return _packed_strand(packed)
 
 
 def parse(rows: DataFrame, strand: str = "strand", correction: str = "rs", scramble: bool = False) -> DataFrame:
     """Adds seed, payload and status (ok or corrupt) to strands; what isn't a packet or can't be repaired is corrupt and has nulls."""
     _, repair = encoder(correction)
 
-    @F.pandas_udf("seed long, payload binary")
-    def unpack(packed: pd.Series) -> pd.DataFrame:
-        out = []
-        for body in repair([None if p is None else bytes(p) for p in packed]):
+    @F.arrow_udf("seed long, payload binary")
+    def unpack(strands: pa.Array) -> pa.Array:
+        seeds, payloads = [], []
+        for body in repair(bytes_of_strands(strands).to_pylist()):
             if body is None or len(body) < 5:
-                out.append((None, None))
+                seeds.append(None)
+                payloads.append(None)
                 continue
-            seed = masked(struct.unpack("<I", body[:4])[0])
-            out.append((seed, seed_stream(body[4:], seed) if scramble else body[4:]))
-        return pd.DataFrame({"seed": pd.array([s for s, _ in out], "Int64"), "payload": [p for _, p in out]})
+            seed = masked(int.from_bytes(body[:4], "little"))
+            seeds.append(seed)
+            payloads.append(seed_stream(body[4:], seed) if scramble else body[4:])
+        return pa.StructArray.from_arrays([pa.array(seeds, pa.int64()), pa.array(payloads, pa.binary())], ["seed", "payload"])
 
-    rows = rows.withColumn("_p", unpack(from_strand(F.col(strand))))
+    rows = rows.withColumn("_p", unpack(F.col(strand)))
     return rows.select("*", F.col("_p.seed").alias("seed"), F.col("_p.payload").alias("payload"), F.when(F.col("_p.seed").isNull(), "corrupt").otherwise("ok").alias("status")).drop("_p")
 
 
+def _same_seeds(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple[int, ...], list[int], np.ndarray]]:
+    """(k, size, seeds, rows, payloads by packet, row and byte): the blocks of a batch whose packets have the same seeds, TOGETHER packets at a time.
+
+    Of a block's payloads those of the longest size count.
+    """
+    lists, whole = batch.column(3), batch.column(3).flatten()
+    first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    seeds, payloads = whole.field("seed").to_numpy(), whole.field("payload").to_pylist()
+    lengths, alike = np.array([len(p) for p in payloads], np.int64), {}
+    for row, k in enumerate(batch.column(2).to_pylist()):
+        at = np.arange(first[row], first[row + 1])
+        at = at[lengths[at] == lengths[at].max()]
+        at = at[np.argsort(seeds[at])]
+        alike.setdefault((k, int(lengths[at[0]]), seeds[at].tobytes()), []).append((row, at))
+    for (k, size, known), blocks in alike.items():
+        n = len(blocks[0][1])
+        step = max(1, TOGETHER // n)
+        for some in (blocks[i : i + step] for i in range(0, len(blocks), step)):
+            data = np.frombuffer(b"".join([payloads[i] for _, at in some for i in at]), np.uint8)
+            yield k, size, tuple(np.frombuffer(known, np.int64).tolist()), [row for row, _ in some], data.reshape(len(some), n, size).transpose(1, 0, 2)
+
+
 def decode(packets: DataFrame, name: str = "raptor", solver: str = "gauss", **options) -> DataFrame:
     """(file_id, block, chunk_idx, data) of packets (file_id, block, k, seed, payload): the chunks that they fix.
 
-    Copies of a packet are dropped before they are grouped.  A block in which packets of one seed differ in payload uses neither of them.
+    Copies of a packet are dropped before a block's packets are gathered.  A block in which packets of one seed differ in payload uses neither
+    of them.  Blocks whose packets have the same seeds are solved at once: their payloads lie end to end in one number.
     """
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        k, size = int(frame["k"].iloc[0]), max(map(len, frame["payload"]))
-        how = code(name, k, **options)
-        rows = [(int(s), int.from_bytes(p, "big")) for s, p in sorted(zip(frame["seed"], map(bytes, frame["payload"]))) if len(p) == size]
-        got = solve(how, rows, solver)
-        first = frame.iloc[0]
-        return pd.DataFrame([(first["file_id"], first["block"], i, got[i].to_bytes(size, "big")) for i in sorted(got)], columns=["file_id", "block", "chunk_idx", "data"])
-
-    once = packets.where("seed IS NOT NULL AND payload IS NOT NULL").groupBy("file_id", "block", "k", "seed").agg(F.min("payload").alias("payload"), F.max("payload").alias("_other"))
-    return once.where("payload = _other").drop("_other").groupBy("file_id", "block").applyInPandas(run, SOLVED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, size, seeds, rows, data in _same_seeds(batch):
+                got = solve(code(name, k, **options), [(seed, int.from_bytes(d.tobytes(), "big")) for seed, d in zip(seeds, data)], solver)
+                found = sorted(got)
+                flat = np.frombuffer(b"".join([got[i].to_bytes(size * len(rows), "big") for i in found]), np.uint8)
+                flat = flat.reshape(len(found), len(rows), size).transpose(1, 0, 2).tobytes()
+                keys = pa.array(np.repeat(rows, len(found)))
+                pieces = pa.array([flat[i : i + size] for i in range(0, len(flat), size)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keys) for c in (0, 1)), pa.array(np.tile(np.array(found, np.int32), len(rows))), pieces], ["file_id", "block", "chunk_idx", "data"])
+
+    key = ["file_id", "block"]
+    some = packets.where("seed IS NOT NULL AND payload IS NOT NULL").select(*[F.col(c).cast("long").alias(c) for c in key], F.col("k").cast("int").alias("k"), F.col("seed").cast("long").alias("seed"), "payload")
+    once = some.repartition(*key).groupBy(*key, "k", "seed").agg(F.min("payload").alias("payload"), F.max("payload").alias("_other"))
+    rows = once.where("payload = _other").groupBy(*key).agg(F.min("k").alias("k"), F.collect_list(F.struct("seed", "payload")).alias("p"))
+    return rows.select(*key, "k", "p").mapInArrow(run, SOLVED)
 
 
 def assemble(solved: DataFrame, sizes: DataFrame) -> DataFrame:

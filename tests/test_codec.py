@@ -102,6 +102,34 @@ def test_packets_survive_losses(spark):
     assert all(x["n_missing"] == max(-(-len(x["data"]) // 47), 4) and not any(x["data"]) for x in none)
 
 
+@pytest.mark.parametrize("name", ["raptor", "lt", "online"])
+def test_blocks_of_one_size_are_solved_at_once(spark, name, monkeypatch):
+    """A call of the solver for each set of seeds, not for each block; and what it fixes is what each block's own equations fix."""
+    r = random.Random(7)
+    data = {(f, 0): r.randbytes(47 * k - r.randrange(47)) for f, k in enumerate([5, 5, 5, 9, 9, 1, 2])}
+    blocks = spark.createDataFrame([(f, b, bytearray(d)) for (f, b), d in data.items()], "file_id int, block long, data binary").coalesce(1)
+    rows = packets.encode_blocks(blocks, 47, 2.0, name).collect()
+    for x in rows:
+        k, own = x["k"], data[x["file_id"], x["block"]].ljust(47 * x["k"], b"\0")
+        value = 0
+        for i in x["used"]:
+            value ^= int.from_bytes(own[i * 47 : i * 47 + 47], "big")
+        plain = packets.masked(x["seed"]).to_bytes(4, "little") + value.to_bytes(47, "big")
+        assert bytes(x["packed"]) == correction.rs_encode(plain, 2) and x["degree"] == len(x["used"]) and x["n_bytes"] == len(data[x["file_id"], x["block"]])
+        assert list(x["used"]) == codes.used_chunks(codes.code(name, k), x["seed"])
+    got = [(x["file_id"], x["block"], x["k"], x["seed"], x["packed"][4:51]) for x in rows if x["seed"] % 10 != 3]
+    got += [(0, 0, 5, 0, bytearray(b"x" * 47)), (3, 0, 9, 77, bytearray(b"short")), got[-1]]  # another payload, another length, a copy
+    sent = spark.createDataFrame(got, "file_id int, block long, k int, seed long, payload binary").coalesce(1)
+    want = {}
+    for key in data:
+        mine = {(s, bytes(p)) for f, b, _, s, p in got if (f, b) == key and len(p) == 47 and (s, f) != (0, 0)}
+        k = max(4, -(-len(data[key]) // 47))
+        want |= {(*key, i): d.to_bytes(47, "big") for i, d in codes.gauss([(codes.sources(codes.code(name, k), s), int.from_bytes(p, "big")) for s, p in mine]).items()}
+    assert {(x["file_id"], x["block"], x["chunk_idx"]): bytes(x["data"]) for x in packets.decode(sent, name).collect()} == want
+    plan = packets.decode(sent, name)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan
+
+
 def test_alignment(spark):
     r = random.Random(4)
     for _ in range(150):
