@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +24,27 @@ def scored(packets: DataFrame) -> DataFrame:
 
 
 def best_packets(packets: DataFrame, n: int) -> DataFrame:
-    """The n packets of the least error; ties by file, block and seed."""
-    return packets.dropDuplicates(["file_id", "block", "seed"]).orderBy("error_prob", "file_id", "block", "seed").limit(n)
+    """The n packets of the least error; ties by file, block and seed.  Of packets of one seed in a block the one of the least error counts.
+
+    A task gives on its own best n only, so that no other packet is moved.
+    """
+    key = ["file_id", "block", "seed"]
+    order = [(c, "ascending") for c in ("error_prob", *key)]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            part = part if held is None else pa.concat_tables([held, part])
+            part = part.take(pc.sort_indices(part, order)).append_column("_at", pa.array(range(len(part)), pa.int64()))
+            first = part.group_by(key).aggregate([("_at", "min")])["_at_min"]
+            held = part.drop_columns("_at").take(first.take(pc.sort_indices(first))[:n])
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    found = packets.mapInArrow(best, packets.schema) if n > 0 else packets
+    found = found.groupBy(*key).agg(F.min_by(F.struct(*[c for c in packets.columns if c not in key]), "error_prob").alias("_p")).select(*key, "_p.*")
+    return found.select(packets.columns).orderBy("error_prob", *key).limit(n)
 
 
 def merge_best(parts: list[DataFrame], n: int) -> DataFrame:
@@ -59,29 +81,49 @@ def holding_rare(packets: DataFrame, least: int) -> DataFrame:
     return used.join(rare, ["file_id", "block", "chunk_idx"], "left_semi").select("file_id", "block", "seed").distinct()
 
 
+def _taken(used: list[np.ndarray], share: float) -> list[int]:
+    """The packets of a block that cover() takes, of packets in order."""
+    k, n = 1 + max((int(u.max()) for u in used if len(u)), default=-1), len(used)
+    row = np.repeat(np.arange(n), [len(u) for u in used])
+    flat = np.concatenate(used).astype(np.int64) if n else np.zeros(0, np.int64)
+    total = np.bincount(flat, minlength=k)
+    wanted = np.minimum(share * len(flat) / max(np.count_nonzero(total), 1), total)
+    holds = np.bincount(row * k + flat, minlength=n * k).reshape(n, k) if k else np.zeros((n, 0), np.int64)
+    some, have, wants, taken = holds > 0, np.zeros(k, np.int64), wanted > 0, []
+    for i in range(n):
+        if (some[i] & wants).any():
+            taken.append(i)
+            have += holds[i]
+            wants = have < wanted
+            if not wants.any():
+                break
+    return taken
+
+
 def cover(packets: DataFrame, share: float = 0.9) -> DataFrame:
     """(file_id, block, seed): packets taken by error, as long as they hold a chunk that has fewer than `share` of its block's mean use.
 
-    Blocks are bounded, so that one task does one of them.
+    Blocks are bounded, so that each is a row; a batch of them is one call.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["error_prob", "seed"])
-        total: dict[int, int] = {}
-        for used in frame["used"]:
-            for i in used:
-                total[i] = total.get(i, 0) + 1
-        need = share * sum(total.values()) / max(len(total), 1)
-        wanted, have, taken = {i: min(need, n) for i, n in total.items()}, dict.fromkeys(total, 0), []
-        for seed, used in zip(frame["seed"], frame["used"]):
-            if any(have[i] < wanted[i] for i in used):
-                taken.append(seed)
-                for i in used:
-                    have[i] += 1
-        first = frame.iloc[0]
-        return pd.DataFrame({"file_id": first["file_id"], "block": first["block"], "seed": taken})
-
-    return packets.select("file_id", "block", "seed", "used", "error_prob").groupBy("file_id", "block").applyInPandas(run, "file_id long, block long, seed long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, whole = batch.column(2), batch.column(2).flatten()
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            seeds, used = whole.field("seed").to_numpy(), whole.field("used")
+            flat, cut = used.flatten().to_numpy(), np.concatenate([[0], np.cumsum(used.value_lengths().to_numpy())])
+            rows, found = [], []
+            for row in range(len(lists)):
+                at = range(ends[row], ends[row + 1])
+                taken = _taken([flat[cut[i] : cut[i + 1]] for i in at], share)
+                rows += [row] * len(taken)
+                found += [at[i] for i in taken]
+            keys = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keys), batch.column(1).take(keys), pa.array(seeds[found] if found else np.zeros(0, np.int64))], ["file_id", "block", "seed"])
+
+    rows = packets.select(F.col("file_id").cast("long").alias("file_id"), F.col("block").cast("long").alias("block"), F.col("seed").cast("long").alias("seed"), "used", "error_prob").where("used IS NOT NULL")
+    blocks = rows.groupBy("file_id", "block").agg(F.sort_array(F.collect_list(F.struct("error_prob", "seed", "used"))).alias("p"))
+    return blocks.select("file_id", "block", F.transform("p", lambda x: F.struct(x["seed"].alias("seed"), x["used"].alias("used"))).alias("p")).mapInArrow(run, "file_id long, block long, seed long")
 
 
 Fitness = Callable[[list[list[float]]], list[float]]

@@ -130,6 +130,40 @@ def test_blocks_of_one_size_are_solved_at_once(spark, name, monkeypatch):
     assert "FlatMapGroups" not in plan
 
 
+def test_packets_that_cover_a_block(spark):
+    """The same packets as by the rule applied one by one; blocks aren't groups of a task each."""
+    r = random.Random(8)
+    rows = [(f, b, s, sorted(r.sample(range(9), r.randrange(0, 6))), r.choice([0.0, 0.5, 1.0])) for f in range(4) for b in range(3) for s in range(14)]
+    want = []
+    for f, b in {x[:2] for x in rows}:
+        mine = sorted((x for x in rows if x[:2] == (f, b)), key=lambda x: (x[4], x[2]))
+        total = {i: sum(i in x[3] for x in mine) for i in range(9) if any(i in x[3] for x in mine)}
+        need, have = 0.9 * sum(total.values()) / len(total), dict.fromkeys(total, 0)
+        for _, _, seed, used, _ in mine:
+            if any(have[i] < min(need, total[i]) for i in used):
+                want.append((f, b, seed))
+                have.update({i: have[i] + 1 for i in used})
+    found = search.cover(spark.createDataFrame(rows, "file_id long, block long, seed long, used array<int>, error_prob double"))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_task_gives_on_its_best_packets_only(spark):
+    r = random.Random(9)
+    rows = [(f, 0, s, r.choice([0.0, 0.5, 1.0]), f"{f}-{s}") for f in range(30) for s in range(20)]
+    rows += [(f, 0, s, e + 1, "later") for f, _, s, e, _ in rows[:50]] + [(0, 0, 0, -1.0, "first"), (0, 0, 0, 0.0, "second")]
+    sent = spark.createDataFrame(r.sample(rows, len(rows)), "file_id long, block long, seed long, error_prob double, strand string").repartition(3)
+    best = {}
+    for x in sorted(rows, key=lambda x: x[3]):
+        best.setdefault(x[:3], x)
+    want = sorted(best.values(), key=lambda x: (x[3], *x[:3]))
+    for n in (1, 25, 700):
+        found = search.best_packets(sent, n)
+        assert list(map(tuple, found.collect())) == want[:n]
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert search.best_packets(sent.where("false"), 5).count() == 0
+
+
 def test_alignment(spark):
     r = random.Random(4)
     for _ in range(150):
