@@ -310,3 +310,26 @@ def test_stream_gives_each_block_once_in_many_small_batches(spark, tmp_path):
     for k in (1, 2):
         assert b"".join(bytes(x["data"]) for x in got if x["file_id"] == k) == data[k]
     assert len(got) == 13
+
+
+def test_blocks_of_neighbours_are_given_apart(spark, tmp_path):
+    """Files whose ids share a state, negative ones and one without an id, some packets of which are lost, doubled or of another length."""
+    from helixframe.streaming import incremental
+
+    r = random.Random(10)
+    data = {f: r.randbytes(47 * r.randrange(5, 20)) for f in (-33, -1, 0, 1, 31, 32, 33, None)}
+    table = spark.createDataFrame([(f, bytearray(d)) for f, d in data.items()], "id long, d binary")
+    sent = packets.encode(table, "id", "d", 47, 16, 2.0, correction="none").select("file_id", "block", "k", "seed", F.expr("substr(packed, 5)").alias("payload"))
+    sent = sent.where("file_id IS NULL OR file_id != 33 OR seed < 3")
+    for i in range(3):
+        part = sent.where(f"seed % 3 = {i}")
+        part.unionByName(part.where("seed % 2 = 0").limit(20)).unionByName(part.limit(5).withColumn("payload", F.lit(b"short"))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = incremental.decode_stream(stream)
+    run = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    assert run.awaitTermination(120)
+    got = {}
+    for x in spark.read.parquet(str(tmp_path / "out")).orderBy("file_id", "block", "chunk_idx").collect():
+        got[x["file_id"]] = got.get(x["file_id"], b"") + bytes(x["data"])
+    assert {f: d[: len(data[f])] for f, d in got.items()} == {f: d for f, d in data.items() if f != 33}
+    assert run.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 10
