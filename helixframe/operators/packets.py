@@ -147,7 +147,7 @@ def parse(rows: DataFrame, strand: str = "strand", correction: str = "rs", scram
     return rows.select("*", F.col("_p.seed").alias("seed"), F.col("_p.payload").alias("payload"), F.when(F.col("_p.seed").isNull(), "corrupt").otherwise("ok").alias("status")).drop("_p")
 
 
-def _same_seeds(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple[int, ...], list[int], np.ndarray]]:
+def same_seeds(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple[int, ...], list[int], np.ndarray]]:
     """(k, size, seeds, rows, payloads by packet, row and byte): the blocks of a batch whose packets have the same seeds, TOGETHER packets at a time.
 
     Of a block's payloads those of the longest size count.
@@ -177,7 +177,7 @@ def decode(packets: DataFrame, name: str = "raptor", solver: str = "gauss", **op
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, size, seeds, rows, data in _same_seeds(batch):
+            for k, size, seeds, rows, data in same_seeds(batch):
                 got = solve(code(name, k, **options), [(seed, int.from_bytes(d.tobytes(), "big")) for seed, d in zip(seeds, data)], solver)
                 found = sorted(got)
                 flat = np.frombuffer(b"".join([got[i].to_bytes(size * len(rows), "big") for i in found]), np.uint8)

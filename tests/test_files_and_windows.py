@@ -75,6 +75,17 @@ def test_packets_keep_the_rules_best(sent):
     assert sent.where(F.length("strand") != 204).isEmpty() and not sent.where("error_prob < 1").isEmpty()
 
 
+def test_packets_are_chosen_where_they_are_made(spark):
+    """The default rules move nothing and choose as any other rules do."""
+    from helixframe.functions import rules as R
+
+    files = spark.createDataFrame([(i, n, None if d is None else bytearray(d)) for i, (n, d) in FILES.items()], "file_id long, name string, data binary")
+    found = file_codes.packets(files)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    other = file_codes.packets(files, rules=lambda s: R.default_rules(s))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, other.select(found.columns).collect()), key=str)
+
+
 def test_names_without_room_fail(spark):
     with pytest.raises(Exception, match="no room for the name"):
         file_codes.packets(spark.createDataFrame([(1, "n" * 41, bytearray(b"x"))], "file_id long, name string, data binary")).collect()
