@@ -146,3 +146,18 @@ def test_queries_agree_with_sql(spark):
         cur = con.execute(SQL[name])
         cols = [c[0] for c in cur.description]
         assert sorted(map(repr, map(tuple, got.select(*cols).collect()))) == sorted(map(repr, map(tuple, cur.fetchall()))), name
+
+
+def test_forms_are_judged_by_the_batch(spark):
+    """The same by the default rules as by any other ones, in one call of Python workers."""
+    from helixframe.functions import rules as R
+    from helixframe.operators.screening import screened_strands
+
+    r = random.Random(12)
+    texts = [r.randbytes(r.randrange(0, 60)).hex() for _ in range(60)] + ["", None, "00" * 47, "1b" * 40, "f"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, chunk_hex string")
+    found = screened_strands(rows, [0, 1, 6, 11])
+    want = screened_strands(rows, [0, 1, 6, 11], rules=lambda s: R.default_rules(s))
+    assert found.columns == want.columns and sorted(found.collect()) == sorted(want.collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "default_errors" not in plan and "translate" not in plan
