@@ -45,6 +45,21 @@ def kmer_counts(rows: DataFrame, seq: str, k: int) -> DataFrame:
     return rows.select(seq).mapInArrow(count, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
 
 
+def block_bases(rows: DataFrame, seq: str, width: int) -> DataFrame:
+    """(block, a, c, g, t, n): how often each base is in the pieces of `width` bases of all strands, by number.  Each batch is counted before anything moves."""
+    names = ["block", *S.BASES.lower(), "n"]
+
+    def count(batches):
+        for batch in batches:
+            data, ends, _ = S._held(batch.column(0))
+            at = (np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))) // width
+            n = np.bincount(at * 5 + S._CODE[data], minlength=5 * (int(at.max(initial=-1)) + 1)).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.arange(len(n)), *n.T[:4].copy(), n.sum(1))], names)
+
+    counted = rows.select(seq).mapInArrow(count, ", ".join(f"{c} long" for c in names))
+    return counted.groupBy("block").agg(*[F.sum(c).alias(c) for c in names[1:]])
+
+
 #: Bits of the filter that wholes are read through; a fuller one lets more rows through and changes no result.
 FILTER = 26
 #: Bytes of strands that are looked at together.

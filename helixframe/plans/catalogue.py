@@ -12,7 +12,7 @@ from helixframe.functions import rules as R
 from helixframe.functions import strand as S
 from helixframe.operators import fountain
 from helixframe.operators.chunks import chunks, strands, xor_lanes
-from helixframe.operators.kmers import kmer_counts as kmer_counts_of
+from helixframe.operators.kmers import block_bases, kmer_counts as kmer_counts_of
 from helixframe.shipping import ship
 from helixframe.sources.tables import read
 
@@ -182,9 +182,8 @@ def kmer_counts(spark, sf_dir):
 @query(f"""{_S}, b AS (SELECT chunk_idx, unnest(generate_series(0, (length(strand) - 1) // 32)) AS block, strand FROM s), p AS (SELECT block, substr(strand, block * 32 + 1, 32) AS w FROM b)
 SELECT block, {', '.join(f"round(sum(length(w) - length(replace(w, '{c}', ''))) / sum(length(w)), 9) AS {c.lower()}" for c in 'ACGT')} FROM p GROUP BY block""")
 def base_density_blocks(spark, sf_dir):
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("strand") - 1) / 32))).alias("block")
-    rows = _strands(spark, sf_dir).select(at, "strand").select("block", F.substring("strand", (F.col("block") * 32 + 1).cast("int"), F.lit(32)).alias("w"))
-    return rows.groupBy("block").agg(*[F.round(F.sum(S.count_of(F.col("w"), c)) / F.sum(F.length("w")), 9).alias(c.lower()) for c in "ACGT"])
+    rows = block_bases(_strands(spark, sf_dir), "strand", 32)
+    return rows.select("block", *[F.round(F.col(c) / F.col("n"), 9).alias(c) for c in "acgt"])
 
 
 @query(f"{_S} SELECT doc_id, chunk_idx FROM s WHERE length(strand) > {4 * CHUNK} - 5 AND length(strand) < {4 * CHUNK} + 50")

@@ -161,3 +161,19 @@ def test_forms_are_judged_by_the_batch(spark):
     assert found.columns == want.columns and sorted(found.collect()) == sorted(want.collect())
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "default_errors" not in plan and "translate" not in plan
+
+
+def test_bases_by_block_are_counted_where_they_are(spark):
+    from helixframe.operators.kmers import block_bases
+
+    r = random.Random(13)
+    texts = ["".join(r.choices("ACGT", k=r.randrange(0, 100))) for _ in range(40)] + ["", None]
+    found = block_bases(spark.createDataFrame([(x,) for x in texts], "strand string").repartition(3), "strand", 32)
+    want = {}
+    for x in filter(None, texts):
+        for i, c in enumerate(x):
+            row = want.setdefault(i // 32, [0] * 5)
+            row["ACGT".index(c)] += 1
+            row[4] += 1
+    assert {x[0]: list(x[1:]) for x in found.collect()} == want
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
