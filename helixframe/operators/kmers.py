@@ -148,52 +148,80 @@ def contained(parts: DataFrame, wholes: DataFrame, k: int = 16) -> DataFrame:
     return met.select("part_id", "whole_id", "_p", "_w").distinct().select("part_id", "whole_id")
 
 
-def _codes(strands: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+def _codes(strands: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """All k-mers of ACGT as numbers of two bits a base, and the strand of each; k is 31 at most.  K-mers with other letters are left out."""
-    data = S._CODE[np.frombuffer("".join(strands).encode("utf-8", "replace"), np.uint8)]
-    row = np.repeat(np.arange(len(strands)), [len(x.encode("utf-8", "replace")) for x in strands])
-    n = len(data) - k + 1
-    if n <= 0:
+    held, ends, _ = S._held(strands)
+    if len(held) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    value, odd = np.zeros(n, np.int64), np.concatenate([[0], np.cumsum(data > 3)])
-    for j in range(k):
-        value = value << 2 | (data[j : j + n] & 3)
-    good = (row[:n] == row[k - 1 :]) & (odd[k:] == odd[:-k])
-    return value[good], row[:n][good]
+    data = S._CODE[held]
+    first, size = (data & 3).astype(np.int64), 1
+    value = first
+    for digit in bin(k)[3:]:  # by halves
+        value = value[:-size] << 2 * size | value[size:]
+        size *= 2
+        if digit == "1":
+            value, size = value[:-1] << 2 | first[size:], size + 1
+    row, odd = np.repeat(np.arange(len(strands)), np.diff(ends)), np.concatenate([[0], np.cumsum(data > 3)])
+    n = len(value)
+    good = np.flatnonzero((row[:n] == row[k - 1 :]) & (odd[k:] == odd[:-k]))
+    return value[good], row[good]
+
+
+#: Bits of the places where a task keeps k-mers that it has sent, 8 bytes each; what is pushed out is sent once more, and no result changes.
+KEPT = 22
+
+
+def _sent(value: np.ndarray, k: int, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k-mer, place in value, weight): each different k-mer with 1 where it is new to the task and comes once here, else with 2.
+
+    `kept` holds what was sent, exactly: k-mers with a last bit for the weight.  Those that have gone with 2 don't go again.
+    """
+    at = lambda x: (x.astype(np.uint64) * np.uint64(_BASE) >> np.uint64(64 - KEPT)).astype(np.int64)
+    place = np.flatnonzero(kept[at(value)] != (value << 1 | 1))
+    value = value[place]
+    bits = max(len(value), 1).bit_length()
+    if 2 * k + bits <= 63:
+        packed = np.sort(value << bits | np.arange(len(value)))
+        value, order = packed >> bits, packed & (1 << bits) - 1
+    else:
+        order = np.argsort(value, kind="stable")
+        value = value[order]
+    new = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+    value, place, n = value[new], place[order[new]], np.diff(np.append(new, len(value)))
+    slot = at(value)
+    again = (n > 1) | (kept[slot] == value << 1)
+    kept[slot] = value << 1 | again
+    return value, place, 1 + again
 
 
 def shared_mers(rows: DataFrame, keys: list[str], seq: str, k: int = 19) -> DataFrame:
     """(keys, n): strands with k-mers that come again, in them or in others, and how many of theirs do.
 
-    K-mers are numbers, exactly, and each batch is counted before anything moves: first those that come again over all are found, a row of
-    16 bytes for each different k-mer of a batch; then those are joined with the places that have them.  K-mers that hold other letters than
-    ACGT are compared as they are.  For k up to 31.
+    A k-mer that comes once has one place, so those that come once are found, with their places, and taken from what a strand has.  K-mers are
+    numbers, exactly; a task sends a k-mer once with its place, and once more without one when it meets it again.  K-mers that hold
+    other letters than ACGT are compared as they are.  For k up to 31.
     """
     if not 0 < k <= 31:
         raise ValueError("k must be in 1..31")
     at = {c: i for i, c in enumerate(keys)}
     plain = rows.select(*keys, F.col(seq).alias("_seq")).where("_seq IS NOT NULL")
 
-    def count(batches):
-        for batch in batches:
-            value, n = np.unique(_codes(batch.column(0).to_pylist(), k)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], ["code", "c"])
-
-    def place(batches):
+    def send(batches):
+        kept = np.full(1 << KEPT, -1, np.int64)
         for batch in batches:
-            value, row = _codes(batch.column(len(at)).to_pylist(), k)
-            order = np.lexsort((value, row))
-            value, row = value[order], row[order]
-            new = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])])) if len(value) else np.zeros(0, np.int64)
-            n = np.diff(np.concatenate([new, [len(value)]]))
-            columns = [batch.column(i).take(pa.array(row[new])) for i in range(len(at))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(value[new]), pa.array(n)], [*keys, "code", "c"])
+            value, row = _codes(batch.column(len(at)), k)
+            value, place, weight = _sent(value, k, kept)
+            home = pa.array(row[place], mask=weight > 1)  # no place where it comes again
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(home) for i in range(len(at))], pa.array(value), pa.array(weight)], [*keys, "_code", "_w"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.drop("_seq").schema)
-    again = plain.select("_seq").mapInArrow(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("_all")).where("_all > 1").select("code")
-    found = plain.mapInArrow(place, f"{kinds}, code long, c long").join(again, "code").select(*keys, "c")
+    sent = plain.mapInArrow(send, f"{kinds}, _code long, _w long").repartition("_code")  # no map-side aggregate: a task sends few k-mers twice
+    once = sent.groupBy("_code").agg(F.sum("_w").alias("_all"), *[F.first(c).alias(c) for c in keys]).where("_all = 1")
+
+    mers = plain.where(F.col("_seq").rlike("[^ACGT]")).select(*keys, F.explode(S.kmers(F.col("_seq"), k)).alias("_mer")).where(F.col("_mer").rlike("[^ACGT]"))
+    strange = mers.groupBy("_mer").agg(F.count("*").alias("_all"), *[F.first(c).alias(c) for c in keys]).where("_all = 1")
 
-    mers = plain.where(F.col("_seq").rlike("[^ACGT]")).select(*keys, F.explode(S.kmers(F.col("_seq"), k)).alias("mer")).where(F.col("mer").rlike("[^ACGT]"))
-    twice = mers.groupBy("mer").agg(F.count("*").alias("_all")).where("_all > 1").select("mer")
-    found = found.unionByName(mers.join(twice, "mer", "left_semi").select(*keys, F.lit(1).cast("long").alias("c")))
-    return found.groupBy(*keys).agg(F.sum("c").alias("n"))
+    have = plain.where(F.length("_seq") >= k).select(*keys, (F.length("_seq") - k + 1).cast("long").alias("n"))
+    for gone in (once, strange):
+        have = have.unionByName(gone.select(*keys, F.lit(-1).cast("long").alias("n")))
+    return have.groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")

@@ -4,6 +4,7 @@ import collections
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,20 @@ def test_shared_mers(spark, k):
 
 def test_strand_of_a_long_file_is_whole(sent):
     assert sent.where(~S.checksum_ok(F.col("strand"), 200)).isEmpty()
+
+
+def test_shared_mers_sends_a_mer_twice_at_most(spark):
+    kept, r = np.full(1 << kmers.KEPT, -1, np.int64), random.Random(4)
+    sent, places = collections.Counter(), {}
+    for k, bits in ((19, 38), (31, 62)):
+        some = [r.getrandbits(bits) for _ in range(50)]
+        for turn in range(6):
+            value = np.array(r.choices(some, k=200) + [turn], np.int64)
+            got, place, weight = kmers._sent(value, k, kept)
+            assert value[place].tolist() == got.tolist() and len(set(got.tolist())) == len(got)
+            sent.update(got.tolist())
+            places.update({v: w for v, w in zip(got.tolist(), weight.tolist())})
+    assert max(sent.values()) == 2 and all(places[v] == 2 or sent[v] == 1 for v in sent)
+    rows = spark.createDataFrame([(1, "ACGT" * 10)], "a long, seq string")
+    plan = kmers.shared_mers(rows, ["a"], "seq")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # no row for each place of a mer is moved
