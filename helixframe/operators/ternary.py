@@ -6,9 +6,12 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import StringType
+
+from helixframe.functions import strand as S
 
 BASES = "ACGT"
 WINDOW, STRIDE = 100, 25
@@ -102,7 +105,9 @@ def unframed(trits: Column) -> Column:
 
 
 _TURN = str.maketrans("ACGT", "TGCA")
-_READ = StructType().add("idx", LongType()).add("piece", StringType())
+_COMPLEMENT = np.arange(256, dtype=np.uint8)
+_COMPLEMENT[list(b"ACGT")] = list(b"TGCA")
+_LETTERS = np.frombuffer(BASES.encode(), np.uint8)
 
 
 def _index_trits(idx: int, file_trits: str) -> str:
@@ -135,29 +140,127 @@ def parse_oligo(oligo: str | None) -> tuple[int | None, str | None]:
     return idx, piece[::-1].translate(_TURN) if idx % 2 else piece
 
 
-def oligos(rows: DataFrame, key: str, strand: str = "strand", file_trits: str = "00") -> DataFrame:
-    """(key, idx, oligo): windows of 100 bases at every 25th."""
-    s = F.col(strand)
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - WINDOW) / STRIDE).cast("int")), lambda i: F.substring(s, i * STRIDE + 1, F.lit(WINDOW)))
-
-    @F.pandas_udf(StringType())
-    def make(piece: pd.Series, idx: pd.Series) -> pd.Series:
-        return pd.Series([make_oligo(p, int(i), file_trits) for p, i in zip(piece, idx)], dtype=object)
-
-    pieces = rows.where(F.length(s) >= WINDOW).select(key, F.posexplode(cut).alias("idx", "piece"))
-    return pieces.select(key, F.col("idx").cast("long").alias("idx"), make("piece", "idx").alias("oligo"))
-
-
-def read_oligos(rows: DataFrame, oligo: str = "oligo") -> DataFrame:
-    """(idx, piece) of oligos; those that can't be read are left out.  Other columns stay."""
+def _index_digits(idx: np.ndarray) -> np.ndarray:
+    """The twelve trits of each index, high ones first; the low twelve where it has more."""
+    return (idx[:, None] // 3 ** np.arange(11, -1, -1) % 3).astype(np.uint8)
+
+
+def _parity(first: np.ndarray | int, digits: np.ndarray) -> np.ndarray:
+    """The trit behind an index: the second trit of the file and every other one of the index."""
+    return (first + digits[:, 1::2].sum(1)) % 3
+
+
+def make_oligos(pieces: pa.Array, idx: np.ndarray, file_trits: str = "00") -> pa.Array:
+    """make_oligo() of a batch: pieces of WINDOW bases at once, others one by one."""
+    held, ends, valid = S._held(pieces)
+    n, code = np.diff(ends), S._CODE[held]
+    odd = np.concatenate([[0], np.cumsum(code > 3)])
+    plain = valid & (n == WINDOW) & (odd[ends[1:]] == odd[ends[:-1]])
+    body = (code if plain.all() else code[np.repeat(plain, n)]).reshape(-1, WINDOW)
+    at = idx[plain]
+    body = np.where((at % 2 == 1)[:, None], 3 - body[:, ::-1], body)
+    digits = _index_digits(at)
+    f = np.tile(np.array([int(t) for t in file_trits], np.uint8), (len(at), 1))
+    trits = np.hstack([f, digits, _parity(f[:, 1].astype(np.int64), digits)[:, None].astype(np.uint8)])
+    tail = (body[:, -1:] + np.cumsum(trits + 1, axis=1, dtype=np.int64)) % 4
+    made = np.hstack([np.where(body[:, :1] == 0, 3, 0), body, tail, np.where(tail[:, -1:] == 1, 2, 1)]).astype(np.uint8)
+    out = S._built(pa.string(), _LETTERS[made].reshape(-1), np.full(len(made), made.shape[1]), np.ones(len(made), bool))
+    if plain.all():
+        return out
+    whole = np.full(len(pieces), None, object)
+    whole[plain] = out.to_pylist()
+    for i in np.flatnonzero(~plain):
+        whole[i] = make_oligo(pieces[i].as_py(), int(idx[i]), file_trits)
+    return pa.array(whole.tolist(), pa.string())
+
+
+def parse_oligos(oligos: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """parse_oligo() of a batch: which could be read, and their indexes and pieces."""
+    held, ends, valid = S._held(oligos)
+    n, code, long = np.diff(ends), S._CODE[held], WINDOW + 17
+    odd = np.concatenate([[0], np.cumsum(code > 3)])
+    at = np.flatnonzero(valid & (n == long) & (odd[ends[1:]] == odd[ends[:-1]]))
+    o = code[ends[at][:, None] + np.arange(long)] if len(at) < len(n) else code.reshape(-1, long)
+    right = ((o[:, :1] == 0) | (o[:, :1] == 3)) & ((o[:, -1:] == 1) | (o[:, -1:] == 2))
+    o = np.where(right, o, 3 - o[:, ::-1])
+    tail = o[:, WINDOW : WINDOW + 16]
+    trits = (tail[:, 1:] - tail[:, :-1] + 3) % 4
+    good = (trits < 3).all(1) & (_parity(trits[:, 1].astype(np.int64), trits[:, 2:14]) == trits[:, 14])
+    o, trits = o[good], trits[good]
+    idx = trits[:, 2:14].astype(np.int64) @ 3 ** np.arange(11, -1, -1)
+    piece = o[:, 1 : WINDOW + 1]
+    piece = np.where((idx % 2 == 1)[:, None], 3 - piece[:, ::-1], piece)
+    return at[good], idx, S._built(pa.string(), _LETTERS[piece].reshape(-1), np.full(len(piece), WINDOW), np.ones(len(piece), bool))
+
+
+#: Rows whose oligos are made or read at once.
+TOGETHER = 1 << 14
+
+
+def _kinds(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+
+def _windows(strands: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(strand, idx, piece): the windows of a batch of strands, none of null or shorter ones."""
+    held, ends, valid = S._held(strands)
+    if len(held) and held.max() > 127:
+        texts = strands.to_pylist()
+        cut = [(i, j, t[j * STRIDE : j * STRIDE + WINDOW]) for i, t in enumerate(texts) if t is not None for j in range((len(t) - WINDOW) // STRIDE + 1)]
+        return np.array([i for i, *_ in cut], np.int64), np.array([j for _, j, _ in cut], np.int64), pa.array([p for *_, p in cut], pa.string())
+    n = np.where(valid, np.maximum((np.diff(ends) - WINDOW) // STRIDE + 1, 0), 0)
+    row = np.repeat(np.arange(len(n)), n)
+    idx = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    piece = held[(ends[row] + idx * STRIDE)[:, None] + np.arange(WINDOW)] if len(row) else np.zeros((0, WINDOW), np.uint8)
+    return row, idx, S._built(pa.string(), piece.reshape(-1), np.full(len(row), WINDOW), np.ones(len(row), bool))
+
+
+#: Strands whose oligos are made at once.
+TOGETHER = 1 << 12
 
-    @F.pandas_udf(_READ)
-    def read(texts: pd.Series) -> pd.DataFrame:
-        got = [parse_oligo(t) for t in texts]
-        return pd.DataFrame({"idx": pd.array([i for i, _ in got], "Int64"), "piece": [p for _, p in got]})
 
-    rows = rows.withColumn("_r", read(oligo)).drop(oligo)
-    return rows.select(*[c for c in rows.columns if c not in ("_r", "idx", "piece")], "_r.idx", "_r.piece").where("idx IS NOT NULL")
+def oligos(rows: DataFrame, key: str, strand: str = "strand", file_trits: str = "00") -> DataFrame:
+    """(key, idx, oligo): windows of 100 bases at every 25th."""
+    whole = rows.select(key, strand)
+
+    def make(batches):
+        for batch in batches:
+            for i in range(0, len(batch), TOGETHER):
+                some = batch.slice(i, TOGETHER)
+                row, idx, piece = _windows(some.column(1))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), pa.array(idx), make_oligos(piece, idx, file_trits)], [key, "idx", "oligo"])
+
+    return whole.mapInArrow(make, f"`{key}` {whole.schema[0].dataType.simpleString()}, idx long, oligo string")
+
+
+def turned(oligos: pa.Array, turn: np.ndarray) -> pa.Array:
+    """The reverse complement of ASCII strands where `turn` holds."""
+    held, ends, valid = S._held(oligos)
+    n = np.diff(ends)
+    row = np.repeat(np.arange(len(n)), n)
+    back, at = turn[row], np.arange(len(held))
+    out = held[np.where(back, (ends[:-1] + ends[1:] - 1)[row] - at, at)]
+    return S._built(pa.string(), np.where(back, _COMPLEMENT[out], out), n, valid)
+
+
+def read_oligos(rows: DataFrame, oligo: str = "oligo", turn: Column | None = None) -> DataFrame:
+    """(idx, piece) of oligos, first turned where `turn` is true; those that can't be read are left out.  Other columns stay."""
+    others = [c for c in rows.columns if c not in (oligo, "idx", "piece")]
+    held = rows.select(*others, F.col(oligo).alias("_o"), *([] if turn is None else [F.coalesce(turn, F.lit(False)).alias("_t")]))
+
+    turns = turn is not None
+
+    def read(batches):
+        for batch in batches:
+            found = batch.column(len(others))
+            if turns:
+                found = turned(found, batch.column(len(others) + 1).to_numpy(zero_copy_only=False))
+            at, idx, piece = parse_oligos(found)
+            keys = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*[batch.column(j).take(keys) for j in range(len(others))], pa.array(idx), piece], [*others, "idx", "piece"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in held.schema[: len(others)])
+    return held.mapInArrow(read, f"{kinds}idx long, piece string")
 
 
 def _votes(windows: list[list[dict]]) -> list[str]:

@@ -218,6 +218,25 @@ def test_ternary(spark):
     assert ternary.parse_oligo(None) == ternary.parse_oligo("ACGT") == (None, None)
 
 
+def test_oligos_by_the_batch(spark):
+    r = random.Random(8)
+    bases = lambda n: "".join(r.choices("ACGT", k=n))
+    strands = [(i, bases(n)) for i, n in enumerate([0, 99, 100, 124, 125, 188, 188, 1000])] + [(90, None)]
+    want = {(i, j): ternary.make_oligo(s[j * 25 : j * 25 + 100], j, "12") for i, s in strands if s for j in range((len(s) - 100) // 25 + 1)}
+    made = ternary.oligos(spark.createDataFrame(strands, "k int, strand string"), "k", file_trits="12")
+    assert {(x["k"], x["idx"]): x["oligo"] for x in made.collect()} == want
+    other = [bases(117) for _ in range(40)] + [None, "", "é" + bases(116), "N" + bases(116), *want.values()]
+    other += [o[:60] + "ACGT"[("ACGT".index(o[60]) + 1) % 4] + o[61:] for o in want.values()] + [o[:-1] for o in want.values()]
+    rows = [(i, t, o) for i, o in enumerate(other) for t in (False, True)]
+    turn = lambda o: None if o is None else o[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    df = spark.createDataFrame(rows, "i int, t boolean, o string").where("o IS NULL OR NOT contains(o, 'é') OR NOT t")
+    read = ternary.read_oligos(df, "o", F.col("t"))
+    expected = {(i, t): ternary.parse_oligo(turn(o) if t else o) for i, t, o in rows if not (t and o and "é" in o)}
+    assert {(x["i"], x["t"]): (x["idx"], x["piece"]) for x in read.collect()} == {k: v for k, v in expected.items() if v[0] is not None}
+    plan = made._jdf.queryExecution().optimizedPlan().toString() + read._jdf.queryExecution().optimizedPlan().toString()
+    assert "Eval" not in plan and "transl" not in plan  # by the batch, not by the row
+
+
 def test_rule_expressions(spark):
     at = lambda text, s: value(spark, (s,), "s string", B.parse_rules(text, F.col("s")))
     assert at("max(gc(40, 60), homopolymer)", "ACGTACGT") == 0.0
