@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.strand import BASES, hex_to_strand
@@ -58,6 +60,44 @@ def cancelled(used: DataFrame, edges: DataFrame, first: int) -> DataFrame:
     return plain.unionByName(other).groupBy("packet_id", "symbol_idx").count().where("count % 2 = 1").select("packet_id", "symbol_idx")
 
 
+def masks(symbols: Column, width: int) -> Column:
+    """Whole numbers up to `width` as the bits of as many longs as it takes, _m0 and on; a number that comes twice is one bit."""
+    nothing = F.lit(0).cast("long")
+
+    def word(i):
+        bit = lambda x: F.when((x >= 64 * i) & (x < 64 * i + 64), F.call_function("shiftleft", F.lit(1).cast("long"), (x - 64 * i).cast("int"))).otherwise(nothing)
+        return F.aggregate(symbols, nothing, lambda m, x: m.bitwiseOR(bit(x)))
+
+    return F.struct(*[word(i).alias(f"_m{i}") for i in range(-(-width // 64))])
+
+
+def cancelled_sets(used: DataFrame, edges: DataFrame, first: int, width: int) -> DataFrame:
+    """cancelled() of (packet_id, symbols), sets of symbols below `width`; the sets of a packet that comes again are one.
+
+    A packet is a row of bits from the shuffle on, and its symbols are rows only when they are done.  Packets are dealt before they are
+    aggregated, so that no task holds those of a whole file.
+    """
+    rows = [(r["symbol_idx"], r["source_idx"]) for r in edges.collect()]  # the code's edges, whatever the data
+    change = np.zeros((width - first, first), np.float32)
+    for aux, source in rows:
+        change[aux, source] += 1
+    words = [f"_m{i}" for i in range(-(-width // 64))]
+    kind = used.schema["packet_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 1 << 14):
+                part = batch.slice(at, 1 << 14)
+                held = np.stack([part.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(words))], axis=1).astype("<i8")
+                bits = np.unpackbits(held.view(np.uint8), axis=1, bitorder="little")
+                odd = (bits[:, :first] + (bits[:, first:width].astype(np.float32) @ change).astype(np.int64)) % 2
+                row, symbol = np.nonzero(odd)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(symbol)], ["packet_id", "symbol_idx"])
+
+    dealt = used.repartition("packet_id").select("packet_id", masks(F.col("symbols"), width).alias("_m")).select("packet_id", "_m.*")
+    return dealt.groupBy("packet_id").agg(*[F.bit_or(c).alias(c) for c in words]).mapInArrow(run, f"packet_id {kind}, symbol_idx long")
+
+
 def _normalised(rows: DataFrame) -> DataFrame:
     return rows.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy()))
 

@@ -239,9 +239,10 @@ e AS ({_LDPC_SQL}), x AS (SELECT * FROM used WHERE symbol_idx < {_K} UNION ALL S
 SELECT packet_id, symbol_idx FROM x GROUP BY 1, 2 HAVING count(*) % 2 = 1""")
 def aux_cancellation(spark, sf_dir):
     """Packets with arithmetic seeds from `orders`: auxiliary symbols replaced by their sources."""
-    used = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("packet_id"), F.col("o_custkey"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"))
-    used = used.select("packet_id", ((F.col("packet_id") * 7919 + F.col("j") * (1 + F.col("o_custkey") % 97)) % (_K + _LDPC)).alias("symbol_idx")).distinct()
-    return fountain.cancelled(used, fountain.ldpc_edges(spark, _K), _K)
+    packet, step = F.col("o_orderkey"), 1 + F.col("o_custkey") % 97
+    used = F.array(*[(packet * 7919 + j * step) % (_K + _LDPC) for j in range(6)])
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(packet.alias("packet_id"), used.alias("symbols"))
+    return fountain.cancelled_sets(rows, fountain.ldpc_edges(spark, _K), _K, _K + _LDPC)
 
 
 @query("SELECT degree, round(CASE WHEN degree = 1 THEN 1 / 100.0 ELSE 1.0 / (degree * (degree - 1)) END, 12) AS p FROM range(1, 100) t(degree)")
