@@ -196,6 +196,7 @@ def length_band_filter(spark, sf_dir):
 def exact_matches(spark, sf_dir):
     """Strands that other documents have too: a semi-join on the strand, by counting documents instead of pairs."""
     rows = _strands(spark, sf_dir).select("doc_id", F.unhex(F.md5("strand")).alias("digest"))  # what is shuffled: 16 bytes, not the strand
+    rows = rows.repartition("digest")  # once, for the counts and for the join
     shared = rows.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("digest")
     return rows.join(shared, "digest", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_shared"))
 
