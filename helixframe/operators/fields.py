@@ -5,13 +5,16 @@ Bytes are arrays of numbers, products and logarithms are looked up in arrays of
 
 from __future__ import annotations
 
-import string
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from helixframe.functions.strand import BASES, from_strand, once
+from helixframe.functions import strand as S
+from helixframe.functions.strand import BASES, once
 from helixframe.operators.correction import EXP, LOG, POLYNOMIALS, _crc_table, _generator, _mul
 
 WORD = 255
@@ -123,25 +126,47 @@ def _nearest(word: str) -> str | None:
     return next((b for b, w in WORDS.items() if sum(x != y for x, y in zip(w, word)) <= 1), None)
 
 
-def strand_encoded(strand: Column) -> Column:
-    """Each base of a strand as a word of three over GF(4)."""
-    out = strand
-    for base, word in WORDS.items():
-        out = F.replace(out, F.lit(base), F.lit(word.lower()))
-    return F.upper(out)
+_CODED = np.arange(256, dtype=np.uint8)[:, None].repeat(3, 1)
+for _base, _word in WORDS.items():
+    _CODED[ord(_base)] = list(_word.encode())
+#: What each three bases are, as six bits; zero where they are near no word.
+_REPAIRED = np.array([ord(_nearest("".join(w)) or "\0") for w in product(BASES, repeat=3)], np.uint8)
+
+
+@F.arrow_udf(StringType())
+def _encoded(strands: pa.Array) -> pa.Array:
+    held, ends, valid = S._held(strands)
+    size = np.where(np.isin(held, list(BASES.encode())), 3, 1)  # other letters stay as they are
+    plain = size.min(initial=3) == 3
+    data = _CODED[held].reshape(-1) if plain else _CODED[held][np.arange(3) < size[:, None]]
+    total = np.concatenate([[0], np.cumsum(size)])
+    return S._built(pa.string(), data, total[ends[1:]] - total[ends[:-1]], valid)
 
 
-#: The letters of base 64, each of which says what three bases are.
-_SIXTY_FOUR = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
+@F.arrow_udf(StringType())
+def _repaired(strands: pa.Array) -> pa.Array:
+    held, ends, valid = S._held(strands)
+    n, code = np.diff(ends), S._CODE[held]
+    odd = np.concatenate([[0], np.cumsum(code > 3)])
+    good = valid & (n % 3 == 0) & (odd[ends[1:]] == odd[ends[:-1]])
+    if not good.all():
+        code, n = code[np.repeat(good, n)], np.where(good, n, 0)
+    three = code.reshape(-1, 3)
+    found = _REPAIRED[three[:, 0] << 4 | three[:, 1] << 2 | three[:, 2]]
+    ends = np.concatenate([[0], np.cumsum(n // 3)])
+    lost = np.concatenate([[0], np.cumsum(found == 0)])
+    kept = good & (lost[ends[1:]] == lost[ends[:-1]])
+    return S._built(pa.string(), found if kept.all() else found[np.repeat(kept, n // 3)], np.where(kept, n // 3, 0), kept)
+
+
+def strand_encoded(strand: Column) -> Column:
+    """Each base of a strand as a word of three over GF(4), by the batch."""
+    return _encoded(strand)
 
 
 def strand_repaired(strand: Column) -> Column:
     """The bases of such words, one wrong base of each set right; null if a word is near none, or the strand isn't whole words of A, C, G and T.
 
-    A word of three bases is six bits, and so a letter of base 64: all words of a strand are looked up by one translation.
+    A word of three bases is six bits: all words of a batch are looked up at once.
     """
-    table = "".join(_nearest("".join(w)) or "!" for w in product(BASES, repeat=3))
-    n = F.length(strand)
-    filled = F.rpad(strand, F.ceil(n / 12).cast("int") * 12, "A")  # whole bytes, and a whole number of letters
-    found = F.left(F.translate(F.base64(from_strand(filled)), _SIXTY_FOUR + "\r\n", table), (n / 3).cast("int"))
-    return F.when(strand == "", strand).when((n % 3 == 0) & ~F.contains(found, F.lit("!")), found)
+    return _repaired(strand)
