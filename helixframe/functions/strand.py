@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 BASES = "ACGT"
 HEX = "0123456789abcdef"
@@ -139,11 +139,36 @@ def distinct_in(strands: list[str | None], k: int) -> np.ndarray:
     return out
 
 
+def distinct_of(strands: pa.Array, k: int) -> np.ndarray:
+    """distinct_in() of a batch: strands of one length are a table whose rows are sorted; others one by one."""
+    held, ends, valid = _held(strands)
+    n, code = np.diff(ends), _CODE[held]
+    odd = np.concatenate([[0], np.cumsum(code > 3)])
+    plain = valid & (odd[ends[1:]] == odd[ends[:-1]]) & (n >= k) & (k <= 31)
+    lengths, out = np.unique(n[plain]), np.zeros(len(n), np.int64)
+    if len(lengths) > 256:
+        return distinct_in(strands.to_pylist(), k)
+    for length in lengths.tolist():
+        rows = np.flatnonzero(plain & (n == length))
+        first, size = code[ends[rows][:, None] + np.arange(length)].astype(np.uint32 if k <= 16 else np.uint64), 1
+        value = first
+        for digit in bin(k)[3:]:  # by halves
+            value = value[:, :-size] << value.dtype.type(2 * size) | value[:, size:]
+            size *= 2
+            if digit == "1":
+                value, size = value[:, :-1] << value.dtype.type(2) | first[:, size:], size + 1
+        value = np.sort(value, axis=1)
+        out[rows] = 1 + (value[:, 1:] != value[:, :-1]).sum(1)
+    rest = np.flatnonzero(valid & ~plain)
+    out[rest] = distinct_in(strands.take(pa.array(rest)).to_pylist(), k)
+    return out
+
+
 @lru_cache
 def _distinct(k: int):
-    @F.pandas_udf("long")
-    def count(strands: pd.Series) -> pd.Series:
-        return pd.Series(distinct_in(strands.tolist(), k))
+    @F.arrow_udf(LongType())
+    def count(strands: pa.Array) -> pa.Array:
+        return pa.array(distinct_of(strands, k))
 
     return count
 
@@ -178,9 +203,20 @@ def checksum(strand: Column) -> Column:
     return (count_of(strand, "A") + 2 * count_of(strand, "C") + 3 * count_of(strand, "G") + 4 * count_of(strand, "T")) % 256
 
 
+_WEIGHT = np.zeros(256, np.uint8)
+_WEIGHT[list(b"ACGT")] = range(1, 5)
+
+
+@F.arrow_udf(StringType())
+def _checksums(strands: pa.Array) -> pa.Array:
+    held, ends, valid = _held(strands)
+    total = np.concatenate([[0], np.cumsum(_WEIGHT[held], dtype=np.int64)])
+    return _built(pa.string(), FOURS[(total[ends[1:]] - total[ends[:-1]]) % 256][valid], np.where(valid, 4, 0), valid)
+
+
 def checksum_bases(strand: Column) -> Column:
-    """The checksum as four bases."""
-    return F.translate(F.lpad(F.conv(checksum(strand).cast("string"), 10, 4), 4, "0"), "0123", BASES)
+    """The checksum as four bases, worked out by the batch."""
+    return _checksums(strand)
 
 
 def with_checksum(strand: Column) -> Column:
