@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.strand import FOURS
+from helixframe.functions.strand import FOURS, _built
 
 
 def chunks(table: DataFrame, id_col: str, data_col: str, size: int) -> DataFrame:
@@ -26,6 +28,25 @@ PIECE = 4 << 20
 
 def strands(table: DataFrame, id_col: str, data_col: str, size: int = 47) -> DataFrame:
     """(id_col, chunk_idx, strand): chunks() as bases.  Bytes are looked up for a batch at a time, four bases for each."""
+    return sliced(table, id_col, data_col, size, "strand", "string", _bases)
+
+
+def slices(table: DataFrame, id_col: str, data_col: str, size: int) -> DataFrame:
+    """(id_col, chunk_idx, data): chunks() as bytes."""
+    return sliced(table, id_col, data_col, size, "data", "binary", _binary)
+
+
+def _bases(held: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    starts = np.concatenate([[0], np.cumsum(lengths * 4)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(starts), pa.py_buffer(FOURS[held])]).cast(pa.string())
+
+
+def _binary(held: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return _built(pa.binary(), held, lengths, np.ones(len(lengths), bool))
+
+
+def sliced(table: DataFrame, id_col: str, data_col: str, size: int, name: str, kind: str, made: Callable[[np.ndarray, np.ndarray], pa.Array], piece: int = PIECE) -> DataFrame:
+    """(id_col, chunk_idx, name): what `made` gives for the bytes of many chunks end to end and their lengths; about `piece` bytes at once."""
     rows = table.select(id_col, F.col(data_col).cast("binary").alias("data")).where("octet_length(data) > 0")
 
     def run(batches):
@@ -34,21 +55,18 @@ def strands(table: DataFrame, id_col: str, data_col: str, size: int = 47) -> Dat
             ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
             held, at = np.frombuffer(data.buffers()[2], np.uint8), 0
             while at < len(data):
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, side="right")) - 1)
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + piece, side="right")) - 1)
                 n = np.diff(ends[at : to + 1])
                 count = -(-n // size)
                 first = np.cumsum(count) - count
                 idx = np.arange(count.sum()) - np.repeat(first, count)
                 lengths = np.full(len(idx), size, np.int64)
                 lengths[first + count - 1] = n - (count - 1) * size
-                starts = np.concatenate([[0], np.cumsum(lengths * 4)]).astype(np.int64)
-                bases = FOURS[held[ends[at] : ends[to]]]
-                texts = pa.Array.from_buffers(pa.large_string(), len(idx), [None, pa.py_buffer(starts), pa.py_buffer(bases)]).cast(pa.string())
                 keys = batch.column(0).take(pa.array(np.repeat(np.arange(at, to), count)))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(idx), texts], [id_col, "chunk_idx", "strand"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(idx), made(held[ends[at] : ends[to]], lengths)], [id_col, "chunk_idx", name])
                 at = to
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, chunk_idx long, strand string")
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, chunk_idx long, `{name}` {kind}")
 
 
 def xor_lanes(table: DataFrame, key: str, lane_bytes: int = 4) -> DataFrame:

@@ -7,11 +7,13 @@ import heapq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from helixframe.functions import strand as S
+from helixframe.operators.chunks import sliced
 
 BASES = "ACGT"
 WINDOW, STRIDE = 100, 25
@@ -36,9 +38,17 @@ def huffman_codes(frequencies: dict[int, int]) -> dict[int, str]:
 
 
 def byte_frequencies(table: DataFrame, data_col: str) -> dict[int, int]:
-    """Counts of at most 256 bytes, on the driver."""
-    pairs = table.select(F.explode(F.regexp_extract_all(F.hex(F.col(data_col).cast("binary")), F.lit("(..)"), F.lit(1))).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
-    return {int(r["b"], 16): r["n"] for r in pairs.collect()}
+    """Counts of at most 256 bytes, on the driver; a task sends one row for each byte that it has seen."""
+
+    def count(batches):
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            total += np.bincount(S._held(batch.column(0))[0], minlength=256)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["b", "n"])
+
+    pairs = table.select(F.col(data_col).cast("binary").alias("data")).mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
+    return {r["b"]: r["n"] for r in pairs.collect()}
 
 
 def to_trits(data: Column, codes: dict[int, str]) -> Column:
@@ -89,6 +99,116 @@ def unrotate(strand: Column, start: str | Column = "A") -> Column:
     return F.when(legal, trits)
 
 
+def _code_trits(codes: dict[int, str]) -> tuple[np.ndarray, np.ndarray]:
+    """(byte, place) and (byte): the trits of each code plus one, and how many it has; -1 of a byte without a code."""
+    trits, n = np.zeros((256, max(map(len, codes.values()), default=0)), np.uint8), np.full(256, -1)
+    for s, c in codes.items():
+        trits[s, : len(c)], n[s] = [int(x) + 1 for x in c], len(c)
+    return trits, n
+
+
+def coded_strands(held: np.ndarray, lengths: np.ndarray, codes: dict[int, str], start: str = "A") -> pa.Array:
+    """rotate() of to_trits() of many slices of bytes, laid end to end; null where a byte has no code."""
+    trits, size = _code_trits(codes)
+    ends, n = np.concatenate([[0], np.cumsum(lengths)]), size[held]
+    total, odd = np.concatenate([[0], np.cumsum(np.maximum(n, 0))]), np.concatenate([[0], np.cumsum(n < 0)])
+    flat = trits[held]
+    steps = np.cumsum(flat[flat > 0], dtype=np.uint8)  # modulo 256, and so modulo 4
+    at = total[ends]
+    before = np.concatenate([np.zeros(1, np.uint8), steps])[at[:-1]]
+    base = (steps - np.repeat(before, np.diff(at)) + np.uint8(BASES.index(start))) & np.uint8(3)
+    good = odd[ends[1:]] == odd[ends[:-1]]
+    if not good.all():
+        base = base[np.repeat(good, np.diff(at))]
+    return S._built(pa.string(), _LETTERS[base], np.where(good, np.diff(at), 0), good)
+
+
+def _code_tree(codes: dict[int, str]) -> tuple[np.ndarray, np.ndarray]:
+    """For three times a node and a trit: the node behind it, and the byte whose code ends there or -1.  Node 0 is the root, to which whole
+    codes lead back; from node 1, which trits of no code lead to, there is no way."""
+    nodes = {"": 0, None: 1}
+    for c in codes.values():
+        for i in range(1, len(c)):
+            nodes.setdefault(c[:i], len(nodes))
+    after, found = np.ones(3 * len(nodes), np.int32), np.full(3 * len(nodes), -1, np.int16)
+    for c in nodes:
+        if c:
+            after[3 * nodes[c[:-1]] + int(c[-1])] = nodes[c]
+    for s, c in codes.items():
+        after[3 * nodes[c[:-1]] + int(c[-1])], found[3 * nodes[c[:-1]] + int(c[-1])] = 0, s
+    return after, found
+
+
+def coded_bytes(strands: pa.Array, codes: dict[int, str], start: str = "A") -> pa.Array:
+    """from_trits() of unrotate() of a batch, as binaries: all strands go down the code's tree at once, a trit at a time."""
+    after, found = _code_tree(codes)
+    held, ends, valid = S._held(strands)
+    n, code = np.diff(ends), S._CODE[held]
+    before = np.concatenate([np.zeros(1, np.uint8), code[:-1]])[: len(code)]
+    before[ends[:-1][n > 0]] = BASES.index(start)
+    trits = (code - before - np.uint8(1)) & np.uint8(3)
+    odd = np.concatenate([[0], np.cumsum((trits > 2) | (code > 3))])
+    good = valid & (odd[ends[1:]] == odd[ends[:-1]])
+    order = np.argsort(-n, kind="stable")
+    order = order[good[order]]
+    size = n[order]
+    width = int(size.max(initial=0))
+    table = np.zeros((len(order), width), np.uint8)
+    inside = np.arange(width) < size[:, None]
+    table[inside] = trits[(ends[order][:, None] + np.arange(width))[inside]]
+    table, many = np.ascontiguousarray(table.T), len(order) - np.searchsorted(size[::-1], np.arange(width), side="right")
+    node, got = np.zeros(len(order), np.int32), np.full((width, len(order)), -1, np.int16)
+    for i in range(width):
+        k = many[i]
+        at = node[:k] * 3 + table[i, :k]
+        node[:k] = after[at]
+        got[i, :k] = found[at]
+    rows = np.argsort(order)
+    rows = rows[node[rows] == 0]  # those that can be read, in the order of the batch
+    got = got.T[rows]
+    told = got >= 0
+    sizes, good = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+    sizes[order[rows]], good[order[rows]] = told.sum(1), True
+    return S._built(pa.binary(), got[told].astype(np.uint8), sizes, good)
+
+
+#: Bytes whose strands are made at once.
+PIECE = 1 << 19
+
+
+def coded(table: DataFrame, id_col: str, data_col: str, codes: dict[int, str], size: int = 50) -> DataFrame:
+    """(id_col, chunk_idx, strand): slices of `size` bytes, each as a strand of its own."""
+    return sliced(table, id_col, data_col, size, "strand", "string", lambda held, lengths: coded_strands(held, lengths, codes), PIECE)
+
+
+def decoded(rows: DataFrame, key: str, codes: dict[int, str]) -> DataFrame:
+    """(key, chunk_idx, n, data): the bytes of n slices from chunk_idx on.  Those that follow each other in a batch are one row, so that less is
+    moved when a file is put together; strands that can't be read are left out."""
+
+    def read(batches):
+        for batch in batches:
+            data = coded_bytes(batch.column(2), codes)
+            got = batch.filter(data.is_valid())
+            data, key_of, idx = data.drop_null(), got.column(0), got.column(1).to_numpy(zero_copy_only=False)
+            if not len(data):
+                continue
+            same = pc.equal(key_of.slice(1), key_of.slice(0, len(got) - 1)).fill_null(False).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate([[True], ~(same & (np.diff(idx) == 1))]))
+            held, ends, _ = S._held(data)
+            n = np.diff(np.append(first, len(data)))
+            whole = S._built(pa.binary(), held, ends[first + n] - ends[first], np.ones(len(first), bool))
+            yield pa.RecordBatch.from_arrays([key_of.take(pa.array(first)), pa.array(idx[first]), pa.array(n), whole], [key, "chunk_idx", "n", "data"])
+
+    held = rows.select(key, F.col("chunk_idx").cast("long").alias("chunk_idx"), "strand")
+    return held.mapInArrow(read, f"`{key}` {held.schema[0].dataType.simpleString()}, chunk_idx long, n long, data binary")
+
+
+def joined(pieces: DataFrame, key: str) -> DataFrame:
+    """(key, data): the pieces of decoded() in order, as one file."""
+    whole = pieces.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "data"))).alias("p"))
+    return whole.select(key, F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["data"])), "")).alias("data"))
+
+
 def _ternary(n: Column, width: int) -> Column:
     return F.lpad(F.conv(n.cast("string"), 10, 3), width, "0")
 
