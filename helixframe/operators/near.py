@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions.strand import _held
+
 #: Strands of a part; a tile holds two parts.
 PART = 1024
 #: Characters of the smaller side up to which it goes to all tasks.
@@ -91,6 +93,94 @@ def edit_distances(a: list[str], b: list[str]) -> np.ndarray:
     return score
 
 
+#: Pairs of strands that are worked out side by side.
+SIDE = 1 << 12
+#: Places after which pairs that are over the limit are laid aside.
+LOOK = 16
+
+
+def pair_distances(a: pa.Array, b: pa.Array, limit: int) -> np.ndarray:
+    """levenshtein(a, b, limit) of a batch, row by row: -1 where the distance is over the limit, 62 at most, or a string is null.
+
+    A way of `limit` edits at most stays on limit + 1 diagonals, so a column's part of it is the bits of one number (Hyyroe's band), which goes
+    down a row with each letter of a.  The distance along the diagonal of the ends never falls, so a pair is done when it is over the limit.
+    """
+    if not 0 <= limit <= 62:
+        raise ValueError("the limit is from 0 to 62")
+    out = np.full(len(a), -1, np.int64)
+    (x, n), (y, m) = _points(a), _points(b)
+    for_all = np.flatnonzero((n >= 0) & (m >= 0) & (np.abs(m - n) <= limit))
+    seen = np.zeros(1 + max(int(x.max(initial=0)), int(y.max(initial=0))), bool)  # by code point: a sort would cost more than all the rest
+    seen[x], seen[y] = True, True
+    number, planes = (np.cumsum(seen) - 1).astype(np.uint32), max(1, int(seen.sum() - 1).bit_length())
+    codes_a, codes_b = number[x], number[y]
+    starts_a, starts_b = (np.cumsum(np.maximum(k, 0)) - np.maximum(k, 0) for k in (n, m))
+    for_all = for_all[np.argsort(-n[for_all], kind="stable")]
+    for i in range(0, len(for_all), SIDE):
+        rows = for_all[i : i + SIDE]
+        out[rows] = _banded(codes_a, starts_a[rows], n[rows], codes_b, starts_b[rows], m[rows], planes, limit)
+    return out
+
+
+def _points(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all strings, and how many each has; -1 for null."""
+    held, ends, valid = _held(strings)
+    if not len(held) or held.max() < 128:
+        return held, np.where(valid, np.diff(ends), -1)
+    texts = strings.to_pylist()
+    flat = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return flat, np.array([-1 if t is None else len(t) for t in texts])
+
+
+def _places(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
+    """The letters of strings at places, a row for each of them; `none` outside."""
+    inside = (at >= 0) & (at < sizes)
+    if not len(codes):
+        return np.full(inside.shape, none, np.uint32)
+    return np.where(inside, codes[np.where(inside, starts + at, 0)], np.uint32(none))
+
+
+def _banded(codes_a, starts_a, n, codes_b, starts_b, m, planes: int, limit: int) -> np.ndarray:
+    """Distances of pairs, longest a first; bit 63 of a column is the lowest diagonal of its band."""
+    none, top, width = 1 << planes, np.uint64(63), int(n.max(initial=0))
+    ends = m - n  # the diagonal of both ends
+    low = (ends + limit) // 2
+    text = _places(codes_a, starts_a, n, np.arange(width)[:, None], 0)
+    below = _places(codes_b, starts_b, m, low + np.arange(-64, width)[:, None], none)
+    score, out, alive, bit = np.maximum(ends, 0), np.full(len(n), -1, np.int64), np.arange(len(n)), (63 - low + ends).astype(np.uint64)
+    window = [np.zeros(len(n), np.uint64) for _ in range(planes + 1)]
+    for row in below[:64].astype(np.uint64):
+        for p, w in enumerate(window):
+            w >>= _ONE
+            w |= (row >> np.uint64(p)) << top
+    up = _ALL << (63 - low).astype(np.uint64)  # from row 0 on; rows above it count letters of a only
+    down = np.zeros(len(n), np.uint64)
+    for at in range(width):
+        if at % LOOK == 0:
+            done = n[alive] <= at
+            out[alive[done]] = score[done]
+            keep = ~done & (score <= limit)
+            if not keep.all():
+                alive, score, bit, up, down = alive[keep], score[keep], bit[keep], up[keep], down[keep]
+                window, text, below = [w[keep] for w in window], text[:, keep], below[:, keep]
+                if not len(alive):
+                    return np.where(out > limit, -1, out)
+        row, letter, differ = below[at + 64].astype(np.uint64), text[at].astype(np.uint64), None
+        for p, w in enumerate(window):
+            w >>= _ONE
+            w |= (row >> np.uint64(p)) << top
+            other = w if p == planes else w ^ (np.uint64(0) - ((letter >> np.uint64(p)) & _ONE))
+            differ = other.copy() if differ is None else differ | other
+        eq = ~differ
+        same = (((eq & up) + up) ^ up) | eq | down
+        right, left = down | ~(same | up), same & up
+        score = score + ((~same >> bit) & _ONE).astype(np.int64) * (at < n[alive])
+        same >>= _ONE
+        up, down = left | ~(same | right), same & right
+    out[alive] = score
+    return np.where(out > limit, -1, out)
+
+
 def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
     """Lengths of the longest common subsequences of all pairs."""
     x, y, letters = both(a, b)
