@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,32 +37,54 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def _columns(a: str, b: str) -> Iterator[tuple[int, int, int]]:
+    """For each letter of b a column of the matrix of edit distances, with a bit for each place of a: where a cell equals its corner, and where
+    it is one more or one less than the cell above (Myers, Hyyroe)."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    more, less = full, 0
+    for c in b:
+        eq = where.get(c, 0)
+        same = ((((eq & more) + more) ^ more) | eq | less) & full
+        right, left = (less | full & ~(same | more)) << 1 | 1, (same & more) << 1
+        more, less = (left | ~(same | right)) & full, same & right
+        yield same, more, less
+
+
+def edit_distance(a: str, b: str) -> int:
+    more = less = 0
+    if not b:
+        return len(a)
+    for _, more, less in _columns(a, b):
+        pass
+    return len(b) + more.bit_count() - less.bit_count()
+
+
 def edit_script(a: str, b: str) -> str:
     """One letter for each column of a global alignment that turns a into b at the least edit cost: = X, I (only in b), D (only in a).
 
     Of equal costs the diagonal is taken first, then D.
     """
-    n, m = len(a), len(b)
-    y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    cost = np.zeros((n + 1, m + 1), np.int32)
-    cost[0] = steps = np.arange(m + 1)
-    for i, c in enumerate(a):
-        best = np.empty(m + 1, np.int32)
-        best[0] = i + 1
-        np.minimum(cost[i, :-1] + (y != ord(c)), cost[i, 1:] + 1, out=best[1:])
-        cost[i + 1] = np.minimum.accumulate(best - steps) + steps
-    out, i, j = [], n, m
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+    columns = list(_columns(a, b))
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append("=")
+            continue
+        same, more, _ = columns[j - 1]
+        if not same >> i - 1 & 1:
             i, j = i - 1, j - 1
-            out.append("=" if a[i] == b[j] else "X")
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+            out.append("X")
+        elif more >> i - 1 & 1:
             i -= 1
             out.append("D")
         else:
             j -= 1
             out.append("I")
-    return "".join(reversed(out))
+    return "D" * i + "I" * j + "".join(reversed(out))
 
 
 def to_cigar(script: str) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.align import edit_script, kmer_alignment
+from helixframe.sources.tables import dealt
 
 READS = "read_id long, ref_name string, kind string, is_reversed boolean, start long, identity double, seq string, qual string"
 _TURN = str.maketrans("ACGT", "TGCA")
@@ -294,6 +295,7 @@ def simulate_strands(strands: DataFrame, copies: int, channel: Channel, key: str
 
     many = strands.where(F.length(seq) > 0).select(F.col(key).cast("long").alias("k"), F.col(seq).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("n"))
     many = many.select("k", "s", (F.col("k") * copies + F.col("n")).alias("read_id"))
+    many = many.repartition(dealt(strands.sparkSession), "read_id")  # small rows, but each costs alignments: a table of one file is one task otherwise
     return many.mapInPandas(run, "strand_id long, read_id long, is_reversed boolean, identity double, seq string, qual string")
 
 

@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -13,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import strand as S
-from helixframe.operators.align import gapped
+from helixframe.operators.align import edit_distance, gapped
 from helixframe.operators.near import best_of, edit_distances, edit_join
+from helixframe.sources.tables import dealt
 
 # Fixed value: the adapter in front of simulated strands.
 ADAPTER = "AATGTACTTCGTTCAGTTACGTATTGCT"
@@ -49,15 +52,53 @@ def turned_strand(seq: str) -> str:
     return seq[::-1].translate(_TURN)
 
 
+#: Bases of the k-mers by which a read's head is guessed, and how often a wrong guess is mended before all pairs are compared.
+GUESS, MENDED = 12, 8
+
+
+def _guessed_heads(seqs: list[str], distance: int, barred: set[int], known: dict[tuple[int, int, bool], bool]) -> list[int]:
+    """Strands that aren't near the head, of those before them, that shares most k-mers with them; `barred` ones are no heads."""
+    heads: list[int] = []
+    index: dict[str, list[tuple[int, bool]]] = {}
+    for i, s in enumerate(seqs):
+        if i in barred:
+            continue
+        shared = Counter(x for j in range(len(s) - GUESS + 1) for x in index.get(s[j : j + GUESS], ()))
+        for (h, turned), _ in shared.most_common(1):
+            if (h, i, turned) not in known:
+                known[h, i, turned] = edit_distance(seqs[h], turned_strand(s) if turned else s) <= distance
+            if known[h, i, turned]:
+                break
+        else:
+            heads.append(i)
+            for turned, x in ((False, s), (True, turned_strand(s))):
+                for kmer in {x[j : j + GUESS] for j in range(len(x) - GUESS + 1)}:
+                    index.setdefault(kmer, []).append((i, turned))
+    return heads
+
+
 def first_heads(reads: list[tuple[int, str]], distance: int) -> list[tuple[int, str]]:
-    """Those of a bounded list of reads, in order, that no head before them is near to, in either orientation."""
+    """Those of a bounded list of reads, in order, that no head before them is near to, in either orientation.
+
+    A read that is near to one head is none, so most are told by the head that shares k-mers with them.  The rest are compared with each other:
+    if none is near to another, they are the heads; the first that is near to one before it is none, and those after it are looked at again.
+    """
     seqs = [s for _, s in reads]
-    near = np.minimum(edit_distances(seqs, seqs), edit_distances(seqs, [turned_strand(s) for s in seqs])) <= distance  # row: head, column: read
-    heads: list[int] = []
+    barred: set[int] = set()
+    known: dict[tuple[int, int, bool], bool] = {}
+    for turn in range(MENDED + 1):
+        heads = _guessed_heads(seqs, distance, barred, known) if turn < MENDED else list(range(len(seqs)))
+        some = [seqs[i] for i in heads]
+        near = np.minimum(edit_distances(some, some), edit_distances(some, [turned_strand(s) for s in some])) <= distance  # row: head, column: read
+        wrong = np.flatnonzero(np.triu(near, 1).any(0))
+        if not len(wrong):
+            return [reads[i] for i in heads]
+        barred.add(heads[wrong[0]])
+    kept: list[int] = []
     for i in range(len(reads)):
-        if not near[heads, i].any():
-            heads.append(i)
-    return [reads[i] for i in heads]
+        if not near[kept, i].any():
+            kept.append(i)
+    return [reads[i] for i in kept]
 
 
 def leaders(reads: DataFrame, distance: int = 40, block: int = 512) -> DataFrame:
@@ -97,7 +138,7 @@ def leaders(reads: DataFrame, distance: int = 40, block: int = 512) -> DataFrame
                 cluster, of = pa.array(ids[np.maximum(head, 0)], mask=~joined), pa.array([seqs[h] if h >= 0 else None for h in head.tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("seq"), cluster, of, pa.array(turn)], ["id", "seq", "cluster_id", "head", "is_reversed"])
 
-        done = _save(spark, left.repartition(_tasks(spark)).mapInArrow(join, "id long, seq string, cluster_id long, head string, is_reversed boolean"))
+        done = _save(spark, left.repartition(dealt(spark)).mapInArrow(join, "id long, seq string, cluster_id long, head string, is_reversed boolean"))
         part = done.where("cluster_id IS NOT NULL").drop("id")
         settled = part if settled is None else settled.unionByName(part)
         left = done.where("cluster_id IS NULL").select("id", "seq")
@@ -120,11 +161,6 @@ def _save(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
-def _tasks(spark: SparkSession) -> int:
-    """Tasks for small rows that cost much: one for each core at least."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
 def components(spark: SparkSession, pairs: DataFrame, rounds: int = 64) -> DataFrame:
     """(id, root): the smallest id reachable, by neighbours' smallest labels and pointer jumping, until nothing changes."""
     edges = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
@@ -245,19 +281,17 @@ def star(rows: list[str], centre: int) -> list[str]:
 
 def medoid(rows: list[str]) -> int:
     """The row with the least sum of edit distances to the others; the first of equal ones."""
-    from helixframe.operators.align import edit_script
-
     cost = [[0] * len(rows) for _ in rows]
     for i, a in enumerate(rows):
         for j in range(i):
-            cost[i][j] = cost[j][i] = sum(op != "=" for op in edit_script(a, rows[j]))
+            cost[i][j] = cost[j][i] = edit_distance(a, rows[j])
     return min(range(len(rows)), key=lambda i: sum(cost[i]))
 
 
 def consensus(rows: DataFrame, sample: int = 5, salt: int = 0) -> DataFrame:
     """(cluster_id, n, seq): up to `sample` reads of each cluster aligned to their medoid and put to the vote."""
     few = sample_members(rows, sample, salt).groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("read_id", "seq"))).alias("m"))
-    few = few.repartition(_tasks(rows.sparkSession), "cluster_id")  # small rows, but each costs an alignment: not to be put together by their size
+    few = few.repartition(dealt(rows.sparkSession), "cluster_id")  # small rows, but each costs an alignment: not to be put together by their size
 
     @F.pandas_udf("string")
     def merge(reads: pd.Series) -> pd.Series:

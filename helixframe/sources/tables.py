@@ -15,6 +15,11 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if len(table.inputFiles()) < cores else table
 
 
+def dealt(spark: SparkSession) -> int:
+    """Tasks for small rows that cost much: one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     table = spark.read.parquet(f"{folder}/{name}.parquet")
     return spread(table) if name == "documents" else table
