@@ -183,6 +183,36 @@ def default_errors(strands: list[str | None]) -> np.ndarray:
     return out + np.minimum(weights, 1.0)
 
 
+def default_errors_of(strands: np.ndarray) -> np.ndarray:
+    """default_errors() of strands of one length as the rows of a table of letters, A, C, G and T alone."""
+    rows, n = strands.shape
+    if not rows or not n:
+        return np.ones(rows) * 2.0  # no bases: both shares of G and C are too low
+    outside = lambda have, of: (100.0 * have / of > 70) | (100.0 * have / of < 30)
+    same = strands[:, 1:] == strands[:, :-1]
+    out = (same[:, :-3] & same[:, 1:-2] & same[:, 2:-1] & same[:, 3:]).any(1).astype(float) if n > 4 else np.zeros(rows)
+    gc, total, bad = (strands == ord("G")) | (strands == ord("C")), np.zeros(rows, np.int64), np.zeros(rows, bool)
+    for at in range(0, n, WINDOW):
+        have = np.count_nonzero(gc[:, at : at + WINDOW], axis=1)
+        total += have
+        bad |= outside(have, min(WINDOW, n - at))
+    out += outside(total, n)
+    out += bad
+    whole, weights = strands.tobytes(), {}
+    for piece, known in _SHARED:
+        at, seen = whole.find(piece.encode()), set()
+        while at >= 0:
+            row = at // n
+            if at + len(piece) <= (row + 1) * n and row not in seen:
+                seen.add(row)
+                text = whole[row * n : (row + 1) * n].decode()
+                weights[row] = weights.get(row, 0.0) + sum(p if m in text else 0.0 for m, p in known)
+            at = whole.find(piece.encode(), at + 1)
+    for row, weight in weights.items():
+        out[row] += min(weight, 1.0)
+    return out
+
+
 WINDOW = 50
 _GC, _BASE = np.zeros(256, np.int64), np.zeros(256, bool)
 _GC[list(b"GC")], _BASE[list(b"ACGT")] = 1, True

@@ -5,12 +5,15 @@ import json
 import math
 import os
 import pathlib
+import random
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.functions import rules as R
 from helixframe.functions import strand as S
 from helixframe.operators import packet_table as P
 from helixframe.operators.screening import unmasked_digits
@@ -165,3 +168,25 @@ def test_command_lines(spark, tmp_path):
         assert said.returncode == 0 and "helixframe.jobs" in said.stderr, said.stderr[-2000:]
     assert archive_strands.strands(spark, str(tmp_path / "archive_strands")).count() == 1 + math.ceil(210 / 47)
     assert packet_search.packets(spark, str(tmp_path / "packet_search")).count() > 2
+
+
+def test_packets_are_chosen_where_they_are_made(spark):
+    """No packet is moved to be chosen unless ids repeat, and then those of all rows are compared, as by fewest_errors()."""
+    texts = [(1, "Lorem ipsum dolor sit amet, consectetur. " * 30), (2, "é" * 700), (3, None), (4, ""), (None, "none"), (None, "other"), (1, "a shorter text of the same id " * 9), (1, "x" * 900)]
+    for rows in (texts[:5], texts):
+        table = spark.createDataFrame(rows, "id long, text string")
+        best = P.best_packed(table, "id", "text", 48, 16, 3.0, 0.5)
+        assert ("Window" in best._jdf.queryExecution().optimizedPlan().toString()) == (len(rows) > 5)
+        want = P.fewest_errors(P.packets(table, "id", "text", 48, 16, 3.0), 0.5)
+        got = best.withColumn("strand", S.to_strand(F.col("packed"))).select(want.columns)
+        key = ["file_id", "block", "error_prob", "seed", "k"]
+        assert sorted(map(repr, got.select(key).collect())) == sorted(map(repr, want.select(key).collect()))
+        assert got.exceptAll(P.packets(table, "id", "text", 48, 16, 3.0).withColumn("error_prob", F.round(R.default_rules(F.col("strand")), 6)).select(want.columns)).isEmpty()
+
+
+def test_errors_of_a_table_of_strands():
+    rows, some = [], random.Random(3)
+    for n in (4, 5, 51, 204):
+        rows = ["".join(some.choices("ACGT" if i % 3 else "AT", k=n)) for i in range(90)]
+        rows += [rows[0][: n - 7] + m[:7] for m, _ in R.MOTIFS if n > 40] + [m[7:] + rows[0][len(m) - 7 :] for m, _ in R.MOTIFS if n > 40] + [m + rows[0][len(m) :] for m, _ in R.MOTIFS if n > 40]
+        assert R.default_errors_of(np.array([list(x.encode()) for x in rows], np.uint8)).tolist() == R.default_errors(rows).tolist()
