@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,21 +46,48 @@ def settings(entries: dict[str, str]) -> tuple[Settings, list[str]]:
     return Settings(**known), sorted(set(entries) - set(kinds))
 
 
-def rank_curve(packets: DataFrame, name: str = "raptor", **options) -> DataFrame:
-    """(file_id, block, n, rank, solved): how far the first n packets of a block (file_id, block, k, seed) go, in order of seed.
+@lru_cache(1 << 12)
+def _curve(name: str, k: int, seeds: bytes, options: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Rank, and the chunks that are fixed, behind each of the seeds in order."""
+    how, pivots, rank, solved = code(name, k, **dict(options)), {}, [], []
+    for seed in np.frombuffer(seeds, np.int64).tolist():
+        grown = len(pivots) < k and insert(pivots, sources(how, seed), 0)
+        rank.append(len(pivots))
+        solved.append(k if len(pivots) == k else len(back_substitute(pivots)) if grown else solved[-1] if solved else 0)
+    return np.array(rank, np.int32), np.array(solved, np.int32)
+
+
+#: Blocks whose curves are sent at once.
+TOGETHER = 1 << 10
+
+
+def rank_curves(blocks: DataFrame, name: str = "raptor", **options) -> DataFrame:
+    """(file_id, block, k, n, rank, solved): how far the first n packets of a block (file_id, block, k, seeds) go, in order of seed.
 
-    Only equations are looked at, no payloads: rank, and the chunks that they would fix.
+    Only equations are looked at, no payloads: rank, and the chunks that they would fix.  A curve depends on k and the seeds alone, and is worked out
+    once for all blocks that have the same ones.
     """
+    how = tuple(sorted(options.items()))
+    rows = blocks.select(F.col("file_id").cast("long").alias("file_id"), F.col("block").cast("long").alias("block"), F.col("k").cast("int").alias("k"), F.sort_array(F.col("seeds").cast("array<long>")).alias("seeds"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        k, out, pivots = int(frame["k"].iloc[0]), [], {}
-        for n, seed in enumerate(sorted(frame["seed"]), 1):
-            insert(pivots, sources(code(name, k, **options), int(seed)), 0)
-            out.append((n, len(pivots), len(back_substitute(pivots)) if len(pivots) < k else k))
-        first = frame.iloc[0]
-        return pd.DataFrame([(first["file_id"], first["block"], *x) for x in out], columns=["file_id", "block", "n", "rank", "solved"])
-
-    return packets.select("file_id", "block", "k", "seed").groupBy("file_id", "block").applyInPandas(run, "file_id long, block long, n int, rank int, solved int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, TOGETHER) for i in range(0, len(whole), TOGETHER)):
+                lists = batch.column(3)
+                seeds, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+                ends = np.cumsum(n)
+                curves = [_curve(name, k, seeds[e - m : e].tobytes(), how) for k, e, m in zip(batch.column(2).to_pylist(), ends.tolist(), n.tolist())]
+                keys, at = pa.array(np.repeat(np.arange(len(n)), n)), np.arange(1, len(seeds) + 1) - np.repeat(ends - n, n)
+                rank, solved = (np.concatenate([c[i] for c in curves]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(keys) for i in range(3)), pa.array(at.astype(np.int32)), pa.array(rank), pa.array(solved)], ["file_id", "block", "k", "n", "rank", "solved"])
+
+    return rows.mapInArrow(run, "file_id long, block long, k int, n int, rank int, solved int")
+
+
+def rank_curve(packets: DataFrame, name: str = "raptor", **options) -> DataFrame:
+    """(file_id, block, n, rank, solved): rank_curves() of packets (file_id, block, k, seed)."""
+    blocks = packets.select("file_id", "block", "k", "seed").groupBy("file_id", "block").agg(F.min("k").alias("k"), F.collect_list("seed").alias("seeds"))
+    return rank_curves(blocks, name, **options).drop("k")
 
 
 def without_liar(packets: DataFrame, name: str = "raptor", **options) -> DataFrame:

@@ -55,6 +55,13 @@ def encode(table: DataFrame, id_col: str, data_col: str, size: int = 47, block:
     return encode_blocks(source_blocks(table, id_col, data_col, size, block), size, overhead, name, correction, sequential, scramble, **options)
 
 
+def block_seeds(table: DataFrame, id_col: str, data_col: str, size: int = 47, block: int = 128, overhead: float = 0.3) -> DataFrame:
+    """(file_id, block, k, seeds): which packets encode() makes of each block, with seeds in sequence, where their payloads aren't wanted."""
+    k = F.greatest(F.lit(4), F.ceil(F.octet_length("data") / size).cast("int"))
+    rows = source_blocks(table, id_col, data_col, size, block).select("file_id", "block", k.alias("k"))
+    return rows.withColumn("seeds", F.sequence(F.lit(0).cast("long"), F.floor(F.col("k") * (1 + overhead)).cast("long") + 7))
+
+
 #: Packets whose parity is worked out at once.
 TOGETHER = 1 << 14
 

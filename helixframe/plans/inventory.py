@@ -964,6 +964,5 @@ def found_packets(spark, sf_dir):
 @rows_only
 def decoding_curve(spark, sf_dir):
     """How many blocks of documents are solved with so many packets over their chunks."""
-    sent = packets.encode(_table(spark, sf_dir, "documents"), "doc_id", "text", CHUNK, 64, 0.3, "raptor", "none")
-    curve = files.rank_curve(sent).join(sent.select("file_id", "block", "k").distinct(), ["file_id", "block"])
+    curve = files.rank_curves(packets.block_seeds(_table(spark, sf_dir, "documents"), "doc_id", "text", CHUNK, 64, 0.3))
     return curve.groupBy((F.col("n") - F.col("k")).alias("over")).agg(F.count("*").alias("n"), F.count_if(F.col("solved") == F.col("k")).alias("n_solved"))

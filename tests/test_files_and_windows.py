@@ -168,3 +168,43 @@ def test_shared_mers_sends_a_mer_twice_at_most(spark):
     rows = spark.createDataFrame([(1, "ACGT" * 10)], "a long, seq string")
     plan = kmers.shared_mers(rows, ["a"], "seq")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan  # no row for each place of a mer is moved
+
+
+def test_rank_curve(spark):
+    """Rank and solved chunks behind each packet, against elimination by hand; blocks alike are worked out once."""
+    from helixframe.operators import files, packets
+
+    texts = [(1, "a text of some length, cut into blocks " * 60), (2, "short"), (3, None), (4, ""), (5, "b text of some length, cut into blocks " * 60)]
+    table = spark.createDataFrame(texts, "id long, text string")
+    sent = packets.encode(table, "id", "text", 47, 16, 0.3, "raptor", "none")
+    blocks = packets.block_seeds(table, "id", "text", 47, 16, 0.3)
+    seeds = {(r["file_id"], r["block"], r["k"]): r["seeds"] for r in blocks.collect()}
+    found = collections.defaultdict(list)
+    for r in sent.select("file_id", "block", "k", "seed").collect():
+        found[r["file_id"], r["block"], r["k"]].append(r["seed"])
+    assert seeds == {key: sorted(s) for key, s in found.items()} and {f for f, *_ in seeds} == {1, 2, 5}
+    want = set()
+    for (i, b, k), some in seeds.items():
+        code, span, held = Raptor(k), {0}, []
+        for n, seed in enumerate(some, 1):
+            mask = code.sources(seed)
+            reduced = mask
+            for row in held:  # rows in echelon form, highest bit first
+                reduced = min(reduced, reduced ^ row)
+            held = sorted([*held, reduced] if reduced else held, reverse=True)
+            fixed = 0
+            for j in range(k):
+                unit = 1 << j
+                for row in held:
+                    unit = min(unit, unit ^ row)
+                fixed += unit == 0
+            want.add((i, b, k, n, len(held), fixed))
+    got = files.rank_curves(blocks)
+    assert set(map(tuple, got.collect())) == want and max(x[-1] for x in want) == 16
+    assert set(map(tuple, files.rank_curve(sent).collect())) == {(i, b, n, r, s) for i, b, k, n, r, s in want}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "FlatMapGroups" not in plan
+    files._curve.cache_clear()
+    for _ in range(2):
+        files._curve("raptor", 16, np.arange(28, dtype=np.int64).tobytes(), ())
+    assert files._curve.cache_info().misses == 1
