@@ -45,8 +45,9 @@ def _binary(held: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return _built(pa.binary(), held, lengths, np.ones(len(lengths), bool))
 
 
-def sliced(table: DataFrame, id_col: str, data_col: str, size: int, name: str, kind: str, made: Callable[[np.ndarray, np.ndarray], pa.Array], piece: int = PIECE) -> DataFrame:
-    """(id_col, chunk_idx, name): what `made` gives for the bytes of many chunks end to end and their lengths; about `piece` bytes at once."""
+def sliced(table: DataFrame, id_col: str, data_col: str, size: int, name: str, kind: str, made: Callable[..., pa.Array], piece: int = PIECE, numbered: bool = False) -> DataFrame:
+    """(id_col, chunk_idx, name): what `made` gives for the bytes of many chunks end to end and their lengths, and their numbers if `numbered`; about
+    `piece` bytes at once."""
     rows = table.select(id_col, F.col(data_col).cast("binary").alias("data")).where("octet_length(data) > 0")
 
     def run(batches):
@@ -63,7 +64,7 @@ def sliced(table: DataFrame, id_col: str, data_col: str, size: int, name: str, k
                 lengths = np.full(len(idx), size, np.int64)
                 lengths[first + count - 1] = n - (count - 1) * size
                 keys = batch.column(0).take(pa.array(np.repeat(np.arange(at, to), count)))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(idx), made(held[ends[at] : ends[to]], lengths)], [id_col, "chunk_idx", name])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(idx), made(held[ends[at] : ends[to]], lengths, *([idx] if numbered else []))], [id_col, "chunk_idx", name])
                 at = to
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, chunk_idx long, `{name}` {kind}")

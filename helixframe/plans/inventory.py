@@ -837,9 +837,9 @@ def strand_words(spark, sf_dir):
 @query("SELECT doc_id, md5(encode(text)) AS digest FROM documents WHERE length(text) > 0")
 def rs_files(spark, sf_dir):
     """Documents as Reed-Solomon chunks with their numbers, those of every twentieth with their first bases flipped, and put together again."""
-    coded = correction.rs_file_chunks(_table(spark, sf_dir, "documents"), "doc_id", "text", 60, 0.2)
-    sent = coded.select("doc_id", B.flipped(S.to_strand(F.col("packed")), F.when(F.col("doc_id") % 20 == 0, 0.03).otherwise(0.0)).alias("strand"))
-    back = correction.rs_file_data(sent.select("doc_id", S.from_strand(F.col("strand")).alias("packed")), "doc_id", 60, 0.2)
+    coded, strand = correction.rs_file_strands(_table(spark, sf_dir, "documents"), "doc_id", "text", 60, 0.2), F.col("strand")
+    sent = coded.select("doc_id", F.when(F.col("doc_id") % 20 == 0, B.flipped(strand, F.lit(0.03))).otherwise(strand).alias("strand"))
+    back = correction.rs_strand_data(sent, "doc_id", 60, 0.2)
     return back.select("doc_id", F.md5("data").alias("digest"))
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import bases as B
+from helixframe.functions import strand as S
 from helixframe.operators import align, channel, clusters, codes, correction, jpeg, near, packets, search, ternary
 from helixframe.sources import models
 
@@ -380,3 +381,51 @@ def test_blocks_of_neighbours_are_given_apart(spark, tmp_path):
         got[x["file_id"]] = got.get(x["file_id"], b"") + bytes(x["data"])
     assert {f: d[: len(data[f])] for f, d in got.items()} == {f: d for f, d in data.items() if f != 33}
     assert run.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 10
+
+
+def test_many_wrong_bytes_are_set_right_at_once(monkeypatch):
+    some, cases = random.Random(8), []
+    for parity in (1, 2, 3, 5, 12, 13):
+        words = []
+        for i in range(120):
+            w = bytearray(correction.rs_encode(some.randbytes(some.choice([1, 30, 64, 255 - parity])), parity))
+            for at in some.sample(range(len(w)), min(len(w), some.randrange(parity // 2 + 3))):
+                w[at] ^= some.randrange(1, 256)
+            words.append(bytes(w))
+        words += [some.randbytes(40) for _ in range(40)] + [None]
+        cases.append((parity, words, [None if w is None else correction.rs_decode(w, parity) for w in words]))
+    monkeypatch.setattr(correction, "rs_decode", None)  # no word is left to be looked at by itself
+    for parity, words, want in cases:
+        assert correction.rs_decode_all(words, parity) == want
+
+
+def test_rs_files_of_odd_chunks(spark):
+    """Chunks that are lost, spoiled, repeated, out of order, or of no file; runs of them are moved as one row, once."""
+    size, some = 20, random.Random(9)
+    files = {1: some.randbytes(20 * 9 + 3), 2: b"x", 3: some.randbytes(400), 4: some.randbytes(20 * 40), None: some.randbytes(70), 6: b"", 7: None}
+    table = spark.createDataFrame([(i, None if d is None else bytearray(d)) for i, d in files.items()], "id long, data binary")
+    words = [(r["id"], bytes(r["packed"])) for r in correction.rs_file_chunks(table, "id", "data", size, 0.2).collect()]
+    assert sorted(words, key=str) == sorted(((i, correction.rs_encode(at.to_bytes(4, "big") + d[at * size : at * size + size], 4)) for i, d in files.items() if d for at in range(-(-len(d) // size))), key=str)
+    strands = correction.rs_file_strands(table, "id", "data", size, 0.2)
+    assert sorted(((r["id"], bytes(r["b"])) for r in strands.select("id", S.from_strand(F.col("strand")).alias("b")).collect()), key=str) == sorted(words, key=str)
+    number = lambda w: int.from_bytes(w[1][:4], "big")
+    sent = [w for w in words if (w[0], number(w)) not in {(1, 0), (1, 4), (3, 19), (4, 7), (4, 8)}]
+    sent = [(i, bytes([w[0] ^ 1, *w[1:-1], w[-1] ^ 9]) if i == 3 else bytes(x ^ 5 for x in w) if (i, n) == (4, 20) else w) for i, w in sent for n in [number((i, w))]]
+    sent += [w for w in words if w[0] == 4][5:12] + [(4, correction.rs_encode((30).to_bytes(4, "big") + bytes(size), 4)), (4, None), (4, b""), (4, b"abc"), (9, bytes(28)[:-1] + b"!")]
+    want = {}
+    for i, w in sent:
+        plain = w and correction.rs_decode(w, 4)
+        if plain:
+            at = int.from_bytes(plain[:4], "big")
+            have = want.setdefault(i, {})
+            have[at] = min(plain[4:], have.get(at, plain[4:]))
+    want = {i: (b"".join(c.get(at, bytes(size)) for at in range(max(c) + 1)), max(c) + 1 - len(c)) for i, c in want.items()}
+    assert want[4][1] == 1 and want[1][1] == 2 and want[None] == (files[None], 0)
+    for rows in (sent, some.sample(sent, len(sent))):
+        back = correction.rs_file_data(spark.createDataFrame([(i, None if w is None else bytearray(w)) for i, w in rows], "id long, packed binary"), "id", size, 0.2)
+        assert {r["id"]: (bytes(r["data"]), r["n_lost"]) for r in back.collect()} == want
+    lost = correction.rs_strand_data(strands.unionByName(spark.createDataFrame([(1, "ACGN"), (1, None)], "id long, strand string")), "id", size, 0.2)
+    assert {r["id"]: (bytes(r["data"]), r["n_lost"]) for r in lost.collect()} == {i: (d, 0) for i, d in files.items() if d}
+    assert lost._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1  # chunks aren't gathered one by one
+    long = correction.rs_file_data(correction.rs_file_chunks(table, "id", "data", 300, 0.02), "id", 300, 0.02)
+    assert {r["id"]: bytes(r["data"]) for r in long.collect()} == {i: d for i, d in files.items() if d}
