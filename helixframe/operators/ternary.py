@@ -400,17 +400,88 @@ def _votes(windows: list[list[dict]]) -> list[str]:
     return [whole[e - k : e] for e, k in zip(ends.tolist(), size.tolist())]
 
 
+def _windows_joined(batch: pa.RecordBatch) -> list[pa.Array]:
+    """(key, idx, n, data) of windows (key, idx, piece): those of one key that follow each other in a batch, each WINDOW bases long and the same where
+    they overlap, are one row of n windows and the bases that they cover, four in a byte.  Any other is a row of its own, n 0 and its text."""
+    key, piece = batch.column(0), batch.column(2)
+    idx = batch.column(1).to_numpy(zero_copy_only=False)
+    held, ends, _ = S._held(piece)
+    n, code = np.diff(ends), S._CODE[held]
+    odd = np.concatenate([[0], np.cumsum(code > 3)])
+    plain = (n == WINDOW) & (odd[ends[1:]] == odd[ends[:-1]])
+    at = np.flatnonzero(plain)
+    bases = code[ends[at][:, None] + np.arange(WINDOW)] if len(at) < len(n) else code.reshape(-1, WINDOW)
+    key, row = key.take(pa.array(at)), idx[at]
+    same = pc.equal(key.slice(1), key.slice(0, max(len(key) - 1, 0))).fill_null(False).to_numpy(zero_copy_only=False)
+    follows = same & (np.diff(row) == 1) & (bases[:-1, STRIDE:] == bases[1:, :-STRIDE]).all(1) if len(at) else np.zeros(0, bool)
+    first = np.flatnonzero(np.concatenate([[True], ~follows])[: len(at)])
+    count = np.diff(np.append(first, len(at)))
+    sizes = -(-(WINDOW + STRIDE * (count - 1)) // 4)
+    held_out, starts = np.zeros(sizes.sum() * 4, np.uint8), (np.cumsum(sizes) - sizes) * 4
+    held_out[starts[:, None] + np.arange(WINDOW)] = bases[first]
+    rest = np.flatnonzero(np.concatenate([[False], follows])[: len(at)])
+    run = np.searchsorted(first, rest, side="right") - 1
+    held_out[(starts[run] + WINDOW + STRIDE * (rest - first[run] - 1))[:, None] + np.arange(STRIDE)] = bases[rest, -STRIDE:]
+    four = held_out.reshape(-1, 4)
+    data = S._built(pa.binary(), four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3], sizes, np.ones(len(first), bool))
+    out = [key.take(pa.array(first)), pa.array(row[first]), pa.array(count.astype(np.int32)), data]
+    if len(at) < len(n):
+        others = pa.array(np.flatnonzero(~plain))
+        rest = [batch.column(0).take(others), pa.array(idx[~plain]), pa.array(np.zeros(len(others), np.int32)), piece.take(others).cast(pa.binary())]
+        out = [pa.concat_arrays([a, b]) for a, b in zip(out, rest)]
+    return out
+
+
+def _windows_of(idx: int, n: int, data: bytes, w: int) -> list[dict]:
+    """The windows of a row of _windows_joined() that came w times."""
+    if not n:
+        return [{"idx": idx, "piece": data.decode(), "w": w}]
+    text = S.FOURS[np.frombuffer(data, np.uint8)].tobytes().decode()
+    return [{"idx": idx + j, "piece": text[j * STRIDE : j * STRIDE + WINDOW], "w": w} for j in range(n)]
+
+
+def _overlaid(lists: pa.Array) -> pa.Array:
+    """The strands of lists of (idx, n, data, w): a single row from place 0 on is its bases; others are voted on."""
+    counts, flat = lists.value_lengths().to_numpy(), lists.flatten()
+    ends = np.cumsum(counts)
+    idx, n, w = (flat.field(c).to_numpy() for c in ("idx", "n", "w"))
+    alone = np.flatnonzero(counts == 1)
+    alone = alone[(idx[ends[alone] - 1] == 0) & (n[ends[alone] - 1] > 0)]
+    at = ends[alone] - 1
+    held, cuts, _ = S._held(flat.field("data").take(pa.array(at)))
+    letters, sizes = S.FOURS[held].view(np.uint8), WINDOW + STRIDE * (n[at].astype(np.int64) - 1)
+    inside = np.arange(sizes.sum()) + np.repeat(cuts[:-1] * 4 - (np.cumsum(sizes) - sizes), sizes)
+    one = S._built(pa.string(), letters[inside], sizes, np.ones(len(at), bool))
+    if len(alone) == len(lists):
+        return one
+    others = np.setdiff1d(np.arange(len(lists)), alone)
+    voted = []
+    for some in (others[i : i + 1024] for i in range(0, len(others), 1024)):
+        rows = [range(ends[i] - counts[i], ends[i]) for i in some]
+        data = {j: flat.field("data")[j].as_py() for r in rows for j in r}
+        voted += _votes([[x for j in r for x in _windows_of(int(idx[j]), int(n[j]), data[j], int(w[j]))] for r in rows])
+    order = np.argsort(np.concatenate([alone, others]))
+    return pa.concat_arrays([one, pa.array(voted, pa.string())]).take(pa.array(order))
+
+
 def overlay(pieces: DataFrame, key: str) -> DataFrame:
     """(key, strand): the most frequent base of each place over all windows and copies; `_` where nothing covers a place.
 
-    Equal windows are counted first, so that what is gathered for a strand are its different windows.
+    Neighbouring windows of a batch that agree move as one row, which holds each base once; rows that come again are counted before a strand's are
+    gathered, where they are.
     """
+    rows = pieces.where("piece != ''").select(key, F.col("idx").cast("long").alias("idx"), "piece")
+    kind = rows.schema[0].dataType.simpleString()
 
-    @F.pandas_udf(StringType())
-    def vote(windows: pd.Series) -> pd.Series:
-        some = windows.tolist()
-        return pd.Series([s for i in range(0, len(some), 1024) for s in _votes(some[i : i + 1024])], dtype=object)
+    def join(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(_windows_joined(batch), [key, "idx", "n", "data"])
+
+    def vote(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _overlaid(batch.column(1))], [key, "strand"])
 
-    same = pieces.where("piece != ''").groupBy(key, "idx", "piece").agg(F.count("*").alias("w"))
-    found = same.groupBy(key).agg(F.collect_list(F.struct("idx", "piece", "w")).alias("p"))
-    return found.select(key, vote("p").alias("strand"))
+    k = F.col(f"`{key}`")
+    same = rows.mapInArrow(join, f"`{key}` {kind}, idx long, n int, data binary").repartition(k).groupBy(k, "idx", "n", "data").agg(F.count("*").alias("w"))
+    found = same.groupBy(k).agg(F.collect_list(F.struct("idx", "n", "data", "w")).alias("p"))
+    return found.mapInArrow(vote, f"`{key}` {kind}, strand string")

@@ -429,3 +429,35 @@ def test_rs_files_of_odd_chunks(spark):
     assert lost._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1  # chunks aren't gathered one by one
     long = correction.rs_file_data(correction.rs_file_chunks(table, "id", "data", 300, 0.02), "id", 300, 0.02)
     assert {r["id"]: bytes(r["data"]) for r in long.collect()} == {i: d for i, d in files.items() if d}
+
+
+def test_windows_move_once(spark):
+    """Strands from copies, spoiled and odd windows against votes by hand; agreeing neighbours leave a batch as one row, for one exchange."""
+    from helixframe.operators.ternary import STRIDE, WINDOW
+
+    some, rows = random.Random(11), []
+    say = lambda n: "".join(some.choices("ACGT", k=n))
+    for key in [*range(30), None]:
+        strand = say(some.choice([100, 110, 125, 188, 400]))
+        for _ in range(some.choice([1, 1, 2, 5])):
+            for i in range((len(strand) - WINDOW) // STRIDE + 1):
+                piece = strand[i * STRIDE : i * STRIDE + WINDOW]
+                if some.random() < 0.2:
+                    at = some.randrange(WINDOW)
+                    piece = piece[:at] + some.choice(["A", "C", "N", "é", "", "GG"]) + piece[at + 1 :]
+                if some.random() < 0.95:
+                    rows.append((key, i + (key == 7) * 2, piece))
+    rows += [(40, 0, ""), (41, 0, None), (42, 3, "ACG"), (43, 0, "é"), (44, 1, say(100)), (44, 2, say(100))]
+    votes = {}
+    for key, idx, piece in rows:
+        for at, c in enumerate(piece or "", idx * STRIDE):
+            votes.setdefault(key, {}).setdefault(at, []).append(c)
+    want = {k: "".join(min(set(v[at]), key=lambda c: (-v[at].count(c), c)) if at in v else "_" for at in range(max(v) + 1)) for k, v in votes.items()}
+    for few in (rows, some.sample(rows, len(rows))):
+        got = ternary.overlay(spark.createDataFrame(few, "`a key` long, idx int, piece string"), "a key")
+        assert {r["a key"]: r["strand"] for r in got.collect()} == want
+    strand = say(188)
+    batch = pa.RecordBatch.from_pydict({"k": [5] * 4, "idx": [0, 1, 2, 3], "piece": [strand[i : i + 100] for i in (0, 25, 50, 75)]})
+    assert [(len(a), a[0].as_py()) for a in ternary._windows_joined(batch)[1:3]] == [(1, 0), (1, 4)] and len(ternary._windows_joined(batch)[3][0].as_py()) == 44
+    plan = spark.createDataFrame(rows, "k long, idx int, piece string").transform(lambda t: ternary.overlay(t, "k"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
