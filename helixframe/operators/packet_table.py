@@ -77,12 +77,12 @@ def blocks(table: DataFrame, id_col: str, data_col: str, size: int, most: int) -
 
 
 #: The checksum of the bases of a byte.
-_VALUES = np.array([sum((i >> j & 3) + 1 for j in (0, 2, 4, 6)) for i in range(256)], np.int64)
+VALUES = np.array([sum((i >> j & 3) + 1 for j in (0, 2, 4, 6)) for i in range(256)], np.int64)
 
 
 def checksums(data: np.ndarray) -> np.ndarray:
     """The checksum of the bases of each row of bytes."""
-    return (_VALUES[data].sum(1) % 256).astype(np.uint8)
+    return (VALUES[data].sum(1) % 256).astype(np.uint8)
 
 
 def packed_of(data: list[bytes], k: int, size: int, seeds: np.ndarray, used: list[list[int]]) -> np.ndarray:

@@ -956,9 +956,8 @@ t AS (SELECT id, min(start) AS start FROM g GROUP BY id UNION ALL SELECT t.id, m
 SELECT id, start, coded AS strand, CAST(xor({' + '.join(f"(instr('ACGT', substr(coded, {i + 1}, 1)) - 1) * {4 ** (7 - i)}" for i in range(8))}, {packet_table.SEED_MASK}) AS INTEGER) AS seed FROM g JOIN t USING (id, start)""")
 def found_packets(spark, sf_dir):
     """Each document's strands with checksums as one sequence, with other bases between them: what is found from the left."""
-    coded = _strands(spark, sf_dir).select("doc_id", "chunk_idx", F.concat(F.expr("left('ACGTTGCATGACCATG', cast((chunk_idx * 7 + doc_id) % 15 as int))"), S.with_checksum(F.col("strand"))).alias("s"))
-    whole = coded.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "s"))).alias("p"))
-    return windows.found_packets(whole.select("id", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq")), _LONG)
+    whole = windows.spaced_packets(_table(spark, sf_dir, "documents"), "doc_id", "text", CHUNK, "ACGTTGCATGACCATG", 7, 15)
+    return windows.found_packets(whole, _LONG)
 
 
 @rows_only

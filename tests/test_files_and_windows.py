@@ -208,3 +208,21 @@ def test_rank_curve(spark):
     for _ in range(2):
         files._curve("raptor", 16, np.arange(28, dtype=np.int64).tobytes(), ())
     assert files._curve.cache_info().misses == 1
+
+
+def test_sequences_are_made_where_rows_are(spark):
+    """Strands with checksums and spacers between them against plain Python; rows are moved only if ids repeat, and then as bytes."""
+    rows = [(i, "é short text %d " % i * (i % 40)) for i in range(-40, 90)] + [(None, "no id"), (200, None), (201, "x" * 47), (202, "y" * 48)]
+    again = rows + [(5, "other bytes " * 20), (5, "other bytes " * 20), (202, "z"), (77, ""), (78, None)]
+    for some in (rows, again):
+        want = {}
+        for i, text in some:
+            data = (text or "").encode()
+            for at in range(-(-len(data) // 47)) if i is not None else ():
+                strand = "".join("ACGT"[b >> j & 3] for b in data[at * 47 : at * 47 + 47] for j in (6, 4, 2, 0))
+                turn = at * 7 + i
+                gap = turn % 15 if turn >= 0 else 0  # none of a negative remainder
+                want.setdefault(i, []).append((at, "ACGTTGCATGACCATG"[:gap] + strand + checksum(strand)))
+        got = windows.spaced_packets(spark.createDataFrame(some, "id long, text string"), "id", "text", 47, "ACGTTGCATGACCATG", 7, 15)
+        assert {r["id"]: r["seq"] for r in got.collect()} == {i: "".join(s for _, s in sorted(c)) for i, c in want.items()}
+        assert ("Aggregate" in got._jdf.queryExecution().optimizedPlan().toString()) == (some is again)
