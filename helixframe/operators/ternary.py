@@ -307,7 +307,9 @@ def parse_oligos(oligos: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     trits = (tail[:, 1:] - tail[:, :-1] + 3) % 4
     good = (trits < 3).all(1) & (_parity(trits[:, 1].astype(np.int64), trits[:, 2:14]) == trits[:, 14])
     o, trits = o[good], trits[good]
-    idx = trits[:, 2:14].astype(np.int64) @ 3 ** np.arange(11, -1, -1)
+    idx = np.zeros(len(trits), np.int64)
+    for j in range(2, 14):
+        idx = idx * 3 + trits[:, j]
     piece = o[:, 1 : WINDOW + 1]
     piece = np.where((idx % 2 == 1)[:, None], 3 - piece[:, ::-1], piece)
     return at[good], idx, S._built(pa.string(), _LETTERS[piece].reshape(-1), np.full(len(piece), WINDOW), np.ones(len(piece), bool))
@@ -464,18 +466,13 @@ def _overlaid(lists: pa.Array) -> pa.Array:
     return pa.concat_arrays([one, pa.array(voted, pa.string())]).take(pa.array(order))
 
 
-def overlay(pieces: DataFrame, key: str) -> DataFrame:
-    """(key, strand): the most frequent base of each place over all windows and copies; `_` where nothing covers a place.
-
-    Neighbouring windows of a batch that agree move as one row, which holds each base once; rows that come again are counted before a strand's are
-    gathered, where they are.
-    """
-    rows = pieces.where("piece != ''").select(key, F.col("idx").cast("long").alias("idx"), "piece")
+def _overlay(rows: DataFrame, key: str, read) -> DataFrame:
+    """overlay() of what `read` makes of each batch of rows (key, ...): a batch of windows (key, idx, piece)."""
     kind = rows.schema[0].dataType.simpleString()
 
     def join(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(_windows_joined(batch), [key, "idx", "n", "data"])
+            yield pa.RecordBatch.from_arrays(_windows_joined(read(batch)), [key, "idx", "n", "data"])
 
     def vote(batches):
         for batch in batches:
@@ -485,3 +482,22 @@ def overlay(pieces: DataFrame, key: str) -> DataFrame:
     same = rows.mapInArrow(join, f"`{key}` {kind}, idx long, n int, data binary").repartition(k).groupBy(k, "idx", "n", "data").agg(F.count("*").alias("w"))
     found = same.groupBy(k).agg(F.collect_list(F.struct("idx", "n", "data", "w")).alias("p"))
     return found.mapInArrow(vote, f"`{key}` {kind}, strand string")
+
+
+def overlay(pieces: DataFrame, key: str) -> DataFrame:
+    """(key, strand): the most frequent base of each place over all windows and copies; `_` where nothing covers a place.
+
+    Neighbouring windows of a batch that agree move as one row, which holds each base once; rows that come again are counted before a strand's are
+    gathered, where they are.
+    """
+    return _overlay(pieces.where("piece != ''").select(key, F.col("idx").cast("long").alias("idx"), "piece"), key, lambda batch: batch)
+
+
+def overlay_oligos(rows: DataFrame, key: str, oligo: str = "oligo") -> DataFrame:
+    """overlay() of read_oligos(), whose windows are joined where they are read."""
+
+    def read(batch):
+        at, idx, piece = parse_oligos(batch.column(1))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(idx), piece], [key, "idx", "piece"])
+
+    return _overlay(rows.select(key, oligo), key, read)

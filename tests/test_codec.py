@@ -461,3 +461,15 @@ def test_windows_move_once(spark):
     assert [(len(a), a[0].as_py()) for a in ternary._windows_joined(batch)[1:3]] == [(1, 0), (1, 4)] and len(ternary._windows_joined(batch)[3][0].as_py()) == 44
     plan = spark.createDataFrame(rows, "k long, idx int, piece string").transform(lambda t: ternary.overlay(t, "k"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_oligos_are_joined_where_they_are_read(spark):
+    some = random.Random(15)
+    rows = spark.createDataFrame([(i, "".join(some.choices("ACGT", k=some.choice([90, 100, 188, 300])))) for i in range(40)] + [(None, "ACGT" * 40)], "`a key` long, strand string")
+    made = ternary.oligos(rows, "a key")
+    odd = made.select("a key", F.when(F.col("idx") == 2, F.concat(F.lit("A"), "oligo")).when(F.col("a key") % 7 == 1, S.reverse_complement(F.col("oligo"))).otherwise(F.col("oligo")).alias("oligo"))
+    odd = odd.unionByName(made.select("a key", "oligo").where("idx = 0")).unionByName(spark.createDataFrame([(1, None), (2, ""), (60, "ACGT")], "`a key` long, oligo string"))
+    want = ternary.overlay(ternary.read_oligos(odd), "a key")
+    got = ternary.overlay_oligos(odd, "a key")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and not got.isEmpty()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == want._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") - 1
